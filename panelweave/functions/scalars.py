@@ -101,7 +101,8 @@ def stars(p: Column | str) -> Column:
 
 
 def number_text(c: Column | str, digits: int = 3, missing: str = "-") -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", F.round(col(c), digits)), F.lit(missing))
+    x = F.round(col(c), digits)
+    return F.when(x.isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{digits}f", x))
 
 
 def strategy_label(*parts: Column | str) -> Column:

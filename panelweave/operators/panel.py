@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from panelweave.config import SPLITS, TOTAL, Split
 
 
+def per_period(df: DataFrame) -> DataFrame:
+    """Broadcast a table with one row per period.
+
+    Its size is bounded by the calendar (a few thousand rows at most). Joining
+    a large panel on the date alone would otherwise put each period in one task.
+    """
+    return F.broadcast(df)
+
+
 def period_filter(df: DataFrame, period: Split) -> DataFrame:
     """Rows with ``start <= ts < end``; the bounds reach the Parquet scan."""
     return df.where((F.col("ts") >= F.lit(period.start)) & (F.col("ts") < F.lit(period.end)))
@@ -46,12 +55,15 @@ def split_problems(df: DataFrame) -> DataFrame:
     Reports a split outside TOTAL, a split that overlaps the one before it and
     a gap between neighbours (days that belong to no split).
     """
-    total = df.where(F.col("name") == TOTAL.name).select(
-        F.col("start").alias("total_start"), F.col("end").alias("total_end"))
+    # A splits table holds one row per split, so one window over it is enough.
+    every = W.partitionBy(F.lit(0))
+    of_total = F.col("name") == TOTAL.name
+    parts = (
+        df.withColumn("total_start", F.max(F.when(of_total, F.col("start"))).over(every))
+        .withColumn("total_end", F.max(F.when(of_total, F.col("end"))).over(every))
+        .where(~of_total)
+    )
     order = W.partitionBy("total_start", "total_end").orderBy("start")
-    # One TOTAL row by definition of the table: the join adds two columns.
-    parts = df.where(F.col("name") != TOTAL.name).join(
-        total, (F.col("start") < F.col("total_end")) | (F.col("start") >= F.col("total_end")))
     checked = parts.withColumn("previous_end", F.lag("end").over(order)).select(
         "name",
         F.explode(F.array_compact(F.array(
@@ -98,7 +110,7 @@ def complete_dates(panel: DataFrame, n_series: int) -> DataFrame:
         .groupBy("ts").agg(F.count_distinct("series_id").alias("n"))
         .where(F.col("n") == n_series).select("ts")
     )
-    return panel.join(full, "ts", "left_semi")
+    return panel.join(per_period(full), "ts", "left_semi")
 
 
 def calendar(panel: DataFrame) -> DataFrame:
@@ -145,7 +157,10 @@ def common_dates(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def unfinished(todo: DataFrame, done: DataFrame, keys: Sequence[str] = ("ts",)) -> DataFrame:
     """Rows whose keys are not in the output yet (resume of a batch run)."""
-    return todo.join(done.select(*keys), list(keys), "left_anti")
+    finished = done.select(*keys).distinct()
+    if list(keys) == ["ts"]:
+        finished = per_period(finished)
+    return todo.join(finished, list(keys), "left_anti")
 
 
 def rename_series(df: DataFrame, names: dict[str, str], *columns: str) -> DataFrame:

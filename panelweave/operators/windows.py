@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY_SERIES = W.partitionBy("series_id").orderBy("ts")
+def by_series():
+    return W.partitionBy("series_id").orderBy("ts")
 
 
 def past(n: int):
     """The ``n`` rows before the current one."""
-    return BY_SERIES.rowsBetween(-n, -1)
+    return by_series().rowsBetween(-n, -1)
 
 
 def melt(df: DataFrame, columns: dict[str, str], keys: Sequence[str], name: str, value: str) -> DataFrame:
@@ -23,7 +24,7 @@ def melt(df: DataFrame, columns: dict[str, str], keys: Sequence[str], name: str,
 
 
 def random_walk(panel: DataFrame) -> DataFrame:
-    return panel.select("series_id", F.lit("RW").alias("model"), "ts", F.lag("value").over(BY_SERIES).alias("yhat"))
+    return panel.select("series_id", F.lit("RW").alias("model"), "ts", F.lag("value").over(by_series()).alias("yhat"))
 
 
 def full_mean(q: int) -> Column:
@@ -40,7 +41,7 @@ def sma_bank(panel: DataFrame, spans: Sequence[int] = range(3, 31)) -> DataFrame
 def simple_pool(panel: DataFrame, spans: Sequence[int] = (3, 6, 12)) -> DataFrame:
     """Random walk and a few moving averages in one pass: ``Forecast`` rows."""
     wide = panel.select(
-        "series_id", "ts", F.lag("value").over(BY_SERIES).alias("q0"),
+        "series_id", "ts", F.lag("value").over(by_series()).alias("q0"),
         *[full_mean(q).alias(f"q{q}") for q in spans],
     )
     labels = {"q0": "RW", **{f"q{q}": f"SMA({q})" for q in spans}}
@@ -51,7 +52,7 @@ def lag_matrix(panel: DataFrame, lags: int, complete: bool = True) -> DataFrame:
     """``y`` with its ``lags`` previous values ``x1..``; incomplete rows dropped."""
     out = panel.select(
         "series_id", "ts", F.col("value").alias("y"),
-        *[F.lag("value", k).over(BY_SERIES).alias(f"x{k}") for k in range(1, lags + 1)],
+        *[F.lag("value", k).over(by_series()).alias(f"x{k}") for k in range(1, lags + 1)],
     )
     return out.where(F.col(f"x{lags}").isNotNull()) if complete else out
 
@@ -70,7 +71,7 @@ def rolling_windows(panel: DataFrame, window: int) -> DataFrame:
 
 def growth_index(panel: DataFrame, base: float = 100.0, log: bool = False) -> DataFrame:
     step = F.col("value") if log else F.log1p("value")
-    total = F.sum(step).over(BY_SERIES.rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum(step).over(by_series().rowsBetween(W.unboundedPreceding, 0))
     return panel.select("series_id", "ts", (base * F.exp(total)).alias("index_value"))
 
 
