@@ -195,6 +195,18 @@ def series_arrays(panel: DataFrame, *columns: str) -> DataFrame:
     fields = ("ts", *columns)
     packed = F.sort_array(F.collect_list(F.struct(*fields)))
     return (
-        panel.groupBy("series_id").agg(packed.alias("s"))
+        spread(panel.select("series_id", *fields), "series_id").groupBy("series_id").agg(packed.alias("s"))
         .select("series_id", *[F.col("s")[c].alias(c) for c in fields])
     )
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by the keys into as many tasks as the session shuffles to.
+
+    For stages that spend much CPU on few bytes: adaptive execution merges
+    small partitions by size and would leave most cores idle. Later windows and
+    aggregations on the same keys reuse this partitioning.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
