@@ -26,6 +26,11 @@ def in_period(period: Split) -> Column:
     return (F.col("ts") >= F.lit(period.start)) & (F.col("ts") < F.lit(period.end))
 
 
+def known(c: str) -> Column:
+    """True where a number came back from numpy: neither NULL nor NaN."""
+    return F.col(c).isNotNull() & ~F.isnan(c)
+
+
 def per_series(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
     """Apply a numpy helper to each row of a series-array table, batch by batch."""
 
@@ -172,7 +177,7 @@ def knn_forecasts(panel: DataFrame, k: int = 5, lags: int = 6, train: Split = TR
         })
 
     out = per_series(_neighbour_input(panel, lags, train), one, FORECAST)
-    return out.where(~F.isnan("yhat"))
+    return out.where(known("yhat"))
 
 
 def transition(kind: Column, gamma: Column, c: Column, s: Column) -> Column:

@@ -104,7 +104,8 @@ def coefficients(stats: DataFrame, keys: Sequence[str], models: Sequence[Sequenc
     tagged = F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in labels]).alias("label"), F.col("fits")))
     one = fitted.select(*keys, tagged.alias("one")).select(
         *keys, F.col("one")["label"].alias(name), F.col("one")["fits"].alias("f"))
-    return one.where(~F.isnan(F.col("f")[HEAD])).select(
+    first = F.col("f")[HEAD]
+    return one.where(first.isNotNull() & ~F.isnan(first)).select(
         *keys, name, F.col("f")[0].alias("n"), F.col("f")[1].alias("sse"),
         F.slice("f", HEAD + 1, width).alias("coef"), F.slice("f", HEAD + width + 1, width).alias("se"),
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelweave.config import WINDOW
 from panelweave.functions.scalars import skewed_t_log_density
-from panelweave.operators.forecast import per_series
+from panelweave.operators.forecast import known, per_series
 from panelweave.operators.panel import series_arrays
 from panelweave.operators.windows import past
 
@@ -78,7 +78,7 @@ def garch_volatility(panel: DataFrame, window: int = WINDOW, alphas: Sequence[fl
         return pd.DataFrame({"series_id": row.series_id, "ts": row.ts[1:], "sigma": np.where(few, std, sigma)})
 
     out = per_series(series_arrays(panel, "value"), one, "series_id string, ts date, sigma double")
-    return out.where(~F.isnan("sigma"))
+    return out.where(known("sigma"))
 
 
 def ewma_volatility(panel: DataFrame, window: int = WINDOW, decay: float = 0.94) -> DataFrame:

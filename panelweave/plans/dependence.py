@@ -136,8 +136,8 @@ fragment("sk", f"""SELECT series_id, count(*) AS n, [{', '.join(_skewed_sql(*g)
  WHERE ts <= DATE '1999-12-31' GROUP BY 1""")
 
 
-@query("skewed_t_fit", f"""SELECT series_id, n, CASE WHEN n < 20 THEN 8.0 ELSE [{', '.join(repr(g[0]) for g in _GRID)}]::DOUBLE[]
-[list_position(l, list_max(l))] END AS nu, CASE WHEN n < 20 THEN 0.0 ELSE [{', '.join(repr(g[1]) for g in _GRID)}]::DOUBLE[]
+@query("skewed_t_fit", f"""SELECT series_id, n, CASE WHEN n < 20 THEN 8.0 ELSE ([{', '.join(repr(g[0]) for g in _GRID)}]::DOUBLE[])
+[list_position(l, list_max(l))] END AS nu, CASE WHEN n < 20 THEN 0.0 ELSE ([{', '.join(repr(g[1]) for g in _GRID)}]::DOUBLE[])
 [list_position(l, list_max(l))] END AS lam FROM sk""")
 def skewed_t_fit(spark, sf):
     import datetime as dt
@@ -273,7 +273,7 @@ fragment("cp", f"""SELECT a.ts, a.z AS x, b.z AS y, coalesce(d.rho, 0) AS rho FR
 fragment("cl", "SELECT ts, " + ", ".join(
     f"sum(-ln(2 * pi()) - 0.5 * ln(1 - rho * rho) - {(nu + 2) / 2!r}::DOUBLE * ln(1 + (x * x - 2 * rho * x * y + y * y) / (1 - rho * rho) / {nu!r}::DOUBLE)) AS n{i}"
     for i, nu in enumerate(COPULA_NUS)) + " FROM cp GROUP BY 1")
-fragment("cd", "SELECT ts, CASE WHEN n < 12 THEN 8.0 ELSE [" + ", ".join(map(repr, COPULA_NUS)) + """]::DOUBLE[][list_position(l, list_max(l))] END
+fragment("cd", "SELECT ts, CASE WHEN n < 12 THEN 8.0 ELSE ([" + ", ".join(map(repr, COPULA_NUS)) + """]::DOUBLE[])[list_position(l, list_max(l))] END
  AS nu FROM (SELECT ts, count(*) OVER w AS n, [""" + ", ".join(f"sum(n{i}) OVER w" for i in range(len(COPULA_NUS)))
          + f"] AS l FROM cl WINDOW w AS (ORDER BY ts ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING)) AS q")
 

@@ -166,7 +166,6 @@ fragment("mv_groups", f"""SELECT panel, CASE grouping(forecast, dependence) WHEN
 
 
 def group_rows(metrics):
-    panel = metrics.select("panel").distinct
     parts = [
         R.group_averages(metrics.where(F.col("panel") == p), "forecast", "dependence", METRICS).withColumn("panel", F.lit(p))
         for p in (O.LONG_ONLY, O.LEVERAGED)]
@@ -255,7 +254,7 @@ def cvar_tangent_long_only(spark, sf):
     return _choice_rows(mc_choices(spark, sf, [O.LONG_ONLY]))
 
 
-@query("cvar_tangent_130_30", _CHOICE.format("mc_lev"), ratio=5, cvar=6, w=6)
+@query("cvar_tangent_130_30", _CHOICE.format("mc_lev"), ratio=2, cvar=6, w=6)
 def cvar_tangent_130_30(spark, sf):
     return _choice_rows(mc_choices(spark, sf, [O.LEVERAGED]))
 

@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 class Query:
     name: str
     run: Callable[[SparkSession, str], DataFrame]
-    sql: str | None
+    body: str | None
+
+    @property
+    def sql(self) -> str | None:
+        """The check SQL with its fragments, put together when all are known."""
+        return None if self.body is None else with_fragments(self.body)
 
 
 QUERIES: dict[str, Query] = {}
@@ -28,14 +33,16 @@ def fragment(name: str, body: str) -> None:
 
 def with_fragments(final: str) -> str:
     """Prefix the SQL with the fragments it mentions, directly or not."""
-    needed: set[str] = set()
-    todo = [final]
-    while todo:
-        words = set(re.findall(r"[a-z_0-9]+", todo.pop()))
-        for name in words & FRAGMENTS.keys() - needed:
-            needed.add(name)
-            todo.append(FRAGMENTS[name])
-    parts = [f"{name} AS ({body})" for name, body in FRAGMENTS.items() if name in needed]
+    ordered: list[str] = []
+
+    def visit(text: str, inside: str | None = None) -> None:
+        for name in sorted(set(re.findall(r"[a-z_0-9]+", text)) & FRAGMENTS.keys()):
+            if name != inside and name not in ordered:
+                visit(FRAGMENTS[name], name)
+                ordered.append(name)
+
+    visit(final)
+    parts = [f"{name} AS ({FRAGMENTS[name]})" for name in ordered]
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + final
 
 
@@ -54,7 +61,6 @@ def query(name: str, sql: str | None = None, **digits: int):
                 final = f"SELECT * REPLACE ({cols}) FROM ({sql}) AS result"
             else:
                 final = f"SELECT * FROM ({sql}) AS result"
-            final = with_fragments(final)
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = Query(name, run, final)
