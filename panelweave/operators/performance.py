@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from panelweave.config import PERIODS_PER_YEAR
 from panelweave.functions.scalars import ratio
-from panelweave.operators.windows import max_drawdown
 
 
 def array_mean(a: Column) -> Column:
@@ -44,35 +43,64 @@ def tail_count_cvar(returns: DataFrame, keys: Sequence[str], beta: float, value:
     return packed.select(*keys, tail_count(F.size("rs"), beta).cast("long").alias("n_tail"), (-array_mean(worst)).alias("cvar"))
 
 
-def ratios(returns: DataFrame, keys: Sequence[str], rf: float = 0.0, freq: int = PERIODS_PER_YEAR,
-           value: str = "r") -> DataFrame:
-    """Annualised return and std, Sharpe and Sortino in one aggregation.
-
-    Sharpe is NULL for a constant series, Sortino when the negative returns
-    are fewer than two or constant.
-    """
+def ratio_columns(value: str = "r", rf: float = 0.0, freq: int = PERIODS_PER_YEAR) -> list[Column]:
+    """Annualised return and std, Sharpe and Sortino as aggregates."""
     r = F.col(value)
     x = r - rf / freq
     down = F.stddev_samp(F.when(x < 0, x))
-    std = F.stddev_samp(x)
     root = math.sqrt(freq)
-    return returns.groupBy(*keys).agg(
+    return [
         F.count(r).alias("n_obs"),
         (F.avg(r) * freq * 100).alias("ann_return_pct"),
         (F.stddev_samp(r) * root).alias("ann_std"),
-        (ratio(F.avg(x) * freq, std * root)).alias("sharpe"),
-        (ratio(F.avg(x) * freq, down * root)).alias("sortino"),
-    )
+        ratio(F.avg(x) * freq, F.stddev_samp(x) * root).alias("sharpe"),
+        ratio(F.avg(x) * freq, down * root).alias("sortino"),
+    ]
+
+
+def ratios(returns: DataFrame, keys: Sequence[str], rf: float = 0.0, freq: int = PERIODS_PER_YEAR,
+           value: str = "r") -> DataFrame:
+    """Ratios per strategy in one aggregation.
+
+    Sharpe is NULL for a constant series, Sortino when the negative returns
+    are fewer than two or constant.
+    """
+    return returns.groupBy(*keys).agg(*ratio_columns(value, rf, freq))
+
+
+def drawdown(path: Column, log: bool = False) -> Column:
+    """Largest fall in percent from a running peak over ``(ts, value)`` pairs in date order.
+
+    The peak starts at the first value reached, not at the money put in.
+    """
+    start = F.struct(F.lit(1.0).alias("level"), F.lit(None).cast("double").alias("peak"), F.lit(0.0).alias("low"))
+
+    def step(state: Column, point: Column) -> Column:
+        level = state["level"] * (F.exp(point["value"]) if log else 1 + point["value"])
+        peak = F.greatest(state["peak"], level)
+        return F.struct(level.alias("level"), peak.alias("peak"), F.least(state["low"], ratio(level - peak, peak)).alias("low"))
+
+    return F.aggregate(path, start, step, lambda state: -state["low"] * 100)
+
+
+def dated(value: str) -> Column:
+    """A strategy's values as an array of ``(ts, value)`` in date order."""
+    return F.sort_array(F.collect_list(F.struct("ts", F.col(value).alias("value"))))
+
+
+def max_drawdown(returns: DataFrame, keys: Sequence[str], value: str = "r", log: bool = False) -> DataFrame:
+    return returns.groupBy(*keys).agg(dated(value).alias("path")).select(
+        *keys, drawdown(F.col("path"), log).alias("mdd_pct"))
 
 
 def return_over_cvar(returns: DataFrame, keys: Sequence[str], q: float = 0.05, freq: int = PERIODS_PER_YEAR,
-                     value: str = "r") -> DataFrame:
-    """Annual mean return over empirical CVaR."""
-    mean = returns.groupBy(*keys).agg((F.avg(value) * freq).alias("ann"))
-    return (
-        mean.join(var_cvar(returns, keys, q, value), list(keys))
-        .select(*keys, ratio(F.col("ann"), F.col("cvar")).alias("return_cvar"))
-    )
+                     value: str = "r", positive_only: bool = False) -> DataFrame:
+    """Annual mean return over empirical CVaR, NULL for a zero (or negative) CVaR."""
+    packed = returns.groupBy(*keys).agg(
+        (F.avg(value) * freq).alias("ann"), F.percentile(value, q).alias("quantile"), F.collect_list(value).alias("rs"))
+    loss = -tail_mean(F.col("rs"), F.col("quantile"))
+    usable = F.col("loss") > 0 if positive_only else F.col("loss") != 0
+    return packed.withColumn("loss", loss).select(*keys, (F.col("ann") / F.when(usable, F.col("loss"))).alias("return_cvar"))
 
 
 def return_over_ex_ante_cvar(returns: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -108,14 +136,19 @@ def diversification_benefit(returns: DataFrame, weights: DataFrame, assets: Data
 
 def bundle(returns: DataFrame, keys: Sequence[str], weights: DataFrame | None = None,
            assets: DataFrame | None = None, q: float = 0.05, log_drawdown: bool = False) -> DataFrame:
-    """All performance metrics of each strategy, one row per strategy."""
-    on = list(keys)
-    out = (
-        ratios(returns, keys).join(max_drawdown(returns, keys, "r", log_drawdown), on)
-        .join(return_over_cvar(returns, keys, q), on)
-    )
+    """All performance metrics of each strategy from a single aggregation.
+
+    With weights and asset returns the diversification benefit is joined in.
+    """
+    packed = returns.groupBy(*keys).agg(
+        *ratio_columns(), F.percentile("r", q).alias("quantile"), dated("r").alias("path"))
+    loss = -tail_mean(F.transform("path", lambda p: p["value"]), F.col("quantile"))
+    out = packed.select(
+        *keys, "n_obs", "ann_return_pct", "ann_std", "sharpe", "sortino",
+        drawdown(F.col("path"), log_drawdown).alias("mdd_pct"),
+        ratio(F.col("ann_return_pct") / 100, loss).alias("return_cvar"))
     if weights is not None and assets is not None:
-        out = out.join(diversification_benefit(returns, weights, assets, keys), on, "left")
+        out = out.join(diversification_benefit(returns, weights, assets, keys), list(keys), "left")
     return out
 
 

@@ -69,19 +69,18 @@ def rolling_windows(panel: DataFrame, window: int) -> DataFrame:
     return out.where(F.size("window") == window)
 
 
+def running_product(c: Column, window) -> Column:
+    """Product of the window's values, also through zero and below it."""
+    size = F.exp(F.sum(F.when(c != 0, F.log(F.abs(c)))).over(window))
+    sign = F.when(F.count_if(c < 0).over(window) % 2 == 1, -1.0).otherwise(1.0)
+    return F.when(F.count_if(c == 0).over(window) > 0, F.lit(0.0)).otherwise(F.coalesce(size, F.lit(1.0)) * sign)
+
+
 def growth_index(panel: DataFrame, base: float = 100.0, log: bool = False) -> DataFrame:
-    step = F.col("value") if log else F.log1p("value")
-    total = F.sum(step).over(by_series().rowsBetween(W.unboundedPreceding, 0))
-    return panel.select("series_id", "ts", (base * F.exp(total)).alias("index_value"))
-
-
-def max_drawdown(returns: DataFrame, keys: Sequence[str], value: str = "value", log: bool = False) -> DataFrame:
-    """Largest fall from a running peak; the peak starts at the first value."""
-    order = W.partitionBy(*keys).orderBy("ts").rowsBetween(W.unboundedPreceding, 0)
-    step = F.col(value) if log else F.log1p(value)
-    level = returns.select(*keys, "ts", F.exp(F.sum(step).over(order)).alias("level"))
-    fall = level.select(*keys, (F.col("level") / F.max("level").over(order) - 1).alias("fall"))
-    return fall.groupBy(*keys).agg((-F.min("fall") * 100).alias("mdd_pct"))
+    """Value of ``base`` invested before the first date, from simple or log returns."""
+    w = by_series().rowsBetween(W.unboundedPreceding, 0)
+    growth = F.exp(F.sum("value").over(w)) if log else running_product(1 + F.col("value"), w)
+    return panel.select("series_id", "ts", (base * growth).alias("index_value"))
 
 
 def average_rank(c: str, keys: Sequence[str]) -> Column:

@@ -98,7 +98,8 @@ def stream_daily_totals(spark, sf):
     """Raw events as a stream into the daily panel."""
     schema = T.table(spark, sf, "events").schema
     root = scratch_path(spark, "totals")
-    stream = I.read_stream(spark, f"{sf}/events.parquet", schema)
+    # As a pattern the path may name one file or a folder of files.
+    stream = I.read_stream(spark, f"{sf}/events*.parquet", schema)
     I.run_versions(I.period_totals(stream, "event_type"), f"{root}/out", f"{root}/state")
     return I.latest(spark, f"{root}/out")
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from panelweave.functions import scalars as S
 from panelweave.operators import performance as R
 from panelweave.operators import portfolio as O
-from panelweave.operators import windows as N
 from panelweave.plans.panels import supplier_returns
 from panelweave.plans.registry import fragment, query
 from panelweave.sources import tables as T
@@ -134,20 +133,20 @@ def best_strategy(spark, sf):
 
 
 fragment("mdd_s", """SELECT strategy, -min(level / peak - 1) * 100 AS mdd_pct FROM (SELECT strategy, ts, level, max(level) OVER
- (PARTITION BY strategy ORDER BY ts) AS peak FROM (SELECT strategy, ts, exp(sum(ln(1 + r)) OVER (PARTITION BY strategy
- ORDER BY ts)) AS level FROM strat_r) AS a) AS b GROUP BY 1""")
+ (PARTITION BY strategy ORDER BY ts) AS peak FROM (SELECT strategy, ts, product(1 + r) OVER (PARTITION BY strategy
+ ORDER BY ts) AS level FROM strat_r) AS a) AS b GROUP BY 1""")
 
 
 @query("max_drawdown", "SELECT * FROM mdd_s", mdd_pct=6)
 def max_drawdown(spark, sf):
-    return N.max_drawdown(strategy_returns(spark, sf), ["strategy"], "r")
+    return R.max_drawdown(strategy_returns(spark, sf), ["strategy"], "r")
 
 
 @query("max_drawdown_log", """SELECT series_id, -min(level / peak - 1) * 100 AS mdd_pct FROM (SELECT series_id, ts, level,
  max(level) OVER (PARTITION BY series_id ORDER BY ts) AS peak FROM (SELECT series_id, ts, exp(sum(value) OVER
  (PARTITION BY series_id ORDER BY ts)) AS level FROM smr) AS a) AS b GROUP BY 1""", mdd_pct=6)
 def max_drawdown_log(spark, sf):
-    return N.max_drawdown(supplier_returns(spark, sf), ["series_id"], "value", log=True)
+    return R.max_drawdown(supplier_returns(spark, sf), ["series_id"], "value", log=True)
 
 
 fragment("ew_assets", """SELECT w.strategy, w.series_id, w.ts, w.w, s.value AS x FROM ew_w w JOIN sms s

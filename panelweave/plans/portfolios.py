@@ -123,8 +123,8 @@ def _metric_sql(src: str, keys: str) -> str:
     return f"""SELECT {', '.join('a.' + k for k in ks)}, a.ann_return_pct, a.sharpe, a.sortino, d.mdd_pct FROM (SELECT {keys}, avg(r) * 1200
  AS ann_return_pct, avg(r) * 12 / nullif(stddev_samp(r) * sqrt(12), 0) AS sharpe, avg(r) * 12 / nullif(stddev_samp(CASE WHEN r < 0 THEN r END)
  * sqrt(12), 0) AS sortino FROM {src} GROUP BY {keys}) AS a JOIN (SELECT {keys}, -min(level / peak - 1) * 100 AS mdd_pct FROM (SELECT *,
- max(level) OVER (PARTITION BY {keys} ORDER BY ts) AS peak FROM (SELECT {keys}, ts, exp(sum(ln(1 + r)) OVER (PARTITION BY {keys}
- ORDER BY ts)) AS level FROM {src}) AS x) AS y GROUP BY {keys}) AS d ON {on('a', 'd')}"""
+ max(level) OVER (PARTITION BY {keys} ORDER BY ts) AS peak FROM (SELECT {keys}, ts, product(1 + r) OVER (PARTITION BY {keys}
+ ORDER BY ts) AS level FROM {src}) AS x) AS y GROUP BY {keys}) AS d ON {on('a', 'd')}"""
 
 
 _K3 = "forecast, dependence, panel"
@@ -272,6 +272,35 @@ def best_tangent(spark, sf):
     return R.best_strategy(returns, ["beta", "panel"], ["forecast"])
 
 
+_KC = "beta, panel, forecast"
+fragment("mc_cvar", " UNION ALL ".join(_cvar_sql(f"(SELECT * FROM mc_r WHERE beta = {b})", round(1 - b, 2), _KC, "r") for b in (0.95, 0.99)))
+fragment("mc_metrics", f"""SELECT a.*, m.mdd_pct, a.ann_return_pct / 100 / CASE WHEN c.cvar > 0 THEN c.cvar END AS return_cvar FROM (SELECT {_KC},
+ avg(r) * 1200 AS ann_return_pct, avg(r) * 12 / nullif(stddev_samp(CASE WHEN r < 0 THEN r END) * sqrt(12), 0) AS sortino FROM mc_r
+ GROUP BY 1, 2, 3) AS a JOIN (SELECT {_KC}, -min(level / peak - 1) * 100 AS mdd_pct FROM (SELECT *, max(level) OVER (PARTITION BY {_KC}
+ ORDER BY ts) AS peak FROM (SELECT {_KC}, ts, exp(sum(r) OVER (PARTITION BY {_KC} ORDER BY ts)) AS level FROM mc_r) AS x) AS y GROUP BY
+ 1, 2, 3) AS m ON a.beta = m.beta AND a.panel = m.panel AND a.forecast = m.forecast JOIN mc_cvar c ON a.beta = c.beta AND
+ a.panel = c.panel AND a.forecast = c.forecast""")
+_CVAR_METRICS = ["ann_return_pct", "return_cvar", "sortino", "mdd_pct"]
+
+
+@query("cvar_report", f"""SELECT beta, panel, coalesce(forecast, 'total average') AS label,
+ {', '.join(f'round(avg({m}), 3) + 0.0::DOUBLE AS {m}' for m in _CVAR_METRICS)} FROM mc_metrics GROUP BY GROUPING SETS
+ ((beta, panel, forecast), (beta, panel))""")
+def cvar_report(spark, sf):
+    """Mean-CVaR strategies with their averages, log drawdowns, per level."""
+    keys = ["beta", "panel", "forecast"]
+    returns = staged(spark, O.mean_cvar_backtest(mc_choices(spark, sf), order_simple(spark, sf), ASSETS, ["forecast", "ts"]), "report")
+    parts = []
+    for beta in (0.95, 0.99):
+        of_level = returns.where(F.col("beta") == beta)
+        parts.append(R.bundle(of_level, keys, log_drawdown=True).drop("return_cvar").join(
+            R.return_over_cvar(of_level, keys, round(1 - beta, 2), positive_only=True), keys))
+    both = parts[0].unionByName(parts[1])
+    b, p, f = F.col("beta"), F.col("panel"), F.col("forecast")
+    out = both.groupingSets([[b, p, f], [b, p]], b, p, f).agg(*[F.round(F.avg(m), 3).alias(m) for m in _CVAR_METRICS])
+    return out.select("beta", "panel", F.coalesce(f, F.lit("total average")).alias("label"), *_CVAR_METRICS)
+
+
 @query("mean_cvar_full")
 def mean_cvar_full(spark, sf):
     """Every forecast, dependence model, level and panel, with performance.
