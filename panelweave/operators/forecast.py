@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,19 +59,29 @@ def ema_paths(values: np.ndarray, spans: Sequence[int]) -> np.ndarray:
 
 
 def ema_bank(panel: DataFrame, spans: Sequence[int] = range(3, 31)) -> DataFrame:
-    """EMA(q) of all values before each date, q over the spans."""
-    spans = list(spans)
-    labels = [f"EMA({q})" for q in spans]
+    """EMA(q) of all values before each date, q over the spans.
 
-    def one(row) -> pd.DataFrame:
-        paths = ema_paths(np.asarray(row.value, dtype=float), spans)[:-1]
-        n = len(paths)
-        return pd.DataFrame({
-            "series_id": row.series_id, "model": np.repeat(labels, n), "ts": np.tile(row.ts[1:], len(spans)),
-            "yhat": paths.T.reshape(-1),
-        })
+    Python sees only the value arrays; dates and labels are put to the paths
+    inside the JVM.
+    """
+    spans = list(spans)
 
-    return per_series(series_arrays(panel, "value"), one, FORECAST)
+    @F.arrow_udf("array<array<double>>")
+    def paths(values: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(values).to_numpy())])
+        flat = values.flatten().to_numpy(zero_copy_only=False)
+        parts = [ema_paths(flat[a:b], spans)[:-1].T.reshape(-1) for a, b in zip(ends, ends[1:])]
+        lengths = np.repeat(np.diff(ends) - 1, len(spans))
+        inner = pa.ListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate([np.empty(0), *parts])))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * len(spans), pa.int32()), inner)
+
+    labels = F.array(*[F.lit(f"EMA({q})") for q in spans])
+    later = F.slice("ts", F.lit(2), F.greatest(F.size("ts") - 1, F.lit(0)))
+    bank = series_arrays(panel, "value").select("series_id", later.alias("dates"), paths("value").alias("paths"))
+    one = bank.select("series_id", "dates", F.posexplode("paths").alias("i", "path"))
+    return one.select("series_id", labels[F.col("i")].alias("model"), F.inline(F.arrays_zip("dates", "path"))).select(
+        "series_id", "model", F.col("dates").alias("ts"), F.col("path").alias("yhat"))
 
 
 # --- autoregressions ----------------------------------------------------------------

@@ -9,24 +9,59 @@ one pass over the data fits a whole bank of nested models.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Layout of a fit: [n, sse, coefficients (0 when unused), standard errors].
 HEAD = 2
 
 
+# Designs with more columns than this sum their products in Arrow batches: a
+# few hundred separate aggregates cost more to plan and compile than to run.
+JVM_COLUMNS = 12
+
+
 def moments(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str = "y", where: Column | None = None) -> DataFrame:
     """Upper triangle of the cross-product matrix of ``(1, xs..., y)`` per group."""
-    cols = [F.lit(1.0), *[F.col(c) for c in xs], F.col(y)]
+    cols = ["1D", *[f"`{c}`" for c in (*xs, y)]]
     if where is not None:
         rows = rows.where(where)
-    sums = [F.sum(cols[i] * cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]
-    return rows.groupBy(*keys).agg(F.array(*sums).alias("moments"))
+    if len(cols) > JVM_COLUMNS:
+        return _wide_moments(rows.select(*keys, F.expr(f"array({', '.join(cols)})").alias("v")), list(keys), len(cols))
+    sums = ", ".join(f"sum({a} * {b})" for i, a in enumerate(cols) for b in cols[i:])
+    return rows.groupBy(*keys).agg(F.expr(f"array({sums})").alias("moments"))
+
+
+def _wide_moments(vectors: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """The same from vectors: one matrix product per group and batch, then summed.
+
+    Only the partial matrices are shuffled, one per group and Arrow batch.
+    """
+    schema = T.StructType([*[vectors.schema[k] for k in keys], T.StructField("moments", T.ArrayType(T.DoubleType()))])
+    upper = np.triu_indices(width)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            groups = batch.select(keys).to_pandas().groupby(keys, sort=False).indices.values()
+            if not groups:
+                continue
+            sums = [(x[rows].T @ x[rows])[upper] for rows in groups]
+            first = pa.array([rows[0] for rows in groups])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i).take(first) for i in range(len(keys))], pa.array(sums, pa.list_(pa.float64()))],
+                names=[*keys, "moments"])
+
+    sums = vectors.where(~F.exists("v", lambda x: x.isNull())).mapInArrow(partial, schema)
+    zero = F.array_repeat(F.lit(0.0), len(upper[0]))
+    total = F.aggregate("parts", zero, lambda s, m: F.zip_with(s, m, lambda a, b: a + b))
+    return sums.groupBy(*keys).agg(F.collect_list("moments").alias("parts")).select(*keys, total.alias("moments"))
 
 
 def _unpack(packed: pd.Series, size: int) -> np.ndarray:
@@ -101,9 +136,8 @@ def coefficients(stats: DataFrame, keys: Sequence[str], models: Sequence[Sequenc
                  ridge: float | Sequence[float] = 0.0, name: str = "model") -> DataFrame:
     """One row per group and model: ``n, sse, coef, se``."""
     fitted = stats.select(*keys, fit(models, width, ridge)("moments").alias("fits"))
-    tagged = F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in labels]).alias("label"), F.col("fits")))
-    one = fitted.select(*keys, tagged.alias("one")).select(
-        *keys, F.col("one")["label"].alias(name), F.col("one")["fits"].alias("f"))
+    names = F.split(F.lit("|".join(labels)), r"\|")
+    one = fitted.select(*keys, F.posexplode("fits").alias("i", "f")).withColumn(name, names[F.col("i")])
     first = F.col("f")[HEAD]
     return one.where(first.isNotNull() & ~F.isnan(first)).select(
         *keys, name, F.col("f")[0].alias("n"), F.col("f")[1].alias("sse"),
@@ -113,7 +147,4 @@ def coefficients(stats: DataFrame, keys: Sequence[str], models: Sequence[Sequenc
 
 def linear_value(coef: str, xs: Sequence[str]) -> Column:
     """``coef[0] + sum(coef[i] * x_i)`` as one generated expression."""
-    out = F.col(coef)[0]
-    for i, c in enumerate(xs, start=1):
-        out = out + F.col(coef)[i] * F.col(c)
-    return out
+    return F.expr(" + ".join([f"{coef}[0]", *[f"{coef}[{i}] * `{c}`" for i, c in enumerate(xs, start=1)]]))

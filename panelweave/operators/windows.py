@@ -19,32 +19,45 @@ def past(n: int):
 
 def melt(df: DataFrame, columns: dict[str, str], keys: Sequence[str], name: str, value: str) -> DataFrame:
     """Turn columns into rows, labelling each with the given text."""
-    pairs = F.array(*[F.struct(F.lit(label).alias(name), F.col(c).alias(value)) for c, label in columns.items()])
-    return df.select(*keys, F.inline(pairs))
+    cells = ", ".join(f"'{label}', `{c}`" for c, label in columns.items())
+    return df.selectExpr(*keys, f"stack({len(columns)}, {cells}) AS ({name}, {value})")
 
 
 def random_walk(panel: DataFrame) -> DataFrame:
     return panel.select("series_id", F.lit("RW").alias("model"), "ts", F.lag("value").over(by_series()).alias("yhat"))
 
 
-def full_mean(q: int) -> Column:
-    """Mean of the last ``q`` values before the row, NULL until there are ``q``."""
-    w = past(q)
-    return F.when(F.count("value").over(w) == q, F.avg("value").over(w))
+def trailing_means(panel: DataFrame, spans: Sequence[int]) -> DataFrame:
+    """``q{n}`` columns: mean of the last n values before each row, NULL until there are n.
+
+    A running sum and count are kept once; each mean is a difference of two of
+    them, so a span costs one lag per row whatever its length.
+    """
+    upto = by_series().rowsBetween(W.unboundedPreceding, 0)
+    running = panel.select(
+        "series_id", "ts", "value", F.struct(F.sum("value").over(upto).alias("s"), F.count("value").over(upto).alias("n")).alias("run"))
+    before = lambda k: F.lag("run", k).over(by_series())
+    lagged = running.select(
+        "series_id", "ts", F.lag("value").over(by_series()).alias("q0"), before(1).alias("now"),
+        *[before(q + 1).alias(f"then{q}") for q in spans])
+
+    def mean(q: int) -> str:
+        count = f"now.n - coalesce(then{q}.n, 0)"
+        total = f"coalesce(now.s, 0D) - coalesce(then{q}.s, 0D)"
+        return f"CASE WHEN {count} = {q} THEN ({total}) / {q} END AS q{q}"
+
+    return lagged.selectExpr("series_id", "ts", "q0", *[mean(q) for q in spans])
 
 
 def sma_bank(panel: DataFrame, spans: Sequence[int] = range(3, 31)) -> DataFrame:
-    wide = panel.select("series_id", "ts", *[full_mean(q).alias(f"q{q}") for q in spans])
+    wide = trailing_means(panel, spans)
     return melt(wide, {f"q{q}": f"SMA({q})" for q in spans}, ["series_id", "ts"], "model", "yhat")
 
 
 def simple_pool(panel: DataFrame, spans: Sequence[int] = (3, 6, 12)) -> DataFrame:
     """Random walk and a few moving averages in one pass: ``Forecast`` rows."""
-    wide = panel.select(
-        "series_id", "ts", F.lag("value").over(by_series()).alias("q0"),
-        *[full_mean(q).alias(f"q{q}") for q in spans],
-    )
     labels = {"q0": "RW", **{f"q{q}": f"SMA({q})" for q in spans}}
+    wide = trailing_means(panel, spans)
     return melt(wide, labels, ["series_id", "ts"], "model", "yhat").where(F.col("yhat").isNotNull())
 
 
