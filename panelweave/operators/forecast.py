@@ -137,7 +137,9 @@ def arma_forecasts(panel: DataFrame, ar: int = 15, ma: int = 14, long_order: int
 # --- neighbours, regimes and features -------------------------------------------------
 
 def scaled_lags(panel: DataFrame, lags: int, train: Split) -> DataFrame:
-    return X.standardise_columns(lag_matrix(panel, lags), lag_names(lags), train)
+    """Complete rows of lags on the scale of the fit period; constant series drop out."""
+    scaled = X.standardise_columns(lag_matrix(panel, lags), lag_names(lags), train)
+    return scaled.where(" AND ".join(f"{x} IS NOT NULL" for x in lag_names(lags)))
 
 
 def nearest_rows(x: np.ndarray, fit: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +157,7 @@ def nearest_rows(x: np.ndarray, fit: np.ndarray, k: int, exclude_self: bool) ->
 
 def _neighbour_input(panel: DataFrame, lags: int, train: Split) -> DataFrame:
     rows = scaled_lags(panel, lags, train).withColumn("x", F.array(*lag_names(lags))).withColumn("fit", in_period(train))
-    return series_arrays(rows.where(~F.exists("x", lambda v: v.isNull())), "y", "x", "fit")
+    return series_arrays(rows, "y", "x", "fit")
 
 
 def nearest_neighbours(panel: DataFrame, k: int = 5, lags: int = 6, train: Split = TRAIN, exclude_self: bool = False) -> DataFrame:
@@ -260,8 +262,8 @@ def radial_centres(panel: DataFrame, k: int = 8, lags: int = 6, train: Split = T
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = scaled_lags(period_filter(panel, train), lags, train).select(F.array(*lag_names(lags)).alias("x"))
-    rows = rows.where(~F.exists("x", lambda v: v.isNull())).select(array_to_vector("x").alias("features"))
+    rows = scaled_lags(period_filter(panel, train), lags, train).select(
+        array_to_vector(F.array(*lag_names(lags))).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
     return [list(map(float, c)) for c in model.clusterCenters()]
 

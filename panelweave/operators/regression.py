@@ -146,5 +146,10 @@ def coefficients(stats: DataFrame, keys: Sequence[str], models: Sequence[Sequenc
 
 
 def linear_value(coef: str, xs: Sequence[str]) -> Column:
-    """``coef[0] + sum(coef[i] * x_i)`` as one generated expression."""
-    return F.expr(" + ".join([f"{coef}[0]", *[f"{coef}[{i}] * `{c}`" for i, c in enumerate(xs, start=1)]]))
+    """``coef[0] + sum(coef[i] * x_i)`` as one generated expression.
+
+    Rows are expected to be complete. Saying so with a default keeps a later
+    test for NULL from being evaluated, term by term, inside the join.
+    """
+    terms = [f"{coef}[0]", *[f"{coef}[{i}] * `{c}`" for i, c in enumerate(xs, start=1)]]
+    return F.expr(f"coalesce({' + '.join(terms)}, double('NaN'))")

@@ -13,12 +13,12 @@ from panelweave.operators import evaluate as E
 from panelweave.operators import panel as P
 from panelweave.operators import windows as N
 from panelweave.plans import fragments as Q
-from panelweave.plans.evaluation import MODELS, supplier_best, supplier_losses
-from panelweave.plans.panels import order_returns, supplier_returns
+from panelweave.plans.evaluation import MODELS, best_in, supplier_losses
+from panelweave.plans.panels import order_panel, supplier_panel
 from panelweave.plans.registry import fragment, query
 from panelweave.plans.solve_sql import solve_fragments, value_sql
 from panelweave.session import scratch_path
-from panelweave.sources.stores import read_table, write_table
+from panelweave.sources.stores import read_table, staged, write_table
 
 # --- model weights ---
 
@@ -33,7 +33,7 @@ fragment("mw_lw", """SELECT a.series_id, a.model, a.ts, coalesce(sum(power(0.99:
 
 
 def scored_pool(spark, sf):
-    r = supplier_returns(spark, sf)
+    r = supplier_panel(spark, sf)
     sigma = N.rolling_std(r, WINDOW, 12).where(F.col("sigma").isNotNull())
     loss = E.losses(N.simple_pool(r), r).join(sigma, ["series_id", "ts"])
     ll = S.normal_log_density(F.col("y"), F.col("yhat"), F.col("sigma") * F.col("sigma"))
@@ -69,7 +69,7 @@ fragment("dma_w", """SELECT series_id, i, mu, lw - max(lw) OVER (PARTITION BY se
 @query("dma_forecasts", """SELECT x.series_id, 'DMA' AS model, x.ts, sum(exp(w.l) * w.mu) / sum(exp(w.l)) AS yhat FROM dma_w w JOIN dma_x x
  ON w.series_id = x.series_id AND w.i = x.i WHERE x.i > greatest(10, x.n // 10) GROUP BY 1, 3""", yhat=6)
 def dma_forecasts(spark, sf):
-    r = supplier_returns(spark, sf)
+    r = supplier_panel(spark, sf)
     loss = E.losses(N.simple_pool(r, (3, 12)), r)
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("yhat")))
     rows = loss.groupBy("series_id", "ts").agg(F.first("y").alias("y"), pick("SMA(3)").alias("x1"), pick("SMA(12)").alias("x2"))
@@ -104,7 +104,7 @@ fragment("pc_e", """SELECT series_id, v, list_sum(list_transform(a, lambda r, i:
 
 
 def pca_pool(spark, sf):
-    return N.simple_pool(supplier_returns(spark, sf), PCA_SPANS)
+    return staged(N.simple_pool(supplier_panel(spark, sf), PCA_SPANS))
 
 
 @query("pca_first_axis", "SELECT e.series_id, m.model, e.v[m.i] AS weight, e.explained, s.mean, s.scale FROM pc_e e, (VALUES "
@@ -125,8 +125,9 @@ def pca_components(spark, sf):
 
 @query("pca_full")
 def pca_full(spark, sf):
-    """All axes up to 95% of the variance of a 28-model pool."""
-    return C.loadings(N.sma_bank(supplier_returns(spark, sf), range(3, 9)).where("yhat IS NOT NULL"))
+    """All axes up to 95% of the variance of a bank of moving averages."""
+    bank = N.sma_bank(supplier_panel(spark, sf), range(3, 9)).where("yhat IS NOT NULL")
+    return C.loadings(staged(bank))
 
 
 @query("project_on_stored_axes", """SELECT p.series_id, p.ts, k.k, sum((p.yhat - s.mean) / s.scale * k.weight) AS score FROM pc_pool p
@@ -150,13 +151,16 @@ def project_on_stored_axes(spark, sf):
  SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY picked) AS INT) AS rank,
  m || CASE WHEN best THEN ' [BEST]' ELSE '' END AS model, CASE WHEN picked THEN 1::INT END AS component FROM u""")
 def component_representatives(spark, sf):
-    return C.representatives(C.loadings(pca_pool(spark, sf)).where("k = 1"), supplier_best(spark, sf))
+    r = supplier_panel(spark, sf)
+    pool = staged(N.simple_pool(r, PCA_SPANS))
+    return C.representatives(C.loadings(pool).where("k = 1"), best_in(r))
 
 
 @query("selection_report")
 def selection_report(spark, sf):
-    pool = pca_pool(spark, sf)
-    return C.selection_report(pool, C.loadings(pool), supplier_best(spark, sf))
+    r = supplier_panel(spark, sf)
+    pool = staged(N.simple_pool(r, PCA_SPANS))
+    return C.selection_report(pool, staged(C.loadings(pool)), best_in(r))
 
 
 # --- ridge combination ---
@@ -181,12 +185,12 @@ fragment("rc_pick", f"""SELECT * FROM (SELECT x.series_id, c.pen, row_number() O
 @query("ridge_combination", f"""SELECT x.series_id, 'Ridge' AS model, x.ts, {_RCV} AS yhat FROM rc_x x JOIN rc_b c ON x.series_id = c.series_id
  JOIN rc_pick k ON c.series_id = k.series_id AND c.pen = k.pen WHERE x.ts >= DATE '2000-01-01'""", yhat=6)
 def ridge_combination(spark, sf):
-    r = supplier_returns(spark, sf)
+    r = supplier_panel(spark, sf)
     loss = E.losses(N.simple_pool(r), r)
     pick = lambda m: F.max(F.when(F.col("model") == m, F.col("yhat")))
     rows = loss.groupBy("series_id", "ts").agg(
         F.first("y").alias("y"), pick("RW").alias("x1"), pick("SMA(6)").alias("x2"), pick("SMA(12)").alias("x3"))
-    return C.ridge_combination(rows.where("x3 IS NOT NULL"), ["x1", "x2", "x3"], PENALTIES)
+    return C.ridge_combination(staged(rows.where("x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL")), ["x1", "x2", "x3"], PENALTIES)
 
 
 # --- superior ability and confidence set ---
@@ -237,18 +241,18 @@ def confidence_set(spark, sf):
 @query("loss_test_table")
 def loss_test_table(spark, sf):
     """Both loss tests with the full number of replicates."""
-    r = order_returns(spark, sf)
+    r = order_panel(spark, sf)
     loss = E.losses(P.period_filter(N.simple_pool(r), OOS), r)
-    return B.loss_test_table(loss, MODELS, replicates=10000)
+    return B.loss_test_table(staged(loss), MODELS, replicates=10000)
 
 
 @query("combined_forecasts")
 def combined_forecasts(spark, sf):
     """Pool, components, ridge and averaging end to end, scored out of sample."""
-    r = supplier_returns(spark, sf)
+    r = supplier_panel(spark, sf)
     pool = M.bank(r, [N.random_walk, lambda p: N.sma_bank(p, range(3, 13)), lambda p: M.ema_bank(p, range(3, 13))])
-    axes = C.loadings(pool)
-    rows = C.component_rows(pool, r, axes, 6)
+    pool = staged(pool)
+    rows = staged(C.component_rows(pool, r, C.loadings(pool), 6))
     xs = [f"c{i}" for i in range(1, 7)]
     combined = M.bank(r, [N.random_walk, lambda _: C.ridge_combination(rows, xs), lambda _: C.dynamic_average(rows, xs)])
     return E.error_metrics(E.losses(P.period_filter(combined, OOS), r))

@@ -13,19 +13,21 @@ from panelweave.operators import dependence as D
 from panelweave.operators import panel as P
 from panelweave.operators import scenario as Z
 from panelweave.operators import volatility as V
+from panelweave.operators.portfolio import volatility_vectors
 from panelweave.plans import fragments as Q
 from panelweave.plans.panels import order_returns, supplier_returns
 from panelweave.plans.registry import fragment, query
 from panelweave.plans.solve_sql import solve_fragments, value_sql
-from panelweave.sources import tables as T
+from panelweave.session import scratch_path
+from panelweave.sources.stores import read_strategy, staged, write_table
 
 
 def order_simple(spark, sf):
-    return order_returns(spark, sf).withColumn("value", S.log_to_simple("value"))
+    return staged(order_returns(spark, sf).withColumn("value", S.log_to_simple("value")))
 
 
-def residual_windows(spark, sf):
-    return D.date_windows(V.scaled_residuals(order_simple(spark, sf)), ASSETS)
+def residual_windows(simple):
+    return D.date_windows(V.scaled_residuals(simple), ASSETS)
 
 
 def values(rows) -> str:
@@ -205,26 +207,26 @@ fragment("corr_o", "SELECT 'DCC' AS model, * FROM dcc_o UNION ALL SELECT 'ADCC',
 
 @query("dcc_correlation", "SELECT 'DCC' AS model, * FROM dcc_o", rho=6)
 def dcc_correlation(spark, sf):
-    return D.dcc(residual_windows(spark, sf), ASSETS)
+    return D.dcc(residual_windows(order_simple(spark, sf)), ASSETS)
 
 
 @query("dcc_correlation_lagged", "SELECT 'DCC' AS model, * FROM dcc_lagged", rho=6)
 def dcc_correlation_lagged(spark, sf):
-    return D.dcc(residual_windows(spark, sf), ASSETS, include_last=False)
+    return D.dcc(residual_windows(order_simple(spark, sf)), ASSETS, include_last=False)
 
 
 @query("adcc_correlation", "SELECT 'ADCC' AS model, * FROM adcc_o", rho=6)
 def adcc_correlation(spark, sf):
-    return D.adcc(residual_windows(spark, sf), ASSETS)
+    return D.adcc(residual_windows(order_simple(spark, sf)), ASSETS)
 
 
 @query("score_driven_correlation", "SELECT 'GAS' AS model, * FROM gas_o", rho=6)
 def score_driven_correlation(spark, sf):
-    return D.score_driven(residual_windows(spark, sf), ASSETS)
+    return D.score_driven(residual_windows(order_simple(spark, sf)), ASSETS)
 
 
-def all_correlations(spark, sf):
-    w = residual_windows(spark, sf)
+def all_correlations(simple):
+    w = staged(residual_windows(simple))
     return D.dcc(w, ASSETS).unionByName(D.adcc(w, ASSETS)).unionByName(D.score_driven(w, ASSETS))
 
 
@@ -235,23 +237,23 @@ fragment("full_corr", """SELECT model, ts, s1, s2, greatest(least(rho, 1 - 1e-6)
 
 @query("correlation_matrix", "SELECT * FROM full_corr", rho=6)
 def correlation_matrix(spark, sf):
-    m = D.correlation_matrix(all_correlations(spark, sf), ASSETS)
+    m = D.correlation_matrix(all_correlations(order_simple(spark, sf)), ASSETS)
     return D.matrix_cells(m, "matrix", ASSETS, ["model", "ts"], "rho")
 
 
 @query("repaired_matrix", "SELECT * FROM full_corr", rho=6)
 def repaired_matrix(spark, sf):
     """Sound matrices pass unchanged; tests cover the unsound ones."""
-    m = D.correlation_matrix(all_correlations(spark, sf), ASSETS).withColumn("matrix", D.repair("matrix"))
+    m = D.correlation_matrix(all_correlations(order_simple(spark, sf)), ASSETS).withColumn("matrix", D.repair("matrix"))
     return D.matrix_cells(m, "matrix", ASSETS, ["model", "ts"], "rho")
 
 
 @query("covariance_matrix", """SELECT c.model, c.ts, c.s1, c.s2, c.rho * a.sigma * b.sigma AS cov FROM full_corr c JOIN og a ON c.ts = a.ts
  AND c.s1 = a.series_id JOIN og b ON c.ts = b.ts AND c.s2 = b.series_id""", cov=8)
 def covariance_matrix(spark, sf):
-    from panelweave.operators.portfolio import volatility_vectors
-    m = D.correlation_matrix(all_correlations(spark, sf), ASSETS)
-    s = volatility_vectors(V.garch_volatility(order_simple(spark, sf)), ASSETS)
+    simple = order_simple(spark, sf)
+    m = D.correlation_matrix(all_correlations(simple), ASSETS)
+    s = volatility_vectors(V.garch_volatility(simple), ASSETS)
     return D.matrix_cells(m.join(s, "ts").withColumn("cov", D.covariance("matrix", "s")), "cov", ASSETS, ["model", "ts"], "cov")
 
 
@@ -259,9 +261,7 @@ def covariance_matrix(spark, sf):
  CASE WHEN s2 = 'MACHINERY' THEN 'MACH' ELSE s2 END AS s2, rho FROM (SELECT 'DCC' AS model, * FROM dcc_o) AS q""", rho=6)
 def stored_correlations(spark, sf):
     """Written by one run, read back by model folder with series names mapped."""
-    from panelweave.session import scratch_path
-    from panelweave.sources.stores import read_strategy, write_table
-    path = write_table(all_correlations(spark, sf), scratch_path(spark, "corr"), ["model"])
+    path = write_table(all_correlations(order_simple(spark, sf)), scratch_path(spark, "corr"), ["model"])
     return P.rename_series(read_strategy(spark, path, model="DCC"), {"MACHINERY": "MACH"}, "s1", "s2")
 
 
@@ -278,31 +278,31 @@ fragment("cd", "SELECT ts, CASE WHEN n < 12 THEN 8.0 ELSE ([" + ", ".join(map(re
          + f"] AS l FROM cl WINDOW w AS (ORDER BY ts ROWS BETWEEN {WINDOW} PRECEDING AND 1 PRECEDING)) AS q")
 
 
-def degrees(spark, sf):
-    z = V.scaled_residuals(order_simple(spark, sf))
+def degrees(simple):
+    z = V.scaled_residuals(simple)
     return D.copula_degrees(z, D.dcc(D.date_windows(z, ASSETS), ASSETS), ASSETS)
 
 
 @query("copula_degrees", "SELECT ts, nu FROM cd")
 def copula_degrees(spark, sf):
-    return degrees(spark, sf)
+    return degrees(order_simple(spark, sf))
 
 
 @query("copula_skew", f"""SELECT z.series_id, z.ts, d.nu, greatest(least(z.m * (d.nu - 2) / d.nu, 2.0), -2.0) AS skew FROM (SELECT series_id, ts,
  CASE WHEN count(z) OVER {Q.past_sql(WINDOW)} >= 12 THEN avg(z) OVER {Q.past_sql(WINDOW)} ELSE 0 END AS m FROM oz) AS z JOIN cd d ON z.ts = d.ts""", skew=6)
 def copula_skew(spark, sf):
-    return D.copula_skew(V.scaled_residuals(order_simple(spark, sf)), degrees(spark, sf))
+    simple = order_simple(spark, sf)
+    return D.copula_skew(V.scaled_residuals(simple), degrees(simple))
 
 
 fragment("scen", """SELECT w.ts, w.k AS scen_id, w.series_id, w.z * g.sigma AS r FROM oww w JOIN og g ON w.ts = g.ts AND w.series_id = g.series_id""")
 
 
-def shared_scenarios(spark, sf):
-    from panelweave.operators.portfolio import volatility_vectors
-    s = volatility_vectors(V.garch_volatility(order_simple(spark, sf)), ASSETS)
-    return Z.residual_scenarios(residual_windows(spark, sf), s)
+def shared_scenarios(simple):
+    s = volatility_vectors(V.garch_volatility(simple), ASSETS)
+    return Z.residual_scenarios(residual_windows(simple), s)
 
 
 @query("residual_scenarios", "SELECT ts, CAST(scen_id AS INT) AS scen_id, series_id, r FROM scen", r=8)
 def residual_scenarios(spark, sf):
-    return Z.scenario_rows(shared_scenarios(spark, sf), ASSETS)
+    return Z.scenario_rows(shared_scenarios(order_simple(spark, sf)), ASSETS)

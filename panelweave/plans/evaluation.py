@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelweave.config import ASSETS, OOS, TEST
+from panelweave.config import OOS, TEST
 from panelweave.operators import evaluate as E
 from panelweave.operators import panel as P
 from panelweave.operators import windows as N
 from panelweave.plans import fragments as Q
-from panelweave.plans.panels import order_returns, supplier_returns
+from panelweave.plans.panels import order_panel, supplier_panel
 from panelweave.plans.registry import fragment, query
+from panelweave.sources.stores import staged
 
 MODELS = ["RW", "SMA(3)", "SMA(6)", "SMA(12)"]
 REFERENCE = "SMA(12)"
@@ -47,11 +48,18 @@ fragment("bundle_s", f"""SELECT m.*, p.pt, {Q.p_value_sql('p.pt')} AS pt_p, d.dm
  LEFT JOIN dm_s d ON m.series_id = d.series_id AND m.model = d.model""")
 
 
-def supplier_losses(spark, sf, period=OOS):
-    r = supplier_returns(spark, sf)
+def losses_in(r, period=OOS):
     return E.losses(P.period_filter(N.simple_pool(r), period), P.period_filter(r, period))
 
 
+def best_in(r):
+    return E.best_model(losses_in(r, TEST), P.period_filter(r, TEST))
+
+
+def supplier_losses(spark, sf):
+    return losses_in(supplier_panel(spark, sf))
+
+
 @query("loss_table", "SELECT * FROM loss_s", y=8, yhat=8, e=8)
 def loss_table(spark, sf):
     return supplier_losses(spark, sf)
@@ -87,7 +95,7 @@ def equal_accuracy_test_abs(spark, sf):
 @query("metric_bundle", "SELECT * FROM bundle_s", mae=8, rmse=8, mape=4, mape_masked=4, theil_u1=8, theil_ratio=8,
        pt=6, pt_p=6, dm=6, dm_p=6)
 def metric_bundle(spark, sf):
-    return E.metric_bundle(supplier_losses(spark, sf), "RW", REFERENCE)
+    return E.metric_bundle(staged(supplier_losses(spark, sf)), "RW", REFERENCE)
 
 
 def _pivot_sql(rows: str, value: str) -> str:
@@ -115,7 +123,7 @@ def _stars_sql(p: str) -> str:
  CASE WHEN model = '{REFERENCE}' THEN '-' WHEN dm IS NULL THEN '' ELSE printf('%.2f', dm) || {_stars_sql('dm_p')} END
  FROM bundle_s""", "v"))
 def test_table(spark, sf):
-    return E.test_table(E.metric_bundle(supplier_losses(spark, sf), "RW", REFERENCE), MODELS, REFERENCE)
+    return E.test_table(E.metric_bundle(staged(supplier_losses(spark, sf)), "RW", REFERENCE), MODELS, REFERENCE)
 
 
 fragment("best_s", f"""WITH n AS (SELECT series_id, count(*) AS nd FROM smr f WHERE {Q.IS_TEST} GROUP BY 1),
@@ -124,22 +132,17 @@ fragment("best_s", f"""WITH n AS (SELECT series_id, count(*) AS nd FROM smr f WH
  ORDER BY m.rmse, m.model) AS rn FROM m JOIN n ON m.series_id = n.series_id WHERE m.c >= 0.9 * n.nd) AS q WHERE rn = 1""")
 
 
-def supplier_best(spark, sf):
-    expected = P.period_filter(supplier_returns(spark, sf), TEST)
-    return E.best_model(supplier_losses(spark, sf, TEST), expected)
-
-
 @query("best_model", "SELECT * FROM best_s", rmse=8)
 def best_model(spark, sf):
-    return supplier_best(spark, sf)
+    return best_in(supplier_panel(spark, sf))
 
 
 @query("best_forecast_lookup", f"""SELECT r.series_id, 'Best' AS model, r.ts, coalesce(p.yhat, 0.0) AS yhat FROM smr r
  LEFT JOIN (SELECT p.* FROM pool_s p JOIN best_s b ON p.series_id = b.series_id AND p.model = b.model) AS p
  ON r.series_id = p.series_id AND r.ts = p.ts WHERE r.ts >= DATE '2000-01-01'""", yhat=8)
 def best_forecast_lookup(spark, sf):
-    r = supplier_returns(spark, sf)
-    return E.best_forecast(N.simple_pool(r), supplier_best(spark, sf), P.period_filter(r, OOS))
+    r = supplier_panel(spark, sf)
+    return E.best_forecast(N.simple_pool(r), best_in(r), P.period_filter(r, OOS))
 
 
 @query("best_parameter", f"""SELECT series_id, span, rmse FROM (SELECT series_id, span, rmse, row_number() OVER (PARTITION BY
@@ -148,7 +151,7 @@ def best_forecast_lookup(spark, sf):
        + f""") AS f JOIN smr r ON f.series_id = r.series_id AND f.ts = r.ts WHERE {Q.IS_TEST} AND f.yhat IS NOT NULL GROUP BY 1, 2)
  AS g) AS h WHERE rn = 1""", rmse=8)
 def best_parameter(spark, sf):
-    r = supplier_returns(spark, sf)
+    r = supplier_panel(spark, sf)
     spans = P.period_filter(N.sma_bank(r, range(3, 13)), TEST)
     loss = E.losses(spans, r).withColumn("span", F.regexp_extract("model", r"(\d+)", 1).cast("int"))
     return E.best_parameter(loss, ["span"])
@@ -159,7 +162,7 @@ def best_parameter(spark, sf):
  SELECT coalesce(series_id, 'ALL') AS series_id, model, avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, count(*) AS n
  FROM l GROUP BY GROUPING SETS ((series_id, model), (model))""", mae=8, rmse=8)
 def evaluation_run(spark, sf):
-    r = order_returns(spark, sf)
+    r = order_panel(spark, sf)
     loss = E.losses(P.period_filter(N.simple_pool(r), OOS), r)
     e, s, m = F.col("e"), F.col("series_id"), F.col("model")
     return loss.groupingSets([[s, m], [m]], s, m).agg(

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from panelweave.operators import forecast as M
 from panelweave.operators import windows as N
 from panelweave.plans import fragments as Q
-from panelweave.plans.panels import supplier_returns
+from panelweave.plans.panels import supplier_panel, supplier_returns
 from panelweave.plans.registry import fragment, query
 from panelweave.plans.solve_sql import lags_sql, scaled_lags_sql, solve_fragments, value_sql
 from panelweave.operators import panel as P
 from panelweave.sources import tables as T
+from panelweave.sources.stores import staged
 
 IN_TRAIN = "ts < DATE '1998-01-01'"
 
@@ -43,14 +44,14 @@ fragment("ar_s", " UNION ALL ".join(
 
 @query("ar_forecasts", "SELECT * FROM ar_s", yhat=6)
 def ar_forecasts(spark, sf):
-    return M.ar_forecasts(supplier_returns(spark, sf), 4)
+    return M.ar_forecasts(supplier_panel(spark, sf), 4)
 
 
 @query("ar_one_by_slope", f"""SELECT l.series_id, l.ts, c.a + c.b * l.x1 AS yhat FROM ({lags_sql('smr', 1)}) AS l JOIN
  (SELECT series_id, regr_intercept(y, x1) AS a, regr_slope(y, x1) AS b FROM ({lags_sql('smr', 1)}) AS t WHERE {IN_TRAIN}
  GROUP BY 1) AS c ON l.series_id = c.series_id""", yhat=6)
 def ar_one_by_slope(spark, sf):
-    return M.ar_forecasts(supplier_returns(spark, sf), 1).drop("model")
+    return M.ar_forecasts(supplier_panel(spark, sf), 1).drop("model")
 
 
 fragment("shock4", f"""SELECT l.series_id, l.ts, l.y, l.x1, l.x2, l.y - ({value_sql('c.coef', M.lag_names(4))}) AS shock
@@ -69,20 +70,20 @@ fragment("arma_s", " UNION ALL ".join(
 
 @query("arma_forecasts", "SELECT * FROM arma_s", yhat=6)
 def arma_forecasts(spark, sf):
-    return M.arma_forecasts(supplier_returns(spark, sf), 2, 2, 4)
+    return M.arma_forecasts(supplier_panel(spark, sf), 2, 2, 4)
 
 
 @query("linear_bank", " UNION ALL ".join(
     [f"SELECT * FROM (SELECT series_id, 'SMA({q})' AS model, ts, {Q.sma_sql(q)} AS yhat FROM smr) AS s WHERE yhat IS NOT NULL"
      for q in range(3, 31)]) + " UNION ALL SELECT * FROM ema_s UNION ALL SELECT * FROM ar_s UNION ALL SELECT * FROM arma_s", yhat=6)
 def linear_bank(spark, sf):
-    return M.linear_bank(supplier_returns(spark, sf), range(3, 31), 4, (2, 2), 4)
+    return M.linear_bank(supplier_panel(spark, sf), range(3, 31), 4, (2, 2), 4)
 
 
 @query("linear_bank_daily")
 def linear_bank_daily(spark, sf):
     """The full bank of 290 models on the daily series."""
-    return M.linear_bank(P.log_returns(T.lineitem_daily(spark, sf)))
+    return M.linear_bank(staged(P.log_returns(T.lineitem_daily(spark, sf))))
 
 
 # --- neighbours ---
@@ -143,7 +144,7 @@ fragment("star_pick", """SELECT * FROM (SELECT series_id, kind, p, row_number()
 @query("star_forecasts", """SELECT v.series_id, v.kind || '(' || v.p || ')' AS model, v.ts, v.yhat FROM star_v v JOIN star_pick k
  ON v.series_id = k.series_id AND v.kind = k.kind AND v.p = k.p""", yhat=6)
 def star_forecasts(spark, sf):
-    return M.star_forecasts(supplier_returns(spark, sf), 2, GAMMAS, CENTRES)
+    return M.star_forecasts(supplier_panel(spark, sf), 2, GAMMAS, CENTRES)
 
 
 # --- feature regressions ---
@@ -160,7 +161,7 @@ solve_fragments("honn", "honn_train", "series_id", [*M.lag_names(3), *_PRODUCTS]
  {value_sql('c.coef', ['x.' + n for n in [*M.lag_names(3), *_PRODUCTS]])} AS yhat FROM honn_x x JOIN honn c
  ON x.series_id = c.series_id""", yhat=6)
 def higher_order_forecasts(spark, sf):
-    return M.higher_order_forecasts(supplier_returns(spark, sf), 3)
+    return M.higher_order_forecasts(supplier_panel(spark, sf), 3)
 
 
 RBF_CENTRES = ((-1.0, 1.0), (0.0, 0.0), (1.0, -1.0), (1.0, 1.0))
@@ -173,13 +174,13 @@ solve_fragments("rbf", "rbf_train", "series_id", M.lag_names(4, "phi"), ridge=1.
 @query("radial_forecasts_fixed", f"""SELECT x.series_id, 'RBF' AS model, x.ts, {value_sql('c.coef', ['x.' + n for n in M.lag_names(4, 'phi')])}
  AS yhat FROM rbf_x x JOIN rbf c ON x.series_id = c.series_id""", yhat=6)
 def radial_forecasts_fixed(spark, sf):
-    return M.radial_forecasts(supplier_returns(spark, sf), RBF_CENTRES)
+    return M.radial_forecasts(supplier_panel(spark, sf), RBF_CENTRES)
 
 
 @query("radial_forecasts")
 def radial_forecasts(spark, sf):
     """Centres learned by k-means over the lag vectors of all series."""
-    r = supplier_returns(spark, sf)
+    r = supplier_panel(spark, sf)
     return M.radial_forecasts(r, M.radial_centres(r, 8, 6))
 
 

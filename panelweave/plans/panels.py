@@ -14,6 +14,7 @@ from panelweave.operators import windows as N
 from panelweave.plans import fragments as Q
 from panelweave.plans.registry import query
 from panelweave.sources import tables as T
+from panelweave.sources.stores import staged
 
 
 def order_returns(spark, sf):
@@ -24,6 +25,15 @@ def supplier_returns(spark, sf):
     return P.log_returns(T.supplier_monthly(spark, sf))
 
 
+def order_panel(spark, sf):
+    """The same returns computed once, for queries that read them several times."""
+    return staged(order_returns(spark, sf))
+
+
+def supplier_panel(spark, sf):
+    return staged(supplier_returns(spark, sf))
+
+
 # --- projections and filters -------------------------------------------------
 
 @query("period_filtered_panel", """SELECT series_id, ts, value FROM sm
@@ -107,7 +117,8 @@ def metric_text(spark, sf):
  AND 1 PRECEDING) AS sd FROM smr) AS s ON p.series_id = s.series_id AND p.ts = s.ts)
  SELECT series_id, model, ts, greatest(least(yhat, sd), -sd) AS yhat FROM w WHERE sd > 0""", yhat=8)
 def clipped_forecasts(spark, sf):
-    return X.clip_forecasts(N.simple_pool(supplier_returns(spark, sf)), supplier_returns(spark, sf), multiple=1.0)
+    r = supplier_panel(spark, sf)
+    return X.clip_forecasts(N.simple_pool(r), r, multiple=1.0)
 
 
 @query("negative_shocks", "SELECT series_id, ts, least(value, 0.0) AS value FROM smr", value=8)
@@ -131,7 +142,7 @@ def fisher_z(spark, sf):
  coalesce(g.yhat, avg(g.yhat) OVER (PARTITION BY g.series_id, g.model)) AS yhat FROM g JOIN v
  ON g.series_id = v.series_id AND g.model = v.model""", yhat=8)
 def pool_impute(spark, sf):
-    r = supplier_returns(spark, sf)
+    r = supplier_panel(spark, sf)
     return X.impute_pool(X.spread_pool(N.simple_pool(r), r, ["RW", "SMA(3)", "SMA(6)", "SMA(12)"]))
 
 
@@ -139,7 +150,7 @@ def pool_impute(spark, sf):
  (VALUES ('RW'), ('SMA(12)'), ('STAR')) AS m(model) ON true LEFT JOIN pool_s p ON p.series_id = r.series_id
  AND p.ts = r.ts AND p.model = m.model""", yhat=8)
 def pool_reindex(spark, sf):
-    r = supplier_returns(spark, sf)
+    r = supplier_panel(spark, sf)
     return X.spread_pool(N.simple_pool(r), r, ["RW", "SMA(12)", "STAR"]).fillna(0.0, ["yhat"])
 
 
@@ -164,7 +175,7 @@ def cross_product_features(spark, sf):
  CASE WHEN count(value) OVER {Q.past_sql(WINDOW)} >= 2 THEN stddev_samp(value) OVER {Q.past_sql(WINDOW)} END AS sigma
  FROM smr) AS s ON r.series_id = s.series_id AND r.ts = s.ts WHERE s.sigma IS NOT NULL""", ll=6)
 def normal_log_density(spark, sf):
-    r = supplier_returns(spark, sf)
+    r = supplier_panel(spark, sf)
     vol = N.rolling_std(r, WINDOW).where(F.col("sigma").isNotNull())
     ll = S.normal_log_density(F.col("value"), F.lit(0.0), F.col("sigma") * F.col("sigma"))
     return r.join(vol, ["series_id", "ts"]).select("series_id", "ts", ll.alias("ll"))
@@ -235,7 +246,7 @@ def common_dates(spark, sf):
 @query("complete_dates", """SELECT s.series_id, s.ts, s.value FROM sm s WHERE s.ts IN (SELECT ts FROM sm GROUP BY ts
  HAVING count(DISTINCT series_id) = (SELECT count(DISTINCT series_id) FROM sm))""", value=2)
 def complete_dates(spark, sf):
-    sm = T.supplier_monthly(spark, sf)
+    sm = staged(T.supplier_monthly(spark, sf))
     n = T.table(spark, sf, "lineitem").select(F.count_distinct("l_suppkey")).first()[0]
     return P.complete_dates(sm, n)
 
@@ -256,7 +267,7 @@ def risk_free_excess(spark, sf):
 @query("stacked_pools", """SELECT series_id, model, ts, yhat FROM pool_o UNION ALL
  SELECT series_id, 'STD' AS model, ts, sigma AS yhat FROM vol_std WHERE sigma IS NOT NULL""", yhat=8)
 def stacked_pools(spark, sf):
-    r = order_returns(spark, sf)
+    r = order_panel(spark, sf)
     std = N.rolling_std(r, WINDOW).where(F.col("sigma").isNotNull())
     return N.simple_pool(r).unionByName(
         std.select("series_id", F.lit("STD").alias("model"), "ts", F.col("sigma").alias("yhat")))
@@ -266,7 +277,7 @@ def stacked_pools(spark, sf):
  ON f.series_id = r.series_id AND f.ts = r.ts""", y=8, yhat=8)
 def forecast_actual_join(spark, sf):
     from panelweave.operators.evaluate import losses
-    r = supplier_returns(spark, sf)
+    r = supplier_panel(spark, sf)
     return losses(N.simple_pool(r), r).drop("e")
 
 

@@ -14,6 +14,7 @@ from panelweave.operators import portfolio as O
 from panelweave.plans.panels import supplier_returns
 from panelweave.plans.registry import fragment, query
 from panelweave.sources import tables as T
+from panelweave.sources.stores import staged
 
 fragment("sms", "SELECT series_id, ts, exp(value) - 1 AS value FROM smr")
 fragment("ew_w", """SELECT n_name AS strategy, s.ts, s.series_id, 1.0::DOUBLE / count(*) OVER (PARTITION BY n_name, s.ts) AS w
@@ -25,33 +26,34 @@ fragment("strat_r", "SELECT strategy, ts, r FROM ew_r UNION ALL SELECT 'S' || se
 
 
 def simple(spark, sf):
-    return supplier_returns(spark, sf).withColumn("value", S.log_to_simple("value"))
+    return staged(supplier_returns(spark, sf).withColumn("value", S.log_to_simple("value")))
 
 
-def nation_weights(spark, sf):
+def nation_weights(spark, sf, returns):
     members = T.table(spark, sf, "supplier").join(
         T.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
     ).select(F.col("s_suppkey").cast("string").alias("series_id"), F.col("n_name").alias("strategy"))
-    return O.equal_weights(simple(spark, sf).join(members, "series_id"), ["strategy"])
+    return O.equal_weights(returns.join(members, "series_id"), ["strategy"])
 
 
-def nation_returns(spark, sf):
-    return O.portfolio_returns(nation_weights(spark, sf), simple(spark, sf), ["strategy"])
+def nation_returns(spark, sf, returns):
+    return O.portfolio_returns(nation_weights(spark, sf, returns), returns, ["strategy"])
 
 
 def strategy_returns(spark, sf):
-    single = simple(spark, sf).select(F.concat(F.lit("S"), "series_id").alias("strategy"), "ts", F.col("value").alias("r"))
-    return nation_returns(spark, sf).unionByName(single)
+    returns = simple(spark, sf)
+    single = returns.select(F.concat(F.lit("S"), "series_id").alias("strategy"), "ts", F.col("value").alias("r"))
+    return nation_returns(spark, sf, returns).unionByName(single)
 
 
 @query("equal_weights", "SELECT * FROM ew_w", w=8)
 def equal_weights(spark, sf):
-    return nation_weights(spark, sf)
+    return nation_weights(spark, sf, simple(spark, sf))
 
 
 @query("portfolio_returns", "SELECT * FROM ew_r", r=8)
 def portfolio_returns(spark, sf):
-    return nation_returns(spark, sf)
+    return nation_returns(spark, sf, simple(spark, sf))
 
 
 def _cvar_sql(src: str, q: float, keys: str, value: str) -> str:
@@ -161,7 +163,9 @@ fragment("cdb_s", """SELECT b.strategy, (b.cvar_bar - c.cvar) / CASE WHEN b.cvar
 
 @query("diversification_benefit", "SELECT * FROM cdb_s", cdb=6)
 def diversification_benefit(spark, sf):
-    return R.diversification_benefit(nation_returns(spark, sf), nation_weights(spark, sf), simple(spark, sf), ["strategy"])
+    assets = simple(spark, sf)
+    weights = nation_weights(spark, sf, assets)
+    return R.diversification_benefit(O.portfolio_returns(weights, assets, ["strategy"]), weights, assets, ["strategy"])
 
 
 @query("performance_bundle", """SELECT r.*, m.mdd_pct, r.ann_return_pct / 100 / nullif(c.cvar, 0) AS return_cvar, d.cdb
@@ -169,7 +173,9 @@ def diversification_benefit(spark, sf):
  JOIN cvar_95 c ON r.strategy = c.strategy LEFT JOIN cdb_s d ON r.strategy = d.strategy""",
        ann_return_pct=6, ann_std=8, sharpe=6, sortino=6, mdd_pct=6, return_cvar=6, cdb=6)
 def performance_bundle(spark, sf):
-    return R.bundle(nation_returns(spark, sf), ["strategy"], nation_weights(spark, sf), simple(spark, sf))
+    assets = simple(spark, sf)
+    weights = staged(nation_weights(spark, sf, assets))
+    return R.bundle(staged(O.portfolio_returns(weights, assets, ["strategy"])), ["strategy"], weights, assets)
 
 
 @query("single_series_panel", """SELECT r.*, m.mdd_pct, r.ann_return_pct / 100 / nullif(c.cvar, 0) AS return_cvar FROM ratios_s r
@@ -181,4 +187,4 @@ def single_series_panel(spark, sf):
 
 @query("mean_weights", "SELECT strategy, series_id, avg(w) AS w FROM ew_w GROUP BY 1, 2", w=8)
 def mean_weights(spark, sf):
-    return R.mean_weights(nation_weights(spark, sf), ["strategy"])
+    return R.mean_weights(nation_weights(spark, sf, simple(spark, sf)), ["strategy"])

@@ -16,11 +16,10 @@ from panelweave.operators import scenario as Z
 from panelweave.operators import volatility as V
 from panelweave.operators import windows as N
 from panelweave.plans.dependence import all_correlations, order_simple, residual_windows, shared_scenarios
-from panelweave.plans.panels import order_returns
 from panelweave.plans.performance import _cvar_sql
 from panelweave.plans.registry import fragment, query
 from panelweave.session import scratch_path
-from panelweave.sources.stores import read_strategy, write_table
+from panelweave.sources.stores import read_strategy, staged, write_table
 
 N_ASSETS = len(ASSETS)
 IDX = range(1, N_ASSETS + 1)
@@ -73,46 +72,44 @@ fragment("mv_r", """SELECT w.forecast, w.dependence, w.panel, w.ts, sum(w.w * o.
  AND w.series_id = o.series_id GROUP BY 1, 2, 3, 4""")
 
 
-def forecasts(spark, sf):
-    pool = N.simple_pool(order_returns(spark, sf)).where(F.col("model").isin(*MODELS))
+def forecasts(simple):
+    """Pool of log-return forecasts, brought to simple returns."""
+    pool = N.simple_pool(simple.withColumn("value", S.simple_to_log("value"))).where(F.col("model").isin(*MODELS))
     return P.period_filter(pool.withColumn("yhat", S.log_to_simple("yhat")), OOS)
 
 
-def mv_inputs(spark, sf):
-    vol = V.garch_volatility(order_simple(spark, sf))
-    return O.mean_variance_inputs(forecasts(spark, sf), all_correlations(spark, sf), vol, ASSETS)
+def mv_inputs(simple):
+    vol = V.garch_volatility(simple)
+    return O.mean_variance_inputs(forecasts(simple), all_correlations(simple), vol, ASSETS)
 
 
-def mv_weights(spark, sf):
-    return O.mean_variance(mv_inputs(spark, sf), ASSETS, refine=False)
+def mv_weights(simple):
+    return O.mean_variance(mv_inputs(simple), ASSETS, refine=False)
 
 
 KEYS = ["forecast", "dependence", "panel"]
 
 
-def mv_returns(spark, sf):
-    return O.portfolio_returns(mv_weights(spark, sf), order_simple(spark, sf), KEYS)
-
-
 @query("tangent_long_only", "SELECT forecast, dependence, ts, series_id, w FROM mv_w WHERE panel = 'long_only'", w=6)
 def tangent_long_only(spark, sf):
-    return O.mean_variance(mv_inputs(spark, sf), ASSETS, [O.LONG_ONLY], refine=False).drop("panel")
+    return O.mean_variance(mv_inputs(order_simple(spark, sf)), ASSETS, [O.LONG_ONLY], refine=False).drop("panel")
 
 
 @query("tangent_130_30", "SELECT forecast, dependence, ts, series_id, w FROM mv_w WHERE panel = '130_30'", w=6)
 def tangent_130_30(spark, sf):
-    return O.mean_variance(mv_inputs(spark, sf), ASSETS, [O.LEVERAGED], refine=False).drop("panel")
+    return O.mean_variance(mv_inputs(order_simple(spark, sf)), ASSETS, [O.LEVERAGED], refine=False).drop("panel")
 
 
 @query("tangent_polished")
 def tangent_polished(spark, sf):
     """Both panels off the lattice, as the backtests use them by default."""
-    return O.mean_variance(mv_inputs(spark, sf), ASSETS)
+    return O.mean_variance(mv_inputs(order_simple(spark, sf)), ASSETS)
 
 
 @query("mean_variance_backtest", "SELECT * FROM mv_r", r=6)
 def mean_variance_backtest(spark, sf):
-    return mv_returns(spark, sf)
+    simple = order_simple(spark, sf)
+    return O.portfolio_returns(mv_weights(simple), simple, KEYS)
 
 
 # --- reports on the mean-variance strategies ---
@@ -142,21 +139,15 @@ fragment("mv_metrics", f"""SELECT m.*, c.cdb FROM ({_metric_sql('mv_r', _K3)}) A
 METRICS = ["ann_return_pct", "sharpe", "sortino", "mdd_pct", "cdb"]
 
 
-def staged(spark, df, name):
-    """Written once and read back, so that several reports share one computation."""
-    return spark.read.parquet(write_table(df, scratch_path(spark, name)))
-
-
-def mv_metrics(spark, sf):
-    weights = staged(spark, mv_weights(spark, sf), "weights")
-    simple = order_simple(spark, sf)
+def mv_metrics(simple):
+    weights = staged(mv_weights(simple))
     returns = O.portfolio_returns(weights, simple, KEYS)
     return R.bundle(returns, KEYS, weights, simple).select(*KEYS, *METRICS)
 
 
 @query("strategy_metrics", "SELECT * FROM mv_metrics", ann_return_pct=5, sharpe=5, sortino=5, mdd_pct=5, cdb=5)
 def strategy_metrics(spark, sf):
-    return mv_metrics(spark, sf)
+    return mv_metrics(order_simple(spark, sf))
 
 
 _AVG = ", ".join(f"avg({m}) AS {m}" for m in METRICS)
@@ -174,7 +165,7 @@ def group_rows(metrics):
 
 @query("report_group_averages", "SELECT * FROM mv_groups", ann_return_pct=5, sharpe=5, sortino=5, mdd_pct=5, cdb=5)
 def report_group_averages(spark, sf):
-    return group_rows(mv_metrics(spark, sf))
+    return group_rows(staged(mv_metrics(order_simple(spark, sf))))
 
 
 fragment("one_n", f"""SELECT series_id AS strategy, ts, value AS r FROM oms WHERE ts >= DATE '2000-01-01' UNION ALL
@@ -187,13 +178,14 @@ _R3 = ", ".join(f"round({m}, 3) + 0.0::DOUBLE AS {m}" for m in METRICS[:4])
  level || coalesce(' ' || forecast, '') || coalesce(' ' || dependence, '')), {_R3} FROM mv_groups""")
 def report_tables(spark, sf):
     """Single assets and 1/N, then both panels with their averages, rounded."""
-    simple = P.period_filter(order_simple(spark, sf), OOS)
-    equal = simple.groupBy("ts").agg(F.avg("value").alias("r")).select(F.lit("1/N").alias("strategy"), "ts", "r")
-    single = simple.select(F.col("series_id").alias("strategy"), "ts", F.col("value").alias("r")).unionByName(equal)
+    simple = order_simple(spark, sf)
+    oos = P.period_filter(simple, OOS)
+    equal = oos.groupBy("ts").agg(F.avg("value").alias("r")).select(F.lit("1/N").alias("strategy"), "ts", "r")
+    single = oos.select(F.col("series_id").alias("strategy"), "ts", F.col("value").alias("r")).unionByName(equal)
     panel_a = R.bundle(single, ["strategy"]).select(F.lit("A").alias("panel"), F.col("strategy").alias("label"), *METRICS[:4])
     label = F.when(F.col("level") == "strategy", S.strategy_label("forecast", "dependence")).otherwise(
         F.concat_ws(" ", "level", "forecast", "dependence"))
-    rest = group_rows(mv_metrics(spark, sf)).select(
+    rest = group_rows(staged(mv_metrics(simple))).select(
         F.when(F.col("panel") == O.LONG_ONLY, "B").otherwise("C").alias("panel"), label.alias("label"), *METRICS[:4])
     return panel_a.unionByName(rest).withColumns({m: F.round(m, 3) for m in METRICS[:4]})
 
@@ -202,7 +194,7 @@ def report_tables(spark, sf):
  AND panel = 'long_only'""", w=6)
 def strategy_store(spark, sf):
     """All weights as one table partitioned by strategy; one strategy read back."""
-    path = write_table(mv_weights(spark, sf), scratch_path(spark, "strategies"), KEYS)
+    path = write_table(mv_weights(order_simple(spark, sf)), scratch_path(spark, "strategies"), KEYS)
     return read_strategy(spark, path, forecast="RW", dependence="GAS", panel="long_only").select(
         "forecast", "dependence", "panel", "ts", "series_id", "w")
 
@@ -237,8 +229,8 @@ fragment("mc_r", """SELECT m.forecast, m.beta, m.panel, m.ts, list_sum(list_tran
  JOIN ow o ON m.ts = o.ts""")
 
 
-def mc_choices(spark, sf, panels=(O.LONG_ONLY, O.LEVERAGED)):
-    inputs = O.mean_cvar_inputs(forecasts(spark, sf), shared_scenarios(spark, sf), ASSETS)
+def mc_choices(simple, panels=(O.LONG_ONLY, O.LEVERAGED)):
+    inputs = O.mean_cvar_inputs(forecasts(simple), shared_scenarios(simple), ASSETS)
     return O.mean_cvar(inputs, ASSETS, ["forecast", "ts"], panels=panels, refine=False)
 
 
@@ -249,26 +241,28 @@ def _choice_rows(df):
 _CHOICE = f"SELECT forecast, ts, beta, ratio, cvar, {_NAMES}[i] AS series_id, w[i] AS w FROM {{}}, generate_series(1, {N_ASSETS}) AS g(i)"
 
 
-@query("cvar_tangent_long_only", _CHOICE.format("mc_lo"), ratio=5, cvar=6, w=6)
+@query("cvar_tangent_long_only", _CHOICE.format("mc_lo"), ratio=1, cvar=6, w=6)
 def cvar_tangent_long_only(spark, sf):
-    return _choice_rows(mc_choices(spark, sf, [O.LONG_ONLY]))
+    return _choice_rows(mc_choices(order_simple(spark, sf), [O.LONG_ONLY]))
 
 
-@query("cvar_tangent_130_30", _CHOICE.format("mc_lev"), ratio=2, cvar=6, w=6)
+@query("cvar_tangent_130_30", _CHOICE.format("mc_lev"), ratio=1, cvar=6, w=6)
 def cvar_tangent_130_30(spark, sf):
-    return _choice_rows(mc_choices(spark, sf, [O.LEVERAGED]))
+    return _choice_rows(mc_choices(order_simple(spark, sf), [O.LEVERAGED]))
 
 
 @query("mean_cvar_backtest", "SELECT * FROM mc_r", r=6, cvar=6)
 def mean_cvar_backtest(spark, sf):
-    return O.mean_cvar_backtest(mc_choices(spark, sf), order_simple(spark, sf), ASSETS, ["forecast", "ts"])
+    simple = order_simple(spark, sf)
+    return O.mean_cvar_backtest(mc_choices(simple), simple, ASSETS, ["forecast", "ts"])
 
 
 @query("best_tangent", """SELECT beta, panel, forecast, return_cvar FROM (SELECT *, row_number() OVER (PARTITION BY beta, panel ORDER BY return_cvar DESC,
  forecast DESC) AS rn FROM (SELECT beta, panel, forecast, avg(r) / avg(cvar) AS return_cvar FROM mc_r GROUP BY 1, 2, 3 HAVING avg(cvar) > 1e-10)
  AS a) AS b WHERE rn = 1""", return_cvar=5)
 def best_tangent(spark, sf):
-    returns = O.mean_cvar_backtest(mc_choices(spark, sf), order_simple(spark, sf), ASSETS, ["forecast", "ts"])
+    simple = order_simple(spark, sf)
+    returns = O.mean_cvar_backtest(mc_choices(simple), simple, ASSETS, ["forecast", "ts"])
     return R.best_strategy(returns, ["beta", "panel"], ["forecast"])
 
 
@@ -289,7 +283,8 @@ _CVAR_METRICS = ["ann_return_pct", "return_cvar", "sortino", "mdd_pct"]
 def cvar_report(spark, sf):
     """Mean-CVaR strategies with their averages, log drawdowns, per level."""
     keys = ["beta", "panel", "forecast"]
-    returns = staged(spark, O.mean_cvar_backtest(mc_choices(spark, sf), order_simple(spark, sf), ASSETS, ["forecast", "ts"]), "report")
+    simple = order_simple(spark, sf)
+    returns = staged(O.mean_cvar_backtest(mc_choices(simple), simple, ASSETS, ["forecast", "ts"]))
     parts = []
     for beta in (0.95, 0.99):
         of_level = returns.where(F.col("beta") == beta)
@@ -309,15 +304,15 @@ def mean_cvar_full(spark, sf):
     are scaled, so that the dependence models differ in their scenarios.
     """
     simple = order_simple(spark, sf)
-    matrix = D.correlation_matrix(all_correlations(spark, sf), ASSETS).select(
+    matrix = D.correlation_matrix(all_correlations(simple), ASSETS).select(
         F.col("model").alias("dependence"), "ts", D.repair("matrix").alias("matrix"))
     vol = O.volatility_vectors(V.garch_volatility(simple), ASSETS)
-    windows = P.spread(residual_windows(spark, sf).join(matrix, "ts"), "dependence", "ts").select(
+    windows = P.spread(residual_windows(simple).join(matrix, "ts"), "dependence", "ts").select(
         "dependence", "ts", Z.recorrelate("window", "matrix").alias("window"))
     scaled = F.transform("window", lambda z: F.zip_with(z, F.col("s"), lambda a, b: a * b))
     sets = windows.join(vol, "ts").select("dependence", "ts", scaled.alias("scenarios"))
-    inputs = O.mean_cvar_inputs(forecasts(spark, sf), sets, ASSETS)
+    inputs = O.mean_cvar_inputs(forecasts(simple), sets, ASSETS)
     keys = ["forecast", "dependence", "ts"]
-    returns = staged(spark, O.mean_cvar_backtest(O.mean_cvar(inputs, ASSETS, keys), simple, ASSETS, keys), "cvar")
+    returns = staged(O.mean_cvar_backtest(O.mean_cvar(inputs, ASSETS, keys), simple, ASSETS, keys))
     on = ["forecast", "dependence", "beta", "panel"]
     return R.bundle(returns, on).drop("return_cvar").join(R.return_over_ex_ante_cvar(returns, on), on)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.operators.panel import first_per_key
+from panelweave.session import scratch_path
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> str:
@@ -19,6 +20,19 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
     return path
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Compute a table once and go on from the stored copy.
+
+    For an intermediate that several branches of a plan read: without it each
+    branch would scan the raw data again. The copy is a reliable checkpoint in
+    the shared folder, survives lost executors and keeps its partitioning.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_path(df.sparkSession, "staged"))
+    return df.checkpoint()
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
