@@ -38,7 +38,7 @@ def per_series(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [fn(row) for row in batch.itertuples(index=False)]
+            parts = [part for row in batch.itertuples(index=False) if len(part := fn(row))]
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 

@@ -38,7 +38,10 @@ def scenario_rows(df: DataFrame, assets: Sequence[str], keys: Sequence[str] = ("
 
 
 def with_correlation(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Windows rotated so that their sample correlation becomes the target."""
+    """Windows rotated so that their sample correlation becomes the target.
+
+    Each asset keeps its scale: whitening works on values over their std.
+    """
     out = z.copy()
     for k, (w, r) in enumerate(zip(z, target)):
         try:
@@ -46,7 +49,8 @@ def with_correlation(z: np.ndarray, target: np.ndarray) -> np.ndarray:
             new = np.linalg.cholesky(r)
         except np.linalg.LinAlgError:
             continue  # too few rows for a full-rank sample: keep the history as it is
-        out[k] = np.linalg.solve(own, w.T).T @ new.T
+        scale = w.std(axis=0, ddof=1)
+        out[k] = np.linalg.solve(own, (w / scale).T).T @ new.T * scale
     return out
 
 

@@ -134,7 +134,9 @@ def window_orders(panel: DataFrame, window: int = WINDOW, orders: Sequence[int]
 
     def one(row) -> pd.DataFrame:
         w = _full_windows(row, window)
-        best = autoregressive_residuals(w, orders)[0] if len(w) else np.empty(0, dtype=int)
+        if not len(w):
+            return pd.DataFrame()
+        best = autoregressive_residuals(w, orders)[0]
         return pd.DataFrame({"series_id": row.series_id, "ts": row.ts[window - 1:], "ar_order": best})
 
     return per_series(series_arrays(panel, "value"), one, "series_id string, ts date, ar_order int")
@@ -152,7 +154,7 @@ def marginal_residuals(panel: DataFrame, window: int = WINDOW, orders: Sequence[
     def one(row) -> pd.DataFrame:
         w = _full_windows(row, window)
         if not len(w):
-            return pd.DataFrame({"series_id": [], "ts": [], "z": [], "u": []})
+            return pd.DataFrame()
         e = autoregressive_residuals(w, orders)[1]
         ll, _, _ = variance_paths(e, grid)
         a, b, g = grid[np.where(np.isnan(ll), -np.inf, ll).argmax(axis=1)].T
