@@ -181,7 +181,7 @@ def wide(panel: DataFrame, assets: Sequence[str], name: str = "v") -> DataFrame:
     """
     cols = [F.max(F.when(F.col("series_id") == a, F.col("value"))) for a in assets]
     return (
-        panel.groupBy("ts").agg(F.array(*cols).alias(name))
+        panel.where(F.col("series_id").isin(*assets)).groupBy("ts").agg(F.array(*cols).alias(name))
         .where(~F.exists(name, lambda x: x.isNull()))
     )
 

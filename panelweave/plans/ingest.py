@@ -32,7 +32,7 @@ def raw_lines(spark, sf):
         ", ", F.date_format("ts", "yyyyMM"), F.array_join(F.transform("v", lambda x: x.cast("string")), ", "), F.lit("0.25")).alias("value"))
     years = wide.groupBy(F.year("ts").alias("y")).agg(F.count("*").alias("n")).select(
         F.concat_ws(",", "y", F.lit("1,2,3,4,5"), F.col("n").cast("string")).alias("value"))
-    noise = months.limit(1).select(F.explode(F.array(
+    noise = months.agg(F.count("*").alias("n")).select(F.explode(F.array(
         F.lit("This file holds monthly returns"), F.lit(""), F.lit(",Mkt,SMB"), F.lit("199501, 1.0,, 2.0, 3.0, 4.0, 0.2"),
         F.lit("199513, 1, 2, 3, 4, 5, 6"), F.lit("Annual figures"))).alias("value"))
     return noise.unionByName(months).unionByName(years)

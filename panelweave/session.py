@@ -24,6 +24,10 @@ def build_session(app: str = "panelweave", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # A row handed to Python may hold a whole series: keep batches small.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+        # Tables already split by series join on (series, date) without another shuffle.
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         # Banks of models are built from many columns; do not record a Python stack for each.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Panels are small after aggregation and the work per row is not: keep the cores busy.
