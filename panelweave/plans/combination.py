@@ -195,55 +195,66 @@ def ridge_combination(spark, sf):
 
 # --- superior ability and confidence set ---
 
-REPS, BLOCK = 200, 15
-fragment("bs_l", """SELECT *, row_number() OVER (PARTITION BY series_id, model ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY
- series_id, model) AS n, l - avg(l) OVER (PARTITION BY series_id, model) AS c FROM (SELECT series_id, model, ts, abs(e) AS l FROM loss_s) AS q""")
-fragment("bs_m", "SELECT series_id, model, avg(l) AS lbar FROM bs_l GROUP BY 1, 2")
-fragment("bs_s", f"""SELECT series_id, n, b, j, ((((b * {B.REPLICATE_STEP} + j * {B.BLOCK_STEP} + 42) % {B.MODULUS} * {B.MULTIPLIER} + {B.INCREMENT})
- % {B.MODULUS} * {B.MULTIPLIER} + {B.INCREMENT}) % {B.MODULUS}) // {B.DROP} % n AS start FROM (SELECT DISTINCT series_id, n FROM bs_l) AS s,
- generate_series(0, {REPS - 1}) AS b(b), generate_series(0, 20) AS j(j) WHERE j < ceil(n / {BLOCK}.0)""")
-fragment("bs_c", f"""SELECT s.series_id, s.b, l.model, sum(l.c) / any_value(s.n) AS c FROM (SELECT *, unnest(generate_series(0,
- least({BLOCK}, n - j * {BLOCK}) - 1)) AS k FROM bs_s) AS s JOIN bs_l l ON s.series_id = l.series_id AND l.pos = (s.start + s.k) % s.n
+REPS, FULL_REPS, BLOCK = 200, 10000, 15
+
+
+def _bootstrap_fragments(p: str, loss: str, replicates: int) -> None:
+    """``{p}_m``: mean losses; ``{p}_c``: resampled means per replicate."""
+    fragment(f"{p}_l", f"""SELECT *, row_number() OVER (PARTITION BY series_id, model ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY
+ series_id, model) AS n, l - avg(l) OVER (PARTITION BY series_id, model) AS c FROM (SELECT series_id, model, ts, abs(e) AS l FROM {loss}) AS q""")
+    fragment(f"{p}_m", f"SELECT series_id, model, avg(l) AS lbar FROM {p}_l GROUP BY 1, 2")
+    fragment(f"{p}_s", f"""SELECT series_id, n, b, j, ((((b * {B.REPLICATE_STEP} + j * {B.BLOCK_STEP} + 42) % {B.MODULUS} * {B.MULTIPLIER} + {B.INCREMENT})
+ % {B.MODULUS} * {B.MULTIPLIER} + {B.INCREMENT}) % {B.MODULUS}) // {B.DROP} % n AS start FROM (SELECT DISTINCT series_id, n FROM {p}_l) AS s,
+ generate_series(0, {replicates - 1}) AS b(b), generate_series(0, 20) AS j(j) WHERE j < ceil(n / {BLOCK}.0)""")
+    fragment(f"{p}_c", f"""SELECT s.series_id, s.b, l.model, sum(l.c) / any_value(s.n) AS c FROM (SELECT *, unnest(generate_series(0,
+ least({BLOCK}, n - j * {BLOCK}) - 1)) AS k FROM {p}_s) AS s JOIN {p}_l l ON s.series_id = l.series_id AND l.pos = (s.start + s.k) % s.n
  GROUP BY 1, 2, 3""")
+    fragment(f"{p}_spa", f"""SELECT o.series_id, o.model, o.statistic, avg(CASE WHEN w.m >= o.statistic THEN 1.0::DOUBLE ELSE 0.0 END) AS p FROM
+ (SELECT a.series_id, a.model, max(a.lbar - b.lbar) AS statistic FROM {p}_m a JOIN {p}_m b ON a.series_id = b.series_id AND a.model <> b.model
+ GROUP BY 1, 2) AS o JOIN (SELECT a.series_id, a.model, a.b, max(a.c - b.c) AS m FROM {p}_c a JOIN {p}_c b ON a.series_id = b.series_id
+ AND a.b = b.b AND a.model <> b.model GROUP BY 1, 2, 3) AS w ON o.series_id = w.series_id AND o.model = w.model GROUP BY 1, 2, 3""")
+    # One round per model but the last: survivors, their statistics, the one to drop.
+    fragment(f"{p}_s1", f"SELECT series_id, model FROM {p}_m")
+    for k in (1, 2, 3):
+        fragment(f"{p}_b{k}", f"""SELECT c.series_id, c.b, c.model, c.c - avg(c.c) OVER (PARTITION BY c.series_id, c.b) AS x FROM {p}_c c
+ JOIN {p}_s{k} s ON c.series_id = s.series_id AND c.model = s.model""")
+        fragment(f"{p}_t{k}", f"""SELECT m.series_id, m.model, (m.lbar - avg(m.lbar) OVER (PARTITION BY m.series_id)) / sqrt(v.v) AS t, sqrt(v.v) AS sd
+ FROM {p}_m m JOIN (SELECT series_id, model, greatest(var_pop(x), 1e-10) AS v FROM {p}_b{k} GROUP BY 1, 2) AS v
+ ON m.series_id = v.series_id AND m.model = v.model""")
+        fragment(f"{p}_w{k}", f"""SELECT w.series_id, w.worst, avg(CASE WHEN d.m >= w.t THEN 1.0::DOUBLE ELSE 0.0 END) AS p FROM (SELECT series_id,
+ arg_max(model, t) AS worst, max(t) AS t FROM {p}_t{k} GROUP BY 1) AS w JOIN (SELECT b.series_id, b.b, max(b.x / t.sd) AS m FROM {p}_b{k} b
+ JOIN {p}_t{k} t ON b.series_id = t.series_id AND b.model = t.model GROUP BY 1, 2) AS d ON w.series_id = d.series_id GROUP BY 1, 2""")
+        fragment(f"{p}_e{k}", f"SELECT series_id, worst AS model, p FROM {p}_w{k} WHERE p < 0.05")
+        fragment(f"{p}_s{k + 1}", f"""SELECT s.series_id, s.model FROM {p}_s{k} s JOIN {p}_e{k} e ON s.series_id = e.series_id
+ WHERE s.model <> e.model""")
+    fragment(f"{p}_mcs", f"""SELECT m.series_id, m.model, coalesce(e.p, 1.0) AS p, e.p IS NULL AS in_set FROM {p}_m m LEFT JOIN (SELECT * FROM {p}_e1
+ UNION ALL SELECT * FROM {p}_e2 UNION ALL SELECT * FROM {p}_e3) AS e ON m.series_id = e.series_id AND m.model = e.model""")
 
 
-@query("superior_ability", """WITH o AS (SELECT a.series_id, a.model, max(a.lbar - b.lbar) AS statistic FROM bs_m a JOIN bs_m b ON
- a.series_id = b.series_id AND a.model <> b.model GROUP BY 1, 2), w AS (SELECT a.series_id, a.model, a.b, max(a.c - b.c) AS m FROM bs_c a
- JOIN bs_c b ON a.series_id = b.series_id AND a.b = b.b AND a.model <> b.model GROUP BY 1, 2, 3)
- SELECT o.series_id, o.model, o.statistic, avg(CASE WHEN w.m >= o.statistic THEN 1.0::DOUBLE ELSE 0.0 END) AS p FROM o JOIN w
- ON o.series_id = w.series_id AND o.model = w.model GROUP BY 1, 2, 3""", statistic=8, p=6)
-def superior_ability(spark, sf):
-    return B.superior_ability(supplier_losses(spark, sf), MODELS, replicates=REPS, replicates_per_task=50)
+_bootstrap_fragments("bs", "loss_s", REPS)
+_bootstrap_fragments("bo", "loss_o", FULL_REPS)
 
 
-fragment("mcs_s1", "SELECT series_id, model FROM bs_m")
-for _k in (1, 2, 3):
-    fragment(f"mcs_b{_k}", f"""SELECT c.series_id, c.b, c.model, c.c - avg(c.c) OVER (PARTITION BY c.series_id, c.b) AS x FROM bs_c c
- JOIN mcs_s{_k} s ON c.series_id = s.series_id AND c.model = s.model""")
-    fragment(f"mcs_t{_k}", f"""SELECT m.series_id, m.model, (m.lbar - avg(m.lbar) OVER (PARTITION BY m.series_id)) / sqrt(v.v) AS t, sqrt(v.v) AS sd
- FROM bs_m m JOIN (SELECT series_id, model, greatest(var_pop(x), 1e-10) AS v FROM mcs_b{_k} GROUP BY 1, 2) AS v
- ON m.series_id = v.series_id AND m.model = v.model""")
-    fragment(f"mcs_w{_k}", f"""SELECT w.series_id, w.worst, avg(CASE WHEN d.m >= w.t THEN 1.0::DOUBLE ELSE 0.0 END) AS p FROM (SELECT series_id,
- arg_max(model, t) AS worst, max(t) AS t FROM mcs_t{_k} GROUP BY 1) AS w JOIN (SELECT b.series_id, b.b, max(b.x / t.sd) AS m FROM mcs_b{_k} b
- JOIN mcs_t{_k} t ON b.series_id = t.series_id AND b.model = t.model GROUP BY 1, 2) AS d ON w.series_id = d.series_id GROUP BY 1, 2""")
-    fragment(f"mcs_e{_k}", f"SELECT series_id, worst AS model, p FROM mcs_w{_k} WHERE p < 0.05")
-    fragment(f"mcs_s{_k + 1}", f"""SELECT s.series_id, s.model FROM mcs_s{_k} s JOIN mcs_e{_k} e ON s.series_id = e.series_id
- WHERE s.model <> e.model""")
-fragment("mcs_p", """SELECT m.series_id, m.model, coalesce(e.p, 1.0) AS p, e.p IS NULL AS in_set FROM bs_m m LEFT JOIN (SELECT * FROM mcs_e1
- UNION ALL SELECT * FROM mcs_e2 UNION ALL SELECT * FROM mcs_e3) AS e ON m.series_id = e.series_id AND m.model = e.model""")
+@query("superior_ability", "SELECT * FROM bs_spa", statistic=8, p=6)
+def superior_ability(spark, sf):
+    return B.superior_ability(supplier_losses(spark, sf), MODELS, replicates=REPS, replicates_per_task=50)
 
 
-@query("confidence_set", "SELECT * FROM mcs_p", p=6)
+@query("confidence_set", "SELECT * FROM bs_mcs", p=6)
 def confidence_set(spark, sf):
     return B.confidence_set(supplier_losses(spark, sf), MODELS, replicates=REPS)
 
 
-@query("loss_test_table")
+_LOSS_TESTS = "SELECT series_id, statistic, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN p END) AS \"{m}\"" for m in MODELS)
+
+
+@query("loss_test_table", _LOSS_TESTS + """ FROM (SELECT series_id, model, 's-SPA' AS statistic, p FROM bo_spa UNION ALL
+ SELECT series_id, model, 'MCS', p FROM bo_mcs) AS q GROUP BY 1, 2""")
 def loss_test_table(spark, sf):
     """Both loss tests with the full number of replicates."""
     r = order_panel(spark, sf)
     loss = E.losses(P.period_filter(N.simple_pool(r), OOS), r)
-    return B.loss_test_table(staged(loss), MODELS, replicates=10000)
+    return B.loss_test_table(staged(loss), MODELS, replicates=FULL_REPS)
 
 
 @query("combined_forecasts")

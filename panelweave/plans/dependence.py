@@ -37,16 +37,25 @@ def values(rows) -> str:
 
 # --- volatility ---
 
-fragment("oms_i", "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM oms")
-fragment("gw", f"""SELECT a.series_id, a.ts, b.i - greatest(a.i - {WINDOW}, 1) + 1 AS k, b.value AS x, least(a.i - 1, {WINDOW}) AS n
- FROM oms_i a JOIN oms_i b ON a.series_id = b.series_id AND b.i BETWEEN a.i - {WINDOW} AND a.i - 1""")
-fragment("gv", "SELECT series_id, ts, n, avg(x * x) AS v, stddev_samp(x) AS sd FROM gw GROUP BY 1, 2, 3")
 fragment("gg", f"SELECT * FROM (VALUES {values(V.variance_grid(V.ALPHAS, V.BETAS))}) AS g(gid, a, b, g)")
-fragment("g_r", """SELECT series_id, ts, n, v, gid, a, b, 0::BIGINT AS k, v AS s2, 0.0::DOUBLE AS ll FROM gv, gg WHERE n >= 10
+
+
+def _garch_fragments(src: str, p: str) -> None:
+    """``{p}_garch``: volatility of every date from the rows before it."""
+    fragment(f"{p}_i", f"SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS i FROM {src}")
+    fragment(f"{p}_gw", f"""SELECT a.series_id, a.ts, b.i - greatest(a.i - {WINDOW}, 1) + 1 AS k, b.value AS x, least(a.i - 1, {WINDOW}) AS n
+ FROM {p}_i a JOIN {p}_i b ON a.series_id = b.series_id AND b.i BETWEEN a.i - {WINDOW} AND a.i - 1""")
+    fragment(f"{p}_gv", f"SELECT series_id, ts, n, avg(x * x) AS v, stddev_samp(x) AS sd FROM {p}_gw GROUP BY 1, 2, 3")
+    fragment(f"{p}_gr", f"""SELECT series_id, ts, n, v, gid, a, b, 0::BIGINT AS k, v AS s2, 0.0::DOUBLE AS ll FROM {p}_gv, gg WHERE n >= 10
  UNION ALL SELECT r.series_id, r.ts, r.n, r.v, r.gid, r.a, r.b, r.k + 1, (1 - r.a - r.b) * r.v + r.a * w.x * w.x + r.b * r.s2,
- r.ll - 0.5 * (ln(r.s2) + w.x * w.x / r.s2) FROM g_r r JOIN gw w ON r.series_id = w.series_id AND r.ts = w.ts AND w.k = r.k + 1""")
-fragment("og", """SELECT series_id, ts, sqrt(s2) AS sigma FROM (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY ll DESC,
- gid) AS rn FROM g_r WHERE k = n) AS q WHERE rn = 1 UNION ALL SELECT series_id, ts, sd FROM gv WHERE n < 10 AND n > 1""")
+ r.ll - 0.5 * (ln(r.s2) + w.x * w.x / r.s2) FROM {p}_gr r JOIN {p}_gw w ON r.series_id = w.series_id AND r.ts = w.ts AND w.k = r.k + 1""")
+    fragment(f"{p}_garch", f"""SELECT series_id, ts, sqrt(s2) AS sigma FROM (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY
+ ll DESC, gid) AS rn FROM {p}_gr WHERE k = n) AS q WHERE rn = 1 UNION ALL SELECT series_id, ts, sd FROM {p}_gv WHERE n < 10 AND n > 1""")
+
+
+_garch_fragments("oms", "o")
+_garch_fragments("smr", "s")
+fragment("og", "SELECT * FROM o_garch")
 
 
 @query("garch_volatility", "SELECT * FROM og", sigma=8)
@@ -54,7 +63,7 @@ def garch_volatility(spark, sf):
     return V.garch_volatility(order_simple(spark, sf))
 
 
-@query("garch_volatility_suppliers")
+@query("garch_volatility_suppliers", "SELECT * FROM s_garch", sigma=6)
 def garch_volatility_suppliers(spark, sf):
     return V.garch_volatility(supplier_returns(spark, sf))
 
@@ -82,43 +91,52 @@ def scaled_residuals(spark, sf):
 
 # --- order choice and marginal filter ---
 
-fragment("bw", f"""SELECT a.series_id, a.ts, b.i - a.i + {WINDOW} AS k, b.value AS y FROM oms_i a JOIN oms_i b ON a.series_id = b.series_id
- AND b.i BETWEEN a.i - {WINDOW - 1} AND a.i WHERE a.i >= {WINDOW}""")
-fragment("bx", """SELECT * FROM (SELECT series_id, ts, k - 2 AS k, y, lag(y, 1) OVER w AS x1, lag(y, 2) OVER w AS x2 FROM bw
- WINDOW w AS (PARTITION BY series_id, ts ORDER BY k)) AS q WHERE k > 0""")
-solve_fragments("bic1", "bx", "series_id, ts", ["x1"])
-solve_fragments("bic2", "bx", "series_id, ts", ["x1", "x2"])
-fragment("be", " UNION ALL ".join(
-    f"SELECT b.series_id, b.ts, {p} AS p, b.k, b.y - ({value_sql('c.coef', xs)}) AS e FROM bx b JOIN bic{p} c "
-    f"ON b.series_id = c.series_id AND b.ts = c.ts" for p, xs in ((1, ["b.x1"]), (2, ["b.x1", "b.x2"]))))
-fragment("bp", """SELECT series_id, ts, p FROM (SELECT series_id, ts, p, row_number() OVER (PARTITION BY series_id, ts ORDER BY
- count(*) * ln(sum(e * e) / count(*)) + (p + 1) * ln(count(*)), p) AS rn FROM be GROUP BY 1, 2, 3) AS q WHERE rn = 1""")
-fragment("me", "SELECT b.series_id, b.ts, b.k, b.e FROM be b JOIN bp p ON b.series_id = p.series_id AND b.ts = p.ts AND b.p = p.p")
-fragment("mv", "SELECT series_id, ts, avg(e * e) AS v, count(*) AS n FROM me GROUP BY 1, 2")
 fragment("mg", f"SELECT * FROM (VALUES {values(V.variance_grid(V.ALPHAS, V.BETAS, V.ASYMMETRIES))}) AS g(gid, a, b, g)")
-fragment("m_r", """SELECT series_id, ts, n, v, gid, a, b, g, 0::BIGINT AS k, v AS s2, 0.0::DOUBLE AS ll FROM mv, mg
+
+
+def _marginal_fragments(p: str) -> None:
+    """``{p}_bp``: order of each window; ``{p}_mz``: its standardised residuals."""
+    fragment(f"{p}_bw", f"""SELECT a.series_id, a.ts, b.i - a.i + {WINDOW} AS k, b.value AS y FROM {p}_i a JOIN {p}_i b
+ ON a.series_id = b.series_id AND b.i BETWEEN a.i - {WINDOW - 1} AND a.i WHERE a.i >= {WINDOW}""")
+    fragment(f"{p}_bx", f"""SELECT * FROM (SELECT series_id, ts, k - 2 AS k, y, lag(y, 1) OVER w AS x1, lag(y, 2) OVER w AS x2 FROM {p}_bw
+ WINDOW w AS (PARTITION BY series_id, ts ORDER BY k)) AS q WHERE k > 0""")
+    solve_fragments(f"{p}_bic1", f"{p}_bx", "series_id, ts", ["x1"])
+    solve_fragments(f"{p}_bic2", f"{p}_bx", "series_id, ts", ["x1", "x2"])
+    fragment(f"{p}_be", " UNION ALL ".join(
+        f"SELECT b.series_id, b.ts, {n} AS p, b.k, b.y - ({value_sql('c.coef', xs)}) AS e FROM {p}_bx b JOIN {p}_bic{n} c "
+        f"ON b.series_id = c.series_id AND b.ts = c.ts" for n, xs in ((1, ["b.x1"]), (2, ["b.x1", "b.x2"]))))
+    fragment(f"{p}_bp", f"""SELECT series_id, ts, p FROM (SELECT series_id, ts, p, row_number() OVER (PARTITION BY series_id, ts ORDER BY
+ count(*) * ln(sum(e * e) / count(*)) + (p + 1) * ln(count(*)), p) AS rn FROM {p}_be GROUP BY 1, 2, 3) AS q WHERE rn = 1""")
+    fragment(f"{p}_me", f"SELECT b.series_id, b.ts, b.k, b.e FROM {p}_be b JOIN {p}_bp p ON b.series_id = p.series_id AND b.ts = p.ts AND b.p = p.p")
+    fragment(f"{p}_mv", f"SELECT series_id, ts, avg(e * e) AS v, count(*) AS n FROM {p}_me GROUP BY 1, 2")
+    fragment(f"{p}_mr", f"""SELECT series_id, ts, n, v, gid, a, b, g, 0::BIGINT AS k, v AS s2, 0.0::DOUBLE AS ll FROM {p}_mv, mg
  UNION ALL SELECT r.series_id, r.ts, r.n, r.v, r.gid, r.a, r.b, r.g, r.k + 1, (1 - r.a - r.b - r.g / 2) * r.v +
- (r.a + CASE WHEN w.e < 0 THEN r.g ELSE 0 END) * w.e * w.e + r.b * r.s2, r.ll - 0.5 * (ln(r.s2) + w.e * w.e / r.s2) FROM m_r r
- JOIN me w ON r.series_id = w.series_id AND r.ts = w.ts AND w.k = r.k + 1""")
-fragment("mb", """SELECT series_id, ts, gid, n FROM (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY ll DESC, gid) AS rn
- FROM m_r WHERE k = n) AS q WHERE rn = 1""")
-fragment("mz", """SELECT b.series_id, b.ts, e.k, b.n, e.e / sqrt(r.s2) AS z FROM mb b JOIN m_r r ON b.series_id = r.series_id AND b.ts = r.ts
- AND b.gid = r.gid JOIN me e ON e.series_id = r.series_id AND e.ts = r.ts AND e.k = r.k + 1""")
+ (r.a + CASE WHEN w.e < 0 THEN r.g ELSE 0 END) * w.e * w.e + r.b * r.s2, r.ll - 0.5 * (ln(r.s2) + w.e * w.e / r.s2) FROM {p}_mr r
+ JOIN {p}_me w ON r.series_id = w.series_id AND r.ts = w.ts AND w.k = r.k + 1""")
+    fragment(f"{p}_mb", f"""SELECT series_id, ts, gid, n FROM (SELECT *, row_number() OVER (PARTITION BY series_id, ts ORDER BY ll DESC, gid) AS rn
+ FROM {p}_mr WHERE k = n) AS q WHERE rn = 1""")
+    fragment(f"{p}_mz", f"""SELECT b.series_id, b.ts, e.k, b.n, e.e / sqrt(r.s2) AS z FROM {p}_mb b JOIN {p}_mr r ON b.series_id = r.series_id
+ AND b.ts = r.ts AND b.gid = r.gid JOIN {p}_me e ON e.series_id = r.series_id AND e.ts = r.ts AND e.k = r.k + 1""")
+
+
+_marginal_fragments("o")
+_marginal_fragments("s")
+_LAST_RESIDUAL = """SELECT a.series_id, a.ts, a.z, (count(*) FILTER (WHERE b.z < a.z) + (count(*) FILTER (WHERE b.z = a.z) + 1)
+ / 2.0::DOUBLE) / (any_value(a.n) + 1) AS u FROM {p}_mz a JOIN {p}_mz b ON a.series_id = b.series_id AND a.ts = b.ts WHERE a.k = a.n
+ GROUP BY 1, 2, 3"""
 
 
-@query("bic_order", "SELECT series_id, ts, CAST(p AS INT) AS ar_order FROM bp")
+@query("bic_order", "SELECT series_id, ts, CAST(p AS INT) AS ar_order FROM o_bp")
 def bic_order(spark, sf):
     return V.window_orders(order_simple(spark, sf))
 
 
-@query("marginal_residuals", """SELECT a.series_id, a.ts, a.z, (count(*) FILTER (WHERE b.z < a.z) + (count(*) FILTER (WHERE b.z = a.z) + 1)
- / 2.0::DOUBLE) / (any_value(a.n) + 1) AS u FROM mz a JOIN mz b ON a.series_id = b.series_id AND a.ts = b.ts WHERE a.k = a.n
- GROUP BY 1, 2, 3""", z=6, u=8)
+@query("marginal_residuals", _LAST_RESIDUAL.format(p="o"), z=6, u=8)
 def marginal_residuals(spark, sf):
     return V.marginal_residuals(order_simple(spark, sf))
 
 
-@query("marginal_residuals_suppliers")
+@query("marginal_residuals_suppliers", _LAST_RESIDUAL.format(p="s"), z=5, u=8)
 def marginal_residuals_suppliers(spark, sf):
     return V.marginal_residuals(supplier_returns(spark, sf))
 
