@@ -93,39 +93,63 @@ fragment("pc_a", "SELECT series_id, [" + ", ".join("[" + ", ".join(f"avg(z{i} *
          + "] AS a FROM pc_z GROUP BY 1")
 _SQUARE = ("list_transform(m, lambda r: list_transform([1, 2, 3, 4], lambda j: list_sum(list_transform([1, 2, 3, 4], "
            "lambda l: r[l] * m[l][j])) / (m[1][1] + m[2][2] + m[3][3] + m[4][4]) ** 2))")
-fragment("pc_p", f"SELECT series_id, a AS m, 0 AS k FROM pc_a UNION ALL SELECT series_id, {_SQUARE}, k + 1 FROM pc_p WHERE k < 12")
-# The columns of a high power are multiples of the first axis; take the one with the largest diagonal.
-fragment("pc_v", """SELECT p.series_id, a.a, m[list_position([m[1][1], m[2][2], m[3][3], m[4][4]], greatest(m[1][1], m[2][2], m[3][3],
- m[4][4]))] AS u FROM pc_p p JOIN pc_a a ON p.series_id = a.series_id WHERE k = 12""")
-fragment("pc_1", """SELECT series_id, a, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y))) * sign(u[list_position(
- list_transform(u, lambda y: abs(y)), list_max(list_transform(u, lambda y: abs(y))))])) AS v FROM pc_v""")
-fragment("pc_e", """SELECT series_id, v, list_sum(list_transform(a, lambda r, i: v[i] * list_sum(list_transform(r, lambda x, j: x * v[j])))) / 4
- AS explained FROM pc_1""")
+
+
+def _axis_fragments(k: int) -> None:
+    """Axis ``k`` from the matrix left after the earlier ones: ``pc_e{k}`` and the rest ``pc_a{k + 1}``.
+
+    The columns of a high power are multiples of the leading axis; the one
+    with the largest diagonal is taken and scaled.
+    """
+    fragment(f"pc_p{k}", f"SELECT series_id, a AS m, 0 AS k FROM pc_a{k} UNION ALL SELECT series_id, {_SQUARE}, k + 1 FROM pc_p{k} WHERE k < 12")
+    fragment(f"pc_v{k}", f"""SELECT p.series_id, a.a, m[list_position([m[1][1], m[2][2], m[3][3], m[4][4]], greatest(m[1][1], m[2][2], m[3][3],
+ m[4][4]))] AS u FROM pc_p{k} p JOIN pc_a{k} a ON p.series_id = a.series_id WHERE k = 12""")
+    fragment(f"pc_n{k}", f"""SELECT series_id, a, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y))) * sign(u[list_position(
+ list_transform(u, lambda y: abs(y)), list_max(list_transform(u, lambda y: abs(y))))])) AS v FROM pc_v{k}""")
+    fragment(f"pc_e{k}", f"""SELECT series_id, a, v, list_sum(list_transform(a, lambda r, i: v[i] * list_sum(list_transform(r, lambda x, j: x * v[j])))) / 4
+ AS explained FROM pc_n{k}""")
+    fragment(f"pc_a{k + 1}", f"""SELECT series_id, list_transform(a, lambda r, i: list_transform(r, lambda x, j: x - 4 * explained * v[i] * v[j])) AS a
+ FROM pc_e{k}""")
+
+
+fragment("pc_a1", "SELECT * FROM pc_a")
+for _k in (1, 2, 3, 4):
+    _axis_fragments(_k)
+fragment("pc_every", " UNION ALL ".join(f"SELECT series_id, {k} AS k, v, explained FROM pc_e{k}" for k in (1, 2, 3, 4)))
+# An axis is kept while the ones before it explain no more than the share asked for.
+fragment("pc_kept", """SELECT * FROM (SELECT *, coalesce(sum(explained) OVER (PARTITION BY series_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND
+ 1 PRECEDING), 0) AS before FROM pc_every) AS q WHERE before <= 0.95""")
+fragment("pc_models", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {i})" for i, m in enumerate(PCA_MODELS, 1)) + ") AS m(model, i)")
 
 
 def pca_pool(spark, sf):
     return staged(N.simple_pool(supplier_panel(spark, sf), PCA_SPANS))
 
 
-@query("pca_first_axis", "SELECT e.series_id, m.model, e.v[m.i] AS weight, e.explained, s.mean, s.scale FROM pc_e e, (VALUES "
-       + ", ".join(f"('{m}', {i})" for i, m in enumerate(PCA_MODELS, 1))
-       + ") AS m(model, i) JOIN pc_stat s ON e.series_id = s.series_id AND m.model = s.model", weight=6, explained=6, mean=8, scale=8)
+@query("pca_axes", """SELECT e.series_id, CAST(e.k AS INT) AS k, m.model, e.v[m.i] AS weight, e.explained, s.mean, s.scale FROM pc_kept e, pc_models m
+ JOIN pc_stat s ON m.model = s.model WHERE e.series_id = s.series_id""", weight=5, explained=6, mean=8, scale=8)
+def pca_axes(spark, sf):
+    return C.loadings(pca_pool(spark, sf))
+
+
+@query("pca_first_axis", """SELECT e.series_id, m.model, e.v[m.i] AS weight, e.explained, s.mean, s.scale FROM pc_e1 e, pc_models m
+ JOIN pc_stat s ON m.model = s.model WHERE e.series_id = s.series_id""", weight=6, explained=6, mean=8, scale=8)
 def pca_first_axis(spark, sf):
     return C.loadings(pca_pool(spark, sf)).where("k = 1").drop("k")
 
 
-@query("pca_components", """SELECT p.series_id, p.ts, 1::INT AS k, sum((p.yhat - s.mean) / s.scale * e.v[list_position(['RW', 'SMA(3)',
- 'SMA(4)', 'SMA(5)'], p.model)]) AS score FROM pc_pool p JOIN pc_stat s ON p.series_id = s.series_id AND p.model = s.model
- JOIN pc_e e ON p.series_id = e.series_id GROUP BY 1, 2""", score=5)
+@query("pca_components", """SELECT p.series_id, p.ts, CAST(e.k AS INT) AS k, sum((p.yhat - s.mean) / s.scale * e.v[m.i]) AS score FROM pc_pool p
+ JOIN pc_stat s ON p.series_id = s.series_id AND p.model = s.model JOIN pc_models m ON p.model = m.model JOIN pc_kept e
+ ON p.series_id = e.series_id GROUP BY 1, 2, 3""", score=5)
 def pca_components(spark, sf):
-    """Scores of the first axis on all dates, in sample and out."""
+    """Scores of the kept axes on all dates, in sample and out."""
     pool = pca_pool(spark, sf)
-    return C.project(pool, C.loadings(pool).where("k = 1"))
+    return C.project(pool, C.loadings(pool))
 
 
 @query("pca_full")
 def pca_full(spark, sf):
-    """All axes up to 95% of the variance of a bank of moving averages."""
+    """All axes up to 95% of the variance of a wider bank."""
     bank = N.sma_bank(supplier_panel(spark, sf), range(3, 9)).where("yhat IS NOT NULL")
     return C.loadings(staged(bank))
 
@@ -143,20 +167,22 @@ def project_on_stored_axes(spark, sf):
     return C.project(P.period_filter(pool, OOS), read_table(spark, path))
 
 
-@query("component_representatives", """WITH b AS (SELECT series_id, model FROM best_s), l AS (SELECT e.series_id, list_position(
- list_transform(e.v, lambda y: abs(y)), list_max(list_transform(e.v, lambda y: abs(y)))) AS i FROM pc_e e),
- r AS (SELECT l.series_id, ['RW', 'SMA(3)', 'SMA(4)', 'SMA(5)'][l.i] AS model FROM l),
- u AS (SELECT coalesce(r.series_id, b.series_id) AS series_id, coalesce(r.model, b.model) AS m, r.model IS NOT NULL AS picked,
- b.model IS NOT NULL AS best FROM r FULL JOIN b ON r.series_id = b.series_id AND r.model = b.model)
- SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY picked) AS INT) AS rank,
- m || CASE WHEN best THEN ' [BEST]' ELSE '' END AS model, CASE WHEN picked THEN 1::INT END AS component FROM u""")
+@query("component_representatives", """WITH b AS (SELECT series_id, model FROM best_s), l AS (SELECT e.series_id, e.k, list_position(
+ list_transform(e.v, lambda y: abs(y)), list_max(list_transform(e.v, lambda y: abs(y)))) AS i FROM pc_kept e),
+ r AS (SELECT l.series_id, m.model, min(l.k) AS k FROM l JOIN pc_models m ON l.i = m.i GROUP BY 1, 2),
+ u AS (SELECT coalesce(r.series_id, b.series_id) AS series_id, coalesce(r.model, b.model) AS m, r.k, b.model IS NOT NULL AS best
+ FROM r FULL JOIN b ON r.series_id = b.series_id AND r.model = b.model)
+ SELECT series_id, CAST(row_number() OVER (PARTITION BY series_id ORDER BY coalesce(k, 0)) AS INT) AS rank,
+ m || CASE WHEN best THEN ' [BEST]' ELSE '' END AS model, CAST(k AS INT) AS component FROM u""")
 def component_representatives(spark, sf):
     r = supplier_panel(spark, sf)
     pool = staged(N.simple_pool(r, PCA_SPANS))
-    return C.representatives(C.loadings(pool).where("k = 1"), best_in(r))
+    return C.representatives(C.loadings(pool), best_in(r))
 
 
-@query("selection_report")
+@query("selection_report", """SELECT k.series_id, 4::BIGINT AS n_models, 4::BIGINT AS n_kept, count(*) AS n_components, sum(k.explained) AS variance,
+ any_value(b.model) AS best_model, any_value(b.rmse) AS best_rmse FROM pc_kept k JOIN best_s b ON k.series_id = b.series_id GROUP BY 1""",
+       variance=6, best_rmse=8)
 def selection_report(spark, sf):
     r = supplier_panel(spark, sf)
     pool = staged(N.simple_pool(r, PCA_SPANS))

@@ -15,7 +15,7 @@ SF = os.environ.get("PANELWEAVE_SF", "/root/testdata/sf0.001")
 FAMILIES = {
     "log_returns", "split_counts", "split_problems", "pool_impute", "cross_product_features", "calendar_fill", "strategy_grid", "sma_bank", "ema_bank",
     "describe_series", "spearman_matrix", "metric_bundle", "test_table", "best_forecast_lookup", "value_at_risk", "performance_bundle",
-    "ar_forecasts", "arma_forecasts", "knn_forecasts", "star_forecasts", "unit_root_test", "model_weights", "dma_forecasts", "pca_first_axis",
+    "ar_forecasts", "arma_forecasts", "knn_forecasts", "star_forecasts", "unit_root_test", "model_weights", "dma_forecasts", "pca_axes",
     "ridge_combination", "superior_ability", "confidence_set", "garch_volatility", "marginal_residuals", "adcc_correlation",
     "score_driven_correlation", "copula_degrees", "residual_scenarios", "strategy_metrics", "best_tangent", "factor_file_rows", "merged_parts",
     "stream_resume",
