@@ -19,7 +19,7 @@ from panelweave.plans.panels import order_returns, supplier_returns
 from panelweave.plans.registry import fragment, query
 from panelweave.plans.solve_sql import solve_fragments, value_sql
 from panelweave.session import scratch_path
-from panelweave.sources.stores import read_strategy, staged, write_table
+from panelweave.sources.stores import read_table, staged, write_table
 
 
 def order_simple(spark, sf):
@@ -276,11 +276,11 @@ def covariance_matrix(spark, sf):
 
 
 @query("stored_correlations", """SELECT model, ts, CASE WHEN s1 = 'MACHINERY' THEN 'MACH' ELSE s1 END AS s1,
- CASE WHEN s2 = 'MACHINERY' THEN 'MACH' ELSE s2 END AS s2, rho FROM (SELECT 'DCC' AS model, * FROM dcc_o) AS q""", rho=6)
+ CASE WHEN s2 = 'MACHINERY' THEN 'MACH' ELSE s2 END AS s2, rho FROM corr_o""", rho=6)
 def stored_correlations(spark, sf):
-    """Written by one run, read back by model folder with series names mapped."""
+    """Written by one run in a folder per model, read back with series names mapped."""
     path = write_table(all_correlations(order_simple(spark, sf)), scratch_path(spark, "corr"), ["model"])
-    return P.rename_series(read_strategy(spark, path, model="DCC"), {"MACHINERY": "MACH"}, "s1", "s2")
+    return P.rename_series(read_table(spark, path), {"MACHINERY": "MACH"}, "s1", "s2")
 
 
 # --- copula parameters and scenarios ---

@@ -66,11 +66,13 @@ def momentum_file_rows(spark, sf):
     return X.parse_single(lines, "MOM")
 
 
-@query("panel_projection", "SELECT series_id, ts, value FROM omr WHERE series_id IN ('BUILDING', 'MACHINERY')", value=8)
+@query("panel_projection", "SELECT series_id, ts, value FROM omr", value=8)
 def panel_projection(spark, sf):
-    """A stored panel partitioned by series; only the asked series are read."""
-    path = stores.write_table(order_returns(spark, sf), scratch_path(spark, "panel"), ["series_id"])
-    return stores.read_table(spark, path).where(F.col("series_id").isin("BUILDING", "MACHINERY")).select("series_id", "ts", "value")
+    """The five assets out of a stored panel that holds other series too, by folder."""
+    others = P.month_end(T.lineitem_daily(spark, sf)).groupBy("series_id", "ts").agg(F.sum("value").alias("value"))
+    panel = order_returns(spark, sf).unionByName(P.log_returns(others))
+    path = stores.write_table(panel, scratch_path(spark, "panel"), ["series_id"])
+    return stores.read_table(spark, path).where(F.col("series_id").isin(*ASSETS)).select("series_id", "ts", "value")
 
 
 @query("stored_forecasts", "SELECT series_id, model, ts, exp(yhat) - 1 AS yhat FROM pool_s", yhat=8)

@@ -231,11 +231,12 @@ def calendar_fill(spark, sf):
 
 
 @query("calendar_reindex", """WITH c AS (SELECT last_day(unnest(generate_series(date_trunc('month', min(ts)),
- date_trunc('month', max(ts)), INTERVAL 1 MONTH))) AS ts FROM sm), f AS (SELECT ts, yhat FROM pool_o
- WHERE series_id = 'BUILDING' AND model = 'SMA(12)') SELECT c.ts, f.yhat FROM c LEFT JOIN f ON c.ts = f.ts""", yhat=8)
+ date_trunc('month', max(ts)), INTERVAL 1 MONTH))) AS ts FROM sm), f AS (SELECT ts, avg(yhat) AS yhat FROM pool_o
+ GROUP BY 1) SELECT c.ts, f.yhat FROM c LEFT JOIN f ON c.ts = f.ts""", yhat=8)
 def calendar_reindex(spark, sf):
-    one = N.simple_pool(order_returns(spark, sf)).where("series_id = 'BUILDING' AND model = 'SMA(12)'").select("ts", "yhat")
-    return P.reindex(one, P.calendar(T.supplier_monthly(spark, sf)))
+    """The mean forecast of each date on the longer calendar of the supplier panel."""
+    mean = N.simple_pool(order_returns(spark, sf)).groupBy("ts").agg(F.avg("yhat").alias("yhat"))
+    return P.reindex(mean, P.calendar(T.supplier_monthly(spark, sf)))
 
 
 @query("common_dates", """SELECT ts FROM sm INTERSECT SELECT ts FROM om""")

@@ -24,6 +24,8 @@ def build_session(app: str = "panelweave", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Staged copies go when nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # A row handed to Python may hold a whole series: keep batches small.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
         # Tables already split by series join on (series, date) without another shuffle.
