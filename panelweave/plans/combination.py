@@ -95,15 +95,19 @@ _SQUARE = ("list_transform(m, lambda r: list_transform([1, 2, 3, 4], lambda j: l
            "lambda l: r[l] * m[l][j])) / (m[1][1] + m[2][2] + m[3][3] + m[4][4]) ** 2))")
 
 
+# Enough that two axes of almost equal variance are told apart.
+SQUARINGS = 18
+
+
 def _axis_fragments(k: int) -> None:
     """Axis ``k`` from the matrix left after the earlier ones: ``pc_e{k}`` and the rest ``pc_a{k + 1}``.
 
     The columns of a high power are multiples of the leading axis; the one
     with the largest diagonal is taken and scaled.
     """
-    fragment(f"pc_p{k}", f"SELECT series_id, a AS m, 0 AS k FROM pc_a{k} UNION ALL SELECT series_id, {_SQUARE}, k + 1 FROM pc_p{k} WHERE k < 12")
+    fragment(f"pc_p{k}", f"SELECT series_id, a AS m, 0 AS k FROM pc_a{k} UNION ALL SELECT series_id, {_SQUARE}, k + 1 FROM pc_p{k} WHERE k < {SQUARINGS}")
     fragment(f"pc_v{k}", f"""SELECT p.series_id, a.a, m[list_position([m[1][1], m[2][2], m[3][3], m[4][4]], greatest(m[1][1], m[2][2], m[3][3],
- m[4][4]))] AS u FROM pc_p{k} p JOIN pc_a{k} a ON p.series_id = a.series_id WHERE k = 12""")
+ m[4][4]))] AS u FROM pc_p{k} p JOIN pc_a{k} a ON p.series_id = a.series_id WHERE k = {SQUARINGS}""")
     fragment(f"pc_n{k}", f"""SELECT series_id, a, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y))) * sign(u[list_position(
  list_transform(u, lambda y: abs(y)), list_max(list_transform(u, lambda y: abs(y))))])) AS v FROM pc_v{k}""")
     fragment(f"pc_e{k}", f"""SELECT series_id, a, v, list_sum(list_transform(a, lambda r, i: v[i] * list_sum(list_transform(r, lambda x, j: x * v[j])))) / 4

@@ -65,6 +65,23 @@ def test_ar_matches_least_squares(make_panel, order):
     assert list(got) == list(want) and list(got.values()) == pytest.approx(list(want.values()), abs=1e-8)
 
 
+def test_two_step_arma_matches_loop(make_panel):
+    ar, ma, longest = 8, 6, 10
+    x = np.concatenate([X1, X2])
+    ts = months(len(x))
+    got = series(M.arma_forecasts(make_panel(a=x), ar, ma, longest), "a", "ARMA(2,3)")
+    train = lambda t: TRAIN.start <= ts[t] < TRAIN.end
+    fit = lambda rows, f: np.linalg.lstsq(np.array([f(t) for t in rows]), x[rows], rcond=None)[0]
+    past = lambda t: [1, *x[t - longest:t][::-1]]
+    first = fit([t for t in range(longest, len(x)) if train(t)], past)
+    shock = {t: x[t] - np.dot(first, past(t)) for t in range(longest, len(x))}
+    both = lambda t: [1, x[t - 1], x[t - 2], *[shock[t - k] for k in (1, 2, 3)]]
+    rows = [t for t in range(longest + ma, len(x))]
+    second = fit([t for t in rows if train(t)], both)
+    want = {ts[t]: float(np.dot(second, both(t))) for t in rows}
+    assert list(got) == list(want) and list(got.values()) == pytest.approx(list(want.values()), abs=1e-7)
+
+
 def test_moments_agree_on_both_paths(spark, monkeypatch):
     pdf = pd.DataFrame(RNG.normal(size=(500, 4)), columns=["x1", "x2", "x3", "y"]).assign(k=np.where(np.arange(500) < 350, "hot", "cold"))
     df = spark.createDataFrame(pdf)
