@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, packing, personal_data, sharding
+from panelweave.llm import decontaminate, fitting, near_text, near_vectors, packing, personal_data, quality, sharding, toxic_spans
 from panelweave.llm.common import sha_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SHARDS = 40
+#: The score from which a document counts as good.
+GOOD = 0.7
 
 
 def query(name: str, sql: str | None = None):
@@ -72,3 +74,57 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pack")
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe(), keep_ids=False)
+
+
+def quality_model(spark: SparkSession, documents: DataFrame, sf_dir: str) -> quality.Model:
+    """The quality model, from the labels outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels")
+    return quality.fit(documents, labels.where(fitting.fold(F.col("doc_id"), 4) != 2))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    scored = quality.score(documents, quality_model(spark, documents, sf_dir))
+    return scored.select("doc_id", (fitting.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = toxic_spans.fit(documents, labels.where(fitting.fold(F.col("doc_id"), 5) != 0))
+    tagged = toxic_spans.tag(documents, field)
+    return tagged.select("doc_id", (fitting.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         F.size("spans").alias("n_spans"))
+
+
+@query("op2_near_text", rf"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+             FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE 100 * k >= 80 * (m.n + n.n - k)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON reach.seen = both_ways.a),
+lowest AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) JOIN lowest ON node = doc_id""")
+def op2_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_text.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+@query("op3_near_vectors", """
+WITH RECURSIVE good AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x, good y
+          WHERE x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+            AND list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.9),
+reach(node, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.seen = links.a),
+lowest AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = vec_id AS kept
+FROM embeddings JOIN lowest ON node = vec_id LEFT JOIN counts ON a = vec_id""")
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
