@@ -34,14 +34,23 @@ def features(word: bytes) -> list[str]:
     return ["w" + core] + ["4" + core[:4]] * (len(core) >= 4) + ["5" + core[:5]] * (len(core) >= 5)
 
 
-def telling(sample: list[tuple[int, list[set[str]]]], least_docs: int, odds: float) -> set[str]:
-    """Features that occur in at least ``least_docs`` toxic texts, and ``odds`` times as often as in others."""
-    seen, n = (Counter(), Counter()), [0, 0]
-    for label, words in sample:
-        n[label] += 1
-        seen[label].update(set().union(*words) if words else ())
+def telling(lines: list[tuple[int, list[bytes]]], known: dict[bytes, list[str]], least: int, odds: float) -> set[str]:
+    """Features that occur in at least ``least`` surroundings in toxic texts, and ``odds`` times as often as in others.
+
+    An occurrence is told by the words before and after it, and counts once: a text that is copied many times says no
+    more than one.
+    """
+    seen: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
+    size = [set(), set()]
+    for label, words in lines:
+        for before, w, after in zip([b"", *words], words, [*words[1:], b""]):
+            place = hash((before, after))
+            size[label].add(hash((before, w)))
+            for f in known[w]:
+                seen[label].setdefault(f, set()).add(place)
+    n = [len(s) + 1 for s in size]
     return {f for f, k in seen[1].items()
-            if k >= least_docs and math.log((k + 0.5) / (n[1] + 1)) - math.log((seen[0][f] + 0.5) / (n[0] + 1)) >= math.log(odds)}
+            if len(k) >= least and math.log((len(k) + 0.5) / n[1]) - math.log((len(seen[0].get(f, ())) + 0.5) / n[0]) >= math.log(odds)}
 
 
 @dataclass(frozen=True)
@@ -80,7 +89,7 @@ class Field:
         return sigmoid(a * max(marginals, default=0.0) + b * math.log1p(sum(marginals)) + c)
 
 
-def train(lines: list[np.ndarray], marks: list[np.ndarray], n_features: int, rounds: int = 40, rate: float = 0.4, ridge: float = 1e-6):
+def train(lines: list[np.ndarray], marks: list[np.ndarray], n_features: int, rounds: int = 30, rate: float = 0.4, ridge: float = 1e-6):
     """Feature weights, bias and the four transition scores that maximise the tokens' conditional likelihood.
 
     ``lines`` has a (tokens, 3) array of feature numbers per text, ``n_features`` standing for none; ``marks`` the
@@ -142,7 +151,7 @@ def _not_last(n: int) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, least_docs: int = 4, odds: float = 25.0) -> Field:
+        per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES, least: int = 3, odds: float = 25.0) -> Field:
     """Fit on a bounded sample of the labelled texts, see labelled_sample; four fifths fit the field, one calibrates it.
 
     Document scores are calibrated with the classes weighed by how often the labels name them. With labels of one
@@ -160,9 +169,9 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
         for w in line:
             if w not in known:
                 known[w] = features(w)
-    marked = telling([(label, [set(known[w]) for w in set(line)]) for (label, _), line in zip(sample[cut:], words[cut:])], least_docs, odds)
+    marked = telling([(label, line) for (label, _), line in zip(sample[cut:], words[cut:])], known, least, odds)
     often = Counter(f for line in words[cut:] for w in set(line) for f in known[w])
-    names = {f: i for i, f in enumerate(sorted(f for f, k in often.items() if k >= 3 or f in marked))}
+    names = {f: i for i, f in enumerate(sorted(f for f, k in often.items() if k >= 5 or f in marked))}
     none = len(names)
     numbers = {w: ([names.get(f, none) for f in fs] + [none] * 3)[:3] for w, fs in known.items()}
     toxic = {w for w, fs in known.items() if any(f in marked for f in fs)}
