@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, fitting, near_text, near_vectors, packing, personal_data, quality, sharding, toxic_spans
+from panelweave.llm import decontaminate, fitting, near_text, near_vectors, packing, passages, personal_data, quality, sharding, suffixes, toxic_spans
 from panelweave.llm.common import sha_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,13 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = v
 FROM embeddings JOIN lowest ON node = vec_id LEFT JOIN counts ON a = vec_id""")
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_repeats")
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op9_passages")
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf_dir, "documents"))
