@@ -130,6 +130,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
                       F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: int = 80) -> DataFrame:
+    """One row, with all its columns, of every group of near duplicates: that of the smallest id.
+
+    Rows with a null id all stay; of several rows with one id one stays.
+    """
+    found = near_duplicates(documents, id_col, text_col, size, similarity)
+    kept = found.where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+    rows = documents.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return rows.unionByName(documents.where(F.col(id_col).isNull()))
+
+
 def _alike(a: Column, b: Column, similarity: int) -> Column:
     """Whether sets of these sizes can be as similar as asked, in per cent."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * similarity
