@@ -20,9 +20,6 @@ TEST = Split("TEST", dt.date(1998, 1, 1), dt.date(2000, 1, 1))
 OOS = Split("OOS", dt.date(2000, 1, 1), dt.date(2002, 1, 1))
 SPLITS = (TRAIN, TEST, OOS)
 
-# The first day of the month that the orders table covers only in part.
-ORDERS_END = dt.date(2001, 8, 1)
-
 # The five assets of the orders panel, in the order used by weight vectors.
 ASSETS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from panelweave.config import OOS, TEST, TRAIN, Split
 from panelweave.operators.forecast import in_period, per_series
 from panelweave.operators.panel import series_arrays, spread
-from panelweave.operators.regression import coefficients, linear_value, moments
+from panelweave.operators.regression import coefficients, linear_value, moments, vector_moments
 
 IN_SAMPLE = Split("IN_SAMPLE", TRAIN.start, TEST.end)
 
@@ -46,34 +46,37 @@ def loadings(pool: DataFrame, fit: Split = IN_SAMPLE, share: float = 0.95) -> Da
     """Principal axes of each series' pool up to a share of its variance.
 
     Rows ``(series_id, k, model, weight, explained, mean, scale)``; the largest
-    weight of an axis is made positive. One series is a dates-by-models matrix,
-    bounded by the calendar and the model list; series run in parallel.
+    weight of an axis is made positive. Spark sums the cross products of the
+    standardised forecasts over dates, and the axes are those of the summed
+    matrix: what is solved per series grows with its models alone.
     """
     stats = pool_moments(pool, fit)
     z = standard_scores(pool.where(in_period(fit)), stats)
-    packed = (
-        spread(z, "series_id").groupBy("series_id").agg(F.collect_list(F.struct("ts", "model", "z")).alias("s"))
-        .select("series_id", F.col("s.ts").alias("ts"), F.col("s.model").alias("model"), F.col("s.z").alias("z"))
-    )
+    models = stats.groupBy("series_id").agg(F.sort_array(F.collect_set("model")).alias("models"))
+    dates = z.groupBy("series_id", "ts").agg(F.map_from_entries(F.collect_list(F.struct("model", "z"))).alias("z"))
+    # A missing forecast equals the mean.
+    line = F.concat(F.array(F.lit(1.0)), F.transform("models", lambda m: F.coalesce(F.try_element_at("z", m), F.lit(0.0))))
+    summed = vector_moments(dates.join(models, "series_id").select("series_id", line.alias("v")), ["series_id"]).join(models, "series_id")
 
     def one(row) -> pd.DataFrame:
-        models, column = np.unique(np.asarray(row.model, dtype=str), return_inverse=True)
-        dates, line = np.unique(np.asarray(row.ts, dtype="datetime64[D]"), return_inverse=True)
-        x = np.zeros((len(dates), len(models)))  # a missing forecast equals the mean
-        x[line, column] = np.asarray(row.z, dtype=float)
-        _, singular, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-        explained = singular ** 2 / (singular ** 2).sum()
-        keep = int(np.searchsorted(explained.cumsum(), share, side="right")) + 1
-        keep = min(keep, len(explained))
+        size = len(row.models)
+        full = np.zeros((size + 1, size + 1))
+        full[np.triu_indices(size + 1)] = row.moments
+        n, total = full[0, 0], full[0, 1:]
+        centred = np.triu(full[1:, 1:]) + np.triu(full[1:, 1:], 1).T - np.outer(total, total) / n
+        roots, vectors = np.linalg.eigh(centred)
+        roots, axes = np.maximum(roots[::-1], 0), vectors[:, ::-1].T
+        explained = (roots / roots.sum())[:min(size, max(int(n) - 1, 1))]
+        keep = min(int(np.searchsorted(explained.cumsum(), share, side="right")) + 1, len(explained))
         axes = axes[:keep]
         largest = np.abs(axes).argmax(axis=1)
         axes = axes * np.sign(axes[np.arange(keep), largest])[:, None]
         return pd.DataFrame({
-            "series_id": row.series_id, "k": np.repeat(np.arange(1, keep + 1), len(models)),
-            "model": np.tile(models, keep), "weight": axes.reshape(-1), "explained": np.repeat(explained[:keep], len(models)),
+            "series_id": row.series_id, "k": np.repeat(np.arange(1, keep + 1), size),
+            "model": np.tile(np.asarray(row.models, dtype=str), keep), "weight": axes.reshape(-1), "explained": np.repeat(explained[:keep], size),
         })
 
-    axes = per_series(packed, one, "series_id string, k int, model string, weight double, explained double")
+    axes = per_series(spread(summed, "series_id"), one, "series_id string, k int, model string, weight double, explained double")
     return axes.join(stats, ["series_id", "model"]).select(
         "series_id", "k", "model", "weight", "explained", "mean", "scale")
 
@@ -81,13 +84,17 @@ def loadings(pool: DataFrame, fit: Split = IN_SAMPLE, share: float = 0.95) -> Da
 def project(pool: DataFrame, axes: DataFrame) -> DataFrame:
     """Component scores ``(series_id, ts, k, score)`` on stored axes.
 
-    A missing forecast counts as the fit-period mean and so adds nothing.
+    A missing forecast counts as the fit-period mean and so adds nothing. A
+    model's weights on all axes meet its forecasts once, as a map.
     """
+    weights = axes.groupBy("series_id", "model").agg(
+        F.first("mean").alias("mean"), F.first("scale").alias("scale"), F.collect_list(F.struct("k", "weight")).alias("w"))
     z = (F.col("yhat") - F.col("mean")) / F.col("scale")
-    return (
-        pool.where(F.col("yhat").isNotNull()).join(axes, ["series_id", "model"])
-        .groupBy("series_id", "ts", "k").agg(F.sum(z * F.col("weight")).alias("score"))
+    lines = (
+        pool.where(F.col("yhat").isNotNull()).join(weights, ["series_id", "model"])
+        .select("series_id", "ts", F.explode(F.transform("w", lambda w: F.struct(w["k"].alias("k"), (w["weight"] * z).alias("x")))).alias("p"))
     )
+    return lines.groupBy("series_id", "ts", F.col("p.k").alias("k")).agg(F.sum("p.x").alias("score"))
 
 
 def components_wide(scores: DataFrame, v: int) -> DataFrame:
@@ -159,16 +166,26 @@ def model_weights(scores: DataFrame, forget: float = 0.99) -> DataFrame:
     """Weights of models from their past log densities, with forgetting.
 
     ``scores`` are rows (series_id, model, ts, ll) on dates common to all models.
-    The log weight at t is ``sum over s < t of forget^(t-s) * ll_s``, a running
-    sum after scaling each term by ``forget^-s``; weights sum to one per date.
+    The log weight at t is ``sum over s < t of forget^(t-s) * ll_s``, kept as the
+    recursion ``lw = forget * (lw + ll)`` along a model's dates, which neither
+    grows nor vanishes however long the series; weights sum to one per date.
     """
-    order = W.partitionBy("series_id", "model").orderBy("ts")
-    t = F.row_number().over(order)
-    past = F.sum("scaled").over(order.rowsBetween(W.unboundedPreceding, -1))
+    packed = (
+        spread(scores.select("series_id", "model", "ts", "ll"), "series_id", "model").groupBy("series_id", "model")
+        .agg(F.sort_array(F.collect_list(F.struct("ts", "ll"))).alias("s"))
+        .select("series_id", "model", F.col("s.ts").alias("ts"), F.col("s.ll").alias("ll"))
+    )
+
+    def one(row) -> pd.DataFrame:
+        weight, out = 0.0, []
+        for ll in row.ll:
+            out.append(weight)
+            weight = forget * (weight + ll)
+        return pd.DataFrame({"series_id": row.series_id, "model": row.model, "ts": row.ts, "lw": out})
+
     per_date = W.partitionBy("series_id", "ts")
     return (
-        scores.withColumn("t", t).withColumn("scaled", F.col("ll") * F.pow(F.lit(forget), -F.col("t")))
-        .withColumn("lw", F.coalesce(past, F.lit(0.0)) * F.pow(F.lit(forget), F.col("t")))
+        per_series(packed, one, "series_id string, model string, ts date, lw double")
         .withColumn("e", F.exp(F.col("lw") - F.max("lw").over(per_date)))
         .select("series_id", "model", "ts", (F.col("e") / F.sum("e").over(per_date)).alias("w"))
     )
@@ -202,10 +219,9 @@ def filter_paths(y: np.ndarray, x: np.ndarray, masks: np.ndarray, forget_state:
         a = eye - gain[:, :, None] * f[:, None, :]
         cov = a @ (cov / forget_state) @ a.transpose(0, 2, 1) + noise[:, None, None] * gain[:, :, None] * gain[:, None, :]
         cov = cov * inside + idle
-        trace = np.einsum("nii->n", cov)
-        for i in np.flatnonzero((trace > 1e6) | ~np.isfinite(trace)):
-            if not np.isfinite(trace[i]) or np.abs(np.linalg.eigvalsh(cov[i])).max() > 1e6:
-                cov[i] = eye
+        sound = np.isfinite(cov).all(axis=(1, 2))
+        roots = np.linalg.eigvalsh(np.where(sound[:, None, None], cov, eye))
+        cov[~sound | (roots[:, 0] < 0) | (roots[:, -1] > 1e6)] = eye
         noise = np.where(active, np.maximum(forget_state * noise + (1 - forget_state) * error ** 2, 1e-6), noise)
     return mean, density
 

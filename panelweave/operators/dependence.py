@@ -18,7 +18,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.config import WINDOW
-from panelweave.operators.panel import spread, wide
+from panelweave.operators.panel import onto_later, spread, wide
+from panelweave.sources.stores import staged
 
 CORR = "model string, ts date, s1 string, s2 string, rho double"
 DCC_GRID = ((0.01, 0.03, 0.05, 0.08, 0.12), (0.6, 0.75, 0.85, 0.92, 0.96))
@@ -31,13 +32,12 @@ CELLS = 2_000_000
 def date_windows(residuals: DataFrame, assets: Sequence[str], window: int = WINDOW) -> DataFrame:
     """``ts`` and the ``window`` residual vectors before it, full windows only.
 
-    One row per date with as many values as there are assets: the sort that
-    builds the windows is over the calendar, whatever the raw data volume.
+    A date's vector goes to each of the dates after it that need it; a date
+    with its window is then a group of its own.
     """
-    rows = wide(residuals, assets).withColumn("universe", F.lit(0))
-    before = W.partitionBy("universe").orderBy("ts").rowsBetween(-window, -1)
-    out = rows.withColumn("window", F.collect_list("v").over(before)).where(F.size("window") == window)
-    return out.select("ts", "window")
+    later = onto_later(wide(residuals, assets), window)
+    out = later.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("ts", "v"))).alias("w")).where(F.size("w") == window)
+    return out.select(F.col("target").alias("ts"), F.col("w.v").alias("window"))
 
 
 def _by_date(windows: DataFrame, assets: Sequence[str], model: str, grid_size: int, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -241,12 +241,12 @@ def copula_degrees(residuals: DataFrame, corr: DataFrame, assets: Sequence[str],
     rest = 1 - F.col("rho") * F.col("rho")
     q = (F.col("x") * F.col("x") - 2 * F.col("rho") * F.col("x") * F.col("y") + F.col("y") * F.col("y")) / rest
     density = lambda nu: F.sum(-math.log(2 * math.pi) - 0.5 * F.log(rest) - (nu + 2) / 2 * F.log1p(q / nu))
-    per_date = rows.groupBy("ts").agg(*[density(nu).alias(f"n{i}") for i, nu in enumerate(nus)]).withColumn("universe", F.lit(0))
-    before = W.partitionBy("universe").orderBy("ts").rowsBetween(-window, -1)
-    grid = F.array(*[F.struct(F.sum(f"n{i}").over(before).alias("ll"), F.lit(-i).alias("i"), F.lit(nu).alias("nu"))
-                     for i, nu in enumerate(nus)])
-    out = per_date.select("ts", F.count("*").over(before).alias("n"), grid.alias("grid"))
-    return out.select("ts", F.when(F.col("n") < minimum, 8.0).otherwise(F.array_max("grid")["nu"]).alias("nu"))
+    per_date = rows.groupBy("ts").agg(*[density(nu).alias(f"n{i}") for i, nu in enumerate(nus)])
+    per_date = staged(per_date)
+    grid = F.array(*[F.struct(F.sum(f"n{i}").alias("ll"), F.lit(-i).alias("i"), F.lit(nu).alias("nu")) for i, nu in enumerate(nus)])
+    seen = onto_later(per_date, window).groupBy(F.col("target").alias("ts")).agg(F.count("*").alias("n"), grid.alias("grid"))
+    out = per_date.select("ts").join(seen, "ts", "left")
+    return out.select("ts", F.when(F.col("n") >= minimum, F.array_max("grid")["nu"]).otherwise(8.0).alias("nu"))
 
 
 def copula_skew(residuals: DataFrame, degrees: DataFrame, window: int = WINDOW, minimum: int = 12, bound: float = 2.0) -> DataFrame:

@@ -89,11 +89,9 @@ def pair_products(panel: DataFrame, assets: Sequence[str]) -> DataFrame:
     return wide(panel, assets).select("ts", F.inline(pair_table(assets, lambda i, j: v[i] * v[j])))
 
 
-def coverage(panel: DataFrame, n_series: int) -> DataFrame:
-    """How many periods have all series, and how many there are."""
+def coverage(panel: DataFrame) -> DataFrame:
+    """How many periods have all the panel's series, and how many periods there are."""
+    n_series = panel.agg(F.count_distinct("series_id").alias("n"))
     per_date = panel.groupBy("ts").agg(F.count("value").alias("n"))
-    return per_date.agg(
-        F.count_if(F.col("n") == n_series).alias("complete"),
-        F.count("*").alias("periods"),
-        ratio(F.count_if(F.col("n") == n_series), F.count("*")).alias("share"),
-    )
+    whole = F.count_if(F.col("n") == n_series.scalar())
+    return per_date.agg(whole.alias("complete"), F.count("*").alias("periods"), ratio(whole, F.count("*")).alias("share"))

@@ -11,13 +11,20 @@ from pyspark.sql import functions as F
 from panelweave.config import SPLITS, TOTAL, Split
 
 
-def per_period(df: DataFrame) -> DataFrame:
-    """Broadcast a table with one row per period.
+def dates_of(df: DataFrame) -> Column:
+    """The table's dates as one sorted array, a scalar as long as the calendar."""
+    return df.agg(F.sort_array(F.collect_set("ts"))).scalar()
 
-    Its size is bounded by the calendar (a few thousand rows at most). Joining
-    a large panel on the date alone would otherwise put each period in one task.
+
+def onto_later(rows: DataFrame, window: int) -> DataFrame:
+    """Hand every row to the ``window`` dates after its own, as column ``target``.
+
+    Grouping by the target gives what a window over all dates would, with each
+    date in a task of its own.
     """
-    return F.broadcast(df)
+    dates = dates_of(rows)
+    later = F.slice(dates, F.array_position(dates, F.col("ts")).cast("int") + 1, F.lit(window))
+    return rows.withColumn("target", F.explode(later))
 
 
 def period_filter(df: DataFrame, period: Split) -> DataFrame:
@@ -92,9 +99,9 @@ def month_end(df: DataFrame) -> DataFrame:
 
 
 def log_returns(panel: DataFrame) -> DataFrame:
-    """``ln(value / previous value)``, first row and non-positive levels dropped."""
+    """``ln(value / previous value)``, first row and levels that are NaN, infinite or not positive dropped."""
     order = W.partitionBy("series_id").orderBy("ts")
-    level = F.when(F.col("value") > 0, F.col("value"))
+    level = F.when((F.col("value") > 0) & (F.col("value") < float("inf")), F.col("value"))
     return (
         panel.withColumn("level", level)
         .withColumn("r", F.log(F.col("level")) - F.log(F.lag("level").over(order)))
@@ -103,14 +110,15 @@ def log_returns(panel: DataFrame) -> DataFrame:
     )
 
 
-def complete_dates(panel: DataFrame, n_series: int) -> DataFrame:
-    """Rows of the dates on which every one of ``n_series`` series has a value."""
+def complete_dates(panel: DataFrame) -> DataFrame:
+    """Rows of the dates on which every series of the panel has a value."""
+    n_series = panel.agg(F.count_distinct("series_id")).scalar()
     full = (
         panel.where(F.col("value").isNotNull())
         .groupBy("ts").agg(F.count_distinct("series_id").alias("n"))
         .where(F.col("n") == n_series).select("ts")
     )
-    return panel.join(per_period(full), "ts", "left_semi")
+    return panel.join(full, "ts", "left_semi")
 
 
 def calendar(panel: DataFrame) -> DataFrame:
@@ -157,10 +165,7 @@ def common_dates(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def unfinished(todo: DataFrame, done: DataFrame, keys: Sequence[str] = ("ts",)) -> DataFrame:
     """Rows whose keys are not in the output yet (resume of a batch run)."""
-    finished = done.select(*keys).distinct()
-    if list(keys) == ["ts"]:
-        finished = per_period(finished)
-    return todo.join(finished, list(keys), "left_anti")
+    return todo.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def rename_series(df: DataFrame, names: dict[str, str], *columns: str) -> DataFrame:

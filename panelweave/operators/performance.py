@@ -20,15 +20,22 @@ def array_mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.when(F.size(a) > 0, F.size(a))
 
 
-def tail_mean(values: Column, threshold: Column) -> Column:
-    return array_mean(F.filter(values, lambda x: x <= threshold))
+def lower_tail(returns: DataFrame, keys: Sequence[str], q: float, value: str = "r") -> DataFrame:
+    """Linear ``quantile`` per key and the mean ``below`` it, itself included.
+
+    The quantile is joined back to the rows, whose tail is then one average:
+    no key's values meet in an array.
+    """
+    names = [f"__{k}" for k in keys]
+    quantiles = returns.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.percentile(value, q).alias("quantile"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    inside = F.when(F.col(value) <= F.col("quantile"), F.col(value))
+    return returns.join(quantiles, same).groupBy(*keys).agg(F.first("quantile").alias("quantile"), F.avg(inside).alias("below"))
 
 
 def var_cvar(returns: DataFrame, keys: Sequence[str], q: float = 0.05, value: str = "r") -> DataFrame:
     """Empirical VaR and CVaR: linear quantile and the mean of what lies below."""
-    packed = returns.groupBy(*keys).agg(F.percentile(value, q).alias("quantile"), F.collect_list(value).alias("rs"))
-    return packed.select(
-        *keys, (-F.col("quantile")).alias("value_at_risk"), (-tail_mean(F.col("rs"), F.col("quantile"))).alias("cvar"))
+    return lower_tail(returns, keys, q, value).select(*keys, (-F.col("quantile")).alias("value_at_risk"), (-F.col("below")).alias("cvar"))
 
 
 def tail_count(n: Column, beta: float) -> Column:
@@ -96,11 +103,10 @@ def max_drawdown(returns: DataFrame, keys: Sequence[str], value: str = "r", log:
 def return_over_cvar(returns: DataFrame, keys: Sequence[str], q: float = 0.05, freq: int = PERIODS_PER_YEAR,
                      value: str = "r", positive_only: bool = False) -> DataFrame:
     """Annual mean return over empirical CVaR, NULL for a zero (or negative) CVaR."""
-    packed = returns.groupBy(*keys).agg(
-        (F.avg(value) * freq).alias("ann"), F.percentile(value, q).alias("quantile"), F.collect_list(value).alias("rs"))
-    loss = -tail_mean(F.col("rs"), F.col("quantile"))
+    annual = returns.groupBy(*keys).agg((F.avg(value) * freq).alias("ann"))
+    loss = lower_tail(returns, keys, q, value).select(*keys, (-F.col("below")).alias("loss"))
     usable = F.col("loss") > 0 if positive_only else F.col("loss") != 0
-    return packed.withColumn("loss", loss).select(*keys, (F.col("ann") / F.when(usable, F.col("loss"))).alias("return_cvar"))
+    return annual.join(loss, list(keys)).select(*keys, (F.col("ann") / F.when(usable, F.col("loss"))).alias("return_cvar"))
 
 
 def return_over_ex_ante_cvar(returns: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -119,13 +125,14 @@ def diversification_benefit(returns: DataFrame, weights: DataFrame, assets: Data
     single-asset CVaRs over the strategy's own dates. A denominator of zero
     (or, by default, below) gives NULL.
     """
-    single = (
+    held = (
         returns.select(*keys, "ts").join(weights, [*keys, "ts"])
         .join(assets.select("series_id", "ts", F.col("value").alias("x")), ["series_id", "ts"])
-        .groupBy(*keys, "series_id")
-        .agg(F.avg("w").alias("w"), F.percentile("x", q).alias("quantile"), F.collect_list("x").alias("xs"))
-        .groupBy(*keys)
-        .agg(F.sum(F.col("w") * -tail_mean(F.col("xs"), F.col("quantile"))).alias("cvar_bar"))
+    )
+    each = [*keys, "series_id"]
+    single = (
+        held.groupBy(*each).agg(F.avg("w").alias("w")).join(lower_tail(held, each, q, "x"), each)
+        .groupBy(*keys).agg(F.sum(F.col("w") * -F.col("below")).alias("cvar_bar"))
     )
     own = var_cvar(returns, keys, q)
     gap = F.col("cvar_bar") - F.col("value_at_risk")
@@ -142,7 +149,8 @@ def bundle(returns: DataFrame, keys: Sequence[str], weights: DataFrame | None =
     """
     packed = returns.groupBy(*keys).agg(
         *ratio_columns(), F.percentile("r", q).alias("quantile"), dated("r").alias("path"))
-    loss = -tail_mean(F.transform("path", lambda p: p["value"]), F.col("quantile"))
+    values = F.transform("path", lambda p: p["value"])  # the path is there for the drawdown
+    loss = -array_mean(F.filter(values, lambda x: x <= F.col("quantile")))
     out = packed.select(
         *keys, "n_obs", "ann_return_pct", "ann_std", "sharpe", "sortino",
         drawdown(F.col("path"), log_drawdown).alias("mdd_pct"),

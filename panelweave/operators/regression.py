@@ -28,38 +28,45 @@ JVM_COLUMNS = 12
 
 
 def moments(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str = "y", where: Column | None = None) -> DataFrame:
-    """Upper triangle of the cross-product matrix of ``(1, xs..., y)`` per group."""
+    """Upper triangle of the cross-product matrix of ``(1, xs..., y)`` per group.
+
+    A row with a NULL in any of the columns counts for none of the sums. How
+    many columns there are decides only where the sums are formed.
+    """
     cols = ["1D", *[f"`{c}`" for c in (*xs, y)]]
     if where is not None:
         rows = rows.where(where)
+    rows = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in cols[1:]))
     if len(cols) > JVM_COLUMNS:
-        return _wide_moments(rows.select(*keys, F.expr(f"array({', '.join(cols)})").alias("v")), list(keys), len(cols))
+        return vector_moments(rows.select(*keys, F.expr(f"array({', '.join(cols)})").alias("v")), list(keys))
     sums = ", ".join(f"sum({a} * {b})" for i, a in enumerate(cols) for b in cols[i:])
     return rows.groupBy(*keys).agg(F.expr(f"array({sums})").alias("moments"))
 
 
-def _wide_moments(vectors: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """The same from vectors: one matrix product per group and batch, then summed.
+def vector_moments(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from vectors ``v`` without NULLs: one matrix product per group and batch, then summed.
 
-    Only the partial matrices are shuffled, one per group and Arrow batch.
+    Vectors of one group have one length. Only the partial matrices are
+    shuffled, one per group and Arrow batch.
     """
     schema = T.StructType([*[vectors.schema[k] for k in keys], T.StructField("moments", T.ArrayType(T.DoubleType()))])
-    upper = np.triu_indices(width)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
             groups = batch.select(keys).to_pandas().groupby(keys, sort=False).indices.values()
             if not groups:
                 continue
-            sums = [(x[rows].T @ x[rows])[upper] for rows in groups]
+            sums = []
+            for rows in groups:
+                x = batch.column(len(keys)).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                sums.append((x.T @ x)[np.triu_indices(x.shape[1])])
             first = pa.array([rows[0] for rows in groups])
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i).take(first) for i in range(len(keys))], pa.array(sums, pa.list_(pa.float64()))],
                 names=[*keys, "moments"])
 
-    sums = vectors.where(~F.exists("v", lambda x: x.isNull())).mapInArrow(partial, schema)
-    zero = F.array_repeat(F.lit(0.0), len(upper[0]))
+    sums = vectors.select(*keys, "v").mapInArrow(partial, schema)
+    zero = F.transform(F.element_at("parts", 1), lambda x: F.lit(0.0))
     total = F.aggregate("parts", zero, lambda s, m: F.zip_with(s, m, lambda a, b: a + b))
     return sums.groupBy(*keys).agg(F.collect_list("moments").alias("parts")).select(*keys, total.alias("moments"))
 

@@ -30,23 +30,12 @@ def random_walk(panel: DataFrame) -> DataFrame:
 def trailing_means(panel: DataFrame, spans: Sequence[int]) -> DataFrame:
     """``q{n}`` columns: mean of the last n values before each row, NULL until there are n.
 
-    A running sum and count are kept once; each mean is a difference of two of
-    them, so a span costs one lag per row whatever its length.
+    Each mean is taken over its own frame, so a NaN or a huge value leaves the
+    means of later frames alone; all frames share one sort. A NULL inside a
+    frame makes its mean NULL.
     """
-    upto = by_series().rowsBetween(W.unboundedPreceding, 0)
-    running = panel.select(
-        "series_id", "ts", "value", F.struct(F.sum("value").over(upto).alias("s"), F.count("value").over(upto).alias("n")).alias("run"))
-    before = lambda k: F.lag("run", k).over(by_series())
-    lagged = running.select(
-        "series_id", "ts", F.lag("value").over(by_series()).alias("q0"), before(1).alias("now"),
-        *[before(q + 1).alias(f"then{q}") for q in spans])
-
-    def mean(q: int) -> str:
-        count = f"now.n - coalesce(then{q}.n, 0)"
-        total = f"coalesce(now.s, 0D) - coalesce(then{q}.s, 0D)"
-        return f"CASE WHEN {count} = {q} THEN ({total}) / {q} END AS q{q}"
-
-    return lagged.selectExpr("series_id", "ts", "q0", *[mean(q) for q in spans])
+    whole = lambda q: F.when(F.count("value").over(past(q)) == q, F.avg("value").over(past(q)))
+    return panel.select("series_id", "ts", F.lag("value").over(by_series()).alias("q0"), *[whole(q).alias(f"q{q}") for q in spans])
 
 
 def sma_bank(panel: DataFrame, spans: Sequence[int] = range(3, 31)) -> DataFrame:

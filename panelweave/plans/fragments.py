@@ -55,7 +55,7 @@ IS_OOS = "f.ts >= DATE '2000-01-01'"
 IS_TEST = "f.ts >= DATE '1998-01-01' AND f.ts < DATE '2000-01-01'"
 
 fragment("om", """SELECT c_mktsegment AS series_id, last_day(o_orderdate) AS ts, sum(o_totalprice) AS value
- FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < DATE '2001-08-01' GROUP BY 1, 2""")
+ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate < (SELECT date_trunc('month', CAST(max(o_orderdate) AS DATE) + 1) FROM orders) GROUP BY 1, 2""")
 fragment("omr", returns_sql("om"))
 fragment("sm", """SELECT CAST(l_suppkey AS VARCHAR) AS series_id, last_day(l_shipdate) AS ts,
  sum(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2""")

@@ -219,7 +219,7 @@ def momentum_join(spark, sf):
         .agg(F.sum("l_quantity").alias("value")).withColumn("series_id", F.lit("MOM"))
     )
     momentum = P.log_returns(extra).select("ts", F.col("value").alias("momentum"))
-    return order_returns(spark, sf).join(P.per_period(momentum), "ts").select("series_id", "ts", "value", "momentum")
+    return order_returns(spark, sf).join(momentum, "ts").select("series_id", "ts", "value", "momentum")
 
 
 @query("calendar_fill", """WITH b AS (SELECT series_id, min(ts) AS a, max(ts) AS b FROM sm GROUP BY 1),
@@ -247,20 +247,18 @@ def common_dates(spark, sf):
 @query("complete_dates", """SELECT s.series_id, s.ts, s.value FROM sm s WHERE s.ts IN (SELECT ts FROM sm GROUP BY ts
  HAVING count(DISTINCT series_id) = (SELECT count(DISTINCT series_id) FROM sm))""", value=2)
 def complete_dates(spark, sf):
-    sm = staged(T.supplier_monthly(spark, sf))
-    n = T.table(spark, sf, "lineitem").select(F.count_distinct("l_suppkey")).first()[0]
-    return P.complete_dates(sm, n)
+    return P.complete_dates(staged(T.supplier_monthly(spark, sf)))
 
 
 @query("risk_free_excess", """SELECT o.series_id, o.ts, o.value, coalesce(r.rf, 0.0) AS rf, o.value - coalesce(r.rf, 0.0) AS
- excess, ln(1 + coalesce(r.rf, 0.0)) AS rf_log FROM oms o LEFT JOIN (SELECT * FROM rf_rate WHERE ts < DATE '2001-06-01') AS r
+ excess, ln(1 + coalesce(r.rf, 0.0)) AS rf_log FROM oms o LEFT JOIN rf_rate AS r
  ON o.ts = r.ts""", value=8, rf=8, excess=8, rf_log=8)
 def risk_free_excess(spark, sf):
-    # The rate series ends before the returns do: missing months count as zero.
-    rf = T.discount_rate_monthly(spark, sf).where("ts < DATE '2001-06-01'")
+    # Months without a rate count as zero.
+    rf = T.discount_rate_monthly(spark, sf)
     simple = order_returns(spark, sf).withColumn("value", S.log_to_simple("value"))
     return (
-        simple.join(P.per_period(rf), "ts", "left").withColumn("rf", F.coalesce("rf", F.lit(0.0)))
+        simple.join(rf, "ts", "left").withColumn("rf", F.coalesce("rf", F.lit(0.0)))
         .select("series_id", "ts", "value", "rf", (F.col("value") - F.col("rf")).alias("excess"), S.simple_to_log("rf").alias("rf_log"))
     )
 
@@ -421,5 +419,4 @@ def pair_products(spark, sf):
  (SELECT count(DISTINCT series_id) FROM sm)) AS complete, count(*) AS periods, count(*) FILTER (WHERE n =
  (SELECT count(DISTINCT series_id) FROM sm)) / count(*)::DOUBLE AS share FROM d""", share=8)
 def coverage(spark, sf):
-    n = T.table(spark, sf, "lineitem").select(F.count_distinct("l_suppkey")).first()[0]
-    return D.coverage(T.supplier_monthly(spark, sf), n)
+    return D.coverage(staged(T.supplier_monthly(spark, sf)))

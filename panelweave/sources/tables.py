@@ -10,22 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.config import ORDERS_END
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def orders_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order value per market segment and month, complete months only.
+    """Order value per market segment and month, without a last month that the table covers only in part.
 
+    The last month counts if the table reaches its last day.
     Orders are summed per customer and month before the join, so a customer
     holding a large share of all rows brings at most one row per month to it.
     """
+    orders = table(spark, sf_dir, "orders")
+    end = orders.agg(F.trunc(F.date_add(F.max("o_orderdate"), 1), "month").cast("timestamp")).scalar()
     orders = (
-        table(spark, sf_dir, "orders")
-        .where(F.col("o_orderdate") < F.lit(ORDERS_END))
+        orders.where(F.col("o_orderdate") < end)
         .groupBy("o_custkey", F.last_day("o_orderdate").alias("ts"))
         .agg(F.sum("o_totalprice").alias("value"))
     )

@@ -1,5 +1,6 @@
 """Forecasts, combinations, volatility, correlation and portfolios against loops."""
 
+import datetime as dt
 import math
 from itertools import combinations, product
 
@@ -91,6 +92,13 @@ def test_moments_agree_on_both_paths(spark, monkeypatch):
     assert all(jvm[k] == pytest.approx(arrow[k]) for k in ("hot", "cold"))
 
 
+@pytest.mark.parametrize("columns", [2, 12])
+def test_rows_with_a_null_count_for_no_sum(spark, monkeypatch, columns):
+    monkeypatch.setattr(G, "JVM_COLUMNS", columns)
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", None, 3.0), ("a", 4.0, None), ("a", 2.0, 1.0)], "k string, x double, y double")
+    assert G.moments(df, ["k"], ["x"]).first().moments == pytest.approx([2, 3, 3, 5, 4, 5])
+
+
 def test_singular_model_is_left_out(spark):
     df = spark.createDataFrame([("a", float(i), 2.0 * i, float(i)) for i in range(10)], "series_id string, x1 double, x2 double, y double")
     out = G.coefficients(G.moments(df, ["series_id"], ["x1", "x2"]), ["series_id"], [[0, 1], [0, 1, 2]], ["one", "two"], 3)
@@ -220,6 +228,32 @@ def test_dynamic_average_matches_loop(spark):
     assert got == pytest.approx(want[warm:].tolist(), abs=1e-9)
 
 
+def test_filters_reset_on_a_negative_root():
+    masks = np.ones((1, 2))
+    y, x = RNG.normal(size=40), RNG.normal(size=(40, 2)) * np.array([1e5, 1e-5])
+    mean, density = C.filter_paths(y, x, masks, 0.5, 10)
+    assert np.isfinite(mean).all() and np.isfinite(density).all()
+
+
+def test_means_recover_from_huge_and_missing_values(make_panel):
+    panel = make_panel(a=[1e17, 1.0, 2.0, 3.0, 4.0, float("nan"), 1.0, 2.0, 3.0, 4.0, 5.0])
+    got = [r.q3 for r in N.trailing_means(panel, [3]).orderBy("ts").collect()]
+    assert got[4] == 2.0 and got[5] == 3.0 and all(math.isnan(v) for v in got[6:9]) and got[9:] == [2.0, 3.0]
+
+
+def test_model_weights_of_long_series(spark):
+    days = [dt.date(2000, 1, 1) + dt.timedelta(days=k) for k in range(5000)]
+    ll = RNG.normal(size=(2, 5000))
+    df = spark.createDataFrame([("a", m, t, float(v)) for m, row in zip("pq", ll) for t, v in zip(days, row)], "series_id string, model string, ts date, ll double")
+    w = C.model_weights(df, 0.7).toPandas().pivot(index="ts", columns="model", values="w").to_numpy()
+    state, want = np.zeros(2), []
+    for t in range(5000):
+        e = np.exp(state - state.max())
+        want.append(e / e.sum())
+        state = 0.7 * (state + ll[:, t])
+    assert w == pytest.approx(np.array(want))
+
+
 def test_model_weights_sum_to_one_and_forget_nothing(spark):
     rows = [("a", m, t, float(v)) for m in "pq" for t, v in zip(months(20), RNG.normal(size=20))]
     df = spark.createDataFrame(rows, "series_id string, model string, ts date, ll double")
@@ -331,6 +365,16 @@ def test_flat_correlations_fall_back_to_rank_target():
         D.rank_correlation(W3)[:, [0, 0, 1], [1, 2, 2]], abs=1e-12)
 
 
+def test_windows_and_degrees_need_no_common_key(make_panel):
+    panel = make_panel(a=[float(k) for k in range(8)], b=[1.0, 2.0, None, 4.0, 5.0, 6.0, 7.0, 8.0])
+    got = {r.ts: [list(v) for v in r.window] for r in D.date_windows(panel, ["a", "b"], 3).collect()}
+    dates = [m for k, m in enumerate(months(8)) if k != 2]
+    values = [[float(k), float(k + 1)] for k in range(8) if k != 2]
+    assert got == {dates[k]: values[k - 3:k] for k in range(3, 7)}
+    plan = D.date_windows(panel, ["a", "b"], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
 def test_matrix_repair(spark):
     bad = [[1.0, 0.9, -0.9], [0.9, 1.0, 0.9], [-0.9, 0.9, 1.0]]
     good = [[1.0, 0.1, 0.0], [0.1, 1.0, 0.2], [0.0, 0.2, 1.0]]

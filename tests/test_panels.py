@@ -150,3 +150,20 @@ def test_versions_are_idempotent(spark, tmp_path):
         stream = I.read_stream(spark, str(tmp_path / "in"), df.schema)
         I.run_versions(I.period_totals(stream, "event_type"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert values(I.latest(spark, str(tmp_path / "out")), "value") == [2, 1, 1]
+
+
+def test_returns_skip_levels_that_are_no_numbers(make_panel):
+    panel = make_panel(a=[1.0, 2.0, float("nan"), 4.0, 8.0, float("inf"), 1.0])
+    got = [(r.ts, r.value) for r in P.log_returns(panel).orderBy("ts").collect()]
+    assert [t for t, _ in got] == [months(7)[1], months(7)[4]] and [v for _, v in got] == pytest.approx([0.6931471805599453] * 2)
+
+
+def test_orders_end_with_the_last_whole_month(spark, tmp_path):
+    from panelweave.sources import tables as T
+    spark.createDataFrame([(1, "A")], "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    for name, last, kept in (("open", "2003-03-04 10:00:00", 2), ("whole", "2003-02-28 23:00:00", 2)):
+        rows = [(1, 5.0, "2003-01-31 00:00:00"), (1, 7.0, "2003-02-02 00:00:00"), (1, 1.0, last)]
+        folder = tmp_path / name
+        spark.createDataFrame(rows, "o_custkey long, o_totalprice double, d string").selectExpr("o_custkey", "o_totalprice", "to_timestamp(d) AS o_orderdate").write.parquet(str(folder / "orders.parquet"))
+        spark.read.parquet(str(tmp_path / "customer.parquet")).write.parquet(str(folder / "customer.parquet"))
+        assert T.orders_monthly(spark, str(folder)).count() == kept

@@ -56,4 +56,4 @@ def test_entry(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     from panelweave.sources import tables as T
     plan = T.orders_monthly(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "LessThan(o_orderdate" in plan and "o_orderpriority" not in plan
+    assert "isnotnull(o_orderdate" in plan and "o_orderpriority" not in plan
