@@ -20,6 +20,7 @@ from panelweave.operators import features as X
 from panelweave.operators.panel import period_filter, series_arrays
 from panelweave.operators.regression import coefficients, linear_value, moments
 from panelweave.operators.windows import by_series, lag_matrix, random_walk, sma_bank
+from panelweave.sources.stores import staged
 
 FORECAST = "series_id string, model string, ts date, yhat double"
 
@@ -104,20 +105,25 @@ def ar_coefficients(lags: DataFrame, order: int, train: Split) -> DataFrame:
     return coefficients(stats, ["series_id"], models, [f"AR({p})" for p in range(1, order + 1)], order + 1)
 
 
-def ar_forecasts(panel: DataFrame, order: int = 24, train: Split = TRAIN) -> DataFrame:
-    """AR(p) for p up to ``order``, conditional least squares on the fit period."""
-    lags = lag_matrix(panel, order)
+def ar_forecasts(panel: DataFrame, order: int = 24, train: Split = TRAIN, lags: DataFrame | None = None) -> DataFrame:
+    """AR(p) for p up to ``order``, conditional least squares on the fit period.
+
+    ``lags``, where given, are the panel's rows with so many lags, made before.
+    """
+    lags = lag_matrix(panel, order) if lags is None else lags
     return predict(lags, ar_coefficients(lags, order, train), lag_names(order))
 
 
-def arma_forecasts(panel: DataFrame, ar: int = 15, ma: int = 14, long_order: int = 24, train: Split = TRAIN) -> DataFrame:
+def arma_forecasts(panel: DataFrame, ar: int = 15, ma: int = 14, long_order: int = 24, train: Split = TRAIN,
+                   lags: DataFrame | None = None) -> DataFrame:
     """ARMA(p, q) by the two-step regression of Hannan and Rissanen.
 
     Residuals of a long autoregression stand for the unseen shocks; all orders
-    p and q are sub-blocks of one matrix, so one pass fits every pair.
+    p and q are sub-blocks of one matrix, so one pass fits every pair. Rows with
+    their shocks are stored once for the fit and the forecasts.
     """
     order = max(long_order, ar)
-    lags = lag_matrix(panel, order)
+    lags = staged(lag_matrix(panel, order)) if lags is None else lags
     long_fit = ar_coefficients(lags, order, train).where(F.col("model") == f"AR({long_order})")
     shocks = lags.join(long_fit.select("series_id", "coef"), "series_id").withColumn(
         "shock", F.col("y") - linear_value("coef", lag_names(order)))
@@ -126,6 +132,7 @@ def arma_forecasts(panel: DataFrame, ar: int = 15, ma: int = 14, long_order: int
         "series_id", "ts", "y", *lag_names(ar),
         *[F.lag("shock", k).over(by_series()).alias(f"e{k}") for k in range(1, ma + 1)],
     ).where(F.col(f"e{ma}").isNotNull())
+    rows = staged(rows)
     xs = [*lag_names(ar), *es]
     pairs = [(p, q) for p in range(1, ar + 1) for q in range(1, ma + 1)]
     models = [[0, *range(1, p + 1), *range(ar + 1, ar + q + 1)] for p, q in pairs]
@@ -283,10 +290,15 @@ Forecaster = Callable[[DataFrame], DataFrame]
 
 def linear_bank(panel: DataFrame, spans: Sequence[int] = range(3, 31), ar: int = 24, arma: tuple[int, int] = (15, 14),
                 long_order: int = 24, train: Split = TRAIN) -> DataFrame:
-    """All moving averages, AR and ARMA models of every series as one table."""
+    """All moving averages, AR and ARMA models of every series as one table.
+
+    AR and ARMA models of the same number of lags share the stored lag rows.
+    """
+    order = max(long_order, arma[0])
+    lags = staged(lag_matrix(panel, order))
     return bank(panel, [
-        lambda p: sma_bank(p, spans), lambda p: ema_bank(p, spans), lambda p: ar_forecasts(p, ar, train),
-        lambda p: arma_forecasts(p, *arma, long_order, train),
+        lambda p: sma_bank(p, spans), lambda p: ema_bank(p, spans), lambda p: ar_forecasts(p, ar, train, lags if order == ar else None),
+        lambda p: arma_forecasts(p, *arma, long_order, train, lags),
     ])
 
 

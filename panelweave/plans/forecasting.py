@@ -80,10 +80,53 @@ def linear_bank(spark, sf):
     return M.linear_bank(supplier_panel(spark, sf), range(3, 31), 4, (2, 2), 4)
 
 
+# --- the whole bank on the daily series ---
+
+fragment("day", "SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS ts, sum(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2")
+fragment("dayr", Q.returns_sql("day"))
+fragment("dlag", lags_sql("dayr", 24))
+fragment("dlag_train", f"SELECT * FROM dlag WHERE {IN_TRAIN}")
+for _p in range(1, 25):
+    solve_fragments(f"dar{_p}", "dlag_train", "series_id", M.lag_names(_p))
+fragment("dar_s", " UNION ALL ".join(
+    f"SELECT l.series_id, 'AR({p})' AS model, l.ts, {value_sql('c.coef', M.lag_names(p))} AS yhat FROM dlag l JOIN dar{p} c "
+    f"ON l.series_id = c.series_id" for p in range(1, 25)))
+fragment("dshock", f"SELECT l.*, l.y - ({value_sql('c.coef', M.lag_names(24))}) AS shock FROM dlag l JOIN dar24 c ON l.series_id = c.series_id")
+fragment("dhr", "SELECT * FROM (SELECT *, " + ", ".join(f"lag(shock, {k}) OVER w AS e{k}" for k in range(1, 15)) + """ FROM dshock
+ WINDOW w AS (PARTITION BY series_id ORDER BY ts)) AS q WHERE e14 IS NOT NULL""")
+fragment("dhr_train", f"SELECT * FROM dhr WHERE {IN_TRAIN}")
+# Of the 210 pairs of orders the smallest, two between and the largest: the SQL of all would be megabytes long.
+CHECKED = ((1, 1), (2, 5), (9, 3), (15, 14))
+for _p, _q in CHECKED:
+    solve_fragments(f"darma{_p}_{_q}", "dhr_train", "series_id", [*M.lag_names(_p), *M.lag_names(_q, "e")])
+fragment("darma_s", " UNION ALL ".join(
+    f"SELECT l.series_id, 'ARMA({p},{q})' AS model, l.ts, {value_sql('c.coef', [*M.lag_names(p), *M.lag_names(q, 'e')])} AS yhat "
+    f"FROM dhr l JOIN darma{p}_{q} c ON l.series_id = c.series_id" for p, q in CHECKED))
+
+
+@query("ar_forecasts_daily", "SELECT * FROM dar_s", yhat=6)
+def ar_forecasts_daily(spark, sf):
+    """All 24 autoregressions on the daily series."""
+    return M.ar_forecasts(daily_returns(spark, sf))
+
+
+def daily_returns(spark, sf):
+    return staged(P.log_returns(T.lineitem_daily(spark, sf)))
+
+
 @query("linear_bank_daily")
 def linear_bank_daily(spark, sf):
     """The full bank of 290 models on the daily series."""
-    return M.linear_bank(staged(P.log_returns(T.lineitem_daily(spark, sf))))
+    return M.linear_bank(daily_returns(spark, sf))
+
+
+@query("linear_bank_daily_checked", "SELECT * FROM dar_s WHERE model IN ('AR(1)', 'AR(12)', 'AR(24)') UNION ALL SELECT * FROM darma_s UNION ALL "
+       + " UNION ALL ".join(f"SELECT * FROM (SELECT series_id, 'SMA({q})' AS model, ts, {Q.sma_sql(q)} AS yhat FROM dayr) AS s WHERE yhat IS NOT NULL"
+                            for q in (3, 30)), yhat=6)
+def linear_bank_daily_checked(spark, sf):
+    """Models of every kind and of the smallest and largest orders, out of the full bank of 290."""
+    names = ["AR(1)", "AR(12)", "AR(24)", "SMA(3)", "SMA(30)", *[f"ARMA({p},{q})" for p, q in CHECKED]]
+    return M.linear_bank(daily_returns(spark, sf)).where(F.col("model").isin(names))
 
 
 # --- neighbours ---
@@ -120,15 +163,23 @@ def knn_forecasts_exclude_self(spark, sf):
 
 # --- smooth transition ---
 
-GAMMAS, CENTRES = (1.0, 4.0), (-0.5, 0.0, 0.5)
+GAMMAS, CENTRES, STAR_ORDERS = (1.0, 2.0, 5.0, 10.0), (-1.0, -0.5, 0.0, 0.5, 1.0), range(1, 6)
 fragment("lag2", lags_sql("smr", 2))
 fragment("slag2", scaled_lags_sql("lag2", 2))
-fragment("star_x", """SELECT s.*, kind, gamma, centre, CASE WHEN kind = 'LSTAR' THEN 1 / (1 + exp(-gamma * (x1 - centre)))
- ELSE 1 - exp(-gamma * (x1 - centre) ** 2) END AS g0 FROM slag2 s, (VALUES ('LSTAR'), ('ESTAR')) AS k(kind),
- (VALUES (1.0::DOUBLE), (4.0::DOUBLE)) AS g(gamma), (VALUES (-0.5::DOUBLE), (0.0::DOUBLE), (0.5::DOUBLE)) AS c(centre)""")
-fragment("star_f", "SELECT *, g0 * x1 AS g1, g0 * x2 AS g2 FROM star_x")
+fragment("lag5", lags_sql("smr", 5))
+fragment("slag5", scaled_lags_sql("lag5", 5))
+
+
+def _values(xs):
+    return ", ".join(f"({x}::DOUBLE)" for x in xs)
+
+
+fragment("star_x", f"""SELECT s.*, kind, gamma, centre, CASE WHEN kind = 'LSTAR' THEN 1 / (1 + exp(-gamma * (x1 - centre)))
+ ELSE 1 - exp(-gamma * (x1 - centre) ** 2) END AS g0 FROM slag5 s, (VALUES ('LSTAR'), ('ESTAR')) AS k(kind),
+ (VALUES {_values(GAMMAS)}) AS g(gamma), (VALUES {_values(CENTRES)}) AS c(centre)""")
+fragment("star_f", "SELECT *, " + ", ".join(f"g0 * x{k} AS g{k}" for k in STAR_ORDERS) + " FROM star_x")
 fragment("star_train", f"SELECT * FROM star_f WHERE {IN_TRAIN}")
-for _p in (1, 2):
+for _p in STAR_ORDERS:
     solve_fragments(f"star{_p}", "star_train", "series_id, kind, gamma, centre", [*M.lag_names(_p), "g0", *M.lag_names(_p, "g")], ridge=0.01)
     _v = value_sql("c.coef", [f"f.{x}" for x in [*M.lag_names(_p), "g0", *M.lag_names(_p, "g")]])
     _on = "f.series_id = c.series_id AND f.kind = c.kind AND f.gamma = c.gamma AND f.centre = c.centre"
@@ -136,7 +187,7 @@ for _p in (1, 2):
  centre) AS rn FROM (SELECT c.series_id, c.kind, c.gamma, c.centre, any_value(c.coef) AS coef, sum((f.y - ({_v})) ** 2) AS sse
  FROM star_train f JOIN star{_p} c ON {_on} GROUP BY 1, 2, 3, 4) AS q) AS z WHERE rn = 1""")
     fragment(f"star_v{_p}", f"SELECT f.series_id, f.kind, {_p} AS p, f.ts, f.y, {_v} AS yhat FROM star_f f JOIN star_best{_p} c ON {_on}")
-fragment("star_v", "SELECT * FROM star_v1 UNION ALL SELECT * FROM star_v2")
+fragment("star_v", " UNION ALL ".join(f"SELECT * FROM star_v{p}" for p in STAR_ORDERS))
 fragment("star_pick", """SELECT * FROM (SELECT series_id, kind, p, row_number() OVER (PARTITION BY series_id, kind ORDER BY
  avg((y - yhat) ** 2), p) AS rn FROM star_v WHERE ts >= DATE '1998-01-01' AND ts < DATE '2000-01-01' GROUP BY 1, 2, 3) AS q WHERE rn = 1""")
 
@@ -144,24 +195,22 @@ fragment("star_pick", """SELECT * FROM (SELECT series_id, kind, p, row_number()
 @query("star_forecasts", """SELECT v.series_id, v.kind || '(' || v.p || ')' AS model, v.ts, v.yhat FROM star_v v JOIN star_pick k
  ON v.series_id = k.series_id AND v.kind = k.kind AND v.p = k.p""", yhat=6)
 def star_forecasts(spark, sf):
-    return M.star_forecasts(supplier_panel(spark, sf), 2, GAMMAS, CENTRES)
+    return M.star_forecasts(supplier_panel(spark, sf), max(STAR_ORDERS), GAMMAS, CENTRES)
 
 
 # --- feature regressions ---
 
-fragment("lag3", lags_sql("smr", 3))
-fragment("slag3", scaled_lags_sql("lag3", 3))
-_PRODUCTS = [f"x{a}_x{b}" for a in range(1, 4) for b in range(a, 4)]
-fragment("honn_x", "SELECT *, " + ", ".join(f"x{a} * x{b} AS x{a}_x{b}" for a in range(1, 4) for b in range(a, 4)) + " FROM slag3")
+_PRODUCTS = [f"x{a}_x{b}" for a in range(1, 7) for b in range(a, 7)]
+fragment("honn_x", "SELECT *, " + ", ".join(f"x{a} * x{b} AS x{a}_x{b}" for a in range(1, 7) for b in range(a, 7)) + " FROM slag6")
 fragment("honn_train", f"SELECT * FROM honn_x WHERE {IN_TRAIN}")
-solve_fragments("honn", "honn_train", "series_id", [*M.lag_names(3), *_PRODUCTS], ridge=1.0)
+solve_fragments("honn", "honn_train", "series_id", [*M.lag_names(6), *_PRODUCTS], ridge=1.0)
 
 
 @query("higher_order_forecasts", f"""SELECT x.series_id, 'HONN' AS model, x.ts,
- {value_sql('c.coef', ['x.' + n for n in [*M.lag_names(3), *_PRODUCTS]])} AS yhat FROM honn_x x JOIN honn c
+ {value_sql('c.coef', ['x.' + n for n in [*M.lag_names(6), *_PRODUCTS]])} AS yhat FROM honn_x x JOIN honn c
  ON x.series_id = c.series_id""", yhat=6)
 def higher_order_forecasts(spark, sf):
-    return M.higher_order_forecasts(supplier_panel(spark, sf), 3)
+    return M.higher_order_forecasts(supplier_panel(spark, sf))
 
 
 RBF_CENTRES = ((-1.0, 1.0), (0.0, 0.0), (1.0, -1.0), (1.0, 1.0))
@@ -186,14 +235,15 @@ def radial_forecasts(spark, sf):
 
 # --- unit roots and orders ---
 
-fragment("adf_x", """SELECT * FROM (SELECT series_id, ts, value - lag(value, 1) OVER w AS y, lag(value, 1) OVER w AS x1,
- lag(value, 1) OVER w - lag(value, 2) OVER w AS x2, lag(value, 2) OVER w - lag(value, 3) OVER w AS x3 FROM smr
- WINDOW w AS (PARTITION BY series_id ORDER BY ts)) AS q WHERE x3 IS NOT NULL""")
-for _k in range(3):
+ADF_LAGS = 12
+fragment("adf_x", "SELECT * FROM (SELECT series_id, ts, value - lag(value, 1) OVER w AS y, lag(value, 1) OVER w AS x1, " + ", ".join(
+    f"lag(value, {k}) OVER w - lag(value, {k + 1}) OVER w AS x{k + 1}" for k in range(1, ADF_LAGS + 1))
+    + f" FROM smr WINDOW w AS (PARTITION BY series_id ORDER BY ts)) AS q WHERE x{ADF_LAGS + 1} IS NOT NULL")
+for _k in range(ADF_LAGS + 1):
     solve_fragments(f"adf{_k}", "adf_x", "series_id", M.lag_names(_k + 1), inverse=True)
 fragment("adf_all", " UNION ALL ".join(
     f"""SELECT series_id, {k} AS lag, n, coef[2] AS b, inv[2][2] AS v, (yy - list_sum(list_transform(coef, lambda c, i: c * b[i])))
- AS sse, {k + 2} AS width FROM adf{k}""" for k in range(3)))
+ AS sse, {k + 2} AS width FROM adf{k}""" for k in range(ADF_LAGS + 1)))
 
 
 @query("unit_root_test", """SELECT series_id, CAST(lag AS INT) AS lag, b / sqrt(sse / (n - width) * v) AS adf,
@@ -202,4 +252,4 @@ fragment("adf_all", " UNION ALL ".join(
  (PARTITION BY series_id ORDER BY n * ln(sse / n) + 2 * width, lag) AS rn FROM adf_all) AS q WHERE rn = 1""", adf=5)
 def unit_root_test(spark, sf):
     from panelweave.operators.unit_root import unit_root_test as test
-    return test(supplier_returns(spark, sf), 2)
+    return test(supplier_returns(spark, sf), ADF_LAGS)
