@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import pick, texts, type_of
 
-#: Entries that a worker's table of known chunks may hold before it starts anew, some 200 bytes each.
-KNOWN = 400_000
+#: Entries, some 200 bytes each, that a worker's table of known chunks may hold before it becomes the table before.
+KNOWN = 250_000
 #: Documents that are packed together: one bin per group stays partly empty, and a group is packed by one task.
 GROUP_DOCS = 8_000
 
@@ -74,32 +76,70 @@ def best_two_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+class Recent:
+    """A table of bounded size: what was asked for lately stays, the rest goes."""
+
+    def __init__(self, most: int = KNOWN):
+        self.most, self.now, self.before = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.most:
+            self.before, self.now = self.now, {}
+
+
 class Chunks:
     """Token ids, as little-endian 32-bit words, of chunks between ASCII white space.
 
-    The vocabulary drops white space and never joins over it, so a text's ids are those of its chunks in a row.
+    The vocabulary drops white space and never joins over it, so a text's ids are those of its chunks in a row. Chunks
+    of Latin letters and ASCII marks are cut into the vocabulary's words here and looked up word by word, as new chunks
+    are mostly known words with a mark; other chunks go through the whole tokenizer.
     """
 
+    # The characters cut here (lower case stays among them, and they are composed), and the words.
+    PLAIN = re.compile("[!-~\u00c0-\u012f\u0131-\u017f]+")
+    WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        # The vocabulary writes a byte as a letter: printable ones as they are, the others from 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.chunks, self.words = Recent(), Recent()
 
     def ids(self, text: bytes) -> bytes:
         words = text.split()
-        known = self.known
+        known = self.chunks.now
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            if len(known) > KNOWN:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                known[w] = pa.array(e.ids, pa.uint32()).buffers()[1].to_pybytes()[:4 * len(e.ids)] if e.ids else b""
+            self.chunks.turn()
+            self.words.turn()
+            known, before = self.chunks.now, self.chunks.before
+            for w in words:
+                if w not in known:
+                    known[w] = before.get(w) or self.new(w)
             return b"".join([known[w] for w in words])
 
+    def new(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "replace")
+        if not self.PLAIN.fullmatch(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        out, now, before = [], self.words.now, self.words.before
+        for word in self.WORD.findall(text.lower()):
+            ids = now.get(word)
+            if ids is None:
+                ids = before.get(word)
+                if ids is None:
+                    written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                    ids = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+                now[word] = ids
+            out.append(ids)
+        return b"".join(out)
+
 
 _CHUNKS: dict[str, Chunks] = {}
 
