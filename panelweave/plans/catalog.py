@@ -8,7 +8,7 @@ from panelweave.operators import evaluate as E
 from panelweave.operators import panel as P
 from panelweave.operators import windows as N
 from panelweave.config import OOS
-from panelweave.plans import combination, dependence, evaluation, forecasting, ingest, panels, performance, portfolios  # noqa: F401
+from panelweave.plans import combination, combined, dependence, evaluation, forecasting, ingest, panels, performance, portfolios  # noqa: F401
 from panelweave.plans.registry import QUERIES
 from panelweave.sources import tables as T
 
