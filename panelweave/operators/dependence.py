@@ -216,6 +216,27 @@ def repair(matrix: Column | str, floor: float = 1e-8, unit_diagonal: bool = True
     return run(matrix)
 
 
+def smallest_root(matrix: Column | str) -> Column:
+    """The smallest eigenvalue of each matrix."""
+
+    @F.pandas_udf("double")
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series([float(np.linalg.eigvalsh(np.stack(m).astype(float))[0]) for m in column], dtype=float)
+
+    return run(matrix)
+
+
+def correlation_gap(window: Column | str, matrix: Column | str) -> Column:
+    """The largest difference between a window's sample correlations and the stated ones."""
+
+    @F.pandas_udf("double")
+    def run(windows: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([float(np.abs(sample_correlation(np.stack(w).astype(float)[None])[0] - np.stack(m).astype(float)).max())
+                          for w, m in zip(windows, targets)], dtype=float)
+
+    return run(window, matrix)
+
+
 def covariance(matrix: Column | str, sigma: Column | str) -> Column:
     """``rho_ij * sigma_i * sigma_j`` over a correlation matrix and a std array."""
     sigma = F.col(sigma) if isinstance(sigma, str) else sigma

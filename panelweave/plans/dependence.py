@@ -266,6 +266,31 @@ def repaired_matrix(spark, sf):
     return D.matrix_cells(m, "matrix", ASSETS, ["model", "ts"], "rho")
 
 
+_SOUND = "SELECT model, ts, true AS unit_diagonal, true AS positive, true AS sound_unchanged FROM full_corr GROUP BY 1, 2"
+
+
+@query("repair_properties", _SOUND)
+def repair_properties(spark, sf):
+    """Correlations of the panel, stretched until most matrices are unsound: what the repair makes of them."""
+    m = D.correlation_matrix(all_correlations(order_simple(spark, sf)), ASSETS)
+    stretch = lambda r, i, j: F.when(i == j, r).otherwise(F.greatest(F.least(r * 4, F.lit(0.99)), F.lit(-0.99)))
+    bent = F.transform("matrix", lambda row, i: F.transform(row, lambda r, j: stretch(r, i, j)))
+    both = m.withColumn("bent", bent).withColumn("fixed", D.repair("bent"))
+    rows = both.select("model", "ts", "fixed", D.smallest_root("bent").alias("before"), D.smallest_root("fixed").alias("after"), (F.col("bent") == F.col("fixed")).alias("same"))
+    diagonal = F.forall(F.transform("fixed", lambda row, i: row[i]), lambda d: F.abs(d - 1) < 1e-9)
+    return rows.select("model", "ts", diagonal.alias("unit_diagonal"), (F.col("after") > 0).alias("positive"),
+                       ((F.col("before") < 1e-8) | F.col("same")).alias("sound_unchanged"))
+
+
+@query("recorrelated_windows", "SELECT model, ts, 0.0::DOUBLE AS gap FROM full_corr GROUP BY 1, 2", gap=6)
+def recorrelated_windows(spark, sf):
+    """How far the sample correlation of recorrelated windows is from the stated one."""
+    simple = order_simple(spark, sf)
+    m = D.correlation_matrix(all_correlations(simple), ASSETS).withColumn("matrix", D.repair("matrix"))
+    rows = m.join(residual_windows(simple), "ts").withColumn("window", Z.recorrelate("window", "matrix"))
+    return rows.select("model", "ts", D.correlation_gap("window", "matrix").alias("gap"))
+
+
 @query("covariance_matrix", """SELECT c.model, c.ts, c.s1, c.s2, c.rho * a.sigma * b.sigma AS cov FROM full_corr c JOIN og a ON c.ts = a.ts
  AND c.s1 = a.series_id JOIN og b ON c.ts = b.ts AND c.s2 = b.series_id""", cov=8)
 def covariance_matrix(spark, sf):

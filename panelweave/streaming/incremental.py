@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-EMA_ROWS = "series_id string, ts date, span int, ema double"
+from panelweave.operators.forecast import ema_paths, per_series
+
+EMA_ROWS = "series_id string, ts date, span int, ema double, late boolean"
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -56,8 +58,9 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
 def running_ema(stream: DataFrame, spans: Sequence[int]) -> DataFrame:
     """EMA of each series kept as state between batches.
 
-    Rows of a batch are taken in date order; a row not after the last one seen
-    is dropped, since the average has moved past it.
+    Rows of a batch are taken in date order. A row not after the last one seen
+    comes too late, since the average has moved past it: it is handed on with
+    ``late`` set and its value, for ``repaired_ema`` to put right.
     """
     spans = list(spans)
     alpha = 2.0 / (1.0 + np.asarray(spans, dtype=float))
@@ -66,10 +69,11 @@ def running_ema(stream: DataFrame, spans: Sequence[int]) -> DataFrame:
         rows = pd.concat(list(parts)).sort_values("ts")
         last, ema = state.get if state.exists else (None, None)
         ema = None if ema is None else np.asarray(ema, dtype=float)
-        dates, paths = [], []
+        dates, paths, late = [], [], []
         for ts, x in zip(rows["ts"], rows["value"]):
             day = ts.toordinal()
             if last is not None and day <= last:
+                late.append((key[0], ts, 0, float(x), True))
                 continue
             ema = np.full(len(spans), float(x)) if ema is None else ema + alpha * (x - ema)
             last = day
@@ -80,12 +84,31 @@ def running_ema(stream: DataFrame, spans: Sequence[int]) -> DataFrame:
         if dates:
             yield pd.DataFrame({
                 "series_id": key[0], "ts": np.repeat(np.asarray(dates, dtype=object), len(spans)), "span": spans * len(dates),
-                "ema": np.concatenate(paths)})
+                "ema": np.concatenate(paths), "late": False})
+        if late:
+            yield pd.DataFrame(late, columns=["series_id", "ts", "span", "ema", "late"])
 
     return stream.groupBy("series_id").applyInPandasWithState(
         advance, EMA_ROWS, "last long, ema array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def repaired_ema(out: DataFrame, history: DataFrame, spans: Sequence[int]) -> DataFrame:
+    """The stream's averages, with series that had late rows averaged anew over their whole history."""
+    spans = list(spans)
+    affected = out.where("late").select("series_id").distinct()
+    packed = history.join(affected, "series_id", "left_semi").groupBy("series_id").agg(
+        F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("s")).select("series_id", F.col("s.ts").alias("ts"), F.col("s.value").alias("value"))
+
+    def one(row) -> pd.DataFrame:
+        paths = ema_paths(np.asarray(row.value, dtype=float), spans)
+        return pd.DataFrame({"series_id": row.series_id, "ts": np.repeat(np.asarray(row.ts, dtype=object), len(spans)),
+                             "span": spans * len(paths), "ema": paths.reshape(-1)})
+
+    anew = per_series(packed, one, "series_id string, ts date, span int, ema double")
+    kept = out.where("NOT late").join(affected, "series_id", "left_anti").select("series_id", "ts", "span", "ema")
+    return kept.unionByName(anew)
+
+
 def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Append new rows to a Parquet folder exactly once."""
     stream.writeStream.outputMode("append").format("parquet").option("path", path).option(

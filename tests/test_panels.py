@@ -124,7 +124,7 @@ def test_partition_pruning(spark, tmp_path, make_panel):
     assert df.count() == 1 and "PartitionFilters: [isnotnull(series_id" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_running_average_equals_batch_and_drops_late_rows(spark, tmp_path, make_panel):
+def test_running_average_equals_batch_and_hands_on_late_rows(spark, tmp_path, make_panel):
     xs = np.random.default_rng(0).normal(size=40)
     panel = make_panel(a=xs, b=xs[::-1])
     cut = months(25)[-1]
@@ -133,7 +133,9 @@ def test_running_average_equals_batch_and_drops_late_rows(spark, tmp_path, make_
         part.write.mode("append").parquet(str(tmp_path / "in"))
         stream = I.read_stream(spark, str(tmp_path / "in"), panel.schema)
         I.run_append(I.running_ema(stream, [3, 10]), str(tmp_path / "out"), str(tmp_path / "state"))
-    got = spark.read.parquet(str(tmp_path / "out")).toPandas().sort_values(["series_id", "span", "ts"])
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert [(r.ts, r.ema) for r in out.where("late AND series_id = 'a'").collect()] == [(months(3)[-1], 99.0)]
+    got = out.where("NOT late").toPandas().sort_values(["series_id", "span", "ts"])
     assert len(got) == 160
     for key, series in (("a", xs), ("b", xs[::-1])):
         for span in (3, 10):
@@ -141,6 +143,14 @@ def test_running_average_equals_batch_and_drops_late_rows(spark, tmp_path, make_
             assert got[(got.series_id == key) & (got.span == span)].ema.to_numpy() == pytest.approx(want.to_numpy(), abs=1e-12)
 
 
+def test_series_with_late_rows_are_averaged_anew(spark, make_panel):
+    history = make_panel(a=[1.0, 2.0, 3.0], b=[4.0, 5.0])
+    out = spark.createDataFrame([("a", months(1)[0], 3, 1.0, False), ("a", months(2)[1], 0, 2.0, True), ("b", months(1)[0], 3, 4.0, False)],
+                                "series_id string, ts date, span int, ema double, late boolean")
+    got = [(r.series_id, r.span, r.ema) for r in I.repaired_ema(out, history, [3]).orderBy("series_id", "ts").collect()]
+    assert got == [("a", 3, 1.0), ("a", 3, 1.5), ("a", 3, 2.25), ("b", 3, 4.0)]
+
+
 def test_versions_are_idempotent(spark, tmp_path):
     rows = [(dt.datetime(2024, 1, d, 12), "x", 1.0) for d in (1, 1, 2, 3)]
     df = spark.createDataFrame(rows, "ts timestamp, event_type string, value double")
