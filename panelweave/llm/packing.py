@@ -7,6 +7,7 @@ import zlib
 from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -177,11 +178,14 @@ def token_pieces(documents: DataFrame, vocabulary: str, length: int = 2048, end:
                         crc.append(zlib.crc32(own))
                         turn.append(row)
                         if keep_ids:
-                            ids.append(memoryview(own).cast("i").tolist())
+                            ids.append(own)
                         row += 1
                 columns = [part.column(0).take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, n, crc, turn))]
                 names = ["id", "piece", "start", "length", "ids_crc32", "turn"]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids, names=names + ["ids"] * keep_ids)
+                if keep_ids:
+                    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * keep_ids)
 
     return rows.mapInArrow(run, kind).withColumnRenamed("id", id_col)
 
