@@ -23,6 +23,8 @@ RETAINED = 64
 #: Of two sketches of similar sets, how many of the union's retained values both hold at least. For a similarity of
 #: 0.8 their number has mean 51 and deviation 3.2; fewer than 34 have a chance of about one in ten million.
 SHARED = 34
+#: Bits of the parity maps of a sketch and of a whole set.
+SKETCH_BITS, SET_BITS = 256, 512
 KNOWN = 300_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -65,23 +67,35 @@ def shingle_set(text: bytes, size: int) -> set[tuple[bytes, ...]]:
 
 
 def sketches(rows: DataFrame, size: int, retained: int) -> DataFrame:
-    """Per row: id, ``n`` (distinct shingles), ``digest`` of the whole set (null without words) and ``sketch``."""
-    schema = arrow_schema("id bigint, n bigint, digest binary, sketch array<bigint>")
+    """Per row: id, ``n`` (distinct shingles), ``digest`` of the whole set (null without words), ``sketch`` and ``bits``.
+
+    Bits are two parity maps, of the sketch and of the whole set: every value flips one bit. Where two maps differ, the
+    sets do, so their differing bits never outnumber the values that one set alone has.
+    """
+    schema = arrow_schema("id bigint, n bigint, digest binary, sketch array<bigint>, bits array<bigint>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(size)
         for batch in batches:
-            n, digest, sketch = [], [], []
+            n, digest, sketch, bits = [], [], [], []
             for text in texts(batch.column(1)):
                 h = shingles.hashes(space_words(text))
                 n.append(len(h))
                 digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 sketch.append(h[:retained].view(np.int64))
+                bits.append(np.concatenate([parity(h[:retained], SKETCH_BITS), parity(h, SET_BITS)]))
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sketch])]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketch) if sketch else np.zeros(0, np.int64)))
-            yield batch_of(schema, [batch.column(0), n, digest, flat])
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * ((SKETCH_BITS + SET_BITS) // 64)),
+                                            pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+            yield batch_of(schema, [batch.column(0), n, digest, flat, maps])
+
+    return rows.mapInArrow(run, "id bigint, n bigint, digest binary, sketch array<bigint>, bits array<bigint>")
+
 
-    return rows.mapInArrow(run, "id bigint, n bigint, digest binary, sketch array<bigint>")
+def parity(values: np.ndarray, size: int) -> np.ndarray:
+    odd = np.bincount((values % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: int = 80,
@@ -97,15 +111,16 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     of a sketch only the ``len - needed + 1`` rarest values are listed, as two sketches that share ``needed`` values
     share one of those, so a value that a third of all documents retain lists few. In every list all members meet a
     member picked at random for that list; this joins groups of copies without forming their pairs. Members of one
-    list that are then still in different components meet in pairs, so no link is missed but by the odds of SHARED.
+    list that are then still in different components meet in pairs, of which the parity maps pass only those that can
+    be similar. So no link is missed but by the odds of SHARED.
     """
     rows = pick(documents, id=documents[id_col].cast("bigint"), text=text_col)
     sketched = staged(sketches(rows, size, retained))
     linkable = sketched.where("id is not null and digest is not null")
-    classes = staged(linkable.groupBy("digest").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    classes = staged(linkable.groupBy("digest").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")))
     lists = staged(_rare_lists(classes, similarity, shared))
     listed = lists.select("class").distinct()
-    listed = staged(classes.join(listed, "class").select("class", "n", "sketch"))
+    listed = staged(classes.join(listed, "class").select("class", "n", F.size("sketch").alias("held"), "sketch", "bits"))
 
     lot = F.xxhash64("value", "class")
     hubs = lists.groupBy("value").agg(F.min_by(F.struct("class", "n"), lot).alias("hub"))
@@ -116,9 +131,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     placed = lists.join(reached, lists["class"] == reached["node"], "left").select("value", "class", "n", F.coalesce("component", "class").alias("component"))
     mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-    placed = staged(placed.join(mixed, "value"))
-    left, right = (placed.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "component")]) for side in "ab")
-    pairs = left.join(right, "value").where((F.col("component_a") < F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b"), similarity))
+    placed = staged(placed.join(mixed, "value").join(listed.select("class", "held", "bits"), "class"))
+    left, right = (placed.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "held", "bits", "component")]) for side in "ab")
+    pairs = left.join(right, "value").where((F.col("component_a") < F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b"), similarity)
+                                            & _close(similarity, shared))
     near = _estimated(pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), listed, similarity, shared)
     second = _verified(near, rows, size, similarity)
 
@@ -167,10 +183,22 @@ def _rare_lists(classes: DataFrame, similarity: int, shared: int) -> DataFrame:
 def _estimated(pairs: DataFrame, listed: DataFrame, similarity: int, shared: int) -> DataFrame:
     """The distinct pairs whose sketches share as many values as those of similar sets do."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    a, b = (listed.select(*[F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "sketch")]) for side in "ab")
-    both = pairs.join(a, F.col("a") == F.col("class_a")).join(b, F.col("b") == F.col("class_b"))
-    needed = F.least(F.ceil(F.greatest("n_a", "n_b") * similarity / 100), F.lit(shared))
-    return staged(both.where(F.size(F.array_intersect("sketch_a", "sketch_b")) >= needed).select("a", "b"))
+    a, b = (listed.select(*[F.col(c).alias(f"{c}_{side}") for c in listed.columns]) for side in "ab")
+    both = pairs.join(a, F.col("a") == F.col("class_a")).join(b, F.col("b") == F.col("class_b")).where(_close(similarity, shared))
+    return staged(both.where(F.size(F.array_intersect("sketch_a", "sketch_b")) >= _needed(similarity, shared)).select("a", "b"))
+
+
+def _needed(similarity: int, shared: int) -> Column:
+    """Values that sketches of similar sets share, by the larger set's size."""
+    return F.least(F.ceil(F.greatest("n_a", "n_b") * similarity / 100), F.lit(shared))
+
+
+def _close(similarity: int, shared: int) -> Column:
+    """Whether the parity maps differ in no more bits than similar sets, and sketches of such, differ in values."""
+    differing = lambda lo, hi: sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(lo, hi)), F.lit(0))
+    cut, end = SKETCH_BITS // 64, (SKETCH_BITS + SET_BITS) // 64
+    sketches_close = differing(0, cut) <= F.col("held_a") + F.col("held_b") - 2 * _needed(similarity, shared)
+    return sketches_close & (differing(cut, end) * (100 + similarity) <= (F.col("n_a") + F.col("n_b")) * (100 - similarity))
 
 
 def _verified(near: DataFrame, rows: DataFrame, size: int, similarity: int) -> DataFrame:
