@@ -21,7 +21,7 @@ from panelweave.llm.links import components
 #: Values that a sketch retains.
 RETAINED = 64
 #: Of two sketches of similar sets, how many of the union's retained values both hold at least. For a similarity of
-#: 0.8 their number has mean 51 and deviation 3.2; fewer than 34 have a chance of about one in ten million.
+#: 0.8 their number has mean 51 and deviation 3.2; fewer than 34 have a chance of three in ten million.
 SHARED = 34
 #: Bits of the parity maps of a sketch and of a whole set.
 SKETCH_BITS, SET_BITS = 256, 512
@@ -131,10 +131,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     placed = lists.join(reached, lists["class"] == reached["node"], "left").select("value", "class", "n", F.coalesce("component", "class").alias("component"))
     mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("value")
-    placed = staged(placed.join(mixed, "value").join(listed.select("class", "held", "bits"), "class"))
-    left, right = (placed.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "held", "bits", "component")]) for side in "ab")
+    own = lists.groupBy("class").agg(F.collect_list("value").alias("values"))
+    placed = staged(placed.join(mixed, "value").join(listed.select("class", "held", "bits"), "class").join(own, "class"))
+    left, right = (placed.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "n", "held", "bits", "component", "values")]) for side in "ab")
+    once = F.array_min(F.array_intersect("values_a", "values_b")) == F.col("value")  # of the lists that two share, one forms the pair
     pairs = left.join(right, "value").where((F.col("component_a") < F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b"), similarity)
-                                            & _close(similarity, shared))
+                                            & _close(similarity, shared) & once)
     near = _estimated(pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")), listed, similarity, shared)
     second = _verified(near, rows, size, similarity)
 
