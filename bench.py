@@ -15,7 +15,7 @@ from panelweave.plans import catalog
 from panelweave.session import build_session
 
 HEADLINE = (
-    "log_returns", "sma_bank", "ema_bank", "ar_forecasts", "linear_bank", "linear_bank_daily", "knn_forecasts", "star_forecasts",
+    "log_returns", "sma_bank", "ema_bank", "ar_forecasts", "linear_bank", "linear_bank_daily", "ar_forecasts_daily", "knn_forecasts", "star_forecasts",
     "forecast_errors", "metric_bundle", "best_model", "model_weights", "dma_forecasts", "pca_full", "ridge_combination",
     "superior_ability", "confidence_set", "loss_test_table", "combined_forecasts", "describe_series", "performance_bundle",
     "garch_volatility_suppliers", "marginal_residuals_suppliers", "dcc_correlation", "adcc_correlation", "score_driven_correlation",
@@ -28,7 +28,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "16g"})
+        "spark.driver.memory": "16g", "spark.checkpoint.dir": os.environ.get("CHECKPOINTS", "/tmp/panelweave-checkpoints")})
     spark.sparkContext.setLogLevel("ERROR")
     catalog.flagship(spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
