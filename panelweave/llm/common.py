@@ -6,13 +6,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelweave.sources.stores import staged
 
-__all__ = ["staged", "table", "pick", "texts", "type_of", "batch_of", "partitions", "latin_words", "space_words", "LATIN_WORD", "SPACE_WORD", "merged"]
+__all__ = ["staged", "table", "pick", "texts", "type_of", "batch_of", "partitions", "latin_words", "space_words", "compressed", "unpacked", "LATIN_WORD", "SPACE_WORD", "merged"]
 
 #: A word of the benchmark rule, after A-Z became a-z: digits, a-z and everything beyond ASCII.
 LATIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -42,6 +43,23 @@ def texts(column: pa.Array, at_once: int = 128) -> Iterator[bytes]:
             yield value or b""
 
 
+def compressed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The id and ``data``, the text's bytes compressed for their way between stages; null counts as empty."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compressor.compress(t) for t in texts(batch.column(1))], pa.binary())], names=[id_col, "data"])
+
+    return rows.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {type_of(rows, id_col)}, data binary")
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    """The bytes behind compressed values, null as empty."""
+    decompressor = zstandard.ZstdDecompressor()
+    for data in texts(column):
+        yield decompressor.decompress(data) if data else b""
+
+
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

@@ -8,14 +8,16 @@ equal suffixes are compared there. Splitters fall between different leading byte
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import merged, partitions, pick, staged, texts
+from panelweave.llm.common import merged, partitions, pick, staged, texts, unpacked
 
 #: Bytes in the grams that anchors are chosen among.
 GRAM = 24
@@ -122,12 +124,23 @@ def _anchors(pieces: list[tuple[int, int, int, int]], data: bytes, width: int, g
     return out, lead
 
 
-def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of gram, whole, document and place, and whether each is the first of its gram and whole."""
+def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by gram, whole, document and place; which are the first of their gram and whole; which repeat an earlier one.
+
+    Rows of one place, from equal rows of the input, do not repeat each other.
+    """
     rows = rows[np.lexsort((rows["at"], rows["doc"], rows["whole"], rows["gram"]))]
     new = np.ones(len(rows), bool)
     new[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["whole"][1:] != rows["whole"][:-1])
-    return rows, new
+    return rows, new, _after_first(new, rows["doc"], rows["at"])
+
+
+def _after_first(new: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """In sorted runs that begin where ``new`` is set: which stand at another place than their run's first."""
+    if not len(new):
+        return new
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return (doc != doc[first]) | (at != at[first])
 
 
 def _ranges(rows: np.ndarray) -> np.ndarray:
@@ -166,7 +179,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     removed, by its place, from all. Texts shorter than the width lose nothing; long ones are read in pieces.
     Strings are compared by 64-bit hashes of all their bytes.
 
-    The documents' texts are read twice, and move once, to meet what was found in them. Equal runs of strings are
+    The documents' texts are read twice, and move compressed to meet what was found in them. Equal runs of strings are
     reduced to their first one per task before they are moved, so a passage that a third of all documents share
     sends one row per task.
     """
@@ -191,7 +204,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
         done = np.frombuffer(b"".join(x for x in table.column("done").to_pylist() if x), RANGE)
-        suffixes, new = _firsts(np.frombuffer(b"".join(x for x in table.column("data").to_pylist() if x), ANCHOR))
+        suffixes, new, later = _sorted(np.frombuffer(b"".join(x for x in table.column("data").to_pylist() if x), ANCHOR))
         first = suffixes[new]
         again = np.zeros(len(first), bool)  # the gram stands before or after in another run of strings
         if len(first) > 1:
@@ -201,16 +214,14 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         open_ = np.empty(int(again.sum()), RANGE)
         own = first[again]
         open_["doc"], open_["at"], open_["to"] = own["doc"], own["at"], own["at"] + own["more"]
-        return pa.concat_tables([_table(_joined(np.concatenate([done, _ranges(suffixes[~new])])), 1), _table(open_, 2, own["gram"])])
+        return pa.concat_tables([_table(_joined(np.concatenate([done, _ranges(suffixes[later])])), 1), _table(open_, 2, own["gram"])])
 
     found = rows.mapInArrow(scan, "bucket int, data binary, done binary").groupBy("bucket").applyInArrow(sort, "doc bigint, at int, to int, kind int, gram bigint")
     by_doc = found.groupBy("doc").agg(F.collect_list(F.when(F.col("kind") == 1, F.struct("at", "to"))).alias("sure"),
                                       F.collect_list(F.when(F.col("kind") == 2, F.struct("at", "to", "gram"))).alias("open"))
-    text = F.col("text").cast("binary")
-    joined = rows.join(by_doc, "doc", "left")
+    joined = rows.mapInArrow(_packed, "doc bigint, n_bytes bigint, sha string, data binary").join(by_doc, "doc", "left")
     hit = F.col("sure").isNotNull()
-    joined = staged(joined.select("doc", F.octet_length("text").cast("bigint").alias("n_bytes"), F.when(~hit, F.sha2(text, 256)).alias("sha"),
-                                  F.when(hit | F.lit(with_text), text).alias("data"), "sure", "open"))
+    joined = staged(joined.select("doc", "n_bytes", F.when(~hit, F.col("sha")).alias("sha"), F.when(hit | F.lit(with_text), F.col("data")).alias("data"), "sure", "open"))
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,17 +231,15 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     def decide(key: tuple, table: pa.Table) -> pa.Table:
         return _later(table)
 
-    contested = joined.where(F.size("open") > 0).select("doc", "data", "open").dropDuplicates(["doc"]).mapInArrow(strings, "gram bigint, doc bigint, at int, hashes binary")
+    contested = joined.where(F.size("open") > 0).select("doc", "data", "open").mapInArrow(strings, "gram bigint, doc bigint, at int, hashes binary")
     late = contested.withColumn("bucket", F.pmod(F.col("gram"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(decide, "doc bigint, at int, to int")
     late = late.groupBy("doc").agg(F.collect_list(F.struct("at", "to")).alias("late"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             removed, spans, sha, kept = [], [], [], []
             lists = zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())
-            for data, (old, sure, more) in zip(texts(batch.column(3)), lists):
+            for data, (old, sure, more) in zip(unpacked(batch.column(3)), lists):
                 cut = merged([(r["at"], min(r["to"] + width, len(data))) for r in [*(sure or ()), *(more or ())] if r["at"] < len(data)]) if old is None else []
                 left, at = [], 0
                 for a, b in cut:
@@ -254,6 +263,19 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.withColumn("doc", F.when(F.col("doc") != F.lit(-(1 << 63)), F.col("doc"))).withColumnRenamed("doc", id_col)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for their way between stages, with their length and hash."""
+    compressor = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        n, sha, data = [], [], []
+        for text in texts(batch.column(1)):
+            n.append(len(text))
+            sha.append(hashlib.sha256(text).hexdigest())
+            data.append(compressor.compress(text))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(data, pa.binary())],
+                                         names=["doc", "n_bytes", "sha", "data"])
+
+
 def _splitters(rows: DataFrame, count: int, buckets: int, width: int, gram: int) -> np.ndarray:
     """Leading bytes, as codes, that cut a sample of the suffixes into equal parts."""
     if not count:
@@ -273,14 +295,15 @@ def _splitters(rows: DataFrame, count: int, buckets: int, width: int, gram: int)
 
 def _dealt(rows: np.ndarray, bucket: np.ndarray, buckets: int) -> pa.RecordBatch:
     """One row per bucket: the first run of every kind in this task, and the repeats, which need no more comparing."""
-    order = np.lexsort((rows["at"], rows["doc"], rows["whole"], rows["gram"]))
-    rows, bucket = rows[order], bucket[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["whole"][1:] != rows["whole"][:-1])
-    done = _ranges(rows[~new])
-    own = rows[new]
-    order = np.argsort(bucket[new], kind="stable")
-    own, at = own[order], bucket[new][order]
+    both = np.empty(len(rows), np.dtype([*ANCHOR.descr, ("bucket", "<i4")]))
+    for name in ANCHOR.names:
+        both[name] = rows[name]
+    both["bucket"] = bucket
+    both, new, later = _sorted(both)
+    done = _ranges(both[later])
+    both = both[new]
+    both = both[np.argsort(both["bucket"], kind="stable")]
+    own, at = both[list(ANCHOR.names)].astype(ANCHOR), both["bucket"]
     edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, int)
     ends = np.concatenate([edges[1:], [len(at)]])
     keys, data, sure = [int(at[e]) for e in edges], [own[a:b].tobytes() for a, b in zip(edges, ends)], [None] * len(edges)
@@ -298,7 +321,7 @@ def _dealt(rows: np.ndarray, bucket: np.ndarray, buckets: int) -> pa.RecordBatch
 def _open_strings(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
     """For every run that is compared string by string: the hashes of its strings."""
     docs, at, gram, parts, size = [], [], [], [], []
-    for doc, data, runs in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist()):
+    for doc, data, runs in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(2).to_pylist()):
         for r in runs:
             part = data[r["at"]:r["to"] + width]
             if len(part) >= width:
@@ -325,9 +348,9 @@ def _later(table: pa.Table) -> pa.Table:
     doc = np.repeat(np.asarray(table.column("doc")), n)
     at = np.repeat(np.asarray(table.column("at")), n) + np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)
     order = np.lexsort((at, doc, value))
-    again = np.zeros(len(value), bool)
-    again[1:] = value[order][1:] == value[order][:-1]
-    kept = order[again]
+    new = np.ones(len(value), bool)
+    new[1:] = value[order][1:] != value[order][:-1]
+    kept = order[_after_first(new, doc[order], at[order])]
     out = np.empty(len(kept), RANGE)
     out["doc"], out["at"], out["to"] = doc[kept], at[kept], at[kept]
     out = _joined(out)

@@ -182,6 +182,8 @@ def test_repeats_of_rows_without_or_with_one_id(spark):
     text = "q" * 60 + "r" * 60
     got = suffixes.remove_repeats(docs(spark, [(None, text), (1, text), (1, text), (2, None)])).collect()
     assert sorted((repr(r.doc_id), r.n_removed) for r in got) == [("1", 120), ("1", 120), ("2", 0), ("None", 0)]
+    same = suffixes.remove_repeats(docs(spark, [(1, text), (1, text), (3, "u" * 130), (3, "u" * 130)])).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in same) == [(1, 0), (1, 0), (3, 129), (3, 129)]
     assert suffixes.remove_repeats(docs(spark, [])).count() == 0
 
 
