@@ -136,14 +136,15 @@ def _candidates(classes: DataFrame, dims: int, cosine: float, blocks: int, strip
         x = np.frombuffer(b"".join(rows.column("data").to_pylist()), np.float32).reshape(len(ids), -1)
         left, right = cell == tile // width, cell == tile % width
         lid, rid, lx, rx = ids[left], ids[right], x[left], x[right]
+        # x.y - |x|^2 / 2 - |y|^2 / 2 is minus half the squared distance: one product gives all of them.
+        half = lambda v: (v * v).sum(1, dtype=np.float32)[:, None] / -2
+        lx, rx = np.hstack([lx, half(lx), np.ones((len(lx), 1), np.float32)]), np.hstack([rx, np.ones((len(rx), 1), np.float32), half(rx)])
+        least = np.float32(-(budgets[block] + SLACK) / 2)
         a, b = [], []
-        square = (rx * rx).sum(1)
         for lo in range(0, len(lid), 512):
-            part = lx[lo:lo + 512]
-            far = (part * part).sum(1)[:, None] + square - 2 * (part @ rx.T)
-            i, j = np.nonzero(far <= budgets[block] + SLACK)
-            a.append(lid[lo + i])
-            b.append(rid[j])
+            near = np.flatnonzero(lx[lo:lo + 512] @ rx.T >= least)
+            a.append(lid[lo + near // len(rid)] if len(rid) else lid[:0])
+            b.append(rid[near % len(rid)] if len(rid) else rid[:0])
         a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         keep = a < b if tile // width == tile % width else a != b
         a, b = a[keep], b[keep]
