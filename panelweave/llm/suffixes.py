@@ -30,7 +30,7 @@ _TABLE = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64) |
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # Leading bytes as 5-bit codes that keep their order: marks and digits, letters of either case by halves, the rest.
 _CODES = np.array([0 if b <= 32 else 1 if b < 48 else 2 if b < 65 else 3 if b < 97 else b - 93 if b <= 122 else 30 if b < 195 else 31 for b in range(256)], np.uint64)
-ANCHOR = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("more", "<u1")])
+ANCHOR = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("more", "<u1"), ("left", "<u2"), ("right", "<u2")])
 RANGE = np.dtype([("doc", "<i8"), ("at", "<i4"), ("to", "<i4")])
 
 
@@ -90,7 +90,9 @@ def _anchors(pieces: list[tuple[int, int, int, int]], data: bytes, width: int, g
     """Runs of strings with one anchor, as ANCHOR rows, and the leading bytes at their anchors as codes.
 
     A run is the strings that start at ``at`` to ``at + more``; ``gram`` is the hash of the anchor's gram, ``whole`` that
-    of all bytes under the run and of where the anchor lies in them.
+    of all bytes under the run and of where the anchor lies in them. ``left`` and ``right`` are short hashes of the bytes
+    next to the gram, half of what a string has beside it: equal strings agree in one of the two. Where a text has too
+    few bytes on a side, its strings need the other side, and any value will do.
     """
     x = np.frombuffer(data, np.uint8)
     with np.errstate(over="ignore"):
@@ -118,6 +120,14 @@ def _anchors(pieces: list[tuple[int, int, int, int]], data: bytes, width: int, g
         out["gram"] = grams[a1]
         out["whole"] = _join(_join(hashes.at(width, s1), hashes.at(width, s2)), ((s2 - s1) * 4096 + (a1 - s1)).astype(np.uint64))
         out["doc"], out["at"], out["more"] = doc[piece], s1 - place[piece] + start[piece], s2 - s1
+        half = (width - gram) // 2
+        begin, end = place[piece], place[piece] + length[piece]
+        none = ((out["doc"].astype(np.uint64) * _M1) ^ (out["at"].astype(np.uint64) * _M2)) * _M1
+        before, behind = a1 - half >= begin, a1 + gram + half <= end
+        for name, there, start in (("left", before, a1 - half), ("right", behind, a1 + gram)):
+            value = none.copy()
+            value[there] = hashes.at(half, start[there]) * _M1
+            out[name] = value >> np.uint64(48)
         lead = np.zeros(len(cut), np.uint64)
         for k in range(12):
             lead = (lead << np.uint64(5)) | _CODES[x[np.minimum(a1 + k, len(x) - 1)]]
@@ -143,6 +153,17 @@ def _after_first(new: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray
     return (doc != doc[first]) | (at != at[first])
 
 
+def _shared(gram: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Which rows have another row's gram and side."""
+    order = np.lexsort((side, gram))
+    out = np.zeros(len(gram), bool)
+    if len(gram) > 1:
+        same = (gram[order][1:] == gram[order][:-1]) & (side[order][1:] == side[order][:-1])
+        out[order[1:]] |= same
+        out[order[:-1]] |= same
+    return out
+
+
 def _ranges(rows: np.ndarray) -> np.ndarray:
     """Starts of removed strings as ranges, neighbours joined."""
     out = np.empty(len(rows), RANGE)
@@ -206,11 +227,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         done = np.frombuffer(b"".join(x for x in table.column("done").to_pylist() if x), RANGE)
         suffixes, new, later = _sorted(np.frombuffer(b"".join(x for x in table.column("data").to_pylist() if x), ANCHOR))
         first = suffixes[new]
-        again = np.zeros(len(first), bool)  # the gram stands before or after in another run of strings
-        if len(first) > 1:
-            same = first["gram"][1:] == first["gram"][:-1]
-            again[1:] |= same
-            again[:-1] |= same
+        again = _shared(first["gram"], first["left"]) | _shared(first["gram"], first["right"])  # may hold equal strings
         open_ = np.empty(int(again.sum()), RANGE)
         own = first[again]
         open_["doc"], open_["at"], open_["to"] = own["doc"], own["at"], own["at"] + own["more"]
