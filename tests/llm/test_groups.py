@@ -239,6 +239,38 @@ def test_chains_follow_the_best_order():
         assert sorted(i for c in found for i in c) == list(range(25))
 
 
+def test_chains_find_the_best_within_reach():
+    rng = np.random.default_rng(8)
+    for n, reach in [(25, 3), (60, 10), (60, 25)] * 10:
+        p, q = rng.integers(0, 90, n), rng.integers(0, 90, n)
+        p[:9], q[:9] = np.arange(9), np.arange(9)  # a long chain that outweighs nearer ones
+        best = [0.0] * n
+        for i in np.lexsort((q, p)):
+            may = [best[j] - 0.1 * (p[i] - p[j] + q[i] - q[j]) for j in range(n) if 0 < p[i] - p[j] <= reach + 5 and 0 < q[i] - q[j] <= reach + 5]
+            best[i] = 5 + max([0.0, *may])
+        first = max(passages.chains(p, q, 5, reach, 0.1), key=lambda c: 5 * len(c) - 0.1 * (p[c[-1]] - p[c[0]] + q[c[-1]] - q[c[0]]))
+        assert abs(5 * len(first) - 0.1 * (p[first[-1]] - p[first[0]] + q[first[-1]] - q[first[0]]) - max(best)) < 1e-9
+
+
+@pytest.mark.parametrize("apart", [20, 50, 100, 200, 300])
+@pytest.mark.parametrize("ahead", [60, 1000])
+def test_a_passage_after_a_longer_one_is_found(apart, ahead):
+    rng = np.random.default_rng(apart)
+    text = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    one, two = text(ahead), text(60)
+    own = []
+    for doc in (1, 2):
+        grams, at = passages.seeds(np.concatenate([text(30), one, text(apart), two, text(30)]), passages.WORDS, passages.WINDOW)
+        part = np.empty(len(grams), passages.SEED)
+        part["seed"], part["doc"], part["at"] = grams, doc, at
+        own.append(part)
+    rows = np.concatenate(own)
+    found = passages._matches(rows[np.lexsort((rows["at"], rows["doc"], rows["seed"]))], passages.FEW)
+    chains = passages._chained(found, passages.WORDS, 50).to_pylist()
+    later = [p for c in chains for p in c["at"] if p >= 30 + ahead + apart]
+    assert later and max(later) - min(later) >= 35
+
+
 def test_alignment():
     a, b = np.array([1, 2, 3, 4, 5, 6, 7, 8]), np.array([1, 2, 9, 4, 5, 7, 8])
     assert passages.edits(a, b) == (6, 8) and passages.edits(a[:0], b) == (0, 7)
