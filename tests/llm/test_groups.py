@@ -277,6 +277,50 @@ def test_alignment():
     assert passages.align(a, b, [0, 6], [0, 5], 2) == (0, 8, 0, 7, 6, 8)
 
 
+def test_columns_are_those_counted():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = rng.integers(0, 4, rng.integers(0, 12)), rng.integers(0, 4, rng.integers(0, 12))
+        parts = passages.columns_of(a, b)
+        assert (sum(e for _, _, e in parts), len(parts)) == passages.edits(a, b)
+        assert (sum(x for x, _, _ in parts), sum(y for _, y, _ in parts)) == (len(a), len(b))
+
+
+def test_stretches_are_the_longest_ones():
+    rng = np.random.default_rng(11)
+    for _ in range(60):
+        a = np.arange(int(rng.integers(60, 120)))
+        b = np.where(rng.random(len(a)) < rng.choice([0.25, 0.35, 0.5]), 1000 + a, a)
+        b[:5], b[-5:] = a[:5], a[-5:]
+        found = passages.stretches(a, b, [0, len(a) - 5], [0, len(a) - 5], 5, 20, 0.8)
+        same = np.concatenate([[0], np.cumsum(a == b)])
+        good = [t - f for f in range(len(a)) for t in range(f + 20, len(a) + 1) if a[f] == b[f] and a[t - 1] == b[t - 1] and 5 * (same[t] - same[f]) >= 4 * (t - f)]
+        assert max((f[5] for f in found), default=0) == max(good, default=0)
+        for lo, hi, low, high, equal, columns in found:
+            assert (lo, hi) == (low, high) and equal == same[hi] - same[lo] and 5 * equal >= 4 * columns
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+
+
+def test_exact_passages_around_other_words_are_kept(spark):
+    rng = random.Random(2)
+    words = iter(rng.sample([f"w{k}" for k in range(20_000)], 8000))
+    prose = lambda n: [next(words) for _ in range(n)]
+    rows, want = [], {}
+    for k, apart in enumerate(range(20, 46, 5)):
+        one, two, phrase = prose(51), prose(51), prose(25)
+        for d in (0, 1):
+            rows.append((2 * k + d, " ".join([*prose(30), *one, *prose(apart), *two, *prose(30)])))
+            rows.append((100 + 2 * k + d, " ".join([*prose(30), *one, *prose(35), *phrase, *prose(30)])))
+        want[2 * k + 1], want[101 + 2 * k] = {" ".join(one), " ".join(two)}, {" ".join(one)}
+    found = {}
+    for r in passages.shared_passages(docs(spark, rows)).where("doc_id % 2 = 1 and other_id = doc_id - 1").collect():
+        found.setdefault(r.doc_id, []).append(dict(rows)[r.doc_id][r.start:r.end])
+        assert r.similarity >= 0.8 and r.n_words >= 50
+    for k, parts in want.items():
+        for part in parts:
+            assert any(part in t for t in found.get(k, ())), k
+
+
 def test_pipeline(spark):
     sf, before, sizes = "/root/testdata/sf0.01", None, []
     docs_ = corpus_pipeline.table(spark, sf, "documents")
