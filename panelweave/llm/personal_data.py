@@ -32,7 +32,10 @@ ACCOUNT_CUES = ("iban", "ssn", "passport", "account number", "account no", "acct
 SECRET_CUES = ("password", "passwd", "token", "api_key", "apikey", "api key", "secret", "access_key")
 _LOGIN = re.compile(r"([^\s/@:]+):([^\s/@]+)@[A-Za-z0-9.-]+")
 _ACCOUNT = re.compile(r"(?:[\x20:#=.]|is|no|number){0,12}([A-Za-z0-9](?:[\x20-]?[A-Za-z0-9]){4,40})")
-_SECRET = re.compile(r"[\x20\t]{0,3}(?:=|:)[\x20\t]{0,3}([\"']?)([^\s\"']{8,200})\1")
+_DIGIT_GROUPS = re.compile(r"[0-9](?:[\x20-]?[0-9])*(?![A-Za-z])")
+_TOKEN = re.compile(r"[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*")
+_IS = re.compile(r"[\x20\t]{0,3}(?:=|:)[\x20\t]{0,3}")
+_SECRET = re.compile(r"([\"']?)([^\s\"']{8,}+)\1")
 _DIGITS = frozenset("0123456789")
 
 
@@ -67,16 +70,24 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
-def _account(text: str, at: int) -> tuple[int, int] | None:
-    """The account after a cue: a sound IBAN, or else a token or group of digits with at least five digits."""
+def _account(text: str, at: int, run: tuple[int, int]) -> tuple[tuple[int, int] | None, tuple[int, int]]:
+    """The account after a cue: a sound IBAN, or else a token or group of digits with at least five digits, however long.
+
+    ``run`` is the last token read, by its end and its fifth digit from behind: a cue inside it does not read it again.
+    """
     if not (m := _ACCOUNT.match(text, at)):
-        return None
+        return None, run
     start, value = m.start(1), m.group(1)
     for end in sorted({len(value), *(k.start() for k in re.finditer(r"[\x20-]", value))}, reverse=True):
         if iban(value[:end].replace(" ", "").replace("-", "")):
-            return start, start + end
-    end = re.match(r"[0-9](?:[\x20-]?[0-9])*(?![A-Za-z])|[A-Za-z0-9]+(?:-[A-Za-z0-9]+)*", value)
-    return (start, start + end.end()) if end and sum(c.isdigit() for c in end.group()) >= 5 else None
+            return (start, start + end), run
+    if m := _DIGIT_GROUPS.match(text, start):
+        return (m.span() if sum(c in _DIGITS for c in m.group()) >= 5 else None), run
+    if start >= run[0]:
+        token = _TOKEN.match(text, start)
+        digits = [k for k in range(*token.span()) if text[k] in _DIGITS]
+        run = token.end(), digits[-5] if len(digits) >= 5 else -1
+    return ((start, run[0]) if start <= run[1] else None), run
 
 
 _FOUND = None
@@ -88,7 +99,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
     if _FOUND is None:
         _FOUND = _automaton()
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    ip = card = email = phone = run = 0  # where each kind goes on; run: where the run of digits at hand ends
+    ip = card = email = phone = secret = run = 0  # where each kind goes on; run: where the run of digits at hand ends
+    token = (0, -1)
     for end, (kind, length) in _FOUND.iter(text):
         at = end - length + 1
         if kind == "digit":
@@ -122,10 +134,12 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 out["login"].append(m.span())
         elif not (text[at - 1:at].isalnum() if at else False):
             if kind == "account":
-                if found := _account(text, end + 1):
+                found, token = _account(text, end + 1, token)
+                if found:
                     out["account"].append(found)
-            elif m := _SECRET.match(text, end + 1):
-                out["secret"].append(m.span(2))
+            elif (m := _IS.match(text, end + 1)) and m.end() >= secret and (m := _SECRET.match(text, m.end())):
+                out["secret"].append(m.span(2))  # a value that begins inside another ends with it
+                secret = m.end(2)
     return [(k, a, b) for k in KINDS for a, b in (out[k] if k in BASE else merged(out[k]))]
 
 

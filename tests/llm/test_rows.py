@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -113,6 +114,29 @@ def test_cues_and_redaction(spark):
     assert personal_data.find_personal_data(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [201, 600, 5000])
+@pytest.mark.parametrize("quote", ["", '"', "'"])
+def test_long_secrets_and_accounts_go_as_a_whole(n, quote):
+    value = ("Ab9." * n)[:n]
+    text = f"see token: {quote}{value}{quote} end"
+    assert personal_data.find(text)[-1] == ("secret", 11 + len(quote), 11 + len(quote) + n)
+    assert personal_data.redacted(text, personal_data.find(text)) == f"see token: {quote}[secret]{quote} end"
+    for account in (("A1b2" * n)[:n], "12345-67890-" * (n // 6) + "1"):
+        text = f"passport no {account} end"
+        assert [s for s in personal_data.find(text) if s[0] == "account"] == [("account", 12, 12 + len(account))]
+
+
+def test_cues_inside_values():
+    text = "token=abcdefgh;password='hunter2hunter' x"
+    assert [text[a:b] for k, a, b in personal_data.find(text) if k == "secret"] == ["abcdefgh;password=", "hunter2hunter"]
+    text = "token=abcdefgh;password=hunter2hunter x"
+    assert [text[a:b] for k, a, b in personal_data.find(text) if k == "secret"] == ["abcdefgh;password=hunter2hunter"]
+    for piece in ("token:", "-ssnA1", "-ssnA", ";token=\"x"):  # in time that grows with the text
+        began = time.process_time()
+        personal_data.find(piece * 100_000)
+        assert time.process_time() - began < 20
+
+
 def test_shards(spark):
     rows = [(k, "t" * (k % 7)) for k in range(3000)] + [(None, None), (7, ""), (7, "")] + [(5, "same")] * 400
     frame = docs(spark, rows)
