@@ -40,6 +40,15 @@ def date_windows(residuals: DataFrame, assets: Sequence[str], window: int = WIND
     return out.select(F.col("target").alias("ts"), F.col("w.v").alias("window"))
 
 
+def past_vectors(residuals: DataFrame, assets: Sequence[str], least: int = WINDOW) -> DataFrame:
+    """``ts`` and all residual vectors before it, oldest first, where there are at least so many.
+
+    The rows grow with the square of the dates.
+    """
+    out = onto_later(wide(residuals, assets), None).groupBy("target").agg(F.sort_array(F.collect_list(F.struct("ts", "v"))).alias("w"))
+    return out.where(F.size("w") >= least).select(F.col("target").alias("ts"), F.col("w.v").alias("window"))
+
+
 def _by_date(windows: DataFrame, assets: Sequence[str], model: str, grid_size: int, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     pairs = list(combinations(range(len(assets)), 2))
     first, second = [assets[i] for i, _ in pairs], [assets[j] for _, j in pairs]

@@ -16,14 +16,14 @@ def dates_of(df: DataFrame) -> Column:
     return df.agg(F.sort_array(F.collect_set("ts"))).scalar()
 
 
-def onto_later(rows: DataFrame, window: int) -> DataFrame:
-    """Hand every row to the ``window`` dates after its own, as column ``target``.
+def onto_later(rows: DataFrame, window: int | None) -> DataFrame:
+    """Hand every row to the ``window`` dates after its own, or to all of them without a window, as column ``target``.
 
     Grouping by the target gives what a window over all dates would, with each
     date in a task of its own.
     """
     dates = dates_of(rows)
-    later = F.slice(dates, F.array_position(dates, F.col("ts")).cast("int") + 1, F.lit(window))
+    later = F.slice(dates, F.array_position(dates, F.col("ts")).cast("int") + 1, F.size(dates) if window is None else F.lit(window))
     return rows.withColumn("target", F.explode(later))
 
 

@@ -17,7 +17,7 @@ from panelweave.operators import portfolio as O
 from panelweave.operators import scenario as Z
 from panelweave.operators import volatility as V
 from panelweave.operators import windows as N
-from panelweave.plans.dependence import all_correlations, order_simple, residual_windows
+from panelweave.plans.dependence import all_correlations, order_simple, past_residuals
 from panelweave.plans.panels import order_panel, supplier_panel
 from panelweave.plans.registry import query
 from panelweave.session import scratch_path
@@ -91,11 +91,11 @@ def mean_variance_combined(spark, sf):
 
 @query("mean_cvar_combined")
 def mean_cvar_combined(spark, sf):
-    """The same four forecasts and three dependence models with mean-CVaR portfolios at both levels."""
+    """The same four forecasts and three dependence models with mean-CVaR portfolios at both levels, over all past residual vectors."""
     simple = order_simple(spark, sf)
     matrix = D.correlation_matrix(all_correlations(simple), ASSETS).select(F.col("model").alias("dependence"), "ts", D.repair("matrix").alias("matrix"))
     vol = O.volatility_vectors(V.garch_volatility(simple), ASSETS)
-    windows = P.spread(residual_windows(simple).join(matrix, "ts"), "dependence", "ts").select(
+    windows = P.spread(past_residuals(simple).join(matrix, "ts"), "dependence", "ts").select(
         "dependence", "ts", Z.recorrelate("window", "matrix").alias("window"))
     scaled = F.transform("window", lambda z: F.zip_with(z, F.col("s"), lambda a, b: a * b))
     inputs = O.mean_cvar_inputs(simple_forecasts(spark, sf), windows.join(vol, "ts").select("dependence", "ts", scaled.alias("scenarios")), ASSETS)

@@ -30,6 +30,10 @@ def residual_windows(simple):
     return D.date_windows(V.scaled_residuals(simple), ASSETS)
 
 
+def past_residuals(simple):
+    return D.past_vectors(V.scaled_residuals(simple), ASSETS)
+
+
 def values(rows) -> str:
     """A VALUES list of numbered grid points as doubles."""
     return ", ".join("(" + ", ".join([str(i), *[f"{float(x)!r}::DOUBLE" for x in p]]) + ")" for i, p in enumerate(rows))

@@ -375,6 +375,27 @@ def test_windows_and_degrees_need_no_common_key(make_panel):
     assert "Window" not in plan
 
 
+def test_scenarios_are_all_past_vectors(make_panel):
+    rows = make_panel(A=range(60), B=range(100, 160))
+    got = {r.ts: r.window for r in D.past_vectors(rows, ("A", "B"), 24).collect()}
+    days = months(60)
+    assert got == {days[k]: [[float(i), 100.0 + i] for i in range(k)] for k in range(24, 60)}
+
+
+def test_combined_portfolios_take_all_past_vectors(spark, monkeypatch):
+    from panelweave.plans import combined
+
+    seen = []
+    monkeypatch.setattr(combined, "simple_forecasts", lambda spark, sf: None)
+    monkeypatch.setattr(combined.O, "mean_cvar_inputs", lambda forecasts, scenarios, assets: seen.append(scenarios) or scenarios)
+    monkeypatch.setattr(combined.O, "mean_cvar", lambda *a: (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        combined.mean_cvar_combined(spark, "/root/testdata/sf0.01")
+    sizes = [r[1] for r in seen[0].where("dependence = 'DCC'").select("ts", F.size("scenarios")).orderBy("ts").collect()]
+    assert sizes == list(range(24, 24 + len(sizes))) and len(sizes) > 20
+    print("vectors", sizes[0], sizes[-1])
+
+
 def test_matrix_repair(spark):
     bad = [[1.0, 0.9, -0.9], [0.9, 1.0, 0.9], [-0.9, 0.9, 1.0]]
     good = [[1.0, 0.1, 0.0], [0.1, 1.0, 0.2], [0.0, 0.2, 1.0]]
