@@ -2,8 +2,8 @@
 
 Every string of ``width`` bytes is anchored at one of the byte grams inside it: the one with the smallest hash, the first
 of equals. Equal strings have the same anchor, so only suffixes that start at anchors are sorted, some one in forty.
-Sampled splitters deal them over buckets by their leading bytes; a bucket sorts its suffixes key by key, and strings of
-equal suffixes are compared there. Splitters fall between different leading bytes, never inside a run of equal ones.
+Sampled splitters deal them over buckets by their leading bytes and, where many begin alike, by the hash of their gram; a
+bucket sorts its suffixes key by key, and strings of equal suffixes are compared there. Splitters never divide equal grams.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ SAMPLED = 2_000
 _CHUNK = 1 << 18
 _TABLE = np.random.default_rng(17).integers(0, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-# Leading bytes as 5-bit codes that keep their order: marks and digits, letters of either case by halves, the rest.
-_CODES = np.array([0 if b <= 32 else 1 if b < 48 else 2 if b < 65 else 3 if b < 97 else b - 93 if b <= 122 else 30 if b < 195 else 31 for b in range(256)], np.uint64)
 ANCHOR = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("more", "<u1"), ("left", "<u2"), ("right", "<u2")])
 RANGE = np.dtype([("doc", "<i8"), ("at", "<i4"), ("to", "<i4")])
 
@@ -87,7 +85,8 @@ def _buffers(rows: Iterator[tuple[int, bytes]], width: int) -> Iterator[tuple[li
 
 
 def _anchors(pieces: list[tuple[int, int, int, int]], data: bytes, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of strings with one anchor, as ANCHOR rows, and the leading bytes at their anchors as codes.
+    """Runs of strings with one anchor, as ANCHOR rows, and their leads: the first six bytes at the anchor, then 16 bits that differ between
+    grams, so that splitters can divide whatever text but equal grams.
 
     A run is the strings that start at ``at`` to ``at + more``; ``gram`` is the hash of the anchor's gram, ``whole`` that
     of all bytes under the run and of where the anchor lies in them. ``left`` and ``right`` are short hashes of the bytes
@@ -129,8 +128,10 @@ def _anchors(pieces: list[tuple[int, int, int, int]], data: bytes, width: int, g
             value[there] = hashes.at(half, start[there]) * _M1
             out[name] = value >> np.uint64(48)
         lead = np.zeros(len(cut), np.uint64)
-        for k in range(12):
-            lead = (lead << np.uint64(5)) | _CODES[x[np.minimum(a1 + k, len(x) - 1)]]
+        for k in range(min(6, gram)):
+            lead = (lead << np.uint64(8)) | x[a1 + k]
+        # Anchors have small hashes: mixed once more, all 16 bits are used.
+        lead = (lead << np.uint64(16)) | ((grams[a1] ^ (grams[a1] >> np.uint64(32))) * _M1 >> np.uint64(48))
     return out, lead
 
 
@@ -294,7 +295,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _splitters(rows: DataFrame, count: int, buckets: int, width: int, gram: int) -> np.ndarray:
-    """Leading bytes, as codes, that cut a sample of the suffixes into equal parts."""
+    """Leads that cut a sample of the suffixes into equal parts."""
     if not count:
         return np.zeros(0, np.uint64)
 

@@ -187,6 +187,21 @@ def test_repeats_of_rows_without_or_with_one_id(spark):
     assert suffixes.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["абвгдежзиклмнопрстуф ", "的一是不了人我在有他这中大来上", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"])
+def test_splitters_divide_any_script(spark, alphabet):
+    rng = random.Random(3)
+    found = [("".join(rng.choice(alphabet) for _ in range(4000)),) for _ in range(20)]
+    splitters = suffixes._splitters(spark.createDataFrame(found, "text string"), len(found), 16, 100, suffixes.GRAM)
+    (pieces, data), = suffixes._buffers(enumerate(t.encode() for t, in found), 100)
+    rows, lead = suffixes._anchors(pieces, data, 100, suffixes.GRAM)
+    sizes = np.bincount(np.searchsorted(splitters, lead, side="right"), minlength=16)
+    assert sizes.max() < 2 * sizes.mean()
+    twice, again = suffixes._anchors(*next(suffixes._buffers([(0, data[:5000]), (1, b"x" * 200 + data[:5000])], 100)), 100, suffixes.GRAM)
+    leads = {}
+    for g, k in zip(twice["gram"].tolist(), again.tolist()):
+        assert leads.setdefault(g, k) == k  # equal grams meet
+
+
 def test_hashes_agree_wherever_a_string_stands():
     data = np.random.default_rng(1).integers(0, 4, 3000).astype(np.uint8)
     with np.errstate(over="ignore"):
