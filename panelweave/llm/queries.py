@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, fitting, near_text, near_vectors, packing, passages, personal_data, quality, sharding, suffixes, toxic_spans
+from panelweave.llm import decontaminate, fitting, level_packing, near_text, near_vectors, packing, passages, personal_data, quality, sharding, suffixes, toxic_spans
 from panelweave.llm.common import sha_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,8 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_passages")
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.shared_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op11_pack_online")
+def op11_pack_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_packing.pack_online(table(spark, sf_dir, "documents"), word_bpe(), keep_ids=False)
