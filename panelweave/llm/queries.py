@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, fitting, level_packing, near_text, near_vectors, packing, passages, personal_data, quality, sharding, suffixes, toxic_spans
+from panelweave.llm import decontaminate, fitting, impact_search, level_packing, near_text, near_vectors, packing, passages, personal_data, quality, sharding, suffixes, toxic_spans
 from panelweave.llm.common import sha_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,18 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_pack_online")
 def op11_pack_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level_packing.pack_online(table(spark, sf_dir, "documents"), word_bpe(), keep_ids=False)
+
+
+@query("op13_impact_search", rf"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sizes),
+counts AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM words WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY t, docs),
+impacts AS (SELECT doc_id, t, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)) AS p FROM counts JOIN sizes USING (doc_id), totals),
+scores AS (SELECT item_id, doc_id, sum(w * p)::BIGINT AS score FROM asked JOIN weights USING (t) JOIN impacts USING (t) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10""")
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -1,7 +1,9 @@
 """Online packing, token alignment and ranked search, on cases made by hand and against plain Python."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -9,7 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from panelweave.llm import level_packing, queries
+from panelweave.llm import impact_search, level_packing, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +86,63 @@ def test_online_packing_of_the_table(spark):
     got = queries.op11_pack_online(spark, SF).collect()
     assert "ids" not in got[0] and len({r.doc_id for r in got}) == 200
     assert all(r.length <= 4096 for r in got)
+
+
+def ranking(docs, items, top):
+    """Rows (item, rank, doc, score) by scoring every document for every item."""
+    words = [(i, re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))) for i, t in docs]
+    words = [(i, w) for i, w in words if w]
+    n_docs, n_terms = len(words), sum(len(w) for _, w in words)
+    df = defaultdict(int)
+    for _, w in words:
+        for t in set(w):
+            df[t] += 1
+    out = []
+    for item, text in items:
+        asked = set(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate({k: k + 32 for k in range(65, 91)})))
+        scores = []
+        for i, w in words:
+            m = 10 + 90 * len(w) * n_docs // n_terms
+            s = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * w.count(t) // (1000 * w.count(t) + 8 * m)) for t in asked if df[t])
+            if s > 0:
+                scores.append((-s, i is None, i or 0, i))
+        out += [(item, k + 1, i, -s) for k, (s, _, _, i) in enumerate(sorted(scores, key=lambda x: x[:3])[:top])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"bucket": 4, "part_terms": 200, "block_items": 5}])
+def test_search_equals_scoring_all(spark, sizes):
+    rnd = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(60)] + ["É", "日本", "A1"]
+    draw = lambda n: " ".join(rnd.choices(vocabulary, [1 / (k + 1) for k in range(len(vocabulary))], k=n))
+    docs = [(k, draw(rnd.randint(1, 60))) for k in range(150)]
+    docs += [(200 + k, docs[k % 3][1]) for k in range(40)] + [(7, docs[7][1]), (None, docs[8][1]), (300, None), (301, ""), (302, " .,"), (303, "w1 " * 3000)]
+    items = [(k, draw(rnd.randint(1, 12))) for k in range(12)] + [(3, "w5 W5 w9"), (None, "a1 é É"), (50, None), (51, "nowhere"), (52, "")]
+    frames = (spark.createDataFrame([(i, t, "x", 1.0) for i, t in docs], "doc_id long, text string, rank string, score double"),
+              spark.createDataFrame([(i, t, 0, "y") for i, t in items], "item_id long, text string, doc_id int, item string"))
+    got = impact_search.search(*frames, top=6, **sizes)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == ranking(docs, items, 6)
+    assert impact_search.search(frames[0].limit(0), frames[1]).count() == impact_search.search(frames[0], frames[1].limit(0)).count() == 0
+
+
+def test_bounds_spare_buckets_and_documents():
+    import pyarrow as pa
+
+    rnd = random.Random(6)
+    docs = [[f"t{rnd.randint(0, 400)}" for _ in range(rnd.randint(20, 80))] for _ in range(3000)] + [[f"t{k}" for k in range(30)]] * 10
+    docs = [sorted(set(d)) for d in docs]
+    asked = pa.table({"item": [0], "words": [[f"t{k}" for k in range(30)]], "weights": [list(range(900, 930))], "least": [0]})
+    looked, real = [], impact_search._candidates
+
+    def counted(*args):
+        looked.append(len(out := real(*args)))
+        return out
+
+    impact_search._candidates = counted
+    try:
+        (_, rows, _), = impact_search.part_best(pa.chunked_array([[" ".join(d) for d in docs]]), pa.chunked_array([[[1] * len(d) for d in docs]]),
+                                                np.full(len(docs), 100), np.arange(len(docs)), asked, 10)
+    finally:
+        impact_search._candidates = real
+    assert sorted(rows) == list(range(3000, 3010)) and sum(looked) < 3010
