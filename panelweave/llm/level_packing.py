@@ -35,39 +35,39 @@ class Levels:
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.count = np.zeros(capacity + 1, np.int64)  # that of full windows stays 0
+        self.count = np.zeros(capacity + 1, np.int32)  # by the room that is left; that of full windows stays 0
         self.windows: list[list[list]] = [[] for _ in range(capacity + 1)]
 
     def best(self, size: int) -> int:
-        """The level, 0 for a new window, at which an item of this size makes the sum of squares grow least.
+        """The room, all of it for a new window, in which an item of this size makes the sum of squares grow least.
 
         Among equals the fullest window is taken. The size is over 0 and below the capacity.
         """
-        before, after = self.count[1:self.capacity - size + 1], self.count[size + 1:]
-        change = np.where(before > 0, 2 * (after - before) + 2, np.iinfo(np.int64).max)
-        if before[-1]:
-            change[-1] = 1 - 2 * before[-1]  # the window is full then, and counts no more
-        at = len(change) - 1 - int(change[::-1].argmin())
-        return at + 1 if change[at] <= 2 * self.count[size] + 1 else 0
+        before = self.count[size:self.capacity]
+        change = self.count[:self.capacity - size] - before  # half of the growth, less one
+        change[before == 0] = np.iinfo(np.int32).max
+        at = int(change.argmin())
+        growth = 2 * int(change[at]) + 2 - (at == 0)  # a window that is full counts no more
+        return size + at if growth <= 2 * int(self.count[self.capacity - size]) + 1 else self.capacity
 
     def place(self, size: int, item: object) -> list | None:
         """Put an item where it belongs; the window's items if they fill it now."""
-        level = self.best(size)
-        window = self._take(level) if level else []
+        room = self.best(size)
+        window = self._take(room) if room < self.capacity else []
         window.append(item)
-        if level + size == self.capacity:
+        if room == size:
             return window
-        self.count[level + size] += 1
-        self.windows[level + size].append(window)
+        self.count[room - size] += 1
+        self.windows[room - size].append(window)
         return None
 
-    def _take(self, level: int) -> list:
-        self.count[level] -= 1
-        return self.windows[level].pop()
+    def _take(self, room: int) -> list:
+        self.count[room] -= 1
+        return self.windows[room].pop()
 
     def close(self) -> list[list]:
         """All partly filled windows, fullest first; none is left."""
-        out = [w for level in range(self.capacity, 0, -1) for w in self.windows[level]]
+        out = [w for own in self.windows for w in own]
         self.__init__(self.capacity)
         return out
 

@@ -113,17 +113,13 @@ class Chunks:
 
     def ids(self, text: bytes) -> bytes:
         words = text.split()
-        known = self.chunks.now
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
+        if len(self.chunks.now) > self.chunks.most:
             self.chunks.turn()
             self.words.turn()
-            known, before = self.chunks.now, self.chunks.before
-            for w in words:
-                if w not in known:
-                    known[w] = before.get(w) or self.new(w)
-            return b"".join([known[w] for w in words])
+        known, before = self.chunks.now, self.chunks.before
+        for w in set(words).difference(known):
+            known[w] = before.get(w) or self.new(w)
+        return b"".join(map(known.__getitem__, words))
 
     def new(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8", "replace")

@@ -21,17 +21,17 @@ def test_best_level_is_that_of_the_smallest_sum_of_squares():
     levels = level_packing.Levels(size)
     for _ in range(3000):
         s = rnd.choice([rnd.randint(1, size - 1), 5, 13])
-        count = levels.count.copy()
+        count = levels.count[::-1].astype(int)  # by fill level
 
         def after(h):
             new = count.copy()
             new[h] -= h > 0
-            new[h + s] += h + s < size
-            new[0] = 0
+            new[h + s] += 1
+            new[0] = new[size] = 0
             return int((new ** 2).sum())
 
         fits = [h for h in range(size - s + 1) if h == 0 or count[h]]
-        assert levels.best(s) == max(fits, key=lambda h: (-after(h), h))
+        assert size - levels.best(s) == max(fits, key=lambda h: (-after(h), h))
         levels.place(s, s)
     assert sum(map(int, levels.count)) == len(left := levels.close()) and [sum(w) for w in left] == sorted((sum(w) for w in left), reverse=True)
 
