@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.llm import decontaminate, fitting, impact_search, level_packing, near_text, near_vectors, packing, passages, personal_data, quality, sharding, suffixes, toxic_spans
+from panelweave.llm import decontaminate, fitting, impact_search, level_packing, near_text, near_vectors, packing, passages, personal_data, quality, sharding, suffixes, token_groups, toxic_spans
 from panelweave.llm.common import sha_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +145,13 @@ def op11_pack_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level_packing.pack_online(table(spark, sf_dir, "documents"), word_bpe(), keep_ids=False)
 
 
+@query("op12_token_groups")
+def op12_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return token_groups.align(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"), public.PATTERN)
+
+
 @query("op13_impact_search", rf"""
 WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
 asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),

@@ -1,6 +1,7 @@
 """Online packing, token alignment and ranked search, on cases made by hand and against plain Python."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,7 +12,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from panelweave.llm import impact_search, level_packing, queries
+from panelweave.llm import impact_search, level_packing, queries, token_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -146,3 +147,76 @@ def test_bounds_spare_buckets_and_documents():
     finally:
         impact_search._candidates = real
     assert sorted(rows) == list(range(3000, 3010)) and sum(looked) < 3010
+
+
+def vocabularies():
+    import public_tokenizers as public
+
+    return public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"), public.PATTERN
+
+
+def whole_tokens(texts):
+    """(ids, ends) of both vocabularies for whole texts, by their own libraries; empty where they do not spell the text."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    path_a, path_b, _ = vocabularies()
+    a, b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+    a.encode_special_tokens = True
+    letters = {chr(x): x for x in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    letters |= {chr(256 + k): x for k, x in enumerate(x for x in range(256) if chr(x) not in letters)}
+    out = []
+    for t in texts:
+        ids = (a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)) if t else ([], [])
+        spelt = ([bytes(letters[c] for c in a.id_to_token(i)) for i in ids[0]],
+                 [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in ids[1]])
+        if not t or any(b"".join(s) != (" " + t).encode() for s in spelt):
+            ids, spelt = ([], []), ([], [])
+        out.append([(own, list(itertools.accumulate(map(len, s)))) for own, s in zip(ids, spelt)])
+    return out
+
+
+def aligned_rows(docs):
+    """Rows as the query returns them, by sets and plain loops."""
+    tokens = whole_tokens([t for _, t in docs])
+    links, counts = [], defaultdict(int)
+    for (id_a, end_a), (id_b, end_b) in tokens:
+        own = [(x, y) for x, e, s in zip(id_a, end_a, [0, *end_a]) for y, f, g in zip(id_b, end_b, [0, *end_b]) if max(s, g) < min(e, f)]
+        links.append(own)
+        for pair in own:
+            counts[pair] += 1
+    highest = defaultdict(int)
+    for (_, y), c in counts.items():
+        highest[y] = max(highest[y], c)
+    out = []
+    for (i, _), ((id_a, end_a), (id_b, end_b)), own in zip(docs, tokens, links):
+        text, before = [], 0
+        for cut in sorted(set(end_a) & set(end_b)):
+            text.append("|".join(",".join(str(x) for x, e in zip(ids, ends) if before < e <= cut) for ids, ends in ((id_a, end_a), (id_b, end_b))))
+            before = cut
+        out.append((i, len(id_a), len(id_b), len(text), len(own), hashlib.sha256(";".join(text).encode()).hexdigest() if text else "",
+                    sum(counts[p] == highest[p[1]] for p in own), sum(counts[p] for p in own)))
+    return sorted(out, key=repr)
+
+
+ODD = [None, "", " ", "  ", "x", " x", "x ", "x  ", "\tx", "a\n b", "a \n  b", "▁x", "a▁ b", "été 你好世界 ok", "<s> <unk> <|endoftext|> <0x41>", "z" * 900, "\x1c x \x85 y", "ﬁ Ａ é́",
+       "don't we'll I'm", "🙂🙃 🙂", "a\0b", "   lead and   gaps   ", "1234567 89,5", "\r\n\r\n  q"]
+
+
+@pytest.mark.parametrize("block_links", [token_groups.BLOCK_LINKS, 40])
+def test_alignment_equals_plain_loops(spark, block_links):
+    rnd = random.Random(8)
+    parts = ["the ", " the", "é", "日本", "\n", "  ", "ing", "A", ".", " 12", "\u00a0", "\u2003", "zq", "🙂", "<s>", "\t"]
+    docs = list(enumerate(ODD + ["".join(rnd.choices(parts, k=rnd.randint(1, 40))) for _ in range(150)])) + [(None, "the end"), (3, "again"), (3, "again")]
+    df = spark.createDataFrame([(i, t, "x", 5) for i, t in docs], "doc_id long, text string, block string, n_a int").repartition(3)
+    got = token_groups.align(df, *vocabularies(), block_links=block_links)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == aligned_rows(docs)
+    assert token_groups.align(df.limit(0), *vocabularies()).count() == 0
+
+
+def test_alignment_of_the_table(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect() if not r.text or len(r.text) < 4000]
+    want = {r[0]: r[1:6] for r in aligned_rows(docs)}
+    got = {r.doc_id: tuple(r)[1:6] for r in queries.op12_token_groups(spark, SF).collect()}
+    assert len(got) >= 200 and all(got[i] == v for i, v in want.items())
