@@ -49,6 +49,24 @@ def past_vectors(residuals: DataFrame, assets: Sequence[str], least: int = WINDO
     return out.where(F.size("w") >= least).select(F.col("target").alias("ts"), F.col("w.v").alias("window"))
 
 
+def window_moments(window: str, shrink: float = 0.5) -> Column:
+    """Mean vector and sample covariance of a window; of the covariance between assets ``shrink`` goes to zero.
+
+    With as many assets as dates or more the sample alone has no inverse.
+    """
+
+    @F.pandas_udf("mu array<double>, cov array<array<double>>")
+    def run(windows: pd.Series) -> pd.DataFrame:
+        out = []
+        for w in windows:
+            x = np.stack(w).astype(float)
+            cov = np.cov(x, rowvar=False)
+            out.append((x.mean(axis=0), list(cov * (1 - shrink) + np.diag(np.diag(cov)) * shrink)))
+        return pd.DataFrame(out, columns=["mu", "cov"])
+
+    return run(window)
+
+
 def _by_date(windows: DataFrame, assets: Sequence[str], model: str, grid_size: int, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     pairs = list(combinations(range(len(assets)), 2))
     first, second = [assets[i] for i, _ in pairs], [assets[j] for _, j in pairs]

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
-from itertools import islice
+from collections.abc import Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.operators import tangent as T
 from panelweave.operators.dependence import correlation_matrix, covariance, repair
 from panelweave.operators.panel import spread, wide
-from panelweave.operators.scenario import shift
 
 
 def equal_weights(members: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -37,133 +34,9 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame, keys: Sequence[str
     return out.where(F.col("missing") == 0).drop("missing")
 
 
-# --- weight lattices ---------------------------------------------------------------------
-
 LONG_ONLY, LEVERAGED = "long_only", "130_30"
-# A lattice is held by every task; more points than this ask for a coarser step.
-MAX_POINTS = 500_000
-
-
-def lattice(n: int, steps: int, short: int = 0) -> np.ndarray:
-    """All weight vectors on a grid of ``1 / steps`` that sum to one.
-
-    ``short`` is the total short position allowed, in grid steps. Rows come in
-    lexicographic order of the integer weights.
-    """
-    def fill(left: int, total: int, debt: int) -> Iterator[tuple[int, ...]]:
-        if left == 1:
-            last = steps - total
-            if last >= -(short - debt):
-                yield (last,)
-            return
-        for k in range(-(short - debt), steps + short + 1):
-            owed = debt + max(-k, 0)
-            # The rest can still add at most the unused short position below zero.
-            if total + k - (short - owed) <= steps:
-                for rest in fill(left - 1, total + k, owed):
-                    yield (k, *rest)
-
-    points = list(islice(fill(n, 0, 0), MAX_POINTS + 1))
-    if len(points) > MAX_POINTS:
-        raise ValueError(f"more than {MAX_POINTS} weight vectors for {n} assets; take a coarser step or fewer assets")
-    w = np.array(points)
-    return w[np.maximum(-w, 0).sum(axis=1) <= short] / steps
-
-
-def panel_lattice(n: int, panel: str, steps: int) -> np.ndarray:
-    """Lattice of the long-only or 130/30 portfolios (net weights)."""
-    return lattice(n, steps, 0 if panel == LONG_ONLY else round(0.3 * steps))
-
-
-def sharpe(w: np.ndarray, mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    """Ratio of each weight vector, -inf where the variance vanishes."""
-    var = np.einsum("...i,ij,...j->...", w, cov, w)
-    return np.where(var > 1e-14, (w @ mu) / np.sqrt(np.maximum(var, 1e-14)), -np.inf)
-
-
-def tail_losses(w: np.ndarray, scenarios: np.ndarray, beta: float) -> np.ndarray:
-    """CVaR of each weight vector: mean of the largest ``ceil((1 - beta) Q)`` losses."""
-    q = len(scenarios)
-    k = max(1, math.ceil(round((1 - beta) * q, 9)))
-    out = np.empty(len(w))
-    chunk = max(1, 4_000_000 // q)
-    for s in range(0, len(w), chunk):
-        losses = -(w[s:s + chunk] @ scenarios.T)
-        out[s:s + chunk] = np.partition(losses, q - k, axis=1)[:, q - k:].mean(axis=1)
-    return out
-
-
-def reward_over_cvar(w: np.ndarray, mu: np.ndarray, scenarios: np.ndarray, beta: float) -> np.ndarray:
-    cvar = tail_losses(w, scenarios, beta)
-    return np.where(cvar > 0, (w @ mu) / np.where(cvar > 0, cvar, 1.0), -np.inf)
-
-
-def polish(w: np.ndarray, score: Callable[[np.ndarray], np.ndarray], step: float, short: float, smallest: float = 1e-5) -> np.ndarray:
-    """Move weight between pairs of assets while that helps, halving the step.
-
-    Starts from the best lattice point and keeps the limits of the panel.
-    """
-    n = len(w)
-    moves = np.array([np.eye(n)[i] - np.eye(n)[j] for i in range(n) for j in range(n) if i != j])
-    best = score(w[None])[0]
-    while step > smallest:
-        tries = w + step * moves
-        allowed = np.maximum(-tries, 0).sum(axis=1) <= short + 1e-12
-        values = np.where(allowed, score(tries), -np.inf)
-        i = int(values.argmax())
-        if values[i] > best:
-            w, best = tries[i], values[i]
-        else:
-            step /= 2
-    return w
-
-
-def _best(points: np.ndarray, score: Callable[[np.ndarray], np.ndarray], refine: bool, steps: int, short: float):
-    values = score(points)
-    i = int(values.argmax())
-    if not np.isfinite(values[i]):
-        return None, None
-    w = points[i]
-    if refine:
-        w = polish(w, score, 1.0 / steps, short)
-    return w, float(score(w[None])[0])
-
-
-def tangent_weights(mu: str, cov: str, panel: str, n: int, steps: int = 10, refine: bool = True) -> Column:
-    """Weights of the largest Sharpe ratio of a row, with the ratio reached.
-
-    Works on arrays within the row: no join, no shuffle. The lattice search
-    cannot end in a local optimum; ``refine`` then polishes off the grid.
-    """
-    points = panel_lattice(n, panel, steps)
-    short = 0.0 if panel == LONG_ONLY else 0.3
-
-    @F.pandas_udf("weights array<double>, ratio double")
-    def run(mus: pd.Series, covs: pd.Series) -> pd.DataFrame:
-        found = []
-        for m, c in zip(mus, covs):
-            m, c = np.asarray(m, dtype=float), np.stack(c).astype(float)
-            found.append(_best(points, lambda w: sharpe(w, m, c), refine, steps, short))
-        return pd.DataFrame(found, columns=["weights", "ratio"])
-
-    return run(mu, cov)
-
-
-def cvar_weights(mu: str, scenarios: str, panel: str, beta: float, n: int, steps: int = 10, refine: bool = True) -> Column:
-    """Weights of the largest mean over CVaR of a row, with ratio and CVaR."""
-    points = panel_lattice(n, panel, steps)
-    short = 0.0 if panel == LONG_ONLY else 0.3
-
-    @F.pandas_udf("weights array<double>, ratio double, cvar double")
-    def run(mus: pd.Series, sets: pd.Series) -> pd.DataFrame:
-        found = []
-        for m, s in zip(mus, sets):
-            m, s = np.asarray(m, dtype=float), np.stack(s).astype(float)
-            w, ratio = _best(points, lambda w: reward_over_cvar(w, m, s, beta), refine, steps, short)
-            found.append((w, ratio, None if w is None else float(tail_losses(w[None], s, beta)[0])))
-        return pd.DataFrame(found, columns=["weights", "ratio", "cvar"])
-
-    return run(mu, scenarios)
+#: The total short position that a panel allows.
+SHORT = {LONG_ONLY: 0.0, LEVERAGED: 0.3}
 
 
 def weight_rows(df: DataFrame, assets: Sequence[str], keys: Sequence[str], column: str = "weights") -> DataFrame:
@@ -199,35 +72,56 @@ def mean_variance_inputs(forecasts: DataFrame, corr: DataFrame, vol: DataFrame,
     return inputs.select("forecast", "dependence", "ts", "mu", covariance("matrix", "s").alias("cov"))
 
 
-def mean_variance(inputs: DataFrame, assets: Sequence[str], panels: Sequence[str] = (LONG_ONLY, LEVERAGED), steps: dict[str, int] | None = None,
-                  refine: bool = True) -> DataFrame:
-    """Weights ``(forecast, dependence, panel, ts, series_id, w)`` of all strategies."""
-    steps = steps or {LONG_ONLY: 20, LEVERAGED: 10}
-    keys = ["forecast", "dependence", "panel", "ts"]
-    rows = spread(inputs, "forecast", "dependence", "ts")
-    found = F.array(*[
-        F.struct(F.lit(p).alias("panel"), tangent_weights("mu", "cov", p, len(assets), steps[p], refine)["weights"].alias("weights"))
-        for p in panels])
-    return weight_rows(rows.select("forecast", "dependence", "ts", F.inline(found)), assets, keys)
-
-
-def mean_cvar_inputs(forecasts: DataFrame, scenarios: DataFrame, assets: Sequence[str], on: Sequence[str] = ("ts",)) -> DataFrame:
-    """Forecast vectors with the shared residual scenarios moved to their mean."""
-    return forecast_vectors(forecasts, assets).join(scenarios, list(on)).withColumn("scenarios", shift("scenarios", "mu"))
-
-
-def mean_cvar(inputs: DataFrame, assets: Sequence[str], keys: Sequence[str], betas: Sequence[float] = (0.95, 0.99),
-              panels: Sequence[str] = (LONG_ONLY, LEVERAGED), steps: dict[str, int] | None = None, refine: bool = True) -> DataFrame:
-    """``(keys, beta, panel, weights, ratio, cvar)`` for every level and panel."""
-    steps = steps or {LONG_ONLY: 10, LEVERAGED: 10}
-    found = []
-    for b in betas:
-        for p in panels:
-            best = cvar_weights("mu", "scenarios", p, b, len(assets), steps[p], refine)
-            found.append(F.struct(F.lit(b).alias("beta"), F.lit(p).alias("panel"), best["weights"].alias("weights"),
-                                  best["ratio"].alias("ratio"), best["cvar"].alias("cvar")))
+def mean_variance(inputs: DataFrame, assets: Sequence[str], panels: Sequence[str] = (LONG_ONLY, LEVERAGED), steps: dict[str, int] | None = None) -> DataFrame:
+    """Weights ``(forecast, dependence, panel, ts, series_id, w)`` of all strategies.
+
+    The largest ratio is found exactly; with ``steps`` per panel it is that of a grid of weights.
+    """
+    return weight_rows(mean_variance_choices(inputs, assets, panels, steps), assets, ["forecast", "dependence", "panel", "ts"]).select(
+        "forecast", "dependence", "panel", "ts", "series_id", "w")
+
+
+def mean_variance_choices(inputs: DataFrame, assets: Sequence[str], panels: Sequence[str] = (LONG_ONLY, LEVERAGED), steps: dict[str, int] | None = None) -> DataFrame:
+    """``(forecast, dependence, ts, panel, weights, ratio)``, and without ``steps`` the ``gap`` that is left."""
+    keys, n = ["forecast", "dependence", "ts"], len(assets)
     rows = spread(inputs, *keys)
-    return rows.select(*keys, F.inline(F.array(*found))).where(F.col("weights").isNotNull())
+    if steps:
+        parts = [T.lattice_sharpe(rows, keys, n, steps[p], SHORT[p]).withColumn("panel", F.lit(p)) for p in panels]
+        return reduce(DataFrame.unionByName, parts)
+    found = F.array(*[F.struct(F.lit(p).alias("panel"), T.sharpe_weights("mu", "cov", SHORT[p]).alias("best")) for p in panels])
+    return rows.select(*keys, F.inline(found)).select(*keys, "panel", "best.*").where(F.col("weights").isNotNull())
+
+
+def scenario_sets(windows: DataFrame, vol: DataFrame, keys: Sequence[str] = ("ts",)) -> DataFrame:
+    """``(keys, vectors, times)``: residual vectors on the volatility of the date ahead, all counting alike unless ``times`` is given."""
+    times = F.col("times") if "times" in windows.columns else F.transform("window", lambda _: F.lit(1))
+    scaled = F.transform("window", lambda z: F.zip_with(z, F.col("s"), lambda a, b: a * b))
+    return windows.join(vol, "ts").select(*keys, scaled.alias("vectors"), times.alias("times"))
+
+
+def mean_cvar_inputs(forecasts: DataFrame, sets: DataFrame, assets: Sequence[str]) -> DataFrame:
+    """Scenario sets around zero, one row each, with all forecast vectors of their date."""
+    vectors = forecast_vectors(forecasts, assets).groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("forecast", "mu"))).alias("forecasts"))
+    return sets.join(vectors, "ts")
+
+
+def mean_cvar(inputs: DataFrame, assets: Sequence[str], on: Sequence[str], draws: int, betas: Sequence[float] = (0.95, 0.99),
+              panels: Sequence[str] = (LONG_ONLY, LEVERAGED), steps: dict[str, int] | None = None) -> DataFrame:
+    """``(forecast, on, beta, panel, weights, ratio, cvar)`` for every forecast, level and panel.
+
+    A row of the inputs is a scenario set of ``draws`` scenarios, named by the columns ``on``. Portfolios are searched; with
+    ``steps`` per panel they are the best of a grid of weights.
+    """
+    rows, parts = spread(inputs, *on), []
+    for p in panels:
+        if steps:
+            found = T.lattice_cvar(rows, on, len(assets), draws, betas, steps[p], SHORT[p])
+        else:
+            mus = rows.withColumn("mus", F.col("forecasts.mu"))
+            each = mus.select(*on, "forecasts", F.inline(T.cvar_weights("mus", "vectors", "times", draws, betas, SHORT[p])))
+            found = each.select(*on, F.col("forecasts")[F.col("at")]["forecast"].alias("forecast"), "beta", "weights", "ratio", "cvar")
+        parts.append(found.select("forecast", *on, "beta", F.lit(p).alias("panel"), "weights", "ratio", "cvar"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def mean_cvar_backtest(choices: DataFrame, returns: DataFrame, assets: Sequence[str], keys: Sequence[str]) -> DataFrame:

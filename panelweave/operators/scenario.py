@@ -14,7 +14,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.config import WINDOW
+from panelweave.operators import bootstrap as B
 from panelweave.operators.dependence import sample_correlation
+from panelweave.operators.panel import dates_of, wide
+
+#: Scenarios of a deep set, and consecutive dates that are drawn together.
+DRAWS, BLOCK = 5000, 5
+
+
+def resampled(residuals: DataFrame, assets: Sequence[str], draws: int = DRAWS, block: int = BLOCK, seed: int = 42, least: int = WINDOW,
+              dates: DataFrame | None = None) -> DataFrame:
+    """``ts, window, times``: a deep set of scenarios for each date, drawn in circular blocks from all residual vectors before it.
+
+    A vector that is drawn often is one row of the window with its number of draws in ``times``: a set has at most ``draws``
+    vectors however long the past, and work grows with the dates, not with their square. Dates with fewer than ``least``
+    vectors before them have no set; ``dates`` limits the sets to those dates. Starts come from integer arithmetic on the
+    numbers of the blocks.
+    """
+    vectors = wide(residuals, assets)
+    every = dates_of(vectors)
+    numbered = vectors.select("ts", "v", (F.array_position(every, F.col("ts")) - 1).cast("int").alias("at"))
+    targets = numbered.select("ts", F.col("at").alias("n")).where(F.col("n") >= least)
+    if dates is not None:
+        targets = targets.join(dates.select("ts").distinct(), "ts", "left_semi")
+    x = ((F.floor(F.col("q") / block).cast("long") * B.REPLICATE_STEP + seed) % B.MODULUS)
+    for _ in range(2):
+        x = (x * B.MULTIPLIER + B.INCREMENT) % B.MODULUS
+    at = (F.floor(x / B.DROP) % F.col("n") + F.col("q") % block) % F.col("n")
+    drawn = targets.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select("ts", at.cast("int").alias("at")).groupBy("ts", "at").agg(F.count(F.lit(1)).alias("times"))
+    rows = drawn.join(numbered.select("at", "v"), "at").groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("at", "v", "times"))).alias("set"))
+    return rows.select("ts", F.col("set.v").alias("window"), F.col("set.times").alias("times"))
 
 
 def residual_scenarios(windows: DataFrame, sigma: DataFrame) -> DataFrame:

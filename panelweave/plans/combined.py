@@ -8,7 +8,6 @@ from panelweave.config import ASSETS, OOS
 from panelweave.functions import scalars as S
 from panelweave.operators import bootstrap as B
 from panelweave.operators import combine as C
-from panelweave.operators import dependence as D
 from panelweave.operators import evaluate as E
 from panelweave.operators import forecast as M
 from panelweave.operators import panel as P
@@ -17,8 +16,9 @@ from panelweave.operators import portfolio as O
 from panelweave.operators import scenario as Z
 from panelweave.operators import volatility as V
 from panelweave.operators import windows as N
-from panelweave.plans.dependence import all_correlations, order_simple, past_residuals
+from panelweave.plans.dependence import all_correlations, order_simple
 from panelweave.plans.panels import order_panel, supplier_panel
+from panelweave.plans.portfolios import dependent_sets
 from panelweave.plans.registry import query
 from panelweave.session import scratch_path
 from panelweave.sources.stores import read_table, staged, write_table
@@ -91,15 +91,9 @@ def mean_variance_combined(spark, sf):
 
 @query("mean_cvar_combined")
 def mean_cvar_combined(spark, sf):
-    """The same four forecasts and three dependence models with mean-CVaR portfolios at both levels, over all past residual vectors."""
+    """The same four forecasts and three dependence models with mean-CVaR portfolios at both levels, on deep scenario sets."""
     simple = order_simple(spark, sf)
-    matrix = D.correlation_matrix(all_correlations(simple), ASSETS).select(F.col("model").alias("dependence"), "ts", D.repair("matrix").alias("matrix"))
-    vol = O.volatility_vectors(V.garch_volatility(simple), ASSETS)
-    windows = P.spread(past_residuals(simple).join(matrix, "ts"), "dependence", "ts").select(
-        "dependence", "ts", Z.recorrelate("window", "matrix").alias("window"))
-    scaled = F.transform("window", lambda z: F.zip_with(z, F.col("s"), lambda a, b: a * b))
-    inputs = O.mean_cvar_inputs(simple_forecasts(spark, sf), windows.join(vol, "ts").select("dependence", "ts", scaled.alias("scenarios")), ASSETS)
-    keys = ["forecast", "dependence", "ts"]
-    returns = staged(O.mean_cvar_backtest(O.mean_cvar(inputs, ASSETS, keys), simple, ASSETS, keys))
+    inputs = O.mean_cvar_inputs(simple_forecasts(spark, sf), dependent_sets(simple), ASSETS)
+    returns = staged(O.mean_cvar_backtest(O.mean_cvar(inputs, ASSETS, ["dependence", "ts"], Z.DRAWS), simple, ASSETS, ["forecast", "dependence", "ts"]))
     on = ["forecast", "dependence", "beta", "panel"]
     return R.bundle(returns, on).drop("return_cvar").join(R.return_over_ex_ante_cvar(returns, on), on)

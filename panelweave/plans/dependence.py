@@ -7,13 +7,14 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
-from panelweave.config import ASSETS, WINDOW
+from panelweave.config import ASSETS, OOS, WINDOW
 from panelweave.functions import scalars as S
+from panelweave.operators import bootstrap as B
 from panelweave.operators import dependence as D
 from panelweave.operators import panel as P
 from panelweave.operators import scenario as Z
 from panelweave.operators import volatility as V
-from panelweave.operators.portfolio import volatility_vectors
+from panelweave.operators.portfolio import scenario_sets, volatility_vectors
 from panelweave.plans import fragments as Q
 from panelweave.plans.panels import order_returns, supplier_returns
 from panelweave.plans.registry import fragment, query
@@ -353,3 +354,25 @@ def shared_scenarios(simple):
 @query("residual_scenarios", "SELECT ts, CAST(scen_id AS INT) AS scen_id, series_id, r FROM scen", r=8)
 def residual_scenarios(spark, sf):
     return Z.scenario_rows(shared_scenarios(order_simple(spark, sf)), ASSETS)
+
+
+_START = f"(((q // {Z.BLOCK} * {B.REPLICATE_STEP} + 42) % {B.MODULUS} * {B.MULTIPLIER} + {B.INCREMENT}) % {B.MODULUS} * {B.MULTIPLIER} + {B.INCREMENT}) % {B.MODULUS} // {B.DROP}"
+fragment("dsd", f"""SELECT ts, ({_START} % (i - 1) + q % {Z.BLOCK}) % (i - 1) + 1 AS i, count(*) AS times FROM (SELECT ts, i FROM ozd WHERE i > {WINDOW}
+ AND ts >= DATE '2000-01-01') AS t, generate_series(0, {Z.DRAWS - 1}) AS g(q) GROUP BY ALL""")
+fragment("dsr", """SELECT d.ts, d.i, d.times, z.series_id, z.z * g.sigma AS r FROM dsd d JOIN ozd o ON o.i = d.i JOIN oz z ON z.ts = o.ts
+ JOIN og g ON g.ts = d.ts AND g.series_id = z.series_id""")
+
+
+def deep_windows(simple):
+    """Sets of 5,000 scenarios for the dates out of sample, from all residual vectors before them."""
+    z = V.scaled_residuals(simple)
+    return Z.resampled(z, ASSETS, dates=P.period_filter(z, OOS))
+
+
+@query("resampled_scenarios", "SELECT ts, CAST(times AS INT) AS times, series_id, r FROM dsr", r=8)
+def resampled_scenarios(spark, sf):
+    simple = order_simple(spark, sf)
+    sets = scenario_sets(deep_windows(simple), volatility_vectors(V.garch_volatility(simple), ASSETS))
+    rows = sets.select("ts", F.inline(F.arrays_zip("vectors", "times")))
+    names = F.array(*[F.lit(a) for a in ASSETS])
+    return rows.select("ts", F.col("times").cast("int").alias("times"), F.posexplode("vectors").alias("k", "r")).select("ts", "times", names[F.col("k")].alias("series_id"), "r")

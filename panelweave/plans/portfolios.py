@@ -6,16 +6,18 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from panelweave.config import ASSETS, OOS
+from panelweave.config import ASSETS, OOS, WINDOW
 from panelweave.functions import scalars as S
 from panelweave.operators import dependence as D
 from panelweave.operators import panel as P
 from panelweave.operators import performance as R
 from panelweave.operators import portfolio as O
 from panelweave.operators import scenario as Z
+from panelweave.operators import tangent as T
 from panelweave.operators import volatility as V
 from panelweave.operators import windows as N
-from panelweave.plans.dependence import all_correlations, order_simple, residual_windows, shared_scenarios
+from panelweave.plans.dependence import all_correlations, deep_windows, order_simple, residual_windows
+from panelweave.plans.panels import supplier_returns
 from panelweave.plans.performance import _cvar_sql
 from panelweave.plans.registry import fragment, query
 from panelweave.session import scratch_path
@@ -24,6 +26,8 @@ from panelweave.sources.stores import read_strategy, staged, write_table
 N_ASSETS = len(ASSETS)
 IDX = range(1, N_ASSETS + 1)
 MODELS = ("RW", "SMA(6)", "SMA(12)")
+#: Grids of the checked queries: steps of weight per panel, by standard deviation and by tails.
+STEPS, TAIL_STEPS = {O.LONG_ONLY: 20, O.LEVERAGED: 10}, {O.LONG_ONLY: 10, O.LEVERAGED: 10}
 
 
 def _pivot(value: str, prefix: str) -> str:
@@ -84,7 +88,7 @@ def mv_inputs(simple):
 
 
 def mv_weights(simple):
-    return O.mean_variance(mv_inputs(simple), ASSETS, refine=False)
+    return O.mean_variance(mv_inputs(simple), ASSETS, steps=STEPS)
 
 
 KEYS = ["forecast", "dependence", "panel"]
@@ -92,18 +96,44 @@ KEYS = ["forecast", "dependence", "panel"]
 
 @query("tangent_long_only", "SELECT forecast, dependence, ts, series_id, w FROM mv_w WHERE panel = 'long_only'", w=6)
 def tangent_long_only(spark, sf):
-    return O.mean_variance(mv_inputs(order_simple(spark, sf)), ASSETS, [O.LONG_ONLY], refine=False).drop("panel")
+    return O.mean_variance(mv_inputs(order_simple(spark, sf)), ASSETS, [O.LONG_ONLY], STEPS).drop("panel")
 
 
 @query("tangent_130_30", "SELECT forecast, dependence, ts, series_id, w FROM mv_w WHERE panel = '130_30'", w=6)
 def tangent_130_30(spark, sf):
-    return O.mean_variance(mv_inputs(order_simple(spark, sf)), ASSETS, [O.LEVERAGED], refine=False).drop("panel")
+    return O.mean_variance(mv_inputs(order_simple(spark, sf)), ASSETS, [O.LEVERAGED], STEPS).drop("panel")
 
 
-@query("tangent_polished")
+@query("tangent_polished", "SELECT forecast, dependence, panel, ts, ratio AS lattice_ratio, true AS reached, true AS settled FROM "
+       "(SELECT * FROM mv_lo UNION ALL SELECT * FROM mv_lev) AS q", lattice_ratio=6)
 def tangent_polished(spark, sf):
-    """Both panels off the lattice, as the backtests use them by default."""
-    return O.mean_variance(mv_inputs(order_simple(spark, sf)), ASSETS)
+    """The exact search against the grid: it reaches the best grid ratio everywhere, and moving weight adds nothing more."""
+    inputs = staged(mv_inputs(order_simple(spark, sf)))
+    keys = ["forecast", "dependence", "panel", "ts"]
+    exact = O.mean_variance_choices(inputs, ASSETS).select(*keys, F.col("ratio").alias("exact"), "gap")
+    grid = O.mean_variance_choices(inputs, ASSETS, steps=STEPS)
+    return grid.join(exact, keys).select(*keys, F.col("ratio").alias("lattice_ratio"), (F.col("exact") >= F.col("ratio") - 1e-12).alias("reached"),
+                                         (F.col("gap") < 1e-7).alias("settled"))
+
+
+fragment("tsd", "SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT ts FROM smr GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT series_id) FROM smr)) AS q")
+
+
+@query("tangent_suppliers", f"""SELECT ts, panel, (SELECT count(DISTINCT series_id) FROM smr) AS assets, true AS feasible, true AS settled
+ FROM tsd, (SELECT unnest(['long_only', '130_30']) AS panel) AS p WHERE i > {WINDOW} AND ts >= DATE '2000-01-01'""")
+def tangent_suppliers(spark, sf):
+    """All suppliers as assets: portfolios of the largest ratio by the mean and shrunken covariance of the window before each date."""
+    returns = staged(supplier_returns(spark, sf))
+    assets = [r.series_id for r in returns.select("series_id").distinct().orderBy("series_id").collect()]
+    windows = D.date_windows(returns.select("series_id", "ts", "value"), assets)
+    inputs = P.period_filter(windows, OOS).select(F.lit("mean").alias("forecast"), F.lit("sample").alias("dependence"), "ts", D.window_moments("window").alias("m")).select(
+        "forecast", "dependence", "ts", "m.mu", "m.cov")
+    found = O.mean_variance_choices(inputs, assets)
+    total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
+    debt = F.aggregate("weights", F.lit(0.0), lambda s, w: s + F.greatest(-w, F.lit(0.0)))
+    limit = F.when(F.col("panel") == O.LEVERAGED, O.SHORT[O.LEVERAGED]).otherwise(0.0)
+    return found.select("ts", "panel", F.size("weights").cast("long").alias("assets"), ((F.abs(total - 1) < 1e-9) & (debt <= limit + 1e-9)).alias("feasible"),
+                        (F.col("gap") < 1e-4).alias("settled"))
 
 
 @query("mean_variance_backtest", "SELECT * FROM mv_r", r=6)
@@ -229,9 +259,14 @@ fragment("mc_r", """SELECT m.forecast, m.beta, m.panel, m.ts, list_sum(list_tran
  JOIN ow o ON m.ts = o.ts""")
 
 
+def window_sets(simple):
+    """The residual vectors of each date's window as scenarios around zero."""
+    return O.scenario_sets(residual_windows(simple), O.volatility_vectors(V.garch_volatility(simple), ASSETS))
+
+
 def mc_choices(simple, panels=(O.LONG_ONLY, O.LEVERAGED)):
-    inputs = O.mean_cvar_inputs(forecasts(simple), shared_scenarios(simple), ASSETS)
-    return O.mean_cvar(inputs, ASSETS, ["forecast", "ts"], panels=panels, refine=False)
+    inputs = O.mean_cvar_inputs(forecasts(simple), window_sets(simple), ASSETS)
+    return O.mean_cvar(inputs, ASSETS, ["ts"], WINDOW, panels=panels, steps=TAIL_STEPS)
 
 
 def _choice_rows(df):
@@ -296,23 +331,61 @@ def cvar_report(spark, sf):
     return out.select("beta", "panel", F.coalesce(f, F.lit("total average")).alias("label"), *_CVAR_METRICS)
 
 
+# --- deep scenario sets: weighted tails of 250 and 50 of 5,000 scenarios ---
+
+fragment("dsw", f"SELECT ts, i, any_value(times) AS times, {_pivot('r', 'x')} FROM dsr GROUP BY 1, 2")
+
+
+def _deep_sql(lat: str, panel: str) -> str:
+    loss = "-(" + " + ".join(f"l.w{i} * s.x{i}" for i in IDX) + ")"
+    m = " + ".join(f"c.w[{i}] * p.m{i}" for i in IDX)
+    name = "dsl_lo" if panel == "long_only" else "dsl_lev"
+    levels = [(b, T.tail_size(Z.DRAWS, b)) for b in (0.95, 0.99)]
+    fragment(f"{name}_s", f"""SELECT ts, {_W} AS w, {loss} AS loss, times, sum(times) OVER (PARTITION BY s.ts, {', '.join(f'l.w{i}' for i in IDX)} ORDER BY {loss} DESC, i
+ ROWS UNBOUNDED PRECEDING) - times AS before FROM dsw s, {lat} l""")
+    fragment(name, f"SELECT ts, w, " + ", ".join(f"sum(loss * greatest(0, least(times, {k} - before))) / {k} AS c{k}" for _, k in levels) + f" FROM {name}_s GROUP BY 1, 2")
+    return " UNION ALL ".join(f"""SELECT forecast, ts, {b}::DOUBLE AS beta, '{panel}' AS panel, max(m / (c{k} - m)) AS ratio FROM
+ (SELECT p.forecast, c.ts, {m} AS m, c.c{k} FROM {name} c JOIN pf p ON p.ts = c.ts) AS q WHERE c{k} > m GROUP BY 1, 2""" for b, k in levels)
+
+
+fragment("deep_grid", _deep_sql("lat_lo10", "long_only") + " UNION ALL " + _deep_sql("lat_lev10", "130_30"))
+
+
+def deep_sets(simple):
+    return O.scenario_sets(deep_windows(simple), O.volatility_vectors(V.garch_volatility(simple), ASSETS))
+
+
+@query("cvar_tangent_deep", "SELECT forecast, ts, beta, panel, ratio / (1 + ratio) AS lattice_share, true AS reached FROM deep_grid", lattice_share=8)
+def cvar_tangent_deep(spark, sf):
+    """Tails of 250 and 50 scenarios: the search reaches the best ratio of the grid for every forecast, date, level and panel.
+
+    The grid's ratio is stated as the mean's share of the tail loss around it, which stays bounded where CVaR is next to nothing.
+    """
+    simple = order_simple(spark, sf)
+    inputs = staged(O.mean_cvar_inputs(forecasts(simple), deep_sets(simple), ASSETS))
+    keys = ["forecast", "ts", "beta", "panel"]
+    found = O.mean_cvar(inputs, ASSETS, ["ts"], Z.DRAWS).select(*keys, F.col("ratio").alias("found"))
+    grid = O.mean_cvar(inputs, ASSETS, ["ts"], Z.DRAWS, steps=TAIL_STEPS)
+    return grid.join(found, keys).select(*keys, (F.col("ratio") / (1 + F.col("ratio"))).alias("lattice_share"), (F.col("found") >= F.col("ratio") - 1e-9).alias("reached"))
+
+
 @query("mean_cvar_full")
 def mean_cvar_full(spark, sf):
     """Every forecast, dependence model, level and panel, with performance.
 
-    The residuals of each window are given the model's correlation before they
-    are scaled, so that the dependence models differ in their scenarios.
+    Scenario sets are deep ones of all residual vectors before a date. They are given
+    the model's correlation before they are scaled, so that the models differ in their scenarios.
     """
     simple = order_simple(spark, sf)
-    matrix = D.correlation_matrix(all_correlations(simple), ASSETS).select(
-        F.col("model").alias("dependence"), "ts", D.repair("matrix").alias("matrix"))
-    vol = O.volatility_vectors(V.garch_volatility(simple), ASSETS)
-    windows = P.spread(residual_windows(simple).join(matrix, "ts"), "dependence", "ts").select(
-        "dependence", "ts", Z.recorrelate("window", "matrix").alias("window"))
-    scaled = F.transform("window", lambda z: F.zip_with(z, F.col("s"), lambda a, b: a * b))
-    sets = windows.join(vol, "ts").select("dependence", "ts", scaled.alias("scenarios"))
+    sets = dependent_sets(simple)
     inputs = O.mean_cvar_inputs(forecasts(simple), sets, ASSETS)
-    keys = ["forecast", "dependence", "ts"]
-    returns = staged(O.mean_cvar_backtest(O.mean_cvar(inputs, ASSETS, keys), simple, ASSETS, keys))
+    returns = staged(O.mean_cvar_backtest(O.mean_cvar(inputs, ASSETS, ["dependence", "ts"], Z.DRAWS), simple, ASSETS, ["forecast", "dependence", "ts"]))
     on = ["forecast", "dependence", "beta", "panel"]
     return R.bundle(returns, on).drop("return_cvar").join(R.return_over_ex_ante_cvar(returns, on), on)
+
+
+def dependent_sets(simple):
+    """Deep scenario sets of every dependence model: the residuals before a date are given its correlation."""
+    matrix = D.correlation_matrix(all_correlations(simple), ASSETS).select(F.col("model").alias("dependence"), "ts", D.repair("matrix").alias("matrix"))
+    windows = P.spread(deep_windows(simple).join(matrix, "ts"), "dependence", "ts").select("dependence", "ts", Z.recorrelate("window", "matrix").alias("window"), "times")
+    return staged(O.scenario_sets(windows, O.volatility_vectors(V.garch_volatility(simple), ASSETS), ["dependence", "ts"]))

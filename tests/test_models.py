@@ -22,6 +22,7 @@ from panelweave.operators import performance as R
 from panelweave.operators import portfolio as O
 from panelweave.operators import regression as G
 from panelweave.operators import scenario as Z
+from panelweave.operators import tangent as T
 from panelweave.operators import volatility as V
 from panelweave.operators import windows as N
 
@@ -382,18 +383,18 @@ def test_scenarios_are_all_past_vectors(make_panel):
     assert got == {days[k]: [[float(i), 100.0 + i] for i in range(k)] for k in range(24, 60)}
 
 
-def test_combined_portfolios_take_all_past_vectors(spark, monkeypatch):
-    from panelweave.plans import combined
-
-    seen = []
-    monkeypatch.setattr(combined, "simple_forecasts", lambda spark, sf: None)
-    monkeypatch.setattr(combined.O, "mean_cvar_inputs", lambda forecasts, scenarios, assets: seen.append(scenarios) or scenarios)
-    monkeypatch.setattr(combined.O, "mean_cvar", lambda *a: (_ for _ in ()).throw(StopIteration))
-    with pytest.raises(StopIteration):
-        combined.mean_cvar_combined(spark, "/root/testdata/sf0.01")
-    sizes = [r[1] for r in seen[0].where("dependence = 'DCC'").select("ts", F.size("scenarios")).orderBy("ts").collect()]
-    assert sizes == list(range(24, 24 + len(sizes))) and len(sizes) > 20
-    print("vectors", sizes[0], sizes[-1])
+def test_resampled_scenarios_equal_a_loop(make_panel):
+    rows = make_panel(A=range(40), B=range(100, 140), C=[None] * 40)
+    got = {r.ts: ([list(v) for v in r.window], list(r.times)) for r in Z.resampled(rows, ("A", "B"), draws=137, block=5, least=30).collect()}
+    days = months(40)
+    assert sorted(got) == days[30:]
+    for n in range(30, 40):
+        starts = B.block_starts(np.arange(28), 1, n, 42)[:, 0]
+        drawn = [int((starts[q // 5] + q % 5) % n) for q in range(137)]
+        at = sorted(set(drawn))
+        assert got[days[n]] == ([[float(i), 100.0 + i] for i in at], [drawn.count(i) for i in at])
+    some = make_panel(A=range(40)).where(F.col("ts") == days[35])
+    assert [r.ts for r in Z.resampled(rows, ("A", "B"), least=30, dates=some).collect()] == [days[35]]
 
 
 def test_matrix_repair(spark):
@@ -427,35 +428,112 @@ ROOT = RNG.normal(size=(4, 4))
 COV = ROOT @ ROOT.T / 100 + np.eye(4) * 0.01
 
 
+def grid(n, steps, short=0.0):
+    """All weight vectors on a grid, by loops."""
+    limit = round(short * steps)
+    out = [(*k, steps - sum(k)) for k in product(range(-limit, steps + limit + 1), repeat=n - 1)]
+    return np.array([k for k in out if sum(max(-x, 0) for x in k) <= limit]) / steps
+
+
+def sharpe(w, mu, cov):
+    return w @ mu / np.sqrt(np.einsum("pi,ij,pj->p", w, cov, w))
+
+
+def tail_loss(w, scenarios, k):
+    return np.sort(-(w @ scenarios.T), axis=1)[:, -k:].mean(axis=1)
+
+
+@pytest.mark.parametrize("n,steps,short", [(3, 7, 0.0), (4, 10, 0.3), (2, 4, 0.5)])
+def test_lattice_rows_are_all_weights_once(spark, n, steps, short):
+    rows = T.with_lattice(spark.createDataFrame([(1,), (2,)], "i int"), n, steps, round(short * steps)).collect()
+    got = sorted(tuple(round(x * steps) for x in r.w) for r in rows if r.i == 1)
+    assert got == sorted(tuple(np.round(w * steps).astype(int)) for w in grid(n, steps, short)) and len(rows) == 2 * len(got)
+
+
 @pytest.mark.parametrize("panel,short", [(O.LONG_ONLY, 0.0), (O.LEVERAGED, 0.3)])
 def test_tangent_is_best_feasible(spark, panel, short):
     df = spark.createDataFrame([(MU.tolist(), COV.tolist())], "mu array<double>, cov array<array<double>>")
-    out = df.select(O.tangent_weights("mu", "cov", panel, 4).alias("t")).first().t
+    out = df.select(T.sharpe_weights("mu", "cov", O.SHORT[panel]).alias("t")).first().t
     w = np.array(out.weights)
     assert w.sum() == pytest.approx(1) and np.maximum(-w, 0).sum() <= short + 1e-9
-    fine = O.panel_lattice(4, panel, 20 if short else 40)
-    assert out.ratio >= O.sharpe(fine, MU, COV).max() - 1e-6
-
-
-def test_cvar_weights_beat_a_fine_lattice(spark):
-    scen = RNG.normal(size=(40, 3)) * 0.05 + 0.01
-    df = spark.createDataFrame([([0.01, 0.012, 0.008], scen.tolist())], "mu array<double>, s array<array<double>>")
-    out = df.select(O.cvar_weights("mu", "s", O.LONG_ONLY, 0.95, 3).alias("t")).first().t
-    fine = O.lattice(3, 50)
-    want = O.reward_over_cvar(fine, np.array([0.01, 0.012, 0.008]), scen, 0.95).max()
-    assert out.ratio >= want * 0.999 and out.cvar > 0
-
-
-def test_lattice_refuses_what_a_task_cannot_hold():
-    with pytest.raises(ValueError, match="coarser"):
-        O.lattice(12, 20)
+    assert out.ratio == pytest.approx(sharpe(w[None], MU, COV)[0]) and out.gap < 1e-9
+    assert out.ratio >= sharpe(grid(4, 40, short), MU, COV).max()
+
+
+@pytest.mark.parametrize("short", [0.0, 0.3])
+def test_tangents_of_many_shapes_are_optimal(spark, short):
+    rnd = np.random.default_rng(11)
+    rows = []
+    for k in range(24):
+        n = 5
+        root = rnd.normal(size=(n, 2 + k % 5)) * rnd.uniform(0.2, 3, size=(n, 1))
+        rows.append((k, (rnd.normal(size=n) * 0.02 - (0.05 if k % 4 == 0 else 0)).tolist(), (root @ root.T / 100 + np.eye(n) * 1e-3).tolist()))
+    rows.append((99, [0.1] * 5, np.zeros((5, 5)).tolist()))
+    df = spark.createDataFrame(rows, "k int, mu array<double>, cov array<array<double>>")
+    out = {r.k: r.t for r in df.select("k", T.sharpe_weights("mu", "cov", short).alias("t")).collect()}
+    assert out.pop(99).weights is None
+    points = grid(5, 10, short)
+    for k, mu, cov in rows[:-1]:
+        best = sharpe(points, np.array(mu), np.array(cov)).max()
+        w = np.array(out[k].weights)
+        assert out[k].ratio >= best - 1e-9 and np.maximum(-w, 0).sum() <= short + 1e-9 and (out[k].gap < 1e-6 or max(mu) <= 0)
+
+
+def test_tangent_of_a_hundred_assets(spark):
+    rnd = np.random.default_rng(12)
+    root = rnd.normal(size=(100, 10))
+    mu, cov = rnd.normal(size=100) * 0.02 + 0.01, root @ root.T / 500 + np.diag(rnd.uniform(0.005, 0.02, 100))
+    df = spark.createDataFrame([(mu.tolist(), cov.tolist())], "mu array<double>, cov array<array<double>>")
+    for short in (0.0, 0.3):
+        out = df.select(T.sharpe_weights("mu", "cov", short).alias("t")).first().t
+        w = np.array(out.weights)
+        assert out.gap < 1e-6 and w.sum() == pytest.approx(1) and np.maximum(-w, 0).sum() <= short + 1e-9
+
+
+def test_tail_means_count_vectors_as_often_as_they_were_drawn(spark):
+    rnd = np.random.default_rng(13)
+    vectors, times, w = rnd.normal(size=(30, 3)), rnd.integers(1, 6, 30), np.array([0.5, 0.2, 0.3])
+    every = np.repeat(vectors, times, axis=0)
+    tails = [T.tail_size(len(every), b) for b in (0.8, 0.95, 0.999)]
+    df = spark.createDataFrame([(w.tolist(), vectors.tolist(), times.tolist())], "w array<double>, v array<array<double>>, n array<int>")
+    got = df.select(T.tail_means(F.col("w"), F.col("v"), F.col("n"), tails).alias("t")).first().t
+    want = [tail_loss(w[None], every, k)[0] for k in tails]
+    risk, slope = T.tail_risk(w[None], vectors, times, tails)
+    assert got == pytest.approx(want) and risk[:, 0] == pytest.approx(want) and (slope[:, 0] @ w) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("short", [0.0, 0.3])
+@pytest.mark.parametrize("n,draws", [(3, 40), (5, 24), (5, 400)])
+def test_cvar_weights_beat_a_fine_lattice(spark, n, draws, short):
+    rnd = np.random.default_rng(n * draws)
+    scen, mu = rnd.normal(size=(draws, n)) * 0.05, [rnd.normal(size=n) * 0.01 + 0.005, np.full(n, -0.01)]
+    df = spark.createDataFrame([([m.tolist() for m in mu], scen.tolist(), [1] * draws)], "mu array<array<double>>, s array<array<double>>, n array<int>")
+    found = df.select(T.cvar_weights("mu", "s", "n", draws, (0.9, 0.95), short).alias("t")).first().t
+    assert [(r["at"], r.beta) for r in found] == [(0, 0.9), (0, 0.95), (1, 0.9), (1, 0.95)]
+    points = grid(n, 20 if n == 3 else 10, short)
+    for r in found:
+        w, k = np.array(r.weights), T.tail_size(draws, r.beta)
+        cvar = tail_loss(points, scen, k) - points @ mu[r["at"]]
+        best = (points @ mu[r["at"]] / cvar)[cvar > 0].max()
+        assert r.ratio >= best - 1e-9 and w.sum() == pytest.approx(1) and np.maximum(-w, 0).sum() <= short + 1e-9
+        assert r.cvar == pytest.approx(tail_loss(w[None], scen, k)[0] - w @ mu[r["at"]]) and r.ratio == pytest.approx(w @ mu[r["at"]] / r.cvar)
+
+
+def test_cvar_of_a_hundred_assets(spark):
+    rnd = np.random.default_rng(14)
+    scen, mu = rnd.normal(size=(60, 100)) * 0.05 + rnd.normal(size=(60, 1)) * 0.03, rnd.normal(size=100) * 0.01 + 0.004
+    df = spark.createDataFrame([([mu.tolist()], scen.tolist(), [3] * 60)], "mu array<array<double>>, s array<array<double>>, n array<int>")
+    r, = df.select(T.cvar_weights("mu", "s", "n", 180, (0.9,)).alias("t")).first().t
+    single = (mu / (tail_loss(np.eye(100), np.repeat(scen, 3, axis=0), 18) - mu)).max()
+    assert r.ratio > single and sum(r.weights) == pytest.approx(1)
 
 
 @given(st.lists(st.floats(-0.5, 0.5), min_size=5, max_size=60))
 @settings(max_examples=25, deadline=None)
 def test_tail_mean_is_not_below_quantile_loss(xs):
     r = np.array(xs)[:, None]
-    assert O.tail_losses(np.ones((1, 1)), r, 0.95)[0] >= -np.quantile(r, 0.05) - 1e-12
+    risk, _ = T.tail_risk(np.ones((1, 1)), r, np.ones(len(r), dtype=np.int64), [T.tail_size(len(r), 0.95)])
+    assert risk[0, 0] >= -np.quantile(r, 0.05) - 1e-12
 
 
 def test_performance_edge_cases(spark):
