@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelweave.config import OOS, TEST, TRAIN, Split
+from panelweave.config import IN_SAMPLE, OOS, TEST, TRAIN, Split
 from panelweave.operators.forecast import in_period, per_series
 from panelweave.operators.panel import series_arrays, spread
-from panelweave.operators.regression import coefficients, linear_value, moments, vector_moments
-
-IN_SAMPLE = Split("IN_SAMPLE", TRAIN.start, TEST.end)
+from panelweave.operators.regression import _unpack, coefficients, linear_value, moments, vector_moments
 
 
 # --- principal components -----------------------------------------------------------
@@ -160,6 +158,100 @@ def ridge_combination(rows: DataFrame, xs: Sequence[str], penalties: Sequence[fl
     )
 
 
+def soft(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+    return np.sign(x) * np.maximum(np.abs(x) - by, 0.0)
+
+
+def descend(corr: np.ndarray, target: np.ndarray, l1: np.ndarray, l2: np.ndarray, beta: np.ndarray, sweeps: int = 2000, tolerance: float = 1e-11) -> np.ndarray:
+    """Coordinate descent on a stack of problems ``beta' R beta / 2 - r' beta + l1 |beta| + l2 |beta|^2 / 2``.
+
+    Only products of columns are used, whatever the number of rows behind them. Columns without variance keep 0.
+    """
+    beta = beta.copy()
+    own = np.einsum("bjj->bj", corr)
+    for _ in range(sweeps):
+        before = beta.copy()
+        for j in range(beta.shape[1]):
+            rest = target[:, j] - np.einsum("bk,bk->b", corr[:, j], beta) + own[:, j] * beta[:, j]
+            beta[:, j] = np.where(own[:, j] > 0, soft(rest, l1) / np.where(own[:, j] > 0, own[:, j] + l2, 1.0), 0.0)
+        if np.abs(beta - before).max(initial=0.0) < tolerance:
+            break
+    return beta
+
+
+def scaled_products(matrix: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Correlations between columns and with the outcome, and the means and scales, of stacked cross products of ``(1, x, y)``."""
+    n = np.maximum(matrix[:, 0, 0], 1.0)
+    mean = matrix[:, 0, 1:] / n[:, None]
+    cov = matrix[:, 1:, 1:] / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
+    var = np.einsum("bii->bi", cov)
+    scale = np.sqrt(np.where(var > 1e-14 * np.maximum(mean ** 2, 1e-300), var, 0.0))
+    safe = np.where(scale > 0, scale, np.inf)
+    corr = cov / safe[:, :, None] / safe[:, None, :]
+    return corr[:, :-1, :-1], corr[:, :-1, -1], mean, scale
+
+
+def net_path(folds: np.ndarray, mixes: Sequence[float], steps: int, smallest: float) -> tuple[float, float, np.ndarray]:
+    """Mix, penalty and coefficients (constant first) of the elastic net that forecasts best in time.
+
+    ``folds`` are the cross products of consecutive stretches of time. Each stretch is forecast by the fit of all before
+    it; the error comes from the stretch's own cross products. Penalties fall from the one that leaves no column, and
+    every fit starts from that of the penalty before.
+    """
+    train = np.cumsum(folds, axis=0)
+    corr, target, mean, scale = scaled_products(train)
+    top = max(np.abs(target[-1]).max(initial=0.0), 1e-12)
+    points = [(mix, top / max(mix, 1e-3) * smallest ** (k / (steps - 1))) for mix in mixes for k in range(steps)]
+    beta = np.zeros((len(mixes) * len(folds), corr.shape[1]))
+    stack = lambda x: np.concatenate([x] * len(mixes))
+    r, t = stack(corr), stack(target)
+    mix = np.repeat(np.asarray(mixes, dtype=float), len(folds))
+    error, fits = np.zeros((len(mixes), steps)), np.zeros((len(mixes), steps, corr.shape[1] + 1))
+    for k in range(steps):
+        penalty = np.repeat([points[i * steps + k][1] for i in range(len(mixes))], len(folds))
+        beta = descend(r, t, penalty * mix, penalty * (1 - mix), beta)
+        slopes = beta.reshape(len(mixes), len(folds), -1) * (scale[:, -1:] / np.where(scale[:, :-1] > 0, scale[:, :-1], np.inf))
+        coef = np.concatenate([(mean[:, -1] - (slopes * mean[:, :-1]).sum(axis=2))[:, :, None], slopes], axis=2)
+        for f in range(1, len(folds)):
+            c = np.concatenate([coef[:, f - 1], -np.ones((len(mixes), 1))], axis=1)
+            error[:, k] += np.einsum("mi,ij,mj->m", c, folds[f], c)
+        fits[:, k] = coef[:, -1]
+    i, k = np.unravel_index(np.where(np.isfinite(error), error, np.inf).argmin(), error.shape)
+    return float(mixes[i]), float(points[i * steps + k][1]), fits[i, k]
+
+
+def elastic_net(rows: DataFrame, xs: Sequence[str], mixes: Sequence[float] = (0.5, 0.9, 1.0), steps: int = 20, smallest: float = 1e-3, folds: int = 5,
+                period: Split = IN_SAMPLE) -> DataFrame:
+    """``(series_id, mix, penalty, coef)`` of an elastic net per series, chosen over folds that follow each other in time.
+
+    One aggregation sums the cross products of every fold; penalties, folds and refits all come from these sums, so the
+    rows are read once. The penalty is ``penalty * (mix |b| + (1 - mix) b^2 / 2)`` on columns of unit variance, next to the
+    mean squared error over 2. Series with fewer complete rows than two per fold have no fit.
+    """
+    order = W.partitionBy("series_id").orderBy("ts")
+    cut = rows.where(in_period(period)).withColumn("fold", F.ntile(folds).over(order))
+    sums = moments(cut, ["series_id", "fold"], xs).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("fold", "moments"))).alias("m"))
+
+    @F.pandas_udf("mix double, penalty double, coef array<double>")
+    def run(packed: pd.Series) -> pd.DataFrame:
+        out = []
+        for parts in packed:
+            matrices = _unpack(pd.Series(list(parts)), len(xs) + 2)
+            enough = len(matrices) == folds and matrices[:, 0, 0].min() >= 2
+            out.append(net_path(matrices, mixes, steps, smallest) if enough else (None, None, None))
+        return pd.DataFrame(out, columns=["mix", "penalty", "coef"])
+
+    fitted = spread(sums, "series_id").select("series_id", run(F.col("m.moments")).alias("fit"))
+    return fitted.select("series_id", "fit.*").where(F.col("coef").isNotNull())
+
+
+def net_combination(rows: DataFrame, xs: Sequence[str], train: Split = TRAIN, test: Split = TEST, oos: Split = OOS, label: str = "Net", **options) -> DataFrame:
+    """Elastic net on components: chosen and fitted over the train and test periods, applied to ``oos``."""
+    fits = elastic_net(rows, xs, period=Split("FIT", train.start, test.end), **options)
+    return rows.where(in_period(oos)).join(fits.select("series_id", "coef"), "series_id").select(
+        "series_id", F.lit(label).alias("model"), "ts", linear_value("coef", xs).alias("yhat"))
+
+
 # --- dynamic model averaging ------------------------------------------------------------
 
 def model_weights(scores: DataFrame, forget: float = 0.99) -> DataFrame:

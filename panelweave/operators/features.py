@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelweave.config import Split
+from panelweave.config import IN_SAMPLE, Split
 from panelweave.functions.scalars import clip
 
 
@@ -36,13 +36,18 @@ def spread_pool(forecasts: DataFrame, panel: DataFrame, models: Sequence[str]) -
     )
 
 
-def impute_pool(pool: DataFrame, share: float = 0.9) -> DataFrame:
-    """Drop models below a share of valid rows, fill the rest with their mean."""
+def impute_pool(pool: DataFrame, share: float = 0.9, fit: Split = IN_SAMPLE) -> DataFrame:
+    """Drop models below a share of valid rows in the fit period, fill the rest with their mean over that period.
+
+    Nothing after the fit period enters; a model without a valid row in it is dropped.
+    """
     w = W.partitionBy("series_id", "model")
+    inside = (F.col("ts") >= F.lit(fit.start)) & (F.col("ts") < F.lit(fit.end))
+    known = F.when(inside, F.col("yhat"))
     return (
-        pool.withColumn("valid", F.count("yhat").over(w)).withColumn("rows", F.count("*").over(w))
-        .withColumn("mean", F.avg("yhat").over(w))
-        .where(F.col("valid") >= share * F.col("rows"))
+        pool.withColumn("valid", F.count(known).over(w)).withColumn("rows", F.count(F.when(inside, 1)).over(w))
+        .withColumn("mean", F.avg(known).over(w))
+        .where((F.col("valid") > 0) & (F.col("valid") >= share * F.col("rows")))
         .select("series_id", "model", "ts", F.coalesce("yhat", "mean").alias("yhat"))
     )
 

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.config import TEST, TRAIN, Split
@@ -149,56 +150,151 @@ def scaled_lags(panel: DataFrame, lags: int, train: Split) -> DataFrame:
     return scaled.where(" AND ".join(f"{x} IS NOT NULL" for x in lag_names(lags)))
 
 
-def nearest_rows(x: np.ndarray, fit: np.ndarray, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices into ``fit`` and distances of the ``k`` rows of ``x[fit]`` nearest to each row."""
-    known = x[fit]
-    dist = np.zeros((len(x), len(known)))
+#: Fit rows that a cell of neighbours holds on average, and distances that a task forms at once.
+CELL_ROWS, DISTANCES = 1024, 2_000_000
+
+
+def distances(x: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Euclidean distances between all rows of two small matrices."""
+    out = np.zeros((len(x), len(to)))
     for column in range(x.shape[1]):
-        dist += (x[:, column, None] - known[None, :, column]) ** 2
-    dist = np.sqrt(dist)
-    if exclude_self:
-        dist[fit, np.arange(len(fit))] = np.inf
-    near = np.argsort(dist, axis=1, kind="stable")[:, :k]
-    return near, np.take_along_axis(dist, near, axis=1)
+        out += (x[:, column, None] - to[None, :, column]) ** 2
+    return np.sqrt(out)
 
 
-def _neighbour_input(panel: DataFrame, lags: int, train: Split) -> DataFrame:
-    rows = scaled_lags(panel, lags, train).withColumn("x", F.array(*lag_names(lags))).withColumn("fit", in_period(train))
-    return series_arrays(rows, "y", "x", "fit")
+def _stacked(column: pa.ListArray | pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.empty((0, 1))
 
 
-def nearest_neighbours(panel: DataFrame, k: int = 5, lags: int = 6, train: Split = TRAIN, exclude_self: bool = False) -> DataFrame:
-    """The ``k`` fit-period rows closest to each row of its own series."""
+def _per_series_batches(rows: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """Apply a function to every stretch of a batch that belongs to one series."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column("series_id").to_pylist()
+            edges = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]] + [len(names)]
+            for lo, hi in zip(edges, edges[1:]):
+                yield fn(batch.slice(lo, hi - lo))
 
-    def one(row) -> pd.DataFrame:
-        fit = np.flatnonzero(row.fit)
-        near, dist = nearest_rows(np.stack(row.x), fit, k, exclude_self)
-        n, width = near.shape
-        ts = np.asarray(row.ts, dtype=object)
-        return pd.DataFrame({
-            "series_id": row.series_id, "ts": np.repeat(ts, width), "rank": np.tile(np.arange(1, width + 1), n),
-            "neighbour_ts": ts[fit[near]].reshape(-1), "distance": dist.reshape(-1),
-        })
+    return rows.mapInArrow(run, schema)
 
-    return per_series(_neighbour_input(panel, lags, train), one,
-                      "series_id string, ts date, rank int, neighbour_ts date, distance double")
 
+def cells(rows: DataFrame, width: int, per_cell: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The fit rows of every series dealt to pivots, and per series its cells.
 
-def knn_forecasts(panel: DataFrame, k: int = 5, lags: int = 6, train: Split = TRAIN, exclude_self: bool = False) -> DataFrame:
-    """Mean outcome of the ``k`` nearest fit-period rows on standardised lags."""
+    Pivots are fit rows picked by hash, one for some ``per_cell`` of them; every fit row belongs to the nearest pivot. Rows
+    come back with ``cell`` and ``sub``: a cell of many more rows, be they equal, is split by hash. A series' cells are arrays:
+    ``pivots`` (one after the other), ``radius``, ``n`` and ``subs``.
+    """
+    fit = rows.where("fit")
+    order = W.partitionBy("series_id").orderBy(F.xxhash64("series_id", "ts"), "ts")
+    wanted = fit.groupBy("series_id").agg(F.ceil(F.count(F.lit(1)) / per_cell).alias("wanted"))
+    picked = fit.withColumn("pick", F.row_number().over(order)).join(wanted, "series_id").where("pick <= wanted")
+    pivots = picked.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("pick", "x"))).alias("p")).select("series_id", F.flatten("p.x").alias("pivots"))
+
+    def nearest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        apart = distances(_stacked(batch.column("x"), len(batch)), _stacked(batch.column("pivots").slice(0, 1), 1).reshape(-1, width))
+        cell = apart.argmin(axis=1)
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("series_id", "ts", "y", "x")), pa.array(cell, pa.int32()), pa.array(apart[np.arange(len(cell)), cell])],
+                                          names=["series_id", "ts", "y", "x", "cell", "off"])
+
+    schema = "series_id string, ts date, y double, x array<double>, cell int, off double"
+    dealt = staged(_per_series_batches(fit.join(pivots, "series_id").select("series_id", "ts", "y", "x", "pivots"), schema, nearest))
+    sizes = dealt.groupBy("series_id", "cell").agg(F.max("off").alias("radius"), F.count(F.lit(1)).alias("n"))
+    by_cell = sizes.groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct("radius", "n")))).alias("m"))
+    every = F.sequence(F.lit(0), (F.size("pivots") / width).cast("int") - 1)
+    n = lambda c: F.coalesce(F.try_element_at("m", c)["n"], F.lit(0).cast("long"))
+    known_cells = staged(pivots.join(by_cell, "series_id").select(
+        "series_id", "pivots", F.transform(every, lambda c: F.coalesce(F.try_element_at("m", c)["radius"], F.lit(0.0))).alias("radius"), F.transform(every, n).alias("n"),
+        F.transform(every, lambda c: F.greatest(F.lit(1), F.ceil(n(c) / (4 * per_cell)).cast("int"))).alias("subs")))
+    sub = F.pmod(F.xxhash64("ts", F.lit("sub")), F.col("subs")[F.col("cell")]).cast("int")
+    return dealt.join(known_cells.select("series_id", "subs"), "series_id").select("series_id", "ts", "y", "x", "cell", sub.alias("sub")), known_cells
+
+
+def _visits(queries: DataFrame, width: int, which: Callable[[np.ndarray, np.ndarray, np.ndarray, pa.RecordBatch], list[np.ndarray]]) -> DataFrame:
+    """Queries once for every part of the cells that ``which`` names for them."""
+    def go(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, first = _stacked(batch.column("x"), len(batch)), batch.slice(0, 1)
+        apart = distances(x, _stacked(first.column("pivots"), 1).reshape(-1, width))
+        found = which(apart, _stacked(first.column("radius"), 1)[0], _stacked(first.column("n"), 1)[0], batch)
+        subs = _stacked(first.column("subs"), 1)[0].astype(int)
+        out = [(i, c, s) for i, own in enumerate(found) for c in own.tolist() for s in range(subs[c])]
+        at, cell, sub = (pa.array([o[k] for o in out], pa.int32()) for k in range(3))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("series_id", "ts", "x")), cell, sub], names=["series_id", "ts", "x", "cell", "sub"])
+
+    return _per_series_batches(queries, "series_id string, ts date, x array<double>, cell int, sub int", go)
+
+
+NEAR = "near array<struct<distance:double,neighbour_ts:date,y:double>>"
+
+
+def _searched(visits: DataFrame, dealt: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """The ``k`` nearest rows of each part for each query that visits it."""
+    def run(asked: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by("ts")
+        x, known_rows = _stacked(asked.column("x"), len(asked)), _stacked(own.column("x"), len(own))
+        ts, y, dates = own.column("ts").to_pylist(), own.column("y").to_pylist(), asked.column("ts").to_pylist()
+        place = {t: i for i, t in enumerate(ts)}
+        near, step = [], max(1, DISTANCES // max(1, len(own)))
+        for lo in range(0, len(x) if len(own) else 0, step):
+            apart = distances(x[lo:lo + step], known_rows)
+            if exclude_self:
+                for i, t in enumerate(dates[lo:lo + step]):
+                    if t in place:
+                        apart[i, place[t]] = np.inf
+            for row, at in zip(apart, np.argsort(apart, axis=1, kind="stable")[:, :k]):
+                near.append([{"distance": float(row[j]), "neighbour_ts": ts[j], "y": y[j]} for j in at.tolist() if np.isfinite(row[j])])
+        if not len(own):
+            asked = asked.slice(0, 0)
+        kind = pa.list_(pa.struct([("distance", pa.float64()), ("neighbour_ts", pa.date32()), ("y", pa.float64())]))
+        return asked.select(["series_id", "ts"]).append_column("near", pa.array(near, kind))
+
+    keys = ("series_id", "cell", "sub")
+    return visits.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(run, f"series_id string, ts date, {NEAR}")
+
+
+def _nearest(panel: DataFrame, k: int, lags: int, train: Split, exclude_self: bool, per_cell: int) -> DataFrame:
+    """``(series_id, ts, near)``: the up to ``k`` nearest fit-period rows of every row, by distance and then date.
+
+    Each row first looks in the cells around it that hold ``k`` rows; the distance of its k-th finding then rules out, by
+    the triangle inequality, all cells that lie further off than it and their radius.
+    """
+    rows = staged(scaled_lags(panel, lags, train).select("series_id", "ts", "y", F.array(*lag_names(lags)).alias("x"), in_period(train).alias("fit")))
+    dealt, known_cells = cells(rows, lags, per_cell)
+    dealt, least = staged(dealt), k + (1 if exclude_self else 0)
+
+    def around(apart: np.ndarray, radius: np.ndarray, n: np.ndarray, batch: pa.RecordBatch) -> list[np.ndarray]:
+        order = np.argsort(apart, axis=1, kind="stable")
+        enough = (np.cumsum(n[order], axis=1) < least).sum(axis=1) + 1
+        return [own[:e] for own, e in zip(order, enough)]
+
+    def within(apart: np.ndarray, radius: np.ndarray, n: np.ndarray, batch: pa.RecordBatch) -> list[np.ndarray]:
+        reach = np.array([np.inf if r is None else r for r in batch.column("reach").to_pylist()])
+        seen = [set(own.tolist()) for own in around(apart, radius, n, batch)]
+        near = (apart - radius) * (1 - 1e-12) <= reach[:, None] + 1e-12
+        return [np.array([c for c in np.flatnonzero(row) if c not in own], dtype=int) for row, own in zip(near, seen)]
+
+    first = _searched(_visits(rows.select("series_id", "ts", "x").join(known_cells, "series_id"), lags, around), dealt, k, exclude_self)
+    best = lambda df: df.groupBy("series_id", "ts").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    first = staged(best(first))
+    reach = F.when(F.size("near") == k, F.element_at("near", -1)["distance"]).alias("reach")
+    again = rows.select("series_id", "ts", "x").join(first.select("series_id", "ts", reach), ["series_id", "ts"], "left").join(
+        known_cells.where(F.size("n") > 1), "series_id")
+    return best(first.unionByName(_searched(_visits(again, lags, within), dealt, k, exclude_self)))
+
+
+def nearest_neighbours(panel: DataFrame, k: int = 5, lags: int = 6, train: Split = TRAIN, exclude_self: bool = False, per_cell: int = CELL_ROWS) -> DataFrame:
+    """The ``k`` fit-period rows closest to each row of its own series."""
+    near = _nearest(panel, k, lags, train, exclude_self, per_cell)
+    return near.select("series_id", "ts", F.posexplode("near").alias("i", "n")).select(
+        "series_id", "ts", (F.col("i") + 1).alias("rank"), F.col("n.neighbour_ts").alias("neighbour_ts"), F.col("n.distance").alias("distance"))
 
-    def one(row) -> pd.DataFrame:
-        fit = np.flatnonzero(row.fit)
-        y = np.asarray(row.y, dtype=float)
-        near, _ = nearest_rows(np.stack(row.x), fit, k, exclude_self)
-        enough = near.shape[1] == k
-        return pd.DataFrame({
-            "series_id": row.series_id, "model": f"kNN({k})", "ts": row.ts,
-            "yhat": y[fit[near]].mean(axis=1) if enough else np.nan,
-        })
-
-    out = per_series(_neighbour_input(panel, lags, train), one, FORECAST)
-    return out.where(known("yhat"))
+
+def knn_forecasts(panel: DataFrame, k: int = 5, lags: int = 6, train: Split = TRAIN, exclude_self: bool = False, per_cell: int = CELL_ROWS) -> DataFrame:
+    """Mean outcome of the ``k`` nearest fit-period rows on standardised lags."""
+    near = _nearest(panel, k, lags, train, exclude_self, per_cell).where(F.size("near") == k)
+    mean = F.aggregate("near", F.lit(0.0), lambda s, n: s + n["y"]) / k
+    return near.select("series_id", F.lit(f"kNN({k})").alias("model"), "ts", mean.alias("yhat")).where(known("yhat"))
 
 
 def transition(kind: Column, gamma: Column, c: Column, s: Column) -> Column:

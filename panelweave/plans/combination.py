@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelweave.config import OOS, WINDOW
+from panelweave.config import IN_SAMPLE, OOS, WINDOW
 from panelweave.functions import scalars as S
 from panelweave.operators import bootstrap as B
 from panelweave.operators import combine as C
 from panelweave.operators import forecast as M
 from panelweave.operators import evaluate as E
+from panelweave.operators import features as X
 from panelweave.operators import panel as P
 from panelweave.operators import windows as N
+from panelweave.operators.regression import linear_value
 from panelweave.plans import fragments as Q
 from panelweave.plans.evaluation import MODELS, best_in, supplier_losses
 from panelweave.plans.panels import order_panel, supplier_panel
@@ -223,6 +225,31 @@ def ridge_combination(spark, sf):
     return C.ridge_combination(staged(rows.where("x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL")), ["x1", "x2", "x3"], PENALTIES)
 
 
+@query("net_conditions", "SELECT DISTINCT series_id, true AS optimal, true AS centred FROM smr")
+def net_conditions(spark, sf):
+    """Elastic net on ten fitted components of 57 models: the conditions of the optimum, from the rows themselves.
+
+    The slope of the error in a column in use is that of its penalty; in a column left out it is not steeper.
+    """
+    r = supplier_panel(spark, sf)
+    pool = staged(M.bank(r, [N.random_walk, N.sma_bank, M.ema_bank]))
+    rows = staged(C.component_rows(pool, r, C.loadings(pool), 10))
+    xs = [f"c{i}" for i in range(1, 11)]
+    fitted = P.period_filter(rows, IN_SAMPLE).join(C.elastic_net(rows, xs), "series_id").withColumn("e", F.col("y") - linear_value("coef", xs))
+    sums = fitted.groupBy("series_id").agg(
+        F.avg("e").alias("e"), F.stddev_pop("y").alias("sy"), *[F.first(c).alias(c) for c in ("mix", "penalty", "coef")],
+        F.array(*[F.struct(F.covar_pop(x, "e").alias("slope"), F.stddev_pop(x).alias("sx")) for x in xs]).alias("own"))
+
+    def holds(s, i):
+        used = F.col("coef")[i + 1]
+        beta, scale = used * s["sx"] / F.col("sy"), F.when(s["sx"] > 1e-9, s["sx"]).otherwise(1.0)
+        slope = s["slope"] / scale / F.col("sy") - F.col("penalty") * (1 - F.col("mix")) * beta
+        limit = F.col("penalty") * F.col("mix")
+        return F.when(used != 0, F.abs(slope - limit * F.signum(used)) < 1e-7).otherwise((F.abs(slope) <= limit + 1e-7) | (s["sx"] <= 1e-9))
+
+    return sums.select("series_id", F.forall(F.transform("own", holds), lambda x: x).alias("optimal"), (F.abs("e") < 1e-9 * F.col("sy")).alias("centred"))
+
+
 # --- superior ability and confidence set ---
 
 REPS, FULL_REPS, BLOCK = 200, 10000, 15
@@ -295,5 +322,5 @@ def combined_forecasts(spark, sf):
     pool = staged(pool)
     rows = staged(C.component_rows(pool, r, C.loadings(pool), 6))
     xs = [f"c{i}" for i in range(1, 7)]
-    combined = M.bank(r, [N.random_walk, lambda _: C.ridge_combination(rows, xs), lambda _: C.dynamic_average(rows, xs)])
+    combined = X.clip_forecasts(M.bank(r, [N.random_walk, lambda _: C.ridge_combination(rows, xs), lambda _: C.dynamic_average(rows, xs)]), r)
     return E.error_metrics(E.losses(P.period_filter(combined, OOS), r))

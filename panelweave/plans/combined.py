@@ -9,6 +9,7 @@ from panelweave.functions import scalars as S
 from panelweave.operators import bootstrap as B
 from panelweave.operators import combine as C
 from panelweave.operators import evaluate as E
+from panelweave.operators import features as X
 from panelweave.operators import forecast as M
 from panelweave.operators import panel as P
 from panelweave.operators import performance as R
@@ -24,7 +25,7 @@ from panelweave.session import scratch_path
 from panelweave.sources.stores import read_table, staged, write_table
 
 COMPONENTS = 10
-STRATEGIES = ("RW", "SMA(6)", "Ridge", "DMA")
+STRATEGIES = ("RW", "SMA(6)", "Ridge", "Net", "DMA")
 
 
 def whole_pool(returns):
@@ -36,13 +37,17 @@ def whole_pool(returns):
 
 
 def combinations(spark, returns):
-    """Ridge and averaged forecasts over ten components, next to two plain models; the fitted axes are stored and read back."""
+    """Ridge, elastic net and averaged forecasts over ten components, within five past deviations, next to two plain models.
+
+    The fitted axes are stored and read back.
+    """
     pool = whole_pool(returns)
     axes = read_table(spark, write_table(C.loadings(pool), scratch_path(spark, "fitted-axes")))
     rows = staged(C.component_rows(pool, returns, axes, COMPONENTS))
     xs = [f"c{i}" for i in range(1, COMPONENTS + 1)]
     plain = pool.where(F.col("model").isin("RW", "SMA(6)"))
-    return staged(M.bank(returns, [lambda _: plain, lambda _: C.ridge_combination(rows, xs), lambda _: C.dynamic_average(rows, xs)]))
+    combined = M.bank(returns, [lambda _: C.ridge_combination(rows, xs), lambda _: C.net_combination(rows, xs), lambda _: C.dynamic_average(rows, xs)])
+    return staged(plain.unionByName(X.clip_forecasts(combined, returns)))
 
 
 @query("pca_properties", "SELECT DISTINCT series_id, 0.0::DOUBLE AS off_orthonormal, 0.0::DOUBLE AS off_variance FROM smr",
@@ -81,7 +86,7 @@ def simple_forecasts(spark, sf):
 
 @query("mean_variance_combined")
 def mean_variance_combined(spark, sf):
-    """Four forecasts, three dependence models and two panels, with their performance."""
+    """Five forecasts, three dependence models and two panels, with their performance."""
     simple = order_simple(spark, sf)
     inputs = O.mean_variance_inputs(simple_forecasts(spark, sf), all_correlations(simple), V.garch_volatility(simple), ASSETS)
     keys = ["forecast", "dependence", "panel"]
@@ -91,7 +96,7 @@ def mean_variance_combined(spark, sf):
 
 @query("mean_cvar_combined")
 def mean_cvar_combined(spark, sf):
-    """The same four forecasts and three dependence models with mean-CVaR portfolios at both levels, on deep scenario sets."""
+    """The same five forecasts and three dependence models with mean-CVaR portfolios at both levels, on deep scenario sets."""
     simple = order_simple(spark, sf)
     inputs = O.mean_cvar_inputs(simple_forecasts(spark, sf), dependent_sets(simple), ASSETS)
     returns = staged(O.mean_cvar_backtest(O.mean_cvar(inputs, ASSETS, ["dependence", "ts"], Z.DRAWS), simple, ASSETS, ["forecast", "dependence", "ts"]))

@@ -138,8 +138,9 @@ def fisher_z(spark, sf):
 @query("pool_impute", """WITH g AS (SELECT m.series_id, m.model, r.ts, p.yhat FROM (SELECT DISTINCT series_id, model
  FROM pool_s) AS m JOIN smr r ON m.series_id = r.series_id LEFT JOIN pool_s p ON p.series_id = r.series_id
  AND p.ts = r.ts AND p.model = m.model), v AS (SELECT series_id, model FROM g GROUP BY 1, 2
- HAVING count(yhat) >= 0.9 * count(*)) SELECT g.series_id, g.model, g.ts,
- coalesce(g.yhat, avg(g.yhat) OVER (PARTITION BY g.series_id, g.model)) AS yhat FROM g JOIN v
+ HAVING count(yhat) FILTER (WHERE ts < DATE '2000-01-01') > 0 AND count(yhat) FILTER (WHERE ts < DATE '2000-01-01') >= 0.9 *
+ count(*) FILTER (WHERE ts < DATE '2000-01-01')) SELECT g.series_id, g.model, g.ts, coalesce(g.yhat, avg(g.yhat) FILTER
+ (WHERE g.ts < DATE '2000-01-01') OVER (PARTITION BY g.series_id, g.model)) AS yhat FROM g JOIN v
  ON g.series_id = v.series_id AND g.model = v.model""", yhat=8)
 def pool_impute(spark, sf):
     r = supplier_panel(spark, sf)

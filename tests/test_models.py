@@ -178,13 +178,108 @@ def test_resampling_and_spa_against_loops(spark):
     assert all(0 <= r.p <= 1 for r in apart.collect())
 
 
+def eliminate(mean, draws, level):
+    """P-values of the elimination of one series, with all draws in memory."""
+    p = np.ones(len(mean))
+    left = list(range(len(mean)))
+    while len(left) > 1:
+        gap = mean[left] - mean[left].mean()
+        noise = draws[:, left] - draws[:, left].mean(axis=1, keepdims=True)
+        scale = np.sqrt(np.maximum(noise.var(axis=0), 1e-10))
+        t = gap / scale
+        worst = int(t.argmax())
+        value = float(((noise / scale).max(axis=1) >= t[worst]).mean())
+        if value >= level:
+            break
+        p[left[worst]] = value
+        del left[worst]
+    return p
+
+
 def test_confidence_set_drops_a_bad_model():
     x = np.abs(RNG.normal(size=(60, 3))) + np.array([0, 0, 5])
     draws = B.resampled_means(x - x.mean(axis=0), np.arange(500), 15, 42)
-    p = B.eliminate(x.mean(axis=0), draws, 0.05)
+    p = eliminate(x.mean(axis=0), draws, 0.05)
     assert p[2] < 0.05 and p.max() == 1
 
 
+def test_confidence_set_in_rounds_equals_one_in_memory(spark):
+    rnd, days, names = np.random.default_rng(21), months(50), ["a", "b", "c", "d"]
+    worse = {"s1": [0, 0, 3, 0], "s2": [0, 2, 3, 4], "s3": [0, 0, 0, 0], "s4": [0, 5, 0, 0.1]}
+    x = {s: np.abs(rnd.normal(size=(50, 4)) + np.array(w)) for s, w in worse.items()}
+    rows = [(s, m, t, float(x[s][i, j])) for s in x for j, m in enumerate(names) for i, t in enumerate(days)]
+    loss = spark.createDataFrame(rows, "series_id string, model string, ts date, e double")
+    got = {(r.series_id, r.model): r for r in B.confidence_set(loss, names, replicates=300, replicates_per_task=70).collect()}
+    for s in x:
+        draws = B.resampled_means(x[s] - x[s].mean(axis=0), np.arange(300), 15, 42)
+        want = eliminate(x[s].mean(axis=0), draws, 0.05)
+        assert [got[s, m].p for m in names] == pytest.approx(want) and [got[s, m].in_set for m in names] == list(want == 1)
+
+
+@pytest.mark.parametrize("per_cell", [8, 1024])
+def test_neighbours_equal_a_full_search(spark, per_cell):
+    rnd = np.random.default_rng(22)
+    x = {"a": rnd.normal(size=150), "b": np.repeat([0.5, -0.5], 75), "c": rnd.normal(size=12), "d": rnd.normal(size=90).round(1)}
+    days = [dt.date(1996, 1, 1) + dt.timedelta(days=7 * k) for k in range(150)]
+    rows = [(s, t, float(v)) for s, own in x.items() for t, v in zip(days, own)]
+    panel = spark.createDataFrame(rows, "series_id string, ts date, value double")
+    lagged = {s: [(r.ts, r.x, r.fit) for r in M.scaled_lags(panel.where(F.col("series_id") == s), 3, TRAIN).select(
+        "ts", F.array("x1", "x2", "x3").alias("x"), M.in_period(TRAIN).alias("fit")).orderBy("ts").collect()] for s in x}
+    for exclude in (False, True):
+        got = {}
+        for r in M.nearest_neighbours(panel, 4, 3, exclude_self=exclude, per_cell=per_cell).collect():
+            got.setdefault((r.series_id, r.ts), []).append((r["rank"], r.neighbour_ts, r.distance))
+        for s, own in lagged.items():
+            for t, v, _ in own:
+                near = sorted((math.dist(v, u), d) for d, u, fit in own if fit and not (exclude and d == t))[:4]
+                found = sorted(got.get((s, t), []))
+                assert [f[2] for f in found] == pytest.approx([n[0] for n in near], abs=1e-12) and len(found) == len(near)
+                if len({round(n[0], 9) for n in near}) == len(near) and len(near) == 4:
+                    assert [f[1] for f in found[:3]] == [n[1] for n in near[:3]]
+
+
+def test_elastic_net_is_optimal_and_chosen_in_time(spark):
+    rnd, days = np.random.default_rng(23), months(60)
+    rows = []
+    for s in ("a", "b", "flat"):
+        x = rnd.normal(size=(60, 4)) * np.array([1, 5, 0.1, 0])
+        y = 2 * x[:, 0] - 0.3 * x[:, 1] + rnd.normal(size=60) * (0.2 if s == "a" else 3)
+        rows += [(s, t, float(v), *map(float, own)) for t, v, own in zip(days, y if s != "flat" else y * 0 + 1, x)]
+    df = spark.createDataFrame(rows, "series_id string, ts date, y double, c1 double, c2 double, c3 double, c4 double")
+    xs, period = ["c1", "c2", "c3", "c4"], TRAIN._replace(end=dt.date(2000, 1, 1))
+    got = {r.series_id: r for r in C.elastic_net(df, xs, folds=4, steps=8, period=period).collect()}
+    assert set(got) == {"a", "b", "flat"} and got["flat"].coef[1:] == [0, 0, 0, 0] and got["flat"].coef[0] == pytest.approx(1)
+    for s in ("a", "b"):
+        data = np.array([r[2:] for r in rows if r[0] == s])
+        y, x = data[:, 0], data[:, 1:]
+        fit = lambda n, mix, pen: loop_net(x[:n], y[:n], mix, pen)
+        coef = np.array(got[s].coef)
+        assert coef == pytest.approx(fit(60, got[s].mix, got[s].penalty), abs=1e-7)
+        sx, sy = x.std(axis=0), y.std()
+        top = max(abs(np.cov(x[:, j], y, bias=True)[0, 1] / sx[j] / sy) for j in range(3))
+        errors = {}
+        for mix in (0.5, 0.9, 1.0):
+            for k in range(8):
+                pen = top / mix * 1e-3 ** (k / 7)
+                errors[mix, pen] = sum(((y[n:n + 15] - (c := fit(n, mix, pen))[0] - x[n:n + 15] @ c[1:]) ** 2).sum() for n in (15, 30, 45))
+        assert errors[min(errors, key=lambda m: abs(m[0] - got[s].mix) + abs(m[1] - got[s].penalty))] == pytest.approx(min(errors.values()))
+    out = C.net_combination(df, xs, folds=4, steps=8)
+    assert out.where("ts < DATE '2000-01-01'").count() == 0
+
+
+def loop_net(x, y, mix, penalty):
+    """Elastic net on columns of unit variance, one coordinate after the other over the rows."""
+    sx, sy = x.std(axis=0), y.std()
+    z, v = (x - x.mean(axis=0)) / np.where(sx > 0, sx, 1), (y - y.mean()) / sy
+    b = np.zeros(x.shape[1])
+    for _ in range(3000):
+        for j in np.flatnonzero(sx > 0):
+            r = (z[:, j] * (v - z @ b + z[:, j] * b[j])).mean()
+            b[j] = np.sign(r) * max(abs(r) - penalty * mix, 0) / (1 + penalty * (1 - mix))
+    coef = b * sy / np.where(sx > 0, sx, np.inf)
+    return np.concatenate([[y.mean() - coef @ x.mean(axis=0)], coef])
+
+
 # --- combination ---
 
 def loop_dma(y, x, lam, delta):
