@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.functions.scalars import ratio
 from panelweave.operators.panel import wide
 from panelweave.operators.windows import average_rank
+from panelweave.sources.stores import staged
 
 
 def describe(panel: DataFrame) -> DataFrame:
@@ -89,6 +94,84 @@ def pair_products(panel: DataFrame, assets: Sequence[str]) -> DataFrame:
     return wide(panel, assets).select("ts", F.inline(pair_table(assets, lambda i, j: v[i] * v[j])))
 
 
+#: Series on either side of a tile, and dates in one of its parts.
+TILE_SERIES, TILE_DATES = 128, 512
+
+
+def _matrices(panel: DataFrame, blocks: int, chunks: int) -> DataFrame:
+    """The values of a block of series over a part of the dates as one row: names, dates, and the matrix as bytes."""
+    def pack(rows: pa.Table) -> pa.Table:
+        names, dates = pc.unique(rows.column("series_id")).sort(), pc.unique(rows.column("ts")).sort()
+        grid = np.full((len(names), len(dates)), np.nan)
+        grid[pc.index_in(rows.column("series_id"), names).to_numpy(), pc.index_in(rows.column("ts"), dates).to_numpy()] = rows.column("value").to_numpy()
+        return pa.table({"block": rows.column("block").slice(0, 1), "chunk": rows.column("chunk").slice(0, 1), "names": pa.array([names.to_pylist()], pa.list_(pa.string())),
+                         "dates": pa.array([dates.cast(pa.int32()).to_pylist()], pa.list_(pa.int32())), "grid": pa.array([grid.tobytes()], pa.binary())})
+
+    placed = panel.select("series_id", "ts", "value", F.pmod(F.xxhash64("series_id"), F.lit(blocks)).cast("int").alias("block"),
+                          F.pmod(F.xxhash64("ts"), F.lit(chunks)).cast("int").alias("chunk"))
+    return placed.groupBy("block", "chunk").applyInArrow(pack, "block int, chunk int, names array<string>, dates array<int>, grid binary")
+
+
+def _tile(left: pa.Table, right: pa.Table) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """Names on both sides, and for each pair its correlation and common dates, summed over the parts of the dates."""
+    def side(rows: pa.Table) -> tuple[list[str], dict[int, tuple]]:
+        parts = {c: (n, d, np.frombuffer(g).reshape(len(n), len(d))) for c, n, d, g in zip(*(rows.column(k).to_pylist() for k in range(2, 6)))}
+        return sorted({n for names, _, _ in parts.values() for n in names}), parts
+
+    (names_a, a), (names_b, b) = side(left), side(right)
+    at_a, at_b = ({n: i for i, n in enumerate(names)} for names in (names_a, names_b))
+    sums = np.zeros((6, len(names_a), len(names_b)))
+    for chunk in a.keys() & b.keys():
+        (na, da, x), (nb, db, y) = a[chunk], b[chunk]
+        _, ia, ib = np.intersect1d(da, db, return_indices=True)
+        x, y = x[:, ia], y[:, ib]
+        m, n = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+        x, y = np.nan_to_num(x), np.nan_to_num(y)
+        own = np.ix_([at_a[s] for s in na], [at_b[s] for s in nb])
+        for k, part in enumerate((m @ n.T, x @ n.T, m @ y.T, (x * x) @ n.T, m @ (y * y).T, x @ y.T)):
+            sums[k][own] += part
+    n, sx, sy, sxx, syy, sxy = sums
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    sound = (n >= 3) & (vx > 1e-12 * np.maximum(n * sxx, 1e-300)) & (vy > 1e-12 * np.maximum(n * syy, 1e-300))
+    return names_a, names_b, np.where(sound, (n * sxy - sx * sy) / np.sqrt(np.where(sound, vx * vy, 1.0)), np.nan), n
+
+
+def strongest_partners(panel: DataFrame, k: int = 5, tile_series: int = TILE_SERIES, tile_dates: int = TILE_DATES) -> DataFrame:
+    """The ``k`` partners of every series with the largest absolute correlation over common dates: ``(series_id, rank, partner, rho, n)``.
+
+    For very many series: all pairs are formed, but in tiles. A block of series is a matrix, two blocks meet in a task of
+    their own, products of matrices give the sums of all their pairs, and only the ``k`` strongest of a series leave the
+    tile. Pairs with fewer than three common dates, or a constant side, have no correlation. Equal ones go by name.
+    """
+    means = panel.groupBy("series_id").agg(F.avg("value").alias("mean"))  # keeps sums of squares small
+    centred = panel.where(F.col("value").isNotNull()).join(means, "series_id").select("series_id", "ts", (F.col("value") - F.col("mean")).alias("value"))
+    size = panel.agg(F.count_distinct("series_id").alias("series"), F.count_distinct("ts").alias("dates")).first()
+    blocks, chunks = max(1, -(-size.series // tile_series)), max(1, -(-size.dates // tile_dates))
+    packed = staged(_matrices(centred, blocks, chunks))
+    every = lambda lo, hi: F.explode(F.sequence(lo, hi))
+    left = packed.withColumn("i", F.col("block")).withColumn("j", every(F.col("block"), F.lit(blocks - 1)))
+    right = packed.withColumn("j", F.col("block")).withColumn("i", every(F.lit(0), F.col("block")))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if len(a) and len(b):
+            names_a, names_b, rho, n = _tile(a, b)
+            same = a.column(0)[0] == a.column(1)[0]
+            for names, partners, r, m in ((names_a, names_b, rho, n), *([] if same else [(names_b, names_a, rho.T, n.T)])):
+                order = np.argsort(-np.nan_to_num(np.abs(r), nan=-1.0), axis=1, kind="stable")[:, :k + 1]
+                for i, row in enumerate(order):
+                    out += [(names[i], partners[j], float(r[i, j]), int(m[i, j])) for j in row if not np.isnan(r[i, j]) and names[i] != partners[j]][:k]
+        columns = list(zip(*out)) if out else [[], [], [], []]
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["series_id", "partner", "rho", "n"])
+
+    columns = ("chunk", "names", "dates", "grid")
+    right = right.select(F.col("i").alias("i2"), F.col("j").alias("j2"), *[F.col(c).alias(f"{c}2") for c in columns])
+    tiles = left.select("i", "j", *columns).groupBy("i", "j").cogroup(right.groupBy("i2", "j2"))
+    found = tiles.applyInArrow(best, "series_id string, partner string, rho double, n bigint")
+    order = W.partitionBy("series_id").orderBy(F.desc(F.abs("rho")), "partner")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("series_id", "rank", "partner", "rho", "n")
+
+
 def coverage(panel: DataFrame) -> DataFrame:
     """How many periods have all the panel's series, and how many periods there are."""
     n_series = panel.agg(F.count_distinct("series_id").alias("n"))

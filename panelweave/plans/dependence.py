@@ -20,7 +20,7 @@ from panelweave.plans.panels import order_returns, supplier_returns
 from panelweave.plans.registry import fragment, query
 from panelweave.plans.solve_sql import solve_fragments, value_sql
 from panelweave.session import scratch_path
-from panelweave.sources.stores import read_table, staged, write_table
+from panelweave.sources.stores import grow, read_table, staged, write_table
 
 
 def order_simple(spark, sf):
@@ -376,3 +376,21 @@ def resampled_scenarios(spark, sf):
     rows = sets.select("ts", F.inline(F.arrays_zip("vectors", "times")))
     names = F.array(*[F.lit(a) for a in ASSETS])
     return rows.select("ts", F.col("times").cast("int").alias("times"), F.posexplode("vectors").alias("k", "r")).select("ts", "times", names[F.col("k")].alias("series_id"), "r")
+
+
+@query("grown_correlations", "SELECT *, CASE WHEN ts < DATE '2000-06-01' THEN 1 ELSE 2 END AS run FROM corr_o", rho=6)
+def grown_correlations(spark, sf):
+    """Residuals and correlations as stores that grow: the second run computes the dates that the first did not have."""
+    simple, root = order_simple(spark, sf), scratch_path(spark, "grown")
+    residuals = staged(V.scaled_residuals(simple))
+    for run, until in ((1, "2000-06-01"), (2, "2100-01-01")):
+        known = residuals.where(F.col("ts") < F.lit(until).cast("date"))
+        z = grow(spark, f"{root}/residuals", known, lambda missing, known=known: known.join(missing, "ts", "left_semi"))
+        windows = staged(D.date_windows(z.select("series_id", "ts", "value"), ASSETS))
+
+        def correlations(missing, windows=windows, run=run):
+            w = staged(windows.join(missing, "ts", "left_semi"))
+            return D.dcc(w, ASSETS).unionByName(D.adcc(w, ASSETS)).unionByName(D.score_driven(w, ASSETS)).withColumn("run", F.lit(run))
+
+        out = grow(spark, f"{root}/correlations", windows, correlations)
+    return out.select("model", "ts", "s1", "s2", "rho", "run")

@@ -145,3 +145,24 @@ def stream_resume(spark, sf):
         stream = I.read_stream(spark, f"{root}/in", events.schema)
         I.run_versions(I.period_totals(stream, "event_type"), f"{root}/out", f"{root}/state")
     return I.latest(spark, f"{root}/out")
+
+
+@query("stream_late_totals", "SELECT series_id, ts, value, true AS late_counted FROM ed", value=4)
+def stream_late_totals(spark, sf):
+    """Three deliveries, the second with rows of twelve days before: their periods are repaired, and the rows are counted.
+
+    Totals are folded into a snapshot between the deliveries.
+    """
+    events = T.table(spark, sf, "events")
+    root = scratch_path(spark, "late")
+    old = F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0
+    first, rest = F.col("ts") < F.lit("2024-01-13").cast("timestamp"), F.col("ts") >= F.lit("2024-01-22").cast("timestamp")
+    for part in (events.where(first & ~old), events.where((first & old) | (~first & ~rest)), events.where(rest)):
+        part.write.mode("append").parquet(f"{root}/in")
+        I.run_totals(I.read_stream(spark, f"{root}/in", events.schema), f"{root}/out", f"{root}/state", "event_type")
+        I.compact(spark, f"{root}/out", "add")
+    counted = I.read_versions(spark, f"{root}/out/batches", I.versions(spark, f"{root}/out/batches")).agg(F.sum("n_late").alias("n")).scalar()
+    # The latest row of the first delivery is of the 12th: rows of before the 10th, at that hour, come late.
+    last = events.where(first & ~old).agg(F.max("ts")).scalar()
+    late = events.where(first & old & (F.col("ts") < last - F.expr("interval 2 days"))).agg(F.count(F.lit(1))).scalar()
+    return I.current(spark, f"{root}/out", "add").select("series_id", "ts", "value", (counted == late).alias("late_counted"))

@@ -421,3 +421,11 @@ def pair_products(spark, sf):
  (SELECT count(DISTINCT series_id) FROM sm)) / count(*)::DOUBLE AS share FROM d""", share=8)
 def coverage(spark, sf):
     return D.coverage(staged(T.supplier_monthly(spark, sf)))
+
+
+@query("strongest_partners", """SELECT series_id, CAST(rank AS INT) AS rank, partner, rho, n FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY
+ abs(rho) DESC, partner) AS rank FROM (SELECT a.series_id, b.series_id AS partner, corr(a.value, b.value) AS rho, count(*) AS n FROM smr a JOIN smr b
+ ON a.ts = b.ts AND a.series_id <> b.series_id GROUP BY 1, 2 HAVING count(*) >= 3) AS p WHERE rho IS NOT NULL AND NOT isnan(rho)) AS q WHERE rank <= 5""", rho=8)
+def strongest_partners(spark, sf):
+    """Of all suppliers the five that move most like each, from all pairs."""
+    return D.strongest_partners(supplier_returns(spark, sf))

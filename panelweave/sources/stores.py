@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelweave.operators.panel import first_per_key
+from panelweave.operators.panel import first_per_key, unfinished
 from panelweave.session import scratch_path
 
 
@@ -46,6 +46,25 @@ def write_report(df: DataFrame, path: str, mode: str = "error") -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
+def grow(spark: SparkSession, path: str, todo: DataFrame, compute: Callable[[DataFrame], DataFrame], keys: Sequence[str] = ("ts",)) -> DataFrame:
+    """A store that computes only what it does not hold yet: ``compute`` gets the keys of ``todo`` that are not there.
+
+    Keys are partition folders. A run overwrites just the folders that it computes, so one that was broken off, or is
+    repeated, leaves neither gaps nor doubles. Returns the whole store as read back.
+    """
+    missing = todo.select(*keys).distinct()
+    if exists(spark, path):
+        missing = unfinished(missing, read_table(spark, path), keys)
+    new = compute(staged(missing))
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    return read_table(spark, path)
+
+
 def read_forecasts(spark: SparkSession, path: str, simple: bool = False) -> DataFrame:
     """A forecast pool without empty rows, optionally as simple returns."""
     pool = read_table(spark, path).where(F.col("yhat").isNotNull())

@@ -6,6 +6,7 @@ run continue after the last finished batch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from panelweave.operators.forecast import ema_paths, per_series
+from panelweave.sources.stores import staged
 
 EMA_ROWS = "series_id string, ts date, span int, ema double, late boolean"
 
@@ -27,7 +29,10 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int | N
 
 
 def period_totals(stream: DataFrame, key: str, value: str = "value", period: str = "1 day", delay: str = "2 days") -> DataFrame:
-    """Sum per key and period; rows later than ``delay`` are dropped with their state."""
+    """Sum per key and period with bounded state; rows later than ``delay`` are dropped with their state.
+
+    ``run_totals`` keeps late rows.
+    """
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     return (
         timed.withWatermark("ts", delay).groupBy(F.window("ts", period).alias("w"), F.col(key).alias("series_id"))
@@ -49,10 +54,102 @@ def run_versions(stream: DataFrame, path: str, checkpoint: str) -> None:
         availableNow=True).start().awaitTermination()
 
 
+def run_totals(stream: DataFrame, path: str, checkpoint: str, key: str, value: str = "value", unit: str = "day", delay: int = 2) -> None:
+    """Sums per key and period from whatever arrives, however late.
+
+    Every batch writes what it adds to its periods as a version of its own, so a late row repairs its period like any
+    other row, and no state is held between batches. A second table, ``{path}/batches``, says per batch how many rows
+    came more than ``delay`` days after the latest row of the batches before, and how many periods they touch. A version
+    is overwritten when its batch is repeated.
+    """
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = [v for v in versions(spark, f"{path}/batches") if v < number]
+        last = read_versions(spark, f"{path}/batches", before).agg(F.max("last")).first()[0] if before else None
+        rows = batch.select(F.col(key).alias("series_id"), F.col("ts").cast("timestamp").alias("at"), F.to_date(F.date_trunc(unit, "ts")).alias("ts"), F.col(value).alias("value"))
+        late = F.col("at") < F.lit(last) - F.expr(f"interval {delay} days") if last is not None else F.lit(False)
+        sums = staged(rows.groupBy("series_id", "ts").agg(
+            F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"), F.count_if(late).alias("n_late"), F.max("at").alias("last")))
+        sums.select("series_id", "ts", "value", "n").write.mode("overwrite").parquet(f"{path}/version={number}")
+        sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_late"), F.lit(0)).alias("n_late"), F.count_if(F.col("n_late") > 0).alias("periods_late"),
+                 F.greatest(F.max("last"), F.lit(last).cast("timestamp")).alias("last")).write.mode("overwrite").parquet(f"{path}/batches/version={number}")
+
+    stream.writeStream.outputMode("append").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True).start().awaitTermination()
+
+
+# --- versions, snapshots and what is current ---------------------------------------------
+
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the finished folders ``{prefix}{number}``, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name.startswith(prefix) and name.removeprefix(prefix).isdigit() and fs.exists(done):
+            found.append(int(name.removeprefix(prefix)))
+    return sorted(found)
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    return _numbers(spark, path, "version=")
+
+
+def read_versions(spark: SparkSession, path: str, numbers: Sequence[int]) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(*[f"{path}/version={n}" for n in numbers])
+
+
+def snapshot(spark: SparkSession, path: str) -> int | None:
+    """The version up to which the newest snapshot holds everything."""
+    return max(_numbers(spark, path, "snapshot="), default=None)
+
+
+def current(spark: SparkSession, path: str, fold: str = "newest") -> DataFrame:
+    """One row per (series, period) from the newest snapshot and the versions after it.
+
+    ``fold`` says what versions of a period mean: the ``newest`` stands, or their values ``add`` up.
+    """
+    return _folded(spark, path, versions(spark, path), snapshot(spark, path), fold)
+
+
+def _folded(spark: SparkSession, path: str, numbers: Sequence[int], at: int | None, fold: str) -> DataFrame:
+    rows = None
+    if at is not None:
+        rows = spark.read.parquet(f"{path}/snapshot={at}").select("series_id", "ts", "value", F.lit(at).cast("long").alias("version"))
+    if later := [v for v in numbers if at is None or v > at]:
+        new = read_versions(spark, path, later).select("series_id", "ts", "value", F.col("version").cast("long").alias("version"))
+        rows = new if rows is None else rows.unionByName(new)
+    if rows is None:
+        raise ValueError(f"nothing was written to {path} yet")
+    total = F.sum("value") if fold == "add" else F.max_by("value", "version")
+    return rows.groupBy("series_id", "ts").agg(total.alias("value"))
+
+
+def compact(spark: SparkSession, path: str, fold: str = "newest") -> int | None:
+    """Fold the newest snapshot and the versions after it into a new snapshot, and say up to which version.
+
+    The snapshot is written aside and renamed when it is whole, so readers see the old one or the new one. A stream may
+    go on writing: versions that it adds meanwhile are later than the snapshot.
+    """
+    numbers, at = versions(spark, path), snapshot(spark, path)
+    if not numbers or numbers[-1] == at:
+        return at
+    aside, upto = f"{path}/_writing-{uuid.uuid4().hex}", numbers[-1]
+    _folded(spark, path, numbers, at, fold).write.parquet(aside)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.rename(jvm.Path(aside), jvm.Path(f"{path}/snapshot={upto}")):
+        raise RuntimeError(f"could not publish the snapshot of {path}")
+    return upto
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of every (series, date)."""
-    rows = spark.read.parquet(path)
-    return rows.groupBy("series_id", "ts").agg(F.max_by("value", "version").alias("value"))
+    """The newest version of every (series, date), from the newest snapshot on."""
+    return current(spark, path)
 
 
 def running_ema(stream: DataFrame, spans: Sequence[int]) -> DataFrame:

@@ -177,3 +177,66 @@ def test_orders_end_with_the_last_whole_month(spark, tmp_path):
         spark.createDataFrame(rows, "o_custkey long, o_totalprice double, d string").selectExpr("o_custkey", "o_totalprice", "to_timestamp(d) AS o_orderdate").write.parquet(str(folder / "orders.parquet"))
         spark.read.parquet(str(tmp_path / "customer.parquet")).write.parquet(str(folder / "customer.parquet"))
         assert T.orders_monthly(spark, str(folder)).count() == kept
+
+
+@pytest.mark.parametrize("series,dates", [(128, 512), (3, 7)])
+def test_partners_equal_all_pairs(spark, series, dates):
+    rnd = np.random.default_rng(31)
+    days = months(40)
+    x = {f"s{k}": rnd.normal(size=40) + (k % 3) * np.linspace(0, 4, 40) for k in range(11)}
+    x["flat"] = np.ones(40)
+    rows = [(s, t, float(v) if (i + len(s)) % 7 else None) for s, own in x.items() for i, (t, v) in enumerate(zip(days, own)) if not (s == "s4" and i < 20)]
+    rows += [("short", days[0], 1.0), ("short", days[1], 2.0)]
+    df = spark.createDataFrame(rows, "series_id string, ts date, value double")
+    own = {}
+    for s, t, v in rows:
+        if v is not None:
+            own.setdefault(s, {})[t] = v
+    want = {}
+    for a in own:
+        pairs = []
+        for b in own:
+            common = sorted(own[a].keys() & own[b].keys())
+            u, v = ([own[k][t] for t in common] for k in (a, b))
+            if a != b and len(common) >= 3 and np.std(u) > 0 and np.std(v) > 0:
+                pairs.append((-abs(np.corrcoef(u, v)[0, 1]), b, np.corrcoef(u, v)[0, 1], len(common)))
+        want[a] = [(r + 1, b, rho, n) for r, (_, b, rho, n) in enumerate(sorted(pairs)[:3])]
+    got = {}
+    for r in D.strongest_partners(df, 3, series, dates).orderBy("series_id", "rank").collect():
+        got.setdefault(r.series_id, []).append((r["rank"], r.partner, r.rho, r.n))
+    assert set(got) == {a for a in want if want[a]}
+    for a, found in got.items():
+        assert [f[:2] + f[3:] for f in found] == [w[:2] + w[3:] for w in want[a]] and [f[2] for f in found] == pytest.approx([w[2] for w in want[a]])
+
+
+def test_a_store_computes_only_what_it_lacks(spark, tmp_path):
+    asked = []
+
+    def compute(missing):
+        asked.append(sorted(r.ts for r in missing.collect()))
+        return missing.withColumn("value", F.dayofmonth("ts") * 1.0)
+
+    days, path = months(5), str(tmp_path / "grown")
+    for n in (2, 2, 5):
+        out = stores.grow(spark, path, spark.createDataFrame([(d,) for d in days[:n]], "ts date"), compute)
+        assert sorted((r.ts, r.value) for r in out.select("ts", "value").collect()) == [(d, float(d.day)) for d in days[:n]]
+    assert asked == [days[:2], [], days[2:]]
+
+
+def test_late_rows_repair_their_periods_across_snapshots(spark, tmp_path):
+    root, schema = str(tmp_path / "late"), "k string, ts timestamp, value double"
+    at = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    parts = [[("a", at(1), 1.0), ("a", at(9), 2.0), ("b", at(9, 5), 3.0)], [("a", at(1, 3), 4.0), ("a", at(8, 1), 1.0), ("c", at(10), 8.0)], [("b", at(2), 0.5)]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        I.run_totals(I.read_stream(spark, f"{root}/in", spark.createDataFrame([], schema).schema), f"{root}/out", f"{root}/state", "k")
+        if k < 2:
+            assert I.compact(spark, f"{root}/out", "add") == k == I.compact(spark, f"{root}/out", "add")
+        got = {(r.series_id, r.ts.day): r.value for r in I.current(spark, f"{root}/out", "add").collect()}
+        want = {}
+        for s, t, v in (r for p in parts[:k + 1] for r in p):
+            want[s, t.day] = want.get((s, t.day), 0) + v
+        assert got == want
+    late = {r.version: (r.n, r.n_late, r.periods_late) for r in I.read_versions(spark, f"{root}/out/batches", [0, 1, 2]).collect()}
+    assert late == {0: (3, 0, 0), 1: (3, 1, 1), 2: (1, 1, 1)}
+    assert I.snapshot(spark, f"{root}/out") == 1
