@@ -276,11 +276,11 @@ def test_a_passage_after_a_longer_one_is_found(apart, ahead):
     own = []
     for doc in (1, 2):
         grams, at = passages.seeds(np.concatenate([text(30), one, text(apart), two, text(30)]), passages.WORDS, passages.WINDOW)
-        part = np.empty(len(grams), passages.SEED)
+        part = np.zeros(len(grams), passages.SEED)
         part["seed"], part["doc"], part["at"] = grams, doc, at
         own.append(part)
     rows = np.concatenate(own)
-    found = passages._matches(rows[np.lexsort((rows["at"], rows["doc"], rows["seed"]))], passages.FEW)
+    found = passages._matches(passages._ordered(rows))
     chains = passages._chained(found, passages.WORDS, 50).to_pylist()
     later = [p for c in chains for p in c["at"] if p >= 30 + ahead + apart]
     assert later and max(later) - min(later) >= 35
@@ -357,3 +357,75 @@ def test_pipeline(spark):
             assert docs_.where("text rlike '[a-z0-9]@[a-z0-9]+[.]example'").isEmpty() and docs_.where("n_chars <> length(text)").isEmpty()
     assert sizes[0] >= sizes[1] > sizes[2] == sizes[3] > 500
     assert {"pipeline", *queries.QUERIES} <= set(entry.queries()) and packing.GROUP_DOCS
+
+
+def changed(rng, passage, share):
+    """A copy of a passage with a share of its words replaced at random places."""
+    out = list(passage)
+    for p in rng.sample(range(len(out)), round(share * len(out))):
+        out[p] = f"x{rng.random()}".replace(".", "")
+    return out
+
+
+def similar(a, b):
+    """Equal words over columns of the best alignment, by the full table."""
+    same, columns = passages.edits(np.array([hash(w) for w in a]), np.array([hash(w) for w in b]))
+    return same / columns
+
+
+def linked(pairs, ids):
+    """Sets of ids that pairs connect."""
+    at = {i: i for i in ids}
+
+    def top(i):
+        while at[i] != i:
+            i = at[i]
+        return i
+
+    for a, b in pairs:
+        at[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in ids}
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_recall_of_changed_passages(spark, share):
+    rng = random.Random(int(share * 100))
+    prose = lambda n: [f"w{rng.randint(0, 40_000)}" for _ in range(n)]
+    rows = []
+    for k in range(150):
+        one = prose(60)
+        for d, own in ((0, one), (1, changed(rng, one, share))):
+            rows.append((2 * k + d, " ".join([*prose(rng.randint(5, 60)), *own, *prose(rng.randint(5, 60))])))
+    found = {r.doc_id for r in passages.shared_passages(docs(spark, rows)).where("doc_id % 2 = 1 and other_id = doc_id - 1").collect()}
+    assert len(found) / 150 >= 0.9
+
+
+def test_groups_of_changed_passages_stay_whole(spark):
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randint(0, 40_000)}" for _ in range(n)]
+    for n, share in ((60, 0.05), (60, 0.08), (1000, 0.06)):
+        one = prose(60)
+        own = {k: changed(rng, one, share) for k in range(n)}
+        rows = [(k, " ".join([*prose(20), *own[k], *prose(20)])) for k in range(n)] + [(n + k, " ".join(prose(100))) for k in range(40)]
+        frame = docs(spark, rows)
+        got = [sorted(tuple(r) for r in passages.shared_passages(frame.repartition(p), held=held).collect()) for p, held in ((1, 400_000), (16, 500))]
+        assert got[0] == got[1]
+        pairs = {(r[0], r[3]) for r in got[0]}
+        assert all(a < n and b < n for a, b in pairs)
+        every = [(a, b) for a in range(n) for b in range(a) if n <= 60 and similar(own[a], own[b]) >= 0.8] or [(a, 0) for a in range(1, n)]
+        assert linked(pairs, range(n)) == linked(every, range(n))
+        assert len(pairs) < 40 * n
+
+
+def test_equal_passages_name_one_document(spark):
+    rng = random.Random(7)
+    prose = lambda n: [f"w{rng.randint(0, 40_000)}" for _ in range(n)]
+    one, two = prose(70), prose(60)
+    rows = [(k, " ".join([*prose(10), *one, *prose(10), *(two if k % 3 == 0 else prose(60)), *prose(10), *(one if k == 0 else [])])) for k in range(120)]
+    rows += [(5, rows[5][1]), (5, None)]
+    got = [sorted(tuple(r) for r in passages.shared_passages(docs(spark, rows).repartition(p), held=held).collect()) for p, held in ((1, 400_000), (16, 900))]
+    assert got[0] == got[1] and len(got[0]) < 20 * 120
+    named = {(r[0], r[3]) for r in got[0] if r[6] >= 69}
+    assert {(k, 0) for k in range(1, 120)} <= named
+    # Both passages of the others lie ten words apart and count as one.
+    assert {r[0] for r in got[0] if r[6] >= 139} == set(range(3, 120, 3))
