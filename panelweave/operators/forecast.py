@@ -303,30 +303,49 @@ def transition(kind: Column, gamma: Column, c: Column, s: Column) -> Column:
     return F.when(kind == "LSTAR", logistic).otherwise(exponential)
 
 
+def regime_moments(rows: DataFrame, xs: Sequence[str], grid: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """Cross products of ``(1, lags, regime, regime times lags, y)`` per series and grid point, from one array per series."""
+    packed = series_arrays(rows.where(F.col("y").isNotNull()).withColumn("x", F.array(*xs)), "y", "x")
+    kinds, gammas, centres = (np.array(v) for v in zip(*grid))
+
+    def one(row) -> pd.DataFrame:
+        y, x = np.asarray(row.y, dtype=float), np.stack(row.x).astype(float)
+        off = x[None, :, 0] - centres.astype(float)[:, None]
+        gamma = gammas.astype(float)[:, None]
+        with np.errstate(over="ignore"):
+            regime = np.where((kinds == "LSTAR")[:, None], 1 / (1 + np.exp(-gamma * off)), 1 - np.exp(-np.abs(gamma) * off * off))[:, :, None]
+        both = np.broadcast_to(x, (len(grid), *x.shape))
+        ones, outcome = np.ones_like(regime), np.broadcast_to(y[None, :, None], regime.shape)
+        design = np.concatenate([ones, both, regime, regime * both, outcome], axis=2)
+        sums = np.matmul(design.transpose(0, 2, 1), design)
+        upper = np.triu_indices(sums.shape[1])
+        return pd.DataFrame({"series_id": row.series_id, "kind": kinds, "gamma": gammas, "centre": centres, "moments": list(sums[:, upper[0], upper[1]])})
+
+    return per_series(packed, one, "series_id string, kind string, gamma double, centre double, moments array<double>")
+
+
 def star_forecasts(panel: DataFrame, order: int = 5, gammas: Sequence[float] = (1.0, 2.0, 5.0, 10.0),
                    centres: Sequence[float] = (-1.0, -0.5, 0.0, 0.5, 1.0), ridge: float = 0.01,
                    train: Split = TRAIN, test: Split = TEST) -> DataFrame:
     """Smooth-transition autoregressions, best order per kind and series.
 
     For a given slope and centre the model is linear, so a fixed grid of them
-    is fitted by least squares; the grid repeats each row through a generator.
+    is fitted by least squares; the designs of the whole grid are formed per series.
     The smallest squared error picks slope and centre, the smallest RMSE on
     the test period picks the order. A small penalty keeps thin regimes stable.
     """
     xs = lag_names(order)
     rows = scaled_lags(panel, order, train)
     grid = [(kind, g, c) for kind in ("LSTAR", "ESTAR") for g in gammas for c in centres]
-    points = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(g).alias("gamma"), F.lit(c).alias("centre")) for k, g, c in grid])
     gs = [f"g{i}" for i in range(order + 1)]
 
     def with_regime(df: DataFrame) -> DataFrame:
         df = df.withColumn("g0", transition(F.col("kind"), F.col("gamma"), F.col("centre"), F.col("x1")))
         return df.withColumns({f"g{i}": F.col("g0") * F.col(f"x{i}") for i in range(1, order + 1)})
 
-    tried = with_regime(rows.where(in_period(train)).select("*", F.inline(points)))
     keys = ["series_id", "kind", "gamma", "centre"]
     models = [[0, *range(1, p + 1), order + 1, *range(order + 2, order + 2 + p)] for p in range(1, order + 1)]
-    stats = moments(tried, keys, [*xs, *gs])
+    stats = regime_moments(rows.where(in_period(train)), xs, grid)
     fits = coefficients(stats, keys, models, [str(p) for p in range(1, order + 1)], 2 * order + 2, ridge, "p")
     best = (
         fits.groupBy("series_id", "kind", "p")

@@ -10,6 +10,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.config import PERIODS_PER_YEAR
@@ -44,10 +45,11 @@ def tail_count(n: Column, beta: float) -> Column:
 
 
 def tail_count_cvar(returns: DataFrame, keys: Sequence[str], beta: float, value: str = "r") -> DataFrame:
-    """Mean of the largest ``ceil((1 - beta) * n)`` losses."""
-    packed = returns.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("rs"))
-    worst = F.slice("rs", 1, tail_count(F.size("rs"), beta))
-    return packed.select(*keys, tail_count(F.size("rs"), beta).cast("long").alias("n_tail"), (-array_mean(worst)).alias("cvar"))
+    """Mean of the largest ``ceil((1 - beta) * n)`` losses; a key's rows are sorted, and spilled if need be, not held in an array."""
+    per_key = W.partitionBy(*keys)
+    ranked = returns.where(F.col(value).isNotNull()).select(
+        *keys, F.col(value).alias("__r"), tail_count(F.count(value).over(per_key), beta).alias("__k"), F.row_number().over(per_key.orderBy(value)).alias("__i"))
+    return ranked.where("__i <= __k").groupBy(*keys).agg(F.first("__k").cast("long").alias("n_tail"), (-F.avg("__r")).alias("cvar"))
 
 
 def ratio_columns(value: str = "r", rf: float = 0.0, freq: int = PERIODS_PER_YEAR) -> list[Column]:
