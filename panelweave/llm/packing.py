@@ -16,8 +16,8 @@ from panelweave.llm.common import pick, texts, type_of
 
 #: Entries, some 200 bytes each, that a worker's table of known chunks may hold before it becomes the table before.
 KNOWN = 250_000
-#: Documents that are packed together: one bin per group stays partly empty, and a group is packed by one task.
-GROUP_DOCS = 8_000
+#: Text that is packed together, in bytes: one bin per group stays partly empty, and a task packs a group, ids and all.
+GROUP_BYTES = 16_000_000
 
 
 def best_two_fit(lengths: Sequence[int], capacity: int) -> list[list[int]]:
@@ -139,6 +139,8 @@ class Chunks:
 
 
 _CHUNKS: dict[str, Chunks] = {}
+#: What a document costs a group besides its text, in bytes.
+PIECE_BYTES = 64
 
 
 def token_pieces(documents: DataFrame, vocabulary: str, length: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text",
@@ -215,12 +217,14 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 1, spread: Seque
 
 
 def pack_documents(documents: DataFrame, vocabulary: str, length: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text",
-                   keep_ids: bool = True, group_docs: int = GROUP_DOCS) -> DataFrame:
+                   keep_ids: bool = True, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Tokenise, cut and pack all documents; one row per piece with its sequence and place.
 
-    Nulls, empty texts and repeated rows are documents like others; no documents give no rows. Documents are counted
-    first, to form as many packing groups as keep one group small.
+    Nulls, empty texts and repeated rows are documents like others; no documents give no rows. Texts are measured first,
+    to form as many packing groups as keep one group small: pieces have a bounded length and are dealt by hash, so a group
+    holds about as many tokens as any other, whether of few long documents or of many short ones.
     """
-    groups = max(1, -(-documents.count() // group_docs))
+    size = documents.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + PIECE_BYTES)).first()[0]
+    groups = max(1, -(-(size or 0) // group_bytes))
     pieces = token_pieces(documents, vocabulary, length, end, id_col, text_col, keep_ids)
     return pack(pieces, length, groups, (id_col, "piece", "ids_crc32", "turn")).drop("turn")

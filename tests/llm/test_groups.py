@@ -356,7 +356,7 @@ def test_pipeline(spark):
         if name == "personal data":
             assert docs_.where("text rlike '[a-z0-9]@[a-z0-9]+[.]example'").isEmpty() and docs_.where("n_chars <> length(text)").isEmpty()
     assert sizes[0] >= sizes[1] > sizes[2] == sizes[3] > 500
-    assert {"pipeline", *queries.QUERIES} <= set(entry.queries()) and packing.GROUP_DOCS
+    assert {"pipeline", *queries.QUERIES} <= set(entry.queries()) and packing.GROUP_BYTES
 
 
 def changed(rng, passage, share):

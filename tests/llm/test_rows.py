@@ -195,7 +195,7 @@ def test_packing_round_trip(spark):
     tokenizer.encode_special_tokens = True
     odd = "".join(chr(c) + " x" + chr(c) for c in range(1, 0x250)) + " ΣΑΣ ﬁ İ é  a b ́ <|endoftext|> it's 're"
     rows = [(i, t) for i, t, *_ in read("documents")[:60]] + [(-1, None), (-2, ""), (-3, odd), (-4, "long words " * 9000), (None, "n"), (-5, "twice"), (-5, "twice")]
-    got = packing.pack_documents(docs(spark, rows), path, 256, group_docs=25).collect()
+    got = packing.pack_documents(docs(spark, rows), path, 256, group_bytes=100_000).collect()
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
