@@ -19,7 +19,7 @@ from panelweave.operators import volatility as V
 from panelweave.operators import windows as N
 from panelweave.plans.dependence import all_correlations, order_simple
 from panelweave.plans.panels import order_panel, supplier_panel
-from panelweave.plans.portfolios import dependent_sets
+from panelweave.plans.portfolios import STEPS, TAIL_STEPS, dependent_sets
 from panelweave.plans.registry import query
 from panelweave.session import scratch_path
 from panelweave.sources.stores import read_table, staged, write_table
@@ -102,3 +102,31 @@ def mean_cvar_combined(spark, sf):
     returns = staged(O.mean_cvar_backtest(O.mean_cvar(inputs, ASSETS, ["dependence", "ts"], Z.DRAWS), simple, ASSETS, ["forecast", "dependence", "ts"]))
     on = ["forecast", "dependence", "beta", "panel"]
     return R.bundle(returns, on).drop("return_cvar").join(R.return_over_ex_ante_cvar(returns, on), on)
+
+
+_NAMES = ", ".join(f"'{m}'" for m in STRATEGIES)
+
+
+@query("combined_reached", f"""SELECT kind, forecast, dependence, panel, beta, n AS dates, n AS reached FROM (SELECT count(*) AS n FROM (SELECT ts FROM omr
+ WHERE ts >= DATE '2000-01-01' AND ts < DATE '2002-01-01' GROUP BY ts HAVING count(DISTINCT series_id) = {len(ASSETS)}) AS d) AS c,
+ (VALUES ('variance', 0.0::DOUBLE), ('tail', 0.95::DOUBLE), ('tail', 0.99::DOUBLE)) AS k(kind, beta), (SELECT unnest([{_NAMES}]) AS forecast) AS f,
+ (SELECT unnest(['DCC', 'ADCC', 'GAS']) AS dependence) AS e, (SELECT unnest(['long_only', '130_30']) AS panel) AS p""")
+def combined_reached(spark, sf):
+    """The whole chain, from the pool over fitted components and five combined forecasts to portfolios of both kinds.
+
+    For every strategy, the dates out of sample, and on how many of them the search reaches the best weights of a grid.
+    """
+    simple, made = order_simple(spark, sf), simple_forecasts(spark, sf)
+    variance = staged(O.mean_variance_inputs(made, all_correlations(simple), V.garch_volatility(simple), ASSETS))
+    tails = staged(O.mean_cvar_inputs(made, dependent_sets(simple), ASSETS))
+    on, each = ["forecast", "dependence", "ts", "panel"], ["dependence", "ts"]
+    both = [
+        (O.mean_variance_choices(variance, ASSETS), O.mean_variance_choices(variance, ASSETS, steps=STEPS), on, "variance"),
+        (O.mean_cvar(tails, ASSETS, each, Z.DRAWS), O.mean_cvar(tails, ASSETS, each, Z.DRAWS, steps=TAIL_STEPS), [*on, "beta"], "tail")]
+    parts = []
+    for found, grid, keys, kind in both:
+        pairs = grid.select(*keys, F.col("ratio").alias("best")).join(found.select(*keys, "ratio"), keys, "full_outer")
+        beta = F.col("beta") if "beta" in keys else F.lit(0.0)
+        parts.append(pairs.select("forecast", "dependence", "panel", beta.alias("beta"), (F.col("ratio") >= F.col("best") - 1e-9).alias("ok"), F.lit(kind).alias("kind")))
+    return parts[0].unionByName(parts[1]).groupBy("kind", "forecast", "dependence", "panel", "beta").agg(
+        F.count(F.lit(1)).alias("dates"), F.count_if("ok").alias("reached"))
