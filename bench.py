@@ -19,7 +19,7 @@ HEADLINE = (
     "forecast_errors", "metric_bundle", "best_model", "model_weights", "dma_forecasts", "pca_full", "ridge_combination",
     "superior_ability", "confidence_set", "loss_test_table", "combined_forecasts", "describe_series", "performance_bundle",
     "garch_volatility_suppliers", "marginal_residuals_suppliers", "dcc_correlation", "adcc_correlation", "score_driven_correlation",
-    "mean_variance_backtest", "mean_cvar_backtest", "mean_cvar_full", "stream_daily_totals",
+    "mean_variance_backtest", "mean_cvar_backtest", "mean_cvar_full", "stream_daily_totals", "strongest_partners",
 )
 
 

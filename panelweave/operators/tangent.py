@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 KEPT, PAIRED, LAST_STEP = 8, 6, 1e-4
 #: Moves per asset that a search by standard deviation makes at most, and the slope of the ratio at which it stops.
 ROUNDS, SETTLED = 400, 1e-9
+#: Assets of which a tail search starts from all pairs.
+ALL_PAIRS = 40
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -93,12 +95,27 @@ def lattice_cvar(sets: DataFrame, keys: Sequence[str], n: int, draws: int, betas
 
 # --- standard deviation, exactly ---------------------------------------------------------
 
-def corners(n: int, short: float) -> np.ndarray:
-    single = np.eye(n)
-    if not short:
-        return single
-    pairs = [(1 + short) * single[i] - short * single[j] for i in range(n) for j in range(n) if i != j]
-    return np.vstack([single, pairs])
+def corner(n: int, i: int, j: int, short: float) -> np.ndarray:
+    """All weight in i, or i with the whole short position in j."""
+    w = np.zeros(n)
+    if i == j:
+        w[i] = 1.0
+    else:
+        w[i], w[j] = 1 + short, -short
+    return w
+
+
+def best_corner(mu: np.ndarray, cov: np.ndarray, short: float) -> np.ndarray | None:
+    """The corner of the largest mean over standard deviation, from matrices over pairs; None where all variances vanish."""
+    own = np.diag(cov)
+    mean, variance = np.repeat(mu[:, None], len(mu), axis=1), np.repeat(own[:, None], len(mu), axis=1)
+    if short:
+        off = ~np.eye(len(mu), dtype=bool)
+        mean = np.where(off, (1 + short) * mu[:, None] - short * mu[None, :], mean)
+        variance = np.where(off, (1 + short) ** 2 * own[:, None] + short ** 2 * own[None, :] - 2 * short * (1 + short) * cov, variance)
+    ratio = np.where(variance > 1e-14, mean / np.sqrt(np.maximum(variance, 1e-14)), -np.inf)
+    i, j = np.unravel_index(ratio.argmax(), ratio.shape)
+    return corner(len(mu), i, j if short else i, short) if np.isfinite(ratio[i, j]) else None
 
 
 def sharpe_search(mu: np.ndarray, cov: np.ndarray, short: float) -> tuple[np.ndarray, float, float] | None:
@@ -108,12 +125,9 @@ def sharpe_search(mu: np.ndarray, cov: np.ndarray, short: float) -> tuple[np.nda
     that is best for this pair; between short assets weight may pass where no more may be short. None without a corner of
     positive variance.
     """
-    points = corners(len(mu), short)
-    variance = np.einsum("pi,ij,pj->p", points, cov, points) if not short else _corner_variance(cov, short)
-    if not (variance > 1e-14).any():
+    w = best_corner(mu, cov, short)
+    if w is None:
         return None
-    ratio = np.where(variance > 1e-14, points @ mu / np.sqrt(np.maximum(variance, 1e-14)), -np.inf)
-    w = points[ratio.argmax()].copy()
     own = np.diag(cov)
     slope, best = np.inf, None
     for turn in range(ROUNDS * len(mu)):
@@ -144,13 +158,6 @@ def sharpe_search(mu: np.ndarray, cov: np.ndarray, short: float) -> tuple[np.nda
     return w, float(w @ mu / np.sqrt(v)), float(slope / v ** 1.5)
 
 
-def _corner_variance(cov: np.ndarray, short: float) -> np.ndarray:
-    """Variances of the corners in their order, without forming products with all weights."""
-    own, n = np.diag(cov), len(cov)
-    both = (1 + short) ** 2 * own[:, None] + short ** 2 * own[None, :] - 2 * short * (1 + short) * cov
-    return np.concatenate([own, both[~np.eye(n, dtype=bool)]])
-
-
 def sharpe_weights(mu: str, cov: str, short: float = 0.0) -> Column:
     """``weights``, ``ratio`` and ``gap`` of a row's mean vector and covariance matrix; null where all variances vanish."""
 
@@ -164,20 +171,42 @@ def sharpe_weights(mu: str, cov: str, short: float = 0.0) -> Column:
 
 # --- tails, by a search of moves between pairs -------------------------------------------
 
-def tail_risk(points: np.ndarray, vectors: np.ndarray, times: np.ndarray, tails: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Tail mean of each portfolio's losses and its slope in the weights, for each tail size."""
+def tail_risk(points: np.ndarray, vectors: np.ndarray, times: np.ndarray, tails: Sequence[int], slopes: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Tail mean of each portfolio's losses and, if wanted, its slope in the weights, for each tail size."""
     gains = points @ vectors.T
     order = np.argsort(gains, axis=1)
     n = times[order]
     before = np.cumsum(n, axis=1) - n
-    risk, slope = np.empty((len(tails), len(points))), np.empty((len(tails), *points.shape))
+    risk, slope = np.empty((len(tails), len(points))), np.empty((len(tails), *points.shape) if slopes else 0)
     for i, k in enumerate(tails):
         share = np.empty(gains.shape)
         np.put_along_axis(share, order, np.clip(k - before, 0, n) / k, axis=1)
-        risk[i], slope[i] = -(share * gains).sum(axis=1), -(share @ vectors)
+        risk[i] = -(share * gains).sum(axis=1)
+        if slopes:
+            slope[i] = -(share @ vectors)
     return risk, slope
 
 
+def starts(mu: np.ndarray, vectors: np.ndarray, times: np.ndarray, tails: Sequence[int], short: float) -> list[np.ndarray]:
+    """For each tail size the corners to start from, the best ones of all.
+
+    Where some mean is positive any corner of positive mean leads to the one peak, and of very many assets only the best
+    and worst few are paired; where none is, the best corner is the answer, and all pairs are looked at, row by row.
+    """
+    n = len(mu)
+    near = np.arange(n) if n <= ALL_PAIRS or mu.max() <= 0 else np.unique(np.argsort(-mu)[np.r_[0:ALL_PAIRS // 2, n - ALL_PAIRS // 2:n]])
+    found: list[list[tuple[float, int, int]]] = [[] for _ in tails]
+    for i in range(n):
+        others = [i, *(j for j in near.tolist() if j != i)] if short and i in near else [i]
+        points = np.array([corner(n, i, j, short) for j in others])
+        mean, (risk, _) = points @ mu, tail_risk(points, vectors, times, tails, slopes=False)
+        for k in range(len(tails)):
+            cvar = risk[k] - mean
+            ratio = np.where(cvar > 1e-15, mean / np.where(cvar > 1e-15, cvar, 1.0), -np.inf)
+            found[k] = sorted(found[k] + [(-r, i, j) for r, j in zip(ratio.tolist(), others)])[:KEPT]
+    return [np.array([corner(n, i, j, short) for _, i, j in own]) for own in found]
+
+
 def neighbours(w: np.ndarray, worth: np.ndarray, step: float, short: float) -> np.ndarray:
     """Portfolios one move away: up to a step of weight between pairs of the assets that are worth most and least."""
     up, down = np.argsort(-worth)[:PAIRED], np.argsort(worth)
@@ -199,9 +228,8 @@ def tail_search(mu: np.ndarray, vectors: np.ndarray, times: np.ndarray, tails: S
     The best few portfolios are kept in every round, as the risk has edges at which no single move helps, and steps are
     halved when the best one stays.
     """
-    points = corners(len(mu), short)
     best: list[tuple | None] = [None] * len(tails)
-    kept: list[np.ndarray] = [points] * len(tails)
+    kept = starts(mu, vectors, times, tails, short)
     step = 0.25
     while step > LAST_STEP:
         points = np.unique(np.round(np.vstack(kept), 12), axis=0)

@@ -111,8 +111,8 @@ def stream_daily_totals(spark, sf):
     root = scratch_path(spark, "totals")
     # As a pattern the path may name one file or a folder of files.
     stream = I.read_stream(spark, f"{sf}/events*.parquet", schema)
-    I.run_versions(I.period_totals(stream, "event_type"), f"{root}/out", f"{root}/state")
-    return I.latest(spark, f"{root}/out")
+    I.run_totals(stream, f"{root}/out", f"{root}/state", "event_type")
+    return I.current(spark, f"{root}/out", "add")
 
 
 EMA_SPANS = (3, 10, 30)
@@ -143,8 +143,8 @@ def stream_resume(spark, sf):
     for part in (events.where("ts < TIMESTAMP '2024-01-15 12:00:00'"), events.where("ts >= TIMESTAMP '2024-01-15 12:00:00'")):
         part.write.mode("append").parquet(f"{root}/in")
         stream = I.read_stream(spark, f"{root}/in", events.schema)
-        I.run_versions(I.period_totals(stream, "event_type"), f"{root}/out", f"{root}/state")
-    return I.latest(spark, f"{root}/out")
+        I.run_totals(stream, f"{root}/out", f"{root}/state", "event_type")
+    return I.current(spark, f"{root}/out", "add")
 
 
 @query("stream_late_totals", "SELECT series_id, ts, value, true AS late_counted FROM ed", value=4)

@@ -585,6 +585,23 @@ def test_tangent_of_a_hundred_assets(spark):
         assert out.gap < 1e-6 and w.sum() == pytest.approx(1) and np.maximum(-w, 0).sum() <= short + 1e-9
 
 
+@pytest.mark.parametrize("n", [4, 50])
+@pytest.mark.parametrize("shift", [0.0, -0.2])
+def test_searches_start_at_the_best_corner(n, shift):
+    rnd = np.random.default_rng(n)
+    root, mu = rnd.normal(size=(n, n)), rnd.normal(size=n) * 0.02 + shift
+    cov, vectors, times = root @ root.T / 100, rnd.normal(size=(30, n)) * 0.05, rnd.integers(1, 4, 30)
+    points = np.array([T.corner(n, i, j, 0.3) for i in range(n) for j in range(n)])
+    assert sharpe(T.best_corner(mu, cov, 0.3)[None], mu, cov)[0] == pytest.approx(sharpe(points, mu, cov).max())
+    tails = [T.tail_size(int(times.sum()), b) for b in (0.9, 0.95)]
+    risk, _ = T.tail_risk(points, vectors, times, tails)
+    for k, own in enumerate(T.starts(mu, vectors, times, tails, 0.3)):
+        best = (points @ mu / (risk[k] - points @ mu))[risk[k] > points @ mu].max()
+        found = own[0] @ mu / (T.tail_risk(own[:1], vectors, times, tails)[0][k, 0] - own[0] @ mu)
+        # Of very many assets with a positive mean among them, any corner of positive mean will do.
+        assert found == pytest.approx(best) if n == 4 or shift else found > 0
+
+
 def test_tail_means_count_vectors_as_often_as_they_were_drawn(spark):
     rnd = np.random.default_rng(13)
     vectors, times, w = rnd.normal(size=(30, 3)), rnd.integers(1, 6, 30), np.array([0.5, 0.2, 0.3])
