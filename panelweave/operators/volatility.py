@@ -142,6 +142,59 @@ def window_orders(panel: DataFrame, window: int = WINDOW, orders: Sequence[int]
     return per_series(series_arrays(panel, "value"), one, "series_id string, ts date, ar_order int")
 
 
+def _least_squares(y: np.ndarray, xs: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Residuals and their sums of squares of one regression with a constant per row of ``y``."""
+    x = np.stack([np.ones_like(y), *xs], axis=2)
+    coef = np.einsum("wij,wj->wi", np.linalg.pinv(np.einsum("wti,wtj->wij", x, x), hermitian=True), np.einsum("wti,wt->wi", x, y))
+    e = y - np.einsum("wti,wi->wt", x, coef)
+    return e, (e ** 2).sum(axis=1)
+
+
+def _bic(rss: np.ndarray, rows: int, terms: int) -> np.ndarray:
+    return rows * np.log(np.maximum(rss / rows, 1e-300)) + terms * math.log(rows)
+
+
+def order_candidates(windows: np.ndarray, means: Sequence[int], shocks: Sequence[int], variances: Sequence[int], long_order: int = 3) -> list[tuple[int, int, int, np.ndarray]]:
+    """``(p, p', q, BIC)`` of every window for autoregressions of order p with variances of p' past shocks and q past variances.
+
+    The variance of a residual follows its square: squares are regressed on p' past squares and on q past innovations,
+    which are what a long regression of squares leaves. All orders of a part are fitted on the same rows, and the two
+    parts' criteria add up.
+    """
+    longest, late = max(means), max(max(variances), 1)
+    y, n, out = windows[:, longest:], windows.shape[1], []
+    for p in means:
+        e, rss = _least_squares(y, [windows[:, longest - i:n - i] for i in range(1, p + 1)])
+        mean = _bic(rss, y.shape[1], p + 1)
+        square, t = e ** 2, e.shape[1]
+        innovation, _ = _least_squares(square[:, long_order:], [square[:, long_order - i:t - i] for i in range(1, long_order + 1)])
+        first = long_order + late
+        for a in shocks:
+            for q in variances:
+                past = [square[:, first - i:t - i] for i in range(1, a + 1)] + [innovation[:, late - i:innovation.shape[1] - i] for i in range(1, q + 1)]
+                _, rest = _least_squares(square[:, first:], past)
+                out.append((p, a, q, mean + _bic(rest, t - first, a + q + 1)))
+    return out
+
+
+def volatility_orders(panel: DataFrame, window: int = WINDOW, means: Sequence[int] = (1, 2), shocks: Sequence[int] = (1, 2),
+                      variances: Sequence[int] = (0, 1, 2)) -> DataFrame:
+    """Orders ``(p, p', q)`` of the window ending at each date, the candidates as rows and the smallest BIC picked; smaller orders win ties."""
+
+    def one(row) -> pd.DataFrame:
+        w = _full_windows(row, window)
+        if not len(w):
+            return pd.DataFrame()
+        ts = row.ts[window - 1:]
+        return pd.concat([pd.DataFrame({"series_id": row.series_id, "ts": ts, "ar_order": p, "shock_order": a, "variance_order": q, "bic": bic})
+                          for p, a, q, bic in order_candidates(w, means, shocks, variances)])
+
+    orders = F.struct("ar_order", "shock_order", "variance_order")
+    rows = per_series(series_arrays(panel, "value"), one, "series_id string, ts date, ar_order int, shock_order int, variance_order int, bic double")
+    best = rows.where(known("bic")).groupBy("series_id", "ts").agg(F.min(F.struct("bic", orders.alias("o"))).alias("b"))
+    return best.select("series_id", "ts", "b.o.*", F.col("b.bic").alias("bic"))
+
+
 def marginal_residuals(panel: DataFrame, window: int = WINDOW, orders: Sequence[int] = (1, 2), alphas: Sequence[float] = ALPHAS,
                        betas: Sequence[float] = BETAS, asymmetries: Sequence[float] = ASYMMETRIES) -> DataFrame:
     """Last standardised residual and its uniform from the window ending at each date.

@@ -136,6 +136,32 @@ def bic_order(spark, sf):
     return V.window_orders(order_simple(spark, sf))
 
 
+# Orders of mean and variance: squares of the residuals on past squares and on what a long regression leaves of them.
+_SQUARES = {1: ["x1"], 2: ["x1", "x2"]}
+fragment("vo_s", "SELECT series_id, ts, p, k, e * e AS y, " + ", ".join(f"lag(e * e, {i}) OVER w AS x{i}" for i in (1, 2, 3))
+         + " FROM o_be WINDOW w AS (PARTITION BY series_id, ts, p ORDER BY k)")
+fragment("vo_l", "SELECT * FROM vo_s WHERE k > 3")
+solve_fragments("vo_lc", "vo_l", "series_id, ts, p", ["x1", "x2", "x3"])
+fragment("vo_v", f"""SELECT l.series_id, l.ts, l.p, l.k, l.y, l.x1, l.x2, l.y - ({value_sql('c.coef', ['l.x1', 'l.x2', 'l.x3'])}) AS v FROM vo_l l JOIN vo_lc c
+ ON l.series_id = c.series_id AND l.ts = c.ts AND l.p = c.p""")
+fragment("vo_x", """SELECT * FROM (SELECT *, lag(v, 1) OVER w AS v1, lag(v, 2) OVER w AS v2 FROM vo_v WINDOW w AS (PARTITION BY series_id, ts, p ORDER BY k)) AS q
+ WHERE k > 5""")
+_CANDIDATES = [(a, q, [f"x{i}" for i in range(1, a + 1)] + [f"v{i}" for i in range(1, q + 1)]) for a in (1, 2) for q in (0, 1, 2)]
+for _a, _q, _xs in _CANDIDATES:
+    solve_fragments(f"vo_c{_a}{_q}", "vo_x", "series_id, ts, p", _xs)
+fragment("vo_b", " UNION ALL ".join(
+    f"SELECT x.series_id, x.ts, x.p, {a} AS a, {q} AS q, count(*) * ln(sum((x.y - ({value_sql('c.coef', ['x.' + n for n in xs])})) ** 2) / count(*)) + {a + q + 1} * ln(count(*)) AS b "
+    f"FROM vo_x x JOIN vo_c{a}{q} c ON x.series_id = c.series_id AND x.ts = c.ts AND x.p = c.p GROUP BY 1, 2, 3" for a, q, xs in _CANDIDATES))
+fragment("vo_m", "SELECT series_id, ts, p, count(*) * ln(sum(e * e) / count(*)) + (p + 1) * ln(count(*)) AS m FROM o_be GROUP BY 1, 2, 3")
+
+
+@query("volatility_orders", """SELECT series_id, ts, CAST(p AS INT) AS ar_order, CAST(a AS INT) AS shock_order, CAST(q AS INT) AS variance_order, bic FROM (SELECT b.*,
+ b.b + m.m AS bic, row_number() OVER (PARTITION BY b.series_id, b.ts ORDER BY b.b + m.m, b.p, b.a, b.q) AS rn FROM vo_b b JOIN vo_m m ON b.series_id = m.series_id
+ AND b.ts = m.ts AND b.p = m.p) AS c WHERE rn = 1""", bic=5)
+def volatility_orders(spark, sf):
+    return V.volatility_orders(order_simple(spark, sf))
+
+
 @query("marginal_residuals", _LAST_RESIDUAL.format(p="o"), z=6, u=8)
 def marginal_residuals(spark, sf):
     return V.marginal_residuals(order_simple(spark, sf))
