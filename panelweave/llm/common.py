@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 
 from panelweave.sources.stores import staged
 
-__all__ = ["staged", "table", "pick", "texts", "type_of", "batch_of", "partitions", "latin_words", "space_words", "compressed", "unpacked", "LATIN_WORD", "SPACE_WORD", "merged"]
+__all__ = ["staged", "table", "pick", "texts", "type_of", "batch_of", "partitions", "latin_words", "space_words", "compressed", "unpacked", "LATIN", "LATIN_WORD", "SPACE_WORD", "merged"]
 
 #: A word of the benchmark rule, after A-Z became a-z: digits, a-z and everything beyond ASCII.
 LATIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: A word between ASCII white space.
 SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LATIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Bytes with A-Z as a-z, and every byte outside a Latin word as a blank.
+LATIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +77,7 @@ def partitions(spark: SparkSession) -> int:
 
 def latin_words(text: bytes) -> list[bytes]:
     """Words as LATIN_WORD finds them in the text with A-Z in lower case."""
-    return text.translate(_LATIN).split()
+    return text.translate(LATIN).split()
 
 
 def space_words(text: bytes) -> list[bytes]:
