@@ -165,7 +165,10 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def keep_good(documents: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text scores at least ``least``."""
+    """The rows, with all their columns, whose text scores at least ``least``.
+
+    Null and empty texts score like a text without words, repeated rows alike; no rows give no rows.
+    """
     at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

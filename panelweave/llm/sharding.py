@@ -59,7 +59,10 @@ def assign_shards(records: DataFrame, weights: Sequence[float], id_col: str = "d
 
 
 def write_shards(records: DataFrame, path: str, weights: Sequence[float], id_col: str = "doc_id", files_per_shard: int = 1) -> str:
-    """Write the records as Parquet, one folder per shard; several files per shard share its rows by random parts."""
+    """Write the records as Parquet, one folder per shard; several files per shard share its rows by a hash of the whole row.
+
+    All columns are kept, nulls and null ids too; repeated rows share a file, and an empty table writes no shard.
+    """
     out = records.withColumn("shard", shard_of(records[id_col], weights))
     out.repartition(len(weights) * files_per_shard, "shard", F.pmod(F.xxhash64(*records.columns), F.lit(files_per_shard))).write.partitionBy("shard").parquet(path)
     return path

@@ -359,6 +359,14 @@ def test_pipeline(spark):
     assert {"pipeline", *queries.QUERIES} <= set(entry.queries()) and packing.GROUP_BYTES
 
 
+def test_pipeline_on_an_empty_table(spark):
+    sf = "/root/testdata/sf0.001"
+    docs_ = corpus_pipeline.table(spark, sf, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs_, sf)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs_.columns), name
+
+
 def changed(rng, passage, share):
     """A copy of a passage with a share of its words replaced at random places."""
     out = list(passage)
