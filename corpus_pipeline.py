@@ -15,17 +15,23 @@ from panelweave.session import scratch_path
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject, with all their columns.
+
+    Null and empty texts are scored like others; repeated rows share their fate; an empty table stays empty.
+    """
     return quality.keep_good(docs, quality_model(spark, docs, sf_dir), GOOD)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group of near duplicates by shingles of five words."""
+    """One document, that of the smallest id, of every group of near duplicates by shingles of five words.
+
+    Texts without words and rows with a null id stay; of rows of one id one stays; an empty table stays empty.
+    """
     return near_text.keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
+    """Documents that the benchmark does not contaminate; those without words stay, repeated rows share their fate."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -35,7 +41,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of all documents, packed into sequences."""
+    """The token ids of all documents, packed into sequences; a null or empty text is its end id, repeated rows are packed each."""
     return packing.pack_documents(docs, word_bpe())
 
 
