@@ -18,7 +18,7 @@ FAMILIES = {
     "ar_forecasts", "arma_forecasts", "knn_forecasts", "star_forecasts", "unit_root_test", "model_weights", "dma_forecasts", "pca_axes",
     "ridge_combination", "superior_ability", "confidence_set", "garch_volatility", "marginal_residuals", "adcc_correlation",
     "score_driven_correlation", "copula_degrees", "residual_scenarios", "strategy_metrics", "best_tangent", "factor_file_rows", "merged_parts",
-    "stream_resume",
+    "stream_resume", "tangent_polished", "strongest_partners", "volatility_orders", "stream_late_totals",
 }
 ALL = os.environ.get("PANELWEAVE_ALL") == "1"
 
