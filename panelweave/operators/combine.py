@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from panelweave.config import IN_SAMPLE, OOS, TEST, TRAIN, Split
 from panelweave.operators.forecast import in_period, per_series
 from panelweave.operators.panel import series_arrays, spread
-from panelweave.operators.regression import _unpack, coefficients, linear_value, moments, vector_moments
+from panelweave.operators.regression import _unpack, coefficients, linear_value, moments
 
 
 # --- principal components -----------------------------------------------------------
@@ -35,64 +37,89 @@ def pool_moments(pool: DataFrame, fit: Split = IN_SAMPLE, share: float = 0.9) ->
     )
 
 
-def standard_scores(pool: DataFrame, stats: DataFrame) -> DataFrame:
-    return pool.where(F.col("yhat").isNotNull()).join(stats, ["series_id", "model"]).select(
-        "series_id", "model", "ts", ((F.col("yhat") - F.col("mean")) / F.col("scale")).alias("z"))
+def _grid(own: pa.Table, models: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Dates of one series, and by date and model the summed forecasts and how many there are; other models are left out."""
+    place = pc.index_in(own.column("model"), pa.array(models, pa.string())).combine_chunks()
+    own = own.select(["ts", "yhat"]).filter(place.is_valid())
+    model = place.drop_null().to_numpy()
+    dates = pc.dictionary_encode(own.column("ts"), null_encoding="encode").combine_chunks()
+    n, at = len(dates.dictionary), dates.indices.to_numpy() * len(models) + model
+    grid = lambda weights: np.bincount(at, weights, n * len(models)).reshape(n, len(models))
+    return dates.dictionary, grid(own.column("yhat").to_numpy()), grid(None)
+
+
+def _by_series(pool: DataFrame, other: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """The known forecasts of every series next to its rows of another table: as many rows as models and dates, whatever the panel."""
+    known = pool.where("yhat is not null and series_id is not null").select("series_id", "model", "ts", F.col("yhat").cast("double").alias("yhat"))
+    # Both sides may come from one table: columns of their own keep them apart.
+    other = other.where("series_id is not null").select(*[F.col(c).alias(f"{c}_") for c in other.columns])
+    return known.groupBy("series_id").cogroup(other.groupBy("series_id_")).applyInArrow(
+        lambda a, b: fn(a, b.rename_columns([c[:-1] for c in b.column_names])), schema)
 
 
 def loadings(pool: DataFrame, fit: Split = IN_SAMPLE, share: float = 0.95) -> DataFrame:
     """Principal axes of each series' pool up to a share of its variance.
 
     Rows ``(series_id, k, model, weight, explained, mean, scale)``; the largest
-    weight of an axis is made positive. Spark sums the cross products of the
-    standardised forecasts over dates, and the axes are those of the summed
-    matrix: what is solved per series grows with its models alone.
+    weight of an axis is made positive. A series' forecasts of the fit period
+    meet once, as a matrix of dates by models, whose cross products are solved.
     """
-    stats = pool_moments(pool, fit)
-    z = standard_scores(pool.where(in_period(fit)), stats)
-    models = stats.groupBy("series_id").agg(F.sort_array(F.collect_set("model")).alias("models"))
-    dates = z.groupBy("series_id", "ts").agg(F.map_from_entries(F.collect_list(F.struct("model", "z"))).alias("z"))
-    # A missing forecast equals the mean.
-    line = F.concat(F.array(F.lit(1.0)), F.transform("models", lambda m: F.coalesce(F.try_element_at("z", m), F.lit(0.0))))
-    summed = vector_moments(dates.join(models, "series_id").select("series_id", line.alias("v")), ["series_id"]).join(models, "series_id")
-
-    def one(row) -> pd.DataFrame:
-        size = len(row.models)
-        full = np.zeros((size + 1, size + 1))
-        full[np.triu_indices(size + 1)] = row.moments
-        n, total = full[0, 0], full[0, 1:]
-        centred = np.triu(full[1:, 1:]) + np.triu(full[1:, 1:], 1).T - np.outer(total, total) / n
+    schema = "series_id string, k int, model string, weight double, explained double, mean double, scale double"
+    names = ["series_id", "k", "model", "weight", "explained", "mean", "scale"]
+    kinds = [pa.string(), pa.int32(), pa.string(), *[pa.float64()] * 4]
+
+    def one(own: pa.Table, kept: pa.Table) -> pa.Table:
+        kept = kept.sort_by("model")
+        models, size = kept.column("model").to_pylist(), len(kept)
+        mean, scale = (kept.column(c).to_numpy() for c in ("mean", "scale"))
+        _, total, count = _grid(own, models)
+        if not count.size:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        if count.max() > 1:
+            raise ValueError("a model has several forecasts for one date of a series")
+        z = np.where(count > 0, (total - mean) / scale, 0.0)  # a missing forecast equals the mean
+        n = len(z)
+        centred = z.T @ z - np.outer(z.sum(axis=0), z.sum(axis=0)) / n
         roots, vectors = np.linalg.eigh(centred)
         roots, axes = np.maximum(roots[::-1], 0), vectors[:, ::-1].T
-        explained = (roots / roots.sum())[:min(size, max(int(n) - 1, 1))]
+        explained = (roots / roots.sum())[:min(size, max(n - 1, 1))]
         keep = min(int(np.searchsorted(explained.cumsum(), share, side="right")) + 1, len(explained))
         axes = axes[:keep]
         largest = np.abs(axes).argmax(axis=1)
         axes = axes * np.sign(axes[np.arange(keep), largest])[:, None]
-        return pd.DataFrame({
-            "series_id": row.series_id, "k": np.repeat(np.arange(1, keep + 1), size),
-            "model": np.tile(np.asarray(row.models, dtype=str), keep), "weight": axes.reshape(-1), "explained": np.repeat(explained[:keep], size),
-        })
+        columns = [np.repeat(own.column("series_id")[0].as_py(), keep * size), np.repeat(np.arange(1, keep + 1), size), models * keep, axes.reshape(-1),
+                   np.repeat(explained[:keep], size), np.tile(mean, keep), np.tile(scale, keep)]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    axes = per_series(spread(summed, "series_id"), one, "series_id string, k int, model string, weight double, explained double")
-    return axes.join(stats, ["series_id", "model"]).select(
-        "series_id", "k", "model", "weight", "explained", "mean", "scale")
+    return _by_series(pool.where(in_period(fit)), pool_moments(pool, fit), one, schema)
 
 
 def project(pool: DataFrame, axes: DataFrame) -> DataFrame:
     """Component scores ``(series_id, ts, k, score)`` on stored axes.
 
-    A missing forecast counts as the fit-period mean and so adds nothing. A
-    model's weights on all axes meet its forecasts once, as a map.
+    A missing forecast counts as the fit-period mean and so adds nothing. The
+    forecasts of a series meet its axes once, as matrices.
     """
-    weights = axes.groupBy("series_id", "model").agg(
-        F.first("mean").alias("mean"), F.first("scale").alias("scale"), F.collect_list(F.struct("k", "weight")).alias("w"))
-    z = (F.col("yhat") - F.col("mean")) / F.col("scale")
-    lines = (
-        pool.where(F.col("yhat").isNotNull()).join(weights, ["series_id", "model"])
-        .select("series_id", "ts", F.explode(F.transform("w", lambda w: F.struct(w["k"].alias("k"), (w["weight"] * z).alias("x")))).alias("p"))
-    )
-    return lines.groupBy("series_id", "ts", F.col("p.k").alias("k")).agg(F.sum("p.x").alias("score"))
+    def one(own: pa.Table, kept: pa.Table) -> pa.Table:
+        models = pc.unique(kept.column("model").drop_null()).to_pylist()
+        ks = pc.unique(kept.column("k")).to_pylist()
+        place = {m: i for i, m in enumerate(models)}
+        mean, scale = np.zeros(len(models)), np.ones(len(models))
+        weight, on = np.zeros((len(models), len(ks))), np.zeros((len(models), len(ks)))
+        for k, m, *values in zip(*(kept.column(c).to_pylist() for c in ("k", "model", "mean", "scale", "weight"))):
+            if m is not None:
+                i, j = place[m], ks.index(k)
+                mean[i], scale[i] = values[:2]
+                weight[i, j] += values[2]
+                on[i, j] = 1
+        dates, total, count = _grid(own, models)
+        score = (np.where(count > 0, total - count * mean, 0.0) / scale) @ weight
+        at, k = np.nonzero(count @ on)
+        return pa.table({"series_id": pa.array(np.repeat(own.column("series_id")[0].as_py(), len(at)) if len(at) else [], pa.string()), "ts": dates.take(pa.array(at)),
+                         "k": pa.array(ks, pa.int32()).take(pa.array(k)), "score": pa.array(score[at, k])})
+
+    return _by_series(pool, axes.select("series_id", F.col("k").cast("int").alias("k"), "model", "weight", "mean", "scale"), one,
+                      "series_id string, ts date, k int, score double")
 
 
 def components_wide(scores: DataFrame, v: int) -> DataFrame:
@@ -163,20 +190,28 @@ def soft(x: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 def descend(corr: np.ndarray, target: np.ndarray, l1: np.ndarray, l2: np.ndarray, beta: np.ndarray, sweeps: int = 2000, tolerance: float = 1e-11) -> np.ndarray:
-    """Coordinate descent on a stack of problems ``beta' R beta / 2 - r' beta + l1 |beta| + l2 |beta|^2 / 2``.
+    """Coordinate descent on problems ``beta' R beta / 2 - r' beta + l1 |beta| + l2 |beta|^2 / 2``, shaped (series, problem, column).
 
-    Only products of columns are used, whatever the number of rows behind them. Columns without variance keep 0.
+    Only products of columns are used, whatever the number of rows behind them. Columns without variance keep 0. The
+    problems of all series advance together; those of a series rest when none of its columns moves any more.
     """
-    beta = beta.copy()
-    own = np.einsum("bjj->bj", corr)
+    r, t, out = np.ascontiguousarray(np.moveaxis(corr, (2, 3), (0, 1))), np.ascontiguousarray(np.moveaxis(target, 2, 0)), np.array(beta)
+    b, left = np.ascontiguousarray(np.moveaxis(beta, 2, 0)), np.arange(len(beta))
+    own = np.einsum("jjsb->jsb", r)
+    inverse = np.where(own > 0, 1 / np.where(own > 0, own + l2, 1.0), 0.0)
     for _ in range(sweeps):
-        before = beta.copy()
-        for j in range(beta.shape[1]):
-            rest = target[:, j] - np.einsum("bk,bk->b", corr[:, j], beta) + own[:, j] * beta[:, j]
-            beta[:, j] = np.where(own[:, j] > 0, soft(rest, l1) / np.where(own[:, j] > 0, own[:, j] + l2, 1.0), 0.0)
-        if np.abs(beta - before).max(initial=0.0) < tolerance:
+        before = b.copy()
+        for j in range(len(b)):
+            rest = t[j] - np.einsum("ksb,ksb->sb", r[j], b) + own[j] * b[j]
+            b[j] = soft(rest, l1) * inverse[j]
+        moving = ~(np.abs(b - before).max(axis=(0, 2), initial=0.0) < tolerance)
+        if not moving.all():
+            out[left[~moving]] = np.moveaxis(b[:, ~moving], 0, 2)
+            left, r, t, b, l1, own, inverse = left[moving], r[:, :, moving], t[:, moving], b[:, moving], l1[moving], own[:, moving], inverse[:, moving]
+        if not len(left):
             break
-    return beta
+    out[left] = np.moveaxis(b, 0, 2)
+    return out
 
 
 def scaled_products(matrix: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -191,33 +226,36 @@ def scaled_products(matrix: np.ndarray) -> tuple[np.ndarray, ...]:
     return corr[:, :-1, :-1], corr[:, :-1, -1], mean, scale
 
 
-def net_path(folds: np.ndarray, mixes: Sequence[float], steps: int, smallest: float) -> tuple[float, float, np.ndarray]:
-    """Mix, penalty and coefficients (constant first) of the elastic net that forecasts best in time.
+#: Series whose penalties one task solves together.
+NETS = 128
+
+
+def net_paths(folds: np.ndarray, mixes: Sequence[float], steps: int, smallest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mix, penalty and coefficients (constant first) of the elastic net that forecasts best in time, for a stack of series.
 
-    ``folds`` are the cross products of consecutive stretches of time. Each stretch is forecast by the fit of all before
-    it; the error comes from the stretch's own cross products. Penalties fall from the one that leaves no column, and
-    every fit starts from that of the penalty before.
+    ``folds`` are, by series, the cross products of consecutive stretches of time. Each stretch is forecast by the fit of
+    all before it; the error comes from the stretch's own cross products. Penalties fall from the one that leaves no
+    column, and every fit starts from that of the penalty before.
     """
-    train = np.cumsum(folds, axis=0)
-    corr, target, mean, scale = scaled_products(train)
-    top = max(np.abs(target[-1]).max(initial=0.0), 1e-12)
-    points = [(mix, top / max(mix, 1e-3) * smallest ** (k / (steps - 1))) for mix in mixes for k in range(steps)]
-    beta = np.zeros((len(mixes) * len(folds), corr.shape[1]))
-    stack = lambda x: np.concatenate([x] * len(mixes))
-    r, t = stack(corr), stack(target)
-    mix = np.repeat(np.asarray(mixes, dtype=float), len(folds))
-    error, fits = np.zeros((len(mixes), steps)), np.zeros((len(mixes), steps, corr.shape[1] + 1))
+    n, f, p = folds.shape[:3]
+    corr, target, mean, scale = (x.reshape(n, f, *x.shape[1:]) for x in scaled_products(np.cumsum(folds, axis=1).reshape(-1, p, p)))
+    top = np.maximum(np.abs(target[:, -1]).max(axis=1, initial=0.0), 1e-12)
+    points = top[:, None, None] / np.maximum(mixes, 1e-3)[:, None] * smallest ** (np.arange(steps) / (steps - 1))
+    m, mix = len(mixes), np.repeat(np.asarray(mixes, dtype=float), f)
+    r, t, beta = np.tile(corr, (1, m, 1, 1)), np.tile(target, (1, m, 1)), np.zeros((n, m * f, p - 2))
+    error, fits = np.zeros((n, m, steps)), np.zeros((n, m, steps, p - 1))
     for k in range(steps):
-        penalty = np.repeat([points[i * steps + k][1] for i in range(len(mixes))], len(folds))
+        penalty = np.repeat(points[:, :, k], f, axis=1)
         beta = descend(r, t, penalty * mix, penalty * (1 - mix), beta)
-        slopes = beta.reshape(len(mixes), len(folds), -1) * (scale[:, -1:] / np.where(scale[:, :-1] > 0, scale[:, :-1], np.inf))
-        coef = np.concatenate([(mean[:, -1] - (slopes * mean[:, :-1]).sum(axis=2))[:, :, None], slopes], axis=2)
-        for f in range(1, len(folds)):
-            c = np.concatenate([coef[:, f - 1], -np.ones((len(mixes), 1))], axis=1)
-            error[:, k] += np.einsum("mi,ij,mj->m", c, folds[f], c)
-        fits[:, k] = coef[:, -1]
-    i, k = np.unravel_index(np.where(np.isfinite(error), error, np.inf).argmin(), error.shape)
-    return float(mixes[i]), float(points[i * steps + k][1]), fits[i, k]
+        slopes = beta.reshape(n, m, f, -1) * (scale[:, None, :, -1:] / np.where(scale > 0, scale, np.inf)[:, None, :, :-1])
+        coef = np.concatenate([(mean[:, None, :, -1] - (slopes * mean[:, None, :, :-1]).sum(axis=3))[..., None], slopes], axis=3)
+        for i in range(1, f):
+            c = np.concatenate([coef[:, :, i - 1], -np.ones((n, m, 1))], axis=2)
+            error[:, :, k] += ((c @ folds[:, i]) * c).sum(axis=2)
+        fits[:, :, k] = coef[:, :, -1]
+    own, best = np.arange(n), np.where(np.isfinite(error), error, np.inf).reshape(n, -1).argmin(axis=1)
+    i, k = np.unravel_index(best, (m, steps))
+    return np.asarray(mixes, dtype=float)[i], points[own, i, k], fits[own, i, k]
 
 
 def elastic_net(rows: DataFrame, xs: Sequence[str], mixes: Sequence[float] = (0.5, 0.9, 1.0), steps: int = 20, smallest: float = 1e-3, folds: int = 5,
@@ -232,17 +270,19 @@ def elastic_net(rows: DataFrame, xs: Sequence[str], mixes: Sequence[float] = (0.
     cut = rows.where(in_period(period)).withColumn("fold", F.ntile(folds).over(order))
     sums = moments(cut, ["series_id", "fold"], xs).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("fold", "moments"))).alias("m"))
 
-    @F.pandas_udf("mix double, penalty double, coef array<double>")
-    def run(packed: pd.Series) -> pd.DataFrame:
-        out = []
-        for parts in packed:
-            matrices = _unpack(pd.Series(list(parts)), len(xs) + 2)
-            enough = len(matrices) == folds and matrices[:, 0, 0].min() >= 2
-            out.append(net_path(matrices, mixes, steps, smallest) if enough else (None, None, None))
-        return pd.DataFrame(out, columns=["mix", "penalty", "coef"])
-
-    fitted = spread(sums, "series_id").select("series_id", run(F.col("m.moments")).alias("fit"))
-    return fitted.select("series_id", "fit.*").where(F.col("coef").isNotNull())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            names, found = [], []
+            for name, parts in zip(batch["series_id"], batch["moments"]):
+                matrices = _unpack(pd.Series(list(parts)), len(xs) + 2)
+                if len(matrices) == folds and matrices[:, 0, 0].min() >= 2:
+                    names.append(name)
+                    found.append(matrices)
+            for lo in range(0, len(found), NETS):
+                mix, penalty, coef = net_paths(np.stack(found[lo:lo + NETS]), mixes, steps, smallest)
+                yield pd.DataFrame({"series_id": names[lo:lo + NETS], "mix": mix, "penalty": penalty, "coef": list(coef)})
+
+    return spread(sums.select("series_id", "m.moments"), "series_id").mapInPandas(run, "series_id string, mix double, penalty double, coef array<double>")
 
 
 def net_combination(rows: DataFrame, xs: Sequence[str], train: Split = TRAIN, test: Split = TEST, oos: Split = OOS, label: str = "Net", **options) -> DataFrame:

@@ -666,3 +666,30 @@ def test_equal_weight_strategy(spark, make_panel):
     weights = O.equal_weights(panel, ["strategy"])
     out = O.portfolio_returns(weights, panel.drop("strategy"), ["strategy"]).collect()
     assert len(out) == 1 and out[0].r == pytest.approx(0.2)
+
+
+def test_nets_of_many_series_are_solved_together(monkeypatch):
+    rnd = np.random.default_rng(5)
+    data = [np.c_[np.ones(40), x := rnd.normal(size=(40, 3)) * (1, s, 0.2), x[:, 0] + rnd.normal(size=40)] for s in range(5)]
+    folds = np.stack([[p.T @ p for p in np.array_split(d, 4)] for d in data])
+    calls, own = [], C.descend
+    monkeypatch.setattr(C, "descend", lambda *a: calls.append(1) or own(*a))
+    mix, penalty, coef = C.net_paths(folds, (0.5, 1.0), 6, 1e-3)
+    assert len(calls) == 6  # once for each penalty, however many the series
+    for s in range(5):
+        alone = C.net_paths(folds[s:s + 1], (0.5, 1.0), 6, 1e-3)
+        assert (mix[s], penalty[s]) == (alone[0][0], pytest.approx(alone[1][0])) and coef[s] == pytest.approx(alone[2][0], abs=1e-12)
+
+
+def test_axes_meet_the_forecasts_of_a_series_as_a_matrix(make_panel):
+    pool = N.simple_pool(make_panel(a=X1, b=X2[:70]))
+    axes = C.loadings(pool)
+    scores = C.project(pool, axes)
+    for df in (axes, scores):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Generate explode" not in plan  # no row for each forecast and axis
+    rows, weights = pool.toPandas(), axes.toPandas()
+    both = rows.merge(weights, on=["series_id", "model"])
+    want = ((both.yhat - both["mean"]) / both.scale * both.weight).groupby([both.series_id, both.ts, both.k]).sum()
+    got = scores.toPandas().set_index(["series_id", "ts", "k"])["score"]
+    assert len(got) == len(want) and got.reindex(want.index).to_numpy() == pytest.approx(want.to_numpy(), abs=1e-12)
