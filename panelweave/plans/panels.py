@@ -30,7 +30,19 @@ def order_panel(spark, sf):
     return staged(order_returns(spark, sf))
 
 
+#: Rows of the raw table for each task of a shuffle.
+RAW_ROWS = 200_000
+
+
 def supplier_panel(spark, sf):
+    """The supplier returns computed once.
+
+    There are as many suppliers as the table makes of them: the session shuffles to at least as many tasks as keep what
+    one of them holds, here and in what follows, from growing with the table. Adaptive execution joins small ones again.
+    """
+    tasks = -(-T.table(spark, sf, "lineitem").count() // RAW_ROWS)
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(tasks))
     return staged(supplier_returns(spark, sf))
 
 
