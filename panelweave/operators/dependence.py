@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelweave.config import WINDOW
-from panelweave.operators.panel import onto_later, spread, wide
+from panelweave.operators.panel import onto_later, spread, whole, wide
 from panelweave.sources.stores import staged
 
 CORR = "model string, ts date, s1 string, s2 string, rho double"
@@ -29,13 +29,13 @@ GAS_GRID = ((0.002, 0.005, 0.01), (0.5, 0.8, 0.95), (5.0, 8.0, 15.0))
 CELLS = 2_000_000
 
 
-def date_windows(residuals: DataFrame, assets: Sequence[str], window: int = WINDOW) -> DataFrame:
-    """``ts`` and the ``window`` residual vectors before it, full windows only.
+def date_windows(residuals: DataFrame, assets: Sequence[str] | None = None, window: int = WINDOW) -> DataFrame:
+    """``ts`` and the ``window`` residual vectors before it, full windows only; of all series where no assets are named.
 
     A date's vector goes to each of the dates after it that need it; a date
     with its window is then a group of its own.
     """
-    later = onto_later(wide(residuals, assets), window)
+    later = onto_later(whole(residuals) if assets is None else wide(residuals, assets), window)
     out = later.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("ts", "v"))).alias("w")).where(F.size("w") == window)
     return out.select(F.col("target").alias("ts"), F.col("w.v").alias("window"))
 
@@ -67,6 +67,25 @@ def window_moments(window: str, shrink: float = 0.5) -> Column:
     return run(window)
 
 
+def window_factors(window: str, shrink: float = 0.5) -> Column:
+    """The same as ``window_moments`` for very many assets: ``cov`` has a row for each date of the window.
+
+    The covariance is the product of ``cov`` with itself over those dates, and ``rest`` on its diagonal.
+    """
+
+    @F.pandas_udf("mu array<double>, cov array<array<double>>, rest array<double>")
+    def run(windows: pd.Series) -> pd.DataFrame:
+        out = []
+        for w in windows:
+            x = np.stack(w).astype(float)
+            mean = x.mean(axis=0)
+            x = (x - mean) / np.sqrt(len(x) - 1)
+            out.append((mean, list(x * np.sqrt(1 - shrink)), shrink * (x * x).sum(axis=0)))
+        return pd.DataFrame(out, columns=["mu", "cov", "rest"])
+
+    return run(window)
+
+
 def _by_date(windows: DataFrame, assets: Sequence[str], model: str, grid_size: int, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     pairs = list(combinations(range(len(assets)), 2))
     first, second = [assets[i] for i, _ in pairs], [assets[j] for _, j in pairs]

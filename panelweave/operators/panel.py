@@ -191,6 +191,18 @@ def wide(panel: DataFrame, assets: Sequence[str], name: str = "v") -> DataFrame:
     )
 
 
+def whole(panel: DataFrame, name: str = "v") -> DataFrame:
+    """One row per date with the values of all series of the panel as an array, in the order of their names.
+
+    Dates on which a series is missing are dropped, so all of them where one has no name. The row is as wide as the panel
+    has series; nothing but their number is looked up beforehand.
+    """
+    n = panel.agg(F.count_distinct("series_id") + F.max(F.col("series_id").isNull().cast("int"))).scalar()
+    known = panel.where("series_id is not null and value is not null")
+    packed = F.sort_array(F.collect_list(F.struct("series_id", "value")))["value"]
+    return known.groupBy("ts").agg(packed.alias(name)).where(F.size(name) == n)
+
+
 def series_arrays(panel: DataFrame, *columns: str) -> DataFrame:
     """One row per series holding its dates and values as sorted arrays.
 

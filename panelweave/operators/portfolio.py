@@ -81,14 +81,17 @@ def mean_variance(inputs: DataFrame, assets: Sequence[str], panels: Sequence[str
         "forecast", "dependence", "panel", "ts", "series_id", "w")
 
 
-def mean_variance_choices(inputs: DataFrame, assets: Sequence[str], panels: Sequence[str] = (LONG_ONLY, LEVERAGED), steps: dict[str, int] | None = None) -> DataFrame:
-    """``(forecast, dependence, ts, panel, weights, ratio)``, and without ``steps`` the ``gap`` that is left."""
-    keys, n = ["forecast", "dependence", "ts"], len(assets)
+def mean_variance_choices(inputs: DataFrame, assets: Sequence[str] = (), panels: Sequence[str] = (LONG_ONLY, LEVERAGED), steps: dict[str, int] | None = None) -> DataFrame:
+    """``(forecast, dependence, ts, panel, weights, ratio)``, and without ``steps`` the ``gap`` that is left.
+
+    Inputs with a column ``rest`` hold factors in ``cov``: of very many assets no matrix over pairs is formed.
+    """
+    keys, n, rest = ["forecast", "dependence", "ts"], len(assets), "rest" if "rest" in inputs.columns else None
     rows = spread(inputs, *keys)
     if steps:
         parts = [T.lattice_sharpe(rows, keys, n, steps[p], SHORT[p]).withColumn("panel", F.lit(p)) for p in panels]
         return reduce(DataFrame.unionByName, parts)
-    found = F.array(*[F.struct(F.lit(p).alias("panel"), T.sharpe_weights("mu", "cov", SHORT[p]).alias("best")) for p in panels])
+    found = F.array(*[F.struct(F.lit(p).alias("panel"), T.sharpe_weights("mu", "cov", SHORT[p], rest).alias("best")) for p in panels])
     return rows.select(*keys, F.inline(found)).select(*keys, "panel", "best.*").where(F.col("weights").isNotNull())
 
 

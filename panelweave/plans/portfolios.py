@@ -17,7 +17,7 @@ from panelweave.operators import tangent as T
 from panelweave.operators import volatility as V
 from panelweave.operators import windows as N
 from panelweave.plans.dependence import all_correlations, deep_windows, order_simple, residual_windows
-from panelweave.plans.panels import supplier_returns
+from panelweave.plans.panels import supplier_panel
 from panelweave.plans.performance import _cvar_sql
 from panelweave.plans.registry import fragment, query
 from panelweave.session import scratch_path
@@ -123,12 +123,10 @@ fragment("tsd", "SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT ts
  FROM tsd, (SELECT unnest(['long_only', '130_30']) AS panel) AS p WHERE i > {WINDOW} AND ts >= DATE '2000-01-01'""")
 def tangent_suppliers(spark, sf):
     """All suppliers as assets: portfolios of the largest ratio by the mean and shrunken covariance of the window before each date."""
-    returns = staged(supplier_returns(spark, sf))
-    assets = [r.series_id for r in returns.select("series_id").distinct().orderBy("series_id").collect()]
-    windows = D.date_windows(returns.select("series_id", "ts", "value"), assets)
-    inputs = P.period_filter(windows, OOS).select(F.lit("mean").alias("forecast"), F.lit("sample").alias("dependence"), "ts", D.window_moments("window").alias("m")).select(
-        "forecast", "dependence", "ts", "m.mu", "m.cov")
-    found = O.mean_variance_choices(inputs, assets)
+    windows = D.date_windows(supplier_panel(spark, sf).select("series_id", "ts", "value"))
+    inputs = P.period_filter(windows, OOS).select(F.lit("mean").alias("forecast"), F.lit("sample").alias("dependence"), "ts", D.window_factors("window").alias("m")).select(
+        "forecast", "dependence", "ts", "m.*")
+    found = O.mean_variance_choices(inputs)
     total = F.aggregate("weights", F.lit(0.0), lambda s, w: s + w)
     debt = F.aggregate("weights", F.lit(0.0), lambda s, w: s + F.greatest(-w, F.lit(0.0)))
     limit = F.when(F.col("panel") == O.LEVERAGED, O.SHORT[O.LEVERAGED]).otherwise(0.0)

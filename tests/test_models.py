@@ -693,3 +693,32 @@ def test_axes_meet_the_forecasts_of_a_series_as_a_matrix(make_panel):
     want = ((both.yhat - both["mean"]) / both.scale * both.weight).groupby([both.series_id, both.ts, both.k]).sum()
     got = scores.toPandas().set_index(["series_id", "ts", "k"])["score"]
     assert len(got) == len(want) and got.reindex(want.index).to_numpy() == pytest.approx(want.to_numpy(), abs=1e-12)
+
+
+@pytest.mark.parametrize("short", [0.0, 0.3])
+@pytest.mark.parametrize("n, shift", [(6, 0.0), (50, 0.0), (50, -0.1), (20, -3.0), (3000, 0.0)])
+def test_tangent_from_factors_is_that_of_the_matrix(n, shift, short):
+    x = np.random.default_rng(n).normal(size=(24, n)) * 0.3 + shift
+    mu, c = x.mean(axis=0), (x - x.mean(axis=0)) / np.sqrt(23)
+    many = T.Factors(c * np.sqrt(0.5), 0.5 * (c * c).sum(axis=0))
+    w, ratio, gap = T.sharpe_search(mu, many, short)
+    assert w.sum() == pytest.approx(1) and np.maximum(-w, 0).sum() <= short + 1e-9
+    if n <= 50:
+        cov = c.T @ c / 2 + np.diag(many.rest)
+        want = T.sharpe_search(mu, cov, short)
+        assert ratio == pytest.approx(want[1], abs=1e-9) and w == pytest.approx(want[0], abs=1e-6)
+        assert T.best_corner_of_many(mu, many, short).tolist() == T.best_corner(mu, cov, short).tolist()
+    if mu.max() > 0:
+        assert gap < 1e-9
+
+
+def test_windows_of_all_series_need_no_column_for_each(make_panel, monkeypatch):
+    panel = make_panel(a=X1[:40], b=X2[:40], c=[None, *X1[1:40]])
+    named = {r.ts: r.window for r in D.date_windows(panel, ["a", "b", "c"], 3).collect()}
+    monkeypatch.setattr(D, "wide", None)
+    every = D.date_windows(panel, window=3)
+    assert {r.ts: r.window for r in every.collect()} == named and len(named) == 36
+    row = every.select("window", D.window_moments("window").alias("m"), D.window_factors("window").alias("f")).first()
+    factors = np.array([list(v) for v in row.f.cov])
+    assert factors.T @ factors + np.diag(row.f.rest) == pytest.approx(np.array([list(v) for v in row.m.cov]))
+    assert list(row.f.mu) == pytest.approx(list(row.m.mu))
