@@ -95,7 +95,9 @@ def pair_products(panel: DataFrame, assets: Sequence[str]) -> DataFrame:
 
 
 #: Series on either side of a tile, and dates in one of its parts.
-TILE_SERIES, TILE_DATES = 128, 512
+TILE_SERIES, TILE_DATES = 512, 512
+#: Blocks that meet in pairs, and bytes of values that a block may hold: of more there are more blocks.
+BLOCKS, BLOCK_BYTES = 24, 64_000_000
 
 
 def _matrices(panel: DataFrame, blocks: int, chunks: int) -> DataFrame:
@@ -112,57 +114,103 @@ def _matrices(panel: DataFrame, blocks: int, chunks: int) -> DataFrame:
     return placed.groupBy("block", "chunk").applyInArrow(pack, "block int, chunk int, names array<string>, dates array<int>, grid binary")
 
 
-def _tile(left: pa.Table, right: pa.Table) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    """Names on both sides, and for each pair its correlation and common dates, summed over the parts of the dates."""
-    def side(rows: pa.Table) -> tuple[list[str], dict[int, tuple]]:
-        parts = {c: (n, d, np.frombuffer(g).reshape(len(n), len(d))) for c, n, d, g in zip(*(rows.column(k).to_pylist() for k in range(2, 6)))}
-        return sorted({n for names, _, _ in parts.values() for n in names}), parts
-
-    (names_a, a), (names_b, b) = side(left), side(right)
-    at_a, at_b = ({n: i for i, n in enumerate(names)} for names in (names_a, names_b))
-    sums = np.zeros((6, len(names_a), len(names_b)))
-    for chunk in a.keys() & b.keys():
-        (na, da, x), (nb, db, y) = a[chunk], b[chunk]
-        _, ia, ib = np.intersect1d(da, db, return_indices=True)
-        x, y = x[:, ia], y[:, ib]
-        m, n = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+def _whole(rows: pa.Table, dates: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names of a block in order, its values by series and date, NaN for none, and the rows' places among the names: complete series come first."""
+    parts = [(n, d, np.frombuffer(g).reshape(len(n), len(d))) for n, d, g in zip(*(rows.column(k).to_pylist() for k in range(3, 6)))]
+    names = sorted({n for own, _, _ in parts for n in own})
+    place, grid = {n: i for i, n in enumerate(names)}, np.full((len(names), len(dates)), np.nan)
+    for own, days, values in parts:
+        grid[np.ix_([place[n] for n in own], np.searchsorted(dates, days))] = values
+    order = np.argsort(np.isnan(grid).any(axis=1), kind="stable")
+    return names, grid[order], order
+
+
+def _tile(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair of rows its correlation and common dates."""
+    if not (np.isnan(x).any() or np.isnan(y).any()):
+        n, sx, sy, sxx, syy = float(x.shape[1]), x.sum(axis=1)[:, None], y.sum(axis=1)[None], (x * x).sum(axis=1)[:, None], (y * y).sum(axis=1)[None]
+        sxy = x @ y.T
+    else:
+        p, q = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
         x, y = np.nan_to_num(x), np.nan_to_num(y)
-        own = np.ix_([at_a[s] for s in na], [at_b[s] for s in nb])
-        for k, part in enumerate((m @ n.T, x @ n.T, m @ y.T, (x * x) @ n.T, m @ (y * y).T, x @ y.T)):
-            sums[k][own] += part
-    n, sx, sy, sxx, syy, sxy = sums
+        n, sx, sy, sxx, syy, sxy = p @ q.T, x @ q.T, p @ y.T, (x * x) @ q.T, p @ (y * y).T, x @ y.T
     vx, vy = n * sxx - sx * sx, n * syy - sy * sy
     sound = (n >= 3) & (vx > 1e-12 * np.maximum(n * sxx, 1e-300)) & (vy > 1e-12 * np.maximum(n * syy, 1e-300))
-    return names_a, names_b, np.where(sound, (n * sxy - sx * sy) / np.sqrt(np.where(sound, vx * vy, 1.0)), np.nan), n
+    return np.where(sound, (n * sxy - sx * sy) / np.sqrt(np.where(sound, vx * vy, 1.0)), np.nan), np.broadcast_to(n, sxy.shape)
+
+
+class Strongest:
+    """The ``k`` partners of each series with the largest absolute correlation so far; equal ones go by the partner's place."""
+
+    def __init__(self, series: int, k: int):
+        self.k, self.size, self.place, self.rho, self.n = k, np.full((series, k), -1.0), np.zeros((series, k), int), np.zeros((series, k)), np.zeros((series, k), int)
+
+    def meet(self, lo: int, rho: np.ndarray, n: np.ndarray, places: np.ndarray) -> None:
+        """Correlations of the series from ``lo`` on with partners at the given places; NaN for none."""
+        size, k = np.where(np.isnan(rho), -1.0, np.abs(rho)), self.k
+        own = slice(lo, lo + len(rho))
+        least = self.size[own, -1]
+        if least.min(initial=0.0) < 0 and size.shape[1] > k:
+            least = np.maximum(least, np.partition(size, -k, axis=1)[:, -k])
+        i, j = np.nonzero((size >= least[:, None]) & (size >= 0))
+        if not len(i):
+            return
+        row = np.unique(i)
+        old_row, old = np.nonzero(self.size[lo + row] >= 0)
+        old_at = lo + row[old_row]
+        at = np.concatenate([old_at, lo + i])
+        columns = [np.concatenate([a[old_at, old], b]) for a, b in ((self.size, size[i, j]), (self.place, places[j]), (self.rho, rho[i, j]), (self.n, n[i, j]))]
+        order = np.lexsort((columns[1], -columns[0], at))
+        at = at[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        kept = rank < k
+        for held, column in zip((self.size, self.place, self.rho, self.n), columns):
+            held[at[kept], rank[kept]] = column[order][kept]
 
 
 def strongest_partners(panel: DataFrame, k: int = 5, tile_series: int = TILE_SERIES, tile_dates: int = TILE_DATES) -> DataFrame:
     """The ``k`` partners of every series with the largest absolute correlation over common dates: ``(series_id, rank, partner, rho, n)``.
 
-    For very many series: all pairs are formed, but in tiles. A block of series is a matrix, two blocks meet in a task of
-    their own, products of matrices give the sums of all their pairs, and only the ``k`` strongest of a series leave the
-    tile. Pairs with fewer than three common dates, or a constant side, have no correlation. Equal ones go by name.
+    For very many series: all pairs are formed, but in tiles. A block of series is a matrix, and two blocks meet in a task
+    of their own. There are a fixed number of blocks as long as they fit, so that what is sent grows with the series and not
+    with their pairs; a task goes through its pairs tile by tile, where products of matrices give all their sums, and
+    only the ``k`` strongest of a series leave it. Pairs with fewer than three common dates, or a constant side, have no
+    correlation. Equal ones go by name.
     """
     means = panel.groupBy("series_id").agg(F.avg("value").alias("mean"))  # keeps sums of squares small
     centred = panel.where(F.col("value").isNotNull()).join(means, "series_id").select("series_id", "ts", (F.col("value") - F.col("mean")).alias("value"))
     size = panel.agg(F.count_distinct("series_id").alias("series"), F.count_distinct("ts").alias("dates")).first()
-    blocks, chunks = max(1, -(-size.series // tile_series)), max(1, -(-size.dates // tile_dates))
+    blocks = max(1, min(BLOCKS, -(-size.series // tile_series)), -(-size.series * size.dates * 8 // BLOCK_BYTES))
+    chunks = max(1, -(-size.dates // tile_dates))
     packed = staged(_matrices(centred, blocks, chunks))
     every = lambda lo, hi: F.explode(F.sequence(lo, hi))
     left = packed.withColumn("i", F.col("block")).withColumn("j", every(F.col("block"), F.lit(blocks - 1)))
     right = packed.withColumn("j", F.col("block")).withColumn("i", every(F.lit(0), F.col("block")))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = []
+        out = [[], [], [], []]
         if len(a) and len(b):
-            names_a, names_b, rho, n = _tile(a, b)
+            dates = np.unique([d for side in (a, b) for days in side.column(4).to_pylist() for d in days])
             same = a.column(0)[0] == a.column(1)[0]
-            for names, partners, r, m in ((names_a, names_b, rho, n), *([] if same else [(names_b, names_a, rho.T, n.T)])):
-                order = np.argsort(-np.nan_to_num(np.abs(r), nan=-1.0), axis=1, kind="stable")[:, :k + 1]
-                for i, row in enumerate(order):
-                    out += [(names[i], partners[j], float(r[i, j]), int(m[i, j])) for j in row if not np.isnan(r[i, j]) and names[i] != partners[j]][:k]
-        columns = list(zip(*out)) if out else [[], [], [], []]
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["series_id", "partner", "rho", "n"])
+            one = _whole(a, dates)
+            two = one if same else _whole(b, dates)
+            (_, x, at_x), (_, y, at_y) = one, two
+            found = Strongest(len(x), k)
+            others = found if same else Strongest(len(y), k)
+            for lo in range(0, len(x), tile_series):
+                for low in range(lo if same else 0, len(y), tile_series):
+                    rho, n = _tile(x[lo:lo + tile_series], y[low:low + tile_series])
+                    if same and lo == low:
+                        np.fill_diagonal(rho, np.nan)
+                    found.meet(lo, rho, n, at_y[low:low + tile_series])
+                    if not (same and lo == low):
+                        others.meet(low, rho.T, n.T, at_x[lo:lo + tile_series])
+            for (names, _, place), (partners, _, _), held in ((one, two, found), *([] if same else [(two, one, others)])):
+                row, rank = np.nonzero(held.size >= 0)
+                names, partners = np.array(names, object), np.array(partners, object)
+                for column, values in zip(out, (names[place[row]], partners[held.place[row, rank]], held.rho[row, rank], held.n[row, rank])):
+                    column.extend(values.tolist())
+        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.float64(), pa.int64()))], names=["series_id", "partner", "rho", "n"])
 
     columns = ("chunk", "names", "dates", "grid")
     right = right.select(F.col("i").alias("i2"), F.col("j").alias("j2"), *[F.col(c).alias(f"{c}2") for c in columns])

@@ -240,3 +240,22 @@ def test_late_rows_repair_their_periods_across_snapshots(spark, tmp_path):
     late = {r.version: (r.n, r.n_late, r.periods_late) for r in I.read_versions(spark, f"{root}/out/batches", [0, 1, 2]).collect()}
     assert late == {0: (3, 0, 0), 1: (3, 1, 1), 2: (1, 1, 1)}
     assert I.snapshot(spark, f"{root}/out") == 1
+
+
+@pytest.mark.parametrize("many", [40, 400])
+def test_blocks_of_partners_do_not_grow_in_number(spark, monkeypatch, many):
+    seen, own = [], D._matrices
+    monkeypatch.setattr(D, "_matrices", lambda panel, blocks, chunks: seen.append(blocks) or own(panel, blocks, chunks))
+    monkeypatch.setattr(D, "BLOCKS", 3)
+    x = np.random.default_rng(9).normal(size=(many, 24))
+    x[5:9, 7] = np.nan
+    rows = [(f"s{i:03d}", t, float(v)) for i, own_row in enumerate(x) for t, v in zip(months(24), own_row) if not np.isnan(v)]
+    df = spark.createDataFrame(rows, "series_id string, ts date, value double")
+    got = {}
+    for r in D.strongest_partners(df, 2, 16).collect():
+        got.setdefault(r.series_id, []).append((r["rank"], r.partner))
+    assert seen == [3] and len(got) == many
+    rho = np.abs(pd.DataFrame(x.T).corr().to_numpy())
+    np.fill_diagonal(rho, -1)
+    for i in range(many):
+        assert [p for _, p in sorted(got[f"s{i:03d}"])] == [f"s{j:03d}" for j in np.argsort(-rho[i])[:2]]
