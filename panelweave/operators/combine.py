@@ -323,6 +323,16 @@ def model_weights(scores: DataFrame, forget: float = 0.99) -> DataFrame:
     )
 
 
+def _surely_sound(cov: np.ndarray) -> bool:
+    """Whether all matrices are positive definite with roots that sum to 1e6 at most, without their roots."""
+    if not np.einsum("nii->n", cov).max(initial=0.0) <= 1e6:
+        return False
+    try:
+        return bool(np.isfinite(np.linalg.cholesky(cov)).all())
+    except np.linalg.LinAlgError:
+        return False
+
+
 def filter_paths(y: np.ndarray, x: np.ndarray, masks: np.ndarray, forget_state: float, warmup: int) -> tuple[np.ndarray, np.ndarray]:
     """Forecasts and log densities of the regressions given by 0/1 masks.
 
@@ -338,22 +348,22 @@ def filter_paths(y: np.ndarray, x: np.ndarray, masks: np.ndarray, forget_state:
     beta, cov = np.zeros((n, v)), np.tile(eye, (n, 1, 1))
     noise = np.full(n, np.var(y[:warmup]))
     mean, density = np.empty((len(y), n)), np.empty((len(y), n))
+    keep = inside / forget_state
     for t in range(len(y)):
-        f = x[t] * masks
-        mu = (f * beta).sum(axis=1)
-        cf = np.einsum("nij,nj->ni", cov, f)
-        spread_ = (f * cf).sum(axis=1)
+        mu = beta @ x[t]  # a masked coefficient stays 0
+        cf = (cov @ x[t]) * masks
+        spread_ = cf @ x[t]
         var = np.maximum(spread_ + noise, 1e-10)
         error = y[t] - mu
         mean[t], density[t] = mu, -0.5 * (np.log(2 * math.pi * var) + error ** 2 / var)
-        gain = cf / forget_state / (spread_ / forget_state + noise)[:, None]
+        total = spread_ / forget_state + noise
+        gain = cf / forget_state / total[:, None]
         beta = beta + gain * error[:, None]
-        a = eye - gain[:, :, None] * f[:, None, :]
-        cov = a @ (cov / forget_state) @ a.transpose(0, 2, 1) + noise[:, None, None] * gain[:, :, None] * gain[:, None, :]
-        cov = cov * inside + idle
-        sound = np.isfinite(cov).all(axis=(1, 2))
-        roots = np.linalg.eigvalsh(np.where(sound[:, None, None], cov, eye))
-        cov[~sound | (roots[:, 0] < 0) | (roots[:, -1] > 1e6)] = eye
+        cov = cov * keep - (gain * total[:, None])[:, :, None] * gain[:, None, :] + idle
+        if not _surely_sound(cov):
+            sound = np.isfinite(cov).all(axis=(1, 2))
+            roots = np.linalg.eigvalsh(np.where(sound[:, None, None], cov, eye))
+            cov[~sound | (roots[:, 0] < 0) | (roots[:, -1] > 1e6)] = eye
         noise = np.where(active, np.maximum(forget_state * noise + (1 - forget_state) * error ** 2, 1e-6), noise)
     return mean, density
 

@@ -35,14 +35,19 @@ def known(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c)
 
 
+#: Series whose results a task holds at once, however many rows a batch has.
+SERIES_AT_ONCE = 64
+
+
 def per_series(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str) -> DataFrame:
-    """Apply a numpy helper to each row of a series-array table, batch by batch."""
+    """Apply a numpy helper to each row of a series-array table, a few rows at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [part for row in batch.itertuples(index=False) if len(part := fn(row))]
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+            for lo in range(0, len(batch), SERIES_AT_ONCE):
+                parts = [part for row in batch[lo:lo + SERIES_AT_ONCE].itertuples(index=False) if len(part := fn(row))]
+                if parts:
+                    yield pd.concat(parts, ignore_index=True)
 
     return df.mapInPandas(run, schema)
 
@@ -305,11 +310,12 @@ def transition(kind: Column, gamma: Column, c: Column, s: Column) -> Column:
 
 def regime_moments(rows: DataFrame, xs: Sequence[str], grid: Sequence[tuple[str, float, float]]) -> DataFrame:
     """Cross products of ``(1, lags, regime, regime times lags, y)`` per series and grid point, from one array per series."""
-    packed = series_arrays(rows.where(F.col("y").isNotNull()).withColumn("x", F.array(*xs)), "y", "x")
+    # Flat arrays: a row of lags for each date would be an object of its own in Python.
+    packed = series_arrays(rows.where(F.col("y").isNotNull()), "y", *xs).drop("ts")
     kinds, gammas, centres = (np.array(v) for v in zip(*grid))
 
     def one(row) -> pd.DataFrame:
-        y, x = np.asarray(row.y, dtype=float), np.stack(row.x).astype(float)
+        y, x = np.asarray(row.y, dtype=float), np.stack([getattr(row, c) for c in xs], axis=1).astype(float)
         off = x[None, :, 0] - centres.astype(float)[:, None]
         gamma = gammas.astype(float)[:, None]
         with np.errstate(over="ignore"):

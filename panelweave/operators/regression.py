@@ -27,6 +27,10 @@ HEAD = 2
 JVM_COLUMNS = 12
 
 
+#: Groups whose matrices a task holds at once, however many rows a batch has.
+GROUPS_AT_ONCE = 512
+
+
 def moments(rows: DataFrame, keys: Sequence[str], xs: Sequence[str], y: str = "y", where: Column | None = None) -> DataFrame:
     """Upper triangle of the cross-product matrix of ``(1, xs..., y)`` per group.
 
@@ -133,8 +137,8 @@ def fit(models: Sequence[Sequence[int]], width: int, ridge: float | Sequence[flo
     def run(packed: pd.Series) -> pd.Series:
         if packed.empty:
             return pd.Series([], dtype=object)
-        out = solve_models(_unpack(packed, width + 1), chosen, penalties)
-        return pd.Series([list(g) for g in out])
+        parts = (solve_models(_unpack(packed[lo:lo + GROUPS_AT_ONCE], width + 1), chosen, penalties) for lo in range(0, len(packed), GROUPS_AT_ONCE))
+        return pd.Series([list(g) for part in parts for g in part])
 
     return run
 

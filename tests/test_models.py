@@ -722,3 +722,25 @@ def test_windows_of_all_series_need_no_column_for_each(make_panel, monkeypatch):
     factors = np.array([list(v) for v in row.f.cov])
     assert factors.T @ factors + np.diag(row.f.rest) == pytest.approx(np.array([list(v) for v in row.m.cov]))
     assert list(row.f.mu) == pytest.approx(list(row.m.mu))
+
+
+def test_results_of_many_series_leave_a_task_in_parts(spark, monkeypatch):
+    sizes, own = [], pd.concat
+    monkeypatch.setattr(M.pd, "concat", lambda parts, **kw: sizes.append(len(parts)) or own(parts, **kw))
+    taken = {}
+    frame = type("F", (), {"mapInPandas": lambda self, run, schema: taken.setdefault("run", run)})()
+    M.per_series(frame, lambda row: pd.DataFrame({"a": [row.a]}), "a int")
+    out = list(taken["run"](iter([pd.DataFrame({"a": range(1000)})])))
+    assert max(sizes) <= 64 and own(out).a.tolist() == list(range(1000))
+
+
+def test_filters_of_sound_covariances_need_no_roots(monkeypatch):
+    rnd = np.random.default_rng(3)
+    x, y = rnd.normal(size=(60, 3)), rnd.normal(size=60)
+    masks = np.array(list(product([0.0, 1.0], repeat=3)))
+    with monkeypatch.context() as m:
+        m.setattr(np.linalg, "eigvalsh", None)
+        got = C.filter_paths(y, x, masks, 0.99, 10)
+    monkeypatch.setattr(C, "_surely_sound", lambda cov: False)
+    want = C.filter_paths(y, x, masks, 0.99, 10)
+    assert got[0] == pytest.approx(want[0]) and got[1] == pytest.approx(want[1])
