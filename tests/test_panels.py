@@ -259,3 +259,22 @@ def test_blocks_of_partners_do_not_grow_in_number(spark, monkeypatch, many):
     np.fill_diagonal(rho, -1)
     for i in range(many):
         assert [p for _, p in sorted(got[f"s{i:03d}"])] == [f"s{j:03d}" for j in np.argsort(-rho[i])[:2]]
+
+
+def test_shuffles_have_as_many_tasks_as_the_table_asks_for(spark, tmp_path, monkeypatch):
+    from panelweave.plans import panels
+
+    days = [dt.datetime(1995, m, 3) for m in range(1, 13)]
+    rows = [(s, d, 10.0 + s + d.month * (s % 3 + 1)) for s in range(10) for d in days]
+    spark.createDataFrame(rows, "l_suppkey long, l_shipdate timestamp, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    key = "spark.sql.shuffle.partitions"
+    own, want = spark.conf.get(key), panels.supplier_returns(spark, str(tmp_path)).toPandas()
+    try:
+        assert len(panels.supplier_panel(spark, str(tmp_path)).collect()) == len(want) and spark.conf.get(key) == own  # few rows: as set
+        monkeypatch.setattr(panels, "RAW_ROWS", 10)
+        got = panels.supplier_panel(spark, str(tmp_path)).toPandas()
+        assert spark.conf.get(key) == "12"
+    finally:
+        spark.conf.set(key, own)
+    order = ["series_id", "ts"]
+    assert got.sort_values(order).reset_index(drop=True).equals(want.sort_values(order).reset_index(drop=True))
