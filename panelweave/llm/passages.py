@@ -2,6 +2,9 @@
 
 K-mers of words are sampled as the smallest hash of every window, shared ones are joined into matches between two
 documents, matches that run in the same order in both are chained, and the words along each chain are aligned.
+
+Occurrences of a frequent seed first meet a few others. A second round brings together those that no passage found so
+far connects: directly where these are few pairs, or else by keys of several seeds in reach of each other.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from panelweave.llm.common import LATIN, compressed, latin_words, partitions, pi
 WORDS, WINDOW = 4, 6
 #: Words from a seed's start that tell its surroundings apart, and how many seeds a chain needs.
 RUN, LEAST = 12, 3
-#: Up to so many different surroundings of a seed meet in all pairs; of more, each meets the next and the first ones by document.
+#: Up to so many different surroundings of a seed meet in all pairs; of more, each first meets the next and the first ones by document.
 SMALL, NEXT, FIRST = 16, 6, 2
-#: Occurrences of a seed in the same surroundings that still meet like different ones; of more, all but the first meet the first.
+#: Occurrences of a seed in the same surroundings that still meet like different ones; of more, all but the first first meet the first.
 EQUAL = 6
+#: Occurrences that nothing connects yet meet at once where they make up to so many pairs for each, or else by keys of several seeds.
+DIRECT = 16
 #: Words between two matches at which a chain is cut, words in a block of text, and what a word without a match costs.
 REACH, BLOCK, GAP = 40, 64, 0.04
 #: Words beyond both ends of an alignment that may still belong to its passage.
@@ -33,7 +38,19 @@ EDGE = 30
 BUCKET_BYTES, HELD, KNOWN = 1_500_000, 400_000, 600_000
 SEED = np.dtype([("seed", "<u8"), ("run", "<u4"), ("doc", "<i8"), ("at", "<i4"), ("more", "u1")])
 PLACE = np.dtype([("doc", "<i8"), ("at", "<i4")])
-MATCH = np.dtype([("doc", "<i8"), ("other", "<i8"), ("at", "<i4"), ("there", "<i4")])
+MATCH = np.dtype([("doc", "<i8"), ("other", "<i8"), ("at", "<i4"), ("there", "<i4"), ("late", "u1")])
+SPOT = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("at", "<i4")])
+#: A passage of two documents, in words; and a spot inside one, with where the seed may stand in the other document.
+LINK = np.dtype([("doc", "<i8"), ("other", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("low", "<i4"), ("high", "<i4")])
+SIDE = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("other", "<i8"), ("low", "<i4"), ("high", "<i4")])
+NEAR = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("label", "<u4"), ("hot", "u1")])
+KEY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("a", "<i4"), ("b", "<i4"), ("c", "<i4"), ("x", "<u4"), ("y", "<u4"), ("z", "<u4"), ("seeds", "u1"), ("part", "<u2"), ("parts", "<u2")])
+#: What rows of packed data hold: matches by document, spots by seed, seeds that may stand near hot ones, hot ones, heads and members of classes, passages and edges, members of long lists.
+MATCHES, SPOTS, OTHERS, HOT, HEADS, MEMBERS, EDGES, WIDE = range(8)
+#: Members of a long list that are compared with each other, or with as many others, in one group.
+TILE = 8192
+#: Places in the table that tells which documents the second round asks for.
+ASKED = 8_388_593
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -112,23 +129,36 @@ def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, of, np.where(second < len(rows), second, -1)
 
 
-def _paired(doc: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray) -> np.ndarray:
+def _paired(doc: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, late: int = 0) -> np.ndarray:
     """Matches between different documents, the one of the larger id first."""
     keep = doc != other
     doc, at, other, there = doc[keep], at[keep], other[keep], there[keep]
     out, turned = np.empty(len(doc), MATCH), doc < other
+    out["late"] = late
     out["doc"], out["other"] = np.where(turned, other, doc), np.where(turned, doc, other)
     out["at"], out["there"] = np.where(turned, there, at), np.where(turned, at, there)
     return out
 
 
+def _incomplete(rows: np.ndarray, small: int = SMALL) -> np.ndarray:
+    """Of ordered rows: those of seeds whose occurrences ``_matches`` does not bring together in all pairs."""
+    if not len(rows):
+        return np.zeros(0, bool)
+    begin, of, _ = _classes(rows)
+    few = (np.diff(np.append(begin, len(rows)))[of] <= EQUAL) & (rows["more"] == 0)
+    heads = few.copy()
+    heads[begin] = True
+    seed = np.cumsum(np.concatenate([[False], rows["seed"][1:] != rows["seed"][:-1]]))
+    return ((np.bincount(seed[heads]) > small) | (np.bincount(seed[~few], minlength=seed[-1] + 1) > 0))[seed]
+
+
 def _matches(rows: np.ndarray, small: int = SMALL, ahead: int = NEXT, first: int = FIRST) -> np.ndarray:
-    """Matches between the occurrences of equal seeds, given all of them in order.
+    """First matches between the occurrences of equal seeds, given all of them in order.
 
     An occurrence meets the first one in the same surroundings, or, where that is in its own document, the first of another.
     Those in different surroundings, and up to ``EQUAL`` in the same, meet each other: up to ``small`` all, of more each the
-    next ``ahead`` by document and the ``first`` of all. None of this depends on how rows are dealt to tasks: a task holds
-    back members only of classes that are larger than ``EQUAL`` anyway.
+    next ``ahead`` by document and the ``first`` of all; ``_rest`` and ``_keyed`` see to the others. None of this depends on how
+    rows are dealt to tasks: a task holds back members only of classes that are larger than ``EQUAL`` anyway.
     """
     begin, of, second = _classes(rows)
     if not len(rows):
@@ -154,6 +184,13 @@ def _matches(rows: np.ndarray, small: int = SMALL, ahead: int = NEXT, first: int
     return np.concatenate(found)
 
 
+def _distinct(found: np.ndarray) -> np.ndarray:
+    """Matches in order, each once: of equal ones that of the first round."""
+    found = found[np.lexsort((found["late"], found["there"], found["at"], found["other"], found["doc"]))]
+    new = np.logical_or.reduce([found[f][1:] != found[f][:-1] for f in ("doc", "other", "at", "there")])
+    return found[np.concatenate([[True], new])] if len(found) else found
+
+
 class Fenwick:
     """Largest value with its owner over the places before a given one."""
 
@@ -380,8 +417,9 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
     ``similarity`` (equal words over columns of the alignment). Words are letters and digits without case of ASCII.
 
     Pairs of a larger group of equal passages are not formed: each names the group's first document. Passages that differ meet each
-    other as ``_matches`` says, seed by seed, so a passage that very many documents hold with changes of their own is named
-    with some of them, which connect the group. Rows do not depend on how documents are dealt to tasks.
+    other seed by seed, those of very frequent seeds in two rounds: first a few of them (``_matches``), then all whose occurrences of
+    the seed are not connected by passages found so far (``_rest``, ``_keyed``). So a passage that very many documents hold with changes
+    of their own is named with some of them, which connect the group. Rows do not depend on how documents are dealt to tasks.
     Ids are whole numbers; rows with a null id, null and short texts have no passages, and rows of one id do not match
     each other: of their texts the smallest counts. No rows give no rows.
     """
@@ -409,9 +447,9 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() >= buckets:  # further members of classes pass as they are
-            return table.select(["seed", "run", "data"]).append_column("bucket", pa.nulls(len(table), pa.int32())).append_column(
-                "head", pa.nulls(len(table), pa.binary())).select(["bucket", "data", "seed", "run", "head"])
-        return _met(_ordered(np.concatenate([_unpacked(x) for x in table.column("data").to_pylist()])), shelves)
+            nulls = pa.nulls(len(table), pa.int32())
+            return pa.table([pa.array(np.full(len(table), MEMBERS, np.int32)), nulls, table["data"], table["seed"], table["run"], pa.nulls(len(table), pa.binary())], names=names)
+        return _met(_ordered(np.concatenate([_unpacked(x, SEED) for x in table.column("data").to_pylist()])), shelves, key[0].as_py(), names)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,36 +462,143 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
             if found:
                 yield _by_document(np.concatenate(found), shelves)
 
-    def chain(key: tuple, table: pa.Table) -> pa.Table:
-        return _chained(np.concatenate([np.frombuffer(zstandard.decompress(x), MATCH) for x in table.column("data").to_pylist()]), words, min_words)
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for seed, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(zstandard.decompress(data), PLACE)
+                found.append(np.empty(len(own), SPOT))
+                found[-1]["seed"], found[-1]["doc"], found[-1]["at"] = seed & (1 << 64) - 1, own["doc"], own["at"]
+            if found:
+                own = np.concatenate(found)
+                yield _kinds([(SPOTS, own, (own["seed"] % np.uint64(buckets)).astype(np.int64))])
 
-    sampled = rows.mapInArrow(scan, "bucket int, data binary, seed bigint, run bigint")
-    met = staged(sampled.groupBy("bucket").applyInArrow(meet, "bucket int, data binary, seed bigint, run bigint, head binary"))
-    heads = met.where("head is not null").select("seed", "run", "head")
-    more = met.where("head is null and seed is not null").select("seed", "run", "data").join(heads, ["seed", "run"]).select("data", "head")
-    matches = met.where("bucket is not null").select("bucket", "data").unionByName(more.mapInArrow(members, "bucket int, data binary"))
-    chained = matches.groupBy("bucket").applyInArrow(chain, "doc bigint, other bigint, at array<int>, there array<int>")
-    chained = staged(chained.withColumn("chain", F.xxhash64("doc", "other", "at", "there")))
-
-    ends = chained.select("chain", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("doc").alias("of"), F.col("at").alias("x")),
-        F.struct(F.lit(1).alias("side"), F.col("other").alias("of"), F.col("there").alias("x")))).alias("e")).select("chain", "e.*")
-    low, high = F.greatest(F.lit(0), F.element_at("x", 1) - BLOCK), F.element_at("x", -1) + words + BLOCK
-    wanted = ends.select("chain", "side", "of", F.explode(F.sequence(F.floor(low / BLOCK).cast("int"), F.floor(high / BLOCK).cast("int"))).alias("block"))
-    asked = wanted.groupBy("of").agg(F.collect_set("block").alias("asked"))
-    full = compressed(rows, "doc", "text")
-    blocks = full.join(asked, full["doc"] == asked["of"]).select("doc", "data", "asked").mapInArrow(_blocks, "of bigint, block int, words binary, spans binary")
-    blocks = blocks.groupBy("of", "block").agg(F.min(F.struct("words", "spans")).alias("b"))
-    sides = wanted.join(blocks, ["of", "block"]).select("chain", F.struct("side", "block", "b.words", "b.spans").alias("part"))
-    gathered = sides.groupBy("chain").agg(F.collect_list("part").alias("parts")).join(chained, "chain")
+    def by_shelf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_rows, size = [], 0
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                held_rows.append(_unpacked(data, SPOT))
+                size += len(held_rows[-1])
+                if size >= held:
+                    own, held_rows, size = np.concatenate(held_rows), [], 0
+                    yield _kinds([(SPOTS, own, _shelf(own["doc"], shelves))])
+        if size:
+            own = np.concatenate(held_rows)
+            yield _kinds([(SPOTS, own, _shelf(own["doc"], shelves))])
+
+    def passages_by_shelf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.frombuffer(b"".join(batch.column(0).to_pylist()), LINK)
+            yield _kinds([(EDGES, own, _shelf(own["doc"], shelves))])
+
+    def edges(key: tuple, table: pa.Table) -> pa.Table:
+        own = _inside(_held(table, SPOTS, SPOT), _held(table, EDGES, LINK))
+        return pa.Table.from_batches([_kinds([(EDGES, own, (own["seed"] % np.uint64(buckets)).astype(np.int64))])])
+
+    def rest(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_rest(_held(table, SPOTS, SPOT), _held(table, EDGES, SIDE), shelves, min_words)])
+
+    def keys(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_keys(np.concatenate([_held(table, OTHERS, NEAR), _held(table, HOT, NEAR)]), 4 * shelves)])
+
+    def keyed(key: tuple, table: pa.Table) -> pa.Table:
+        found, long = _keyed(np.concatenate([_unpacked(x, KEY) for x in table.column("data").to_pylist()]))
+        return pa.Table.from_batches([_kinds([(MATCHES, found, _shelf(found["doc"], shelves)), (WIDE, long, _shelf(long["doc"], shelves))])])
+
+    def by_text(key: tuple, table: pa.Table) -> pa.Table:
+        own = np.concatenate([_unpacked(x, KEY) for x in table.column("data").to_pylist()])
+        docs, of = np.unique(own["doc"], return_inverse=True)
+        parts = [(int(docs[k]), _packed(x)) for k, x in _split(own, of)]
+        return pa.table({"of": pa.array([d for d, _ in parts], pa.int64()), "spots": pa.array([x for _, x in parts], pa.binary())})
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, waiting, size = Words(), [], 0
+        for batch in batches:
+            for text, data in zip(unpacked(batch.column(0)), batch.column(1).to_pylist()):
+                hashes, own = known.hashes(latin_words(text)), _unpacked(data, KEY)
+                for lo in range(0, len(own), 4096):
+                    waiting.append(_around(hashes, own[lo:lo + 4096], wide))
+                    size += len(waiting[-1])
+                    if size >= 20_000:
+                        yield _dealt_wide(np.concatenate(waiting), buckets)
+                        waiting, size = [], 0
+        if size:
+            yield _dealt_wide(np.concatenate(waiting), buckets)
+
+    def alike(key: tuple, table: pa.Table) -> pa.Table:
+        own = np.concatenate([_unpacked(x, wide) for x in table.column("data").to_pylist()])
+        return pa.Table.from_batches([_by_document(_alike(own, int(np.ceil(similarity * min_words - 1e-9))), shelves)])
+
+    def chain(fresh: bool):
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            found, more = [], []
+            for x in table.column("data"):
+                more.append(_unpacked(x.as_py(), MATCH))
+                if sum(map(len, more)) >= 4 * held:  # several keys give the same match
+                    found, more = [_distinct(np.concatenate([*found, *more]))], []
+            return _chained(np.concatenate([*found, *more]), words, min_words, fresh)
+
+        return run
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 yield _aligned(batch.slice(lo, 64), words, min_words, similarity)
 
+    def verified(matches: DataFrame, fresh: bool) -> DataFrame:
+        chained = matches.groupBy("bucket").applyInArrow(chain(fresh), "doc bigint, other bigint, at array<int>, there array<int>")
+        chained = staged(chained.withColumn("chain", F.xxhash64("doc", "other", "at", "there")))
+        ends = chained.select("chain", F.explode(F.array(
+            F.struct(F.lit(0).alias("side"), F.col("doc").alias("of"), F.col("at").alias("x")),
+            F.struct(F.lit(1).alias("side"), F.col("other").alias("of"), F.col("there").alias("x")))).alias("e")).select("chain", "e.*")
+        low, high = F.greatest(F.lit(0), F.element_at("x", 1) - BLOCK), F.element_at("x", -1) + words + BLOCK
+        wanted = ends.select("chain", "side", "of", F.explode(F.sequence(F.floor(low / BLOCK).cast("int"), F.floor(high / BLOCK).cast("int"))).alias("block"))
+        asked = wanted.groupBy("of").agg(F.collect_set("block").alias("asked"))
+        full = _texts_of(rows, ends) if fresh else compressed(rows, "doc", "text")
+        blocks = full.join(asked, full["doc"] == asked["of"]).select("doc", "data", "asked").mapInArrow(_blocks, "of bigint, block int, words binary, spans binary")
+        blocks = blocks.groupBy("of", "block").agg(F.min(F.struct("words", "spans")).alias("b"))
+        sides = wanted.join(blocks, ["of", "block"]).select("chain", F.struct("side", "block", "b.words", "b.spans").alias("part"))
+        gathered = sides.groupBy("chain").agg(F.collect_list("part").alias("parts")).join(chained, "chain")
+        return gathered.select("doc", "other", "at", "there", "parts").mapInArrow(aligned, kind + ", link binary")
+
     kind = "doc bigint, start int, `end` int, other_id bigint, other_start int, other_end int, n_words int, similarity double"
-    out = gathered.select("doc", "other", "at", "there", "parts").mapInArrow(aligned, kind)
+    packed = "kind int, bucket int, data binary"
+    # Beyond a chain's ends a passage follows the diagonal, while equal words outweigh others or for EDGE words.
+    width = 2 * min_words + 6 + EDGE
+    wide = np.dtype([*[(f, KEY[f]) for f in KEY.names], ("low", "<u8"), ("high", "<u8"), ("before", "<u2", (width,)), ("after", "<u2", (width,))])
+    names = ["kind", "bucket", "data", "seed", "run", "head"]
+    sampled = rows.mapInArrow(scan, "bucket int, data binary, seed bigint, run bigint")
+    met = staged(sampled.groupBy("bucket").applyInArrow(meet, packed + ", seed bigint, run bigint, head binary"))
+
+    def of_kind(df: DataFrame, *kinds: int) -> DataFrame:
+        return df.where(F.col("kind").isin(*kinds)).select("kind", "bucket", "data")
+
+    heads = met.where(F.col("kind") == HEADS).select("seed", "run", "head")
+    apart = met.where(F.col("kind") == MEMBERS)
+    more = apart.select("seed", "run", "data").join(heads, ["seed", "run"]).select("data", "head")
+    matches = of_kind(met, MATCHES).unionByName(more.mapInArrow(members, packed))
+    first = staged(verified(matches, False))
+
+    spotted = of_kind(met, SPOTS).unionByName(apart.select("seed", "data").mapInArrow(spots, packed))
+    known = spotted.select("data").mapInArrow(by_shelf, packed).unionByName(first.select("link").mapInArrow(passages_by_shelf, packed))
+    known = known.groupBy("bucket").applyInArrow(edges, packed)
+    rests = staged(spotted.unionByName(known).groupBy("bucket").applyInArrow(rest, packed))
+    out = first.drop("link")
+    if not of_kind(rests, MATCHES, HOT).isEmpty():
+        several = of_kind(met, OTHERS).unionByName(of_kind(rests, OTHERS, HOT)).groupBy("bucket").applyInArrow(keys, packed)
+        several = staged(several.groupBy("bucket").applyInArrow(keyed, packed))
+        late = of_kind(rests, MATCHES).unionByName(of_kind(several, MATCHES))
+        long = of_kind(several, WIDE)
+        if not long.isEmpty():
+            long = staged(long.groupBy("bucket").applyInArrow(by_text, "of bigint, spots binary"))
+            full = _texts_of(rows, long)
+            long = full.join(long, full["doc"] == long["of"]).select("data", "spots").mapInArrow(around, packed)
+            late = late.unionByName(long.groupBy("bucket").applyInArrow(alike, packed))
+        second = staged(verified(matches.unionByName(late), True)).drop("link").distinct()
+        # A passage of the first round that lies inside one of the second is the same one, found with fewer matches.
+        x, y = out.alias("x"), second.alias("y")
+        inside = " and ".join(["x.doc = y.doc", "x.other_id = y.other_id", "y.start <= x.start", "x.`end` <= y.`end`", "y.other_start <= x.other_start", "x.other_end <= y.other_end"])
+        out = x.join(y, F.expr(inside), "left_anti").unionByName(second)
     return out.withColumnRenamed("doc", id_col)
 
 
@@ -464,20 +609,36 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: np.ndarray) -> bytes:
-    """Seeds column by column, compressed: documents and places take few bytes then."""
-    return zstandard.compress(b"".join([np.ascontiguousarray(rows[f]).tobytes() for f in SEED.names]), 1)
+    """Rows column by column, compressed: documents and places take few bytes then."""
+    return zstandard.compress(b"".join([np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names]), 1)
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
     data = zstandard.decompress(data)
-    out, at = np.empty(len(data) // SEED.itemsize, SEED), 0
-    for f in SEED.names:
-        own = np.frombuffer(data, SEED[f], len(out), at)
-        out[f] = own
+    out, at = np.empty(len(data) // kind.itemsize, kind), 0
+    for f in kind.names:
+        plain, shape = kind[f].subdtype or (kind[f], ())
+        own = np.frombuffer(data, plain, len(out) * int(np.prod(shape)), at)
+        out[f] = own.reshape(len(out), *shape)
         at += own.nbytes
     return out
 
 
+def _held(table: pa.Table, kind: int, rows: np.dtype) -> np.ndarray:
+    """All rows of a kind."""
+    return np.concatenate([np.zeros(0, rows), *[_unpacked(x, rows) for k, x in zip(table["kind"].to_pylist(), table["data"].to_pylist()) if k == kind]])
+
+
+def _kinds(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Packed rows of several kinds, each with the bucket that it goes to."""
+    rows = [(kind, to, _packed(own)) for kind, values, where in parts for to, own in _split(values, where)]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["kind", "bucket", "data"])
+
+
+def _shelf(doc: np.ndarray, shelves: int) -> np.ndarray:
+    return (_mixed(doc) % np.uint64(shelves)).astype(np.int64)
+
+
 def _split(values: np.ndarray, where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The values of each number in ``where``."""
     order = np.argsort(where, kind="stable")
@@ -517,13 +678,23 @@ def _dealt(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
 
 
 def _by_document(found: np.ndarray, shelves: int) -> pa.RecordBatch:
-    parts = list(_split(found, (_mixed(found["doc"]) % np.uint64(shelves)).astype(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in parts], pa.int32()), pa.array([zstandard.compress(own.tobytes(), 1) for _, own in parts], pa.binary())], names=["bucket", "data"])
-
-
-def _met(rows: np.ndarray, shelves: int) -> pa.Table:
-    """Matches by document, and the heads of classes that have members elsewhere."""
-    found = _by_document(_matches(rows), shelves)
+    return _kinds([(MATCHES, found, _shelf(found["doc"], shelves))])
+
+
+def _met(rows: np.ndarray, shelves: int, bucket: int, names: list[str]) -> pa.Table:
+    """Matches by document; all occurrences of seeds that have not met in all pairs; by document, those of other seeds that
+    several documents hold; and the heads of classes that have members elsewhere."""
+    cut = _incomplete(rows)
+    spots = np.empty(int(cut.sum()), SPOT)
+    for f in SPOT.names:
+        spots[f] = rows[f][cut]
+    new = np.flatnonzero(np.concatenate([[True], rows["seed"][1:] != rows["seed"][:-1]])) if len(rows) else np.zeros(0, int)
+    several = np.minimum.reduceat(rows["doc"], new) != np.maximum.reduceat(rows["doc"], new) if len(rows) else np.zeros(0, bool)
+    own = rows[~cut & np.repeat(several, np.diff(np.append(new, len(rows))))]
+    others = np.zeros(len(own), NEAR)
+    others["seed"], others["doc"], others["at"] = own["seed"] & np.uint64(0xFFFFFFFF), own["doc"], own["at"]
+    found = _matches(rows)
+    out = _kinds([(MATCHES, found, _shelf(found["doc"], shelves)), (SPOTS, spots, np.full(len(spots), bucket)), (OTHERS, others, _shelf(others["doc"], shelves))])
     begin, _, second = _classes(rows)
     more = np.maximum.reduceat(rows["more"], begin) > 0 if len(rows) else np.zeros(0, bool)
     seed, run, head = [], [], []
@@ -534,28 +705,319 @@ def _met(rows: np.ndarray, shelves: int) -> pa.Table:
         seed.append(int(own["seed"][0].astype(np.int64)))
         run.append(int(own["run"][0]))
         head.append(place.tobytes())
-    n, m = len(found), len(head)
-    return pa.table({"bucket": pa.concat_arrays([found.column(0), pa.nulls(m, pa.int32())]), "data": pa.concat_arrays([found.column(1), pa.nulls(m, pa.binary())]),
-                     "seed": pa.array([None] * n + seed, pa.int64()), "run": pa.array([None] * n + run, pa.int64()), "head": pa.array([None] * n + head, pa.binary())})
+    n, m = len(out), len(head)
+    return pa.table([pa.array([*out.column(0).to_pylist(), *[HEADS] * m], pa.int32()), pa.concat_arrays([out.column(1), pa.nulls(m, pa.int32())]), pa.concat_arrays([out.column(2), pa.nulls(m, pa.binary())]),
+                     pa.array([None] * n + seed, pa.int64()), pa.array([None] * n + run, pa.int64()), pa.array([None] * n + head, pa.binary())], names=names)
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of ``n`` numbers that pairs reach, for each."""
+    low = np.arange(n)
+    while True:
+        x, y = low[a], low[b]
+        apart = x != y
+        if not apart.any():
+            return low
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+
+
+def _across(group: np.ndarray, label: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in one group under different labels, for rows in order of both; only those of ``wanted`` rows."""
+    n = len(group)
+    edge = np.concatenate([group[1:] != group[:-1], [True]]) if n else np.zeros(0, bool)
+    block = edge | np.concatenate([label[1:] != label[:-1], [True]]) if n else edge
+    last = lambda ends: np.flatnonzero(ends)[np.cumsum(ends) - ends] + 1  # noqa: E731  where each row's group or block ends
+    to, end = last(edge), last(block)
+    count = np.where(wanted, to - end, 0)
+    i = np.repeat(np.arange(n), count)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(end, count)
+
+
+def _pairs_apart(group: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For rows in order of group and label: how many pairs of the row's group have different labels."""
+    if not len(group):
+        return np.zeros(0)
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    of = np.cumsum(new) - 1
+    block = np.flatnonzero(new | np.concatenate([[True], label[1:] != label[:-1]]))
+    equal = np.bincount(of[block], weights=np.diff(np.append(block, len(group))).astype(float) ** 2)
+    return ((np.bincount(of).astype(float) ** 2 - equal) / 2)[of]
+
+
+def _to_meet(group: np.ndarray, label: np.ndarray, doc: np.ndarray, always: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs in a group that differ in label and document: which rows are of groups with few of them, or ``always``, which of
+    groups with many, and all pairs of the former."""
+    count = np.unique(group, return_inverse=True, return_counts=True)
+    count = count[2][count[1]] if len(group) else np.zeros(0, int)
+    orders = [np.lexsort((by, group)) for by in (label, doc)]
+    pairs = np.zeros((2, len(group)))
+    for p, order, by in zip(pairs, orders, (label, doc)):
+        p[order] = _pairs_apart(group[order], by[order])
+    least = pairs.min(axis=0)
+    few = (least > 0) & ((least <= DIRECT * count) | always)
+    own = [(order[i], order[j]) for order, by, wanted in zip(orders, (label, doc), (few & (pairs[0] <= pairs[1]), few & (pairs[0] > pairs[1])))
+           for i, j in [_across(group[order], by[order], wanted[order])]]
+    i, j = (np.concatenate(x) for x in zip(*own))
+    apart = (label[i] != label[j]) & (doc[i] != doc[j])
+    return few, (least > 0) & ~few, i[apart], j[apart]
+
+
+def _rest(spots: np.ndarray, edges: np.ndarray, shelves: int, min_words: int) -> pa.RecordBatch:
+    """What is still to meet of seeds whose occurrences have not met in all pairs, given all of them and where they lie in passages.
+
+    Occurrences in both documents of a passage are connected and need not meet. Of the others, all pairs meet where they are few; else the seed
+    is hot, and its occurrences go to their documents, to meet those that agree in more than this seed. Overlapping
+    occurrences in a document, of a word said again and again, are one, with its two ends; those that fill a passage meet the first.
+    """
+    spots = spots[np.lexsort((spots["at"], spots["doc"], spots["seed"]))]
+    seed, at = spots["seed"], spots["at"].astype(np.int64)
+    gap = np.append(0, np.diff(at)) if len(spots) else at
+    other = np.concatenate([[True], (seed[1:] != seed[:-1]) | (spots["doc"][1:] != spots["doc"][:-1])]) if len(spots) else np.zeros(0, bool)
+    new = other | (gap > WORDS)
+    begin, unit = np.flatnonzero(new), np.cumsum(new) - 1
+    label = np.arange(len(begin))
+    if len(spots) and len(edges):
+        seeds_, docs = np.unique(seed), np.unique(spots["doc"])
+        held = np.searchsorted(seeds_, seed[other]) * len(docs) + np.searchsorted(docs, spots["doc"][other])  # each seed's documents, in order
+        place = (np.cumsum(other) - 1 << 32) + at
+
+        def group(doc: np.ndarray) -> np.ndarray:
+            s, d = np.minimum(np.searchsorted(seeds_, edges["seed"]), len(seeds_) - 1), np.minimum(np.searchsorted(docs, doc), len(docs) - 1)
+            k = np.minimum(np.searchsorted(held, s * len(docs) + d), len(held) - 1)
+            return np.where((seeds_[s] == edges["seed"]) & (docs[d] == doc) & (held[k] == s * len(docs) + d), k, -1)
+
+        a, b = group(edges["doc"]), group(edges["other"])
+        x, y = (np.minimum(np.searchsorted(place, (k << 32) + p), len(place) - 1) for k, p in ((a, edges["at"]), (b, edges["low"])))
+        fine = (a >= 0) & (b >= 0) & (place[x] == (a << 32) + edges["at"]) & (place[y] >= (b << 32) + edges["low"]) & (place[y] <= (b << 32) + edges["high"] - WORDS)
+        label = _joined(len(begin), unit[x[fine]], unit[y[fine]])
+    size = np.diff(np.append(begin, len(spots)))
+    last = begin + size - 1
+    step = np.where(new, 0, gap)
+    high = np.maximum.reduceat(step, begin) if len(begin) else begin
+    low = np.minimum.reduceat(np.where(new, WORDS + 1, step), begin) if len(begin) else begin
+    even = (low == high) & (high > 0)
+
+    few, hot, i, j = _to_meet(seed[begin], label, spots["doc"][begin])
+
+    def paired(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return _paired(spots["doc"][i], spots["at"][i], spots["doc"][j], spots["at"][j], 1)
+
+    run = (size[i] > 1) | (size[j] > 1)
+    found = [paired(begin[i], begin[j]), paired(last[i[run]], last[j[run]])]
+
+    long = np.flatnonzero(even & (at[last] - at[begin] + WORDS >= min_words)) if len(begin) else begin
+    if len(long):
+        long = long[np.lexsort((long, high[long], seed[begin[long]]))]
+        s, h = seed[begin[long]], high[long]
+        head = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])]))
+        to = long[np.repeat(head, np.diff(np.append(head, len(long))))]
+        long, to = long[label[long] != label[to]], to[label[long] != label[to]]
+        n = np.minimum(size[long], size[to])
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found.append(paired(np.repeat(begin[long], n) + k, np.repeat(begin[to], n) + k))
+
+    def near(own: np.ndarray, is_hot: int) -> np.ndarray:
+        places = np.concatenate([begin[own], last[own[size[own] > 1]]])
+        root = begin[label[unit[places]]]
+        out = np.empty(len(places), NEAR)
+        out["seed"], out["doc"], out["at"], out["hot"] = seed[places], spots["doc"][places], spots["at"][places], is_hot
+        out["label"] = _label(spots["doc"][root], spots["at"][root])
+        return out
+
+    found, others, near_hot = np.concatenate(found), near(np.flatnonzero(few), 0), near(np.flatnonzero(hot), 1)
+    return _kinds([(MATCHES, found, _shelf(found["doc"], shelves)), (OTHERS, others, _shelf(others["doc"], shelves)), (HOT, near_hot, _shelf(near_hot["doc"], shelves))])
+
+
+def _inside(spots: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """The spots inside passages, with the passage in the other document."""
+    spots = spots[np.lexsort((spots["at"], spots["doc"]))]
+    docs, begin = np.unique(spots["doc"], return_index=True)
+    of = np.repeat(np.arange(len(docs)), np.diff(np.append(begin, len(spots))))
+    place = (of << 32) + spots["at"]
+    if not len(docs):
+        return np.zeros(0, SIDE)
+    k = np.minimum(np.searchsorted(docs, links["doc"]), len(docs) - 1)
+    links, k = links[docs[k] == links["doc"]], k[docs[k] == links["doc"]]
+    low, high = np.searchsorted(place, (k << 32) + links["lo"]), np.searchsorted(place, (k << 32) + links["hi"] - WORDS, side="right")
+    n = np.maximum(high - low, 0)
+    link = np.repeat(np.arange(len(links)), n)
+    own = np.arange(len(link)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    out = np.empty(len(own), SIDE)
+    for f in SPOT.names:
+        out[f] = spots[f][own]
+    for f in ("other", "low", "high"):
+        out[f] = links[f][link]
+    return out
+
+
+def _label(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((_mixed(doc) ^ (at.astype(np.uint64) + np.uint64(1)) * _M1) * _M2 >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
-def _chained(found: np.ndarray, words: int, min_words: int) -> pa.Table:
-    """Chains of matches between two documents that may cover a passage."""
+def _key(*seeds: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        out = seeds[0] * _M1
+        for s in seeds[1:]:
+            out = (out ^ (out >> np.uint64(31)) ^ s) * _M2
+    return out
+
+
+def _keys(near: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Keys of several seeds in reach of each other, of all documents whose seeds these are.
+
+    In a chain of three or more matches, a match of a hot seed has one of a seed that is not hot at most two steps away, or is one of
+    three matches of hot seeds that follow each other. So a hot seed goes with every other one within two steps, and with
+    every two hot ones, a step apart each, the nearest of their kind.
+    """
+    near = near[np.lexsort((near["at"], near["doc"]))]
+    reach, at = REACH + WORDS, near["at"].astype(np.int64)
+    of = np.cumsum(np.concatenate([[False], near["doc"][1:] != near["doc"][:-1]])) if len(near) else at
+    place = (of << 33) + at  # no two documents are within reach
+    hot, cool = np.flatnonzero(near["hot"]), np.flatnonzero(near["hot"] == 0)
+    out = []
+
+    def within(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = high - low
+        return np.repeat(own, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+    for begin in range(0, len(hot), 20_000):
+        own = hot[begin:begin + 20_000]
+        f, n = within(own, np.searchsorted(place[cool], place[own] - 2 * reach), np.searchsorted(place[cool], place[own] + 2 * reach, side="right"))
+        n = cool[n]
+        part = np.zeros(len(f), KEY)
+        part["key"], part["doc"], part["a"], part["seeds"] = _key(near["seed"][f], near["seed"][n], (n > f).astype(np.uint64)), near["doc"][f], at[f], 1
+        part["x"], part["y"] = np.where(near["label"][n] > 0, near["label"][n], _label(near["doc"][n], at[n])), near["label"][f]
+        out.append(part)
+    seed, spot = near["seed"][hot], place[hot]
+    order = np.lexsort((np.arange(len(hot)), seed, of[hot]))
+    before = np.full(len(hot), -1)
+    again = np.flatnonzero((seed[order][1:] == seed[order][:-1]) & (of[hot][order][1:] == of[hot][order][:-1])) + 1
+    before[order[again]] = order[again - 1]
+    high = np.searchsorted(spot, spot + reach, side="right")
+    for begin in range(0, len(hot), 1_000):
+        i = np.arange(begin, min(begin + 1_000, len(hot)))
+        i, j = within(i, i + 1, high[i])
+        fine = (spot[j] > spot[i]) & (before[j] < i) & (seed[i] != seed[j])
+        i, j = i[fine], j[fine]
+        k, c = within(np.arange(len(j)), j + 1, high[j])
+        a, b = i[k], j[k]
+        fine = (spot[c] > spot[b]) & (before[c] < b) & (seed[c] != seed[b]) & (seed[c] != seed[a])
+        a, b, c = hot[a[fine]], hot[b[fine]], hot[c[fine]]
+        part = np.zeros(len(a), KEY)
+        part["key"], part["doc"], part["seeds"] = _key(near["seed"][a], near["seed"][b], near["seed"][c]), near["doc"][a], 3
+        for f, x, own in (("a", "x", a), ("b", "y", b), ("c", "z", c)):
+            part[f], part[x] = at[own], near["label"][own]
+        out.append(part)
+    own = np.concatenate([np.zeros(0, KEY), *out])
+    own = own[np.lexsort((own["a"], own["doc"], own["key"]))]
+    return _kinds([(MATCHES, own, (own["key"] % np.uint64(buckets)).astype(np.int64))])
+
+
+def _keyed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matches of hot seeds between documents that hold the same key, where none of the key's seeds connects them yet; and the
+    members of lists of three hot seeds, as of a line that very many documents hold, that would have too many of them."""
+    rows = rows[np.lexsort((rows["c"], rows["b"], rows["a"], rows["doc"], rows["x"], rows["key"]))]
+    _, many, i, j = _to_meet(rows["key"], rows["x"], rows["doc"], rows["seeds"] == 1)
+    apart = _apart(rows, i, j)
+    long = rows[many]
+    _, of, count = np.unique(long["key"], return_inverse=True, return_counts=True)
+    long["parts"] = -(-count[of] // TILE)
+    long["part"] = _mixed(long["doc"]) % long["parts"]
+    return _agreed(rows, i[apart], j[apart]), long
+
+
+def _apart(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether rows are of different documents and none of their seeds connects them."""
+    return (rows["doc"][i] != rows["doc"][j]) & (rows["x"][i] != rows["x"][j]) & (rows["y"][i] != rows["y"][j]) & ((rows["seeds"][i] == 1) | (rows["z"][i] != rows["z"][j]))
+
+
+def _agreed(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Matches of the hot seeds of keys, each once."""
+    doc, other, three = rows["doc"][i], rows["doc"][j], rows["seeds"][i] == 3
+    found = [_paired(doc, rows["a"][i], other, rows["a"][j], 1)]
+    found += [_paired(doc[three], rows[f][i][three], other[three], rows[f][j][three], 1) for f in ("b", "c")]
+    return _distinct(np.concatenate(found))
+
+
+def _around(hashes: np.ndarray, keys: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Members with the words before and after their seeds as small numbers, 0 outside the text; once for each tile they are in."""
+    width = kind["before"].shape[0]
+    edge = np.zeros(width, np.uint16)
+    words = np.concatenate([edge, np.maximum(hashes & np.uint64(0xFFFF), np.uint64(2)).astype(np.uint16), edge])
+    n = keys["parts"].astype(np.int64)
+    own = np.repeat(np.arange(len(keys)), n)
+    out = np.empty(len(own), kind)
+    for f in KEY.names:
+        out[f] = keys[f][own]
+    other = (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+    out["low"], out["high"] = np.minimum(out["part"], other), np.maximum(out["part"], other)
+    begin, end = (np.clip(x, 0, len(hashes))[:, None] + np.arange(width) for x in (out["a"], out["c"] + WORDS))
+    out["before"], out["after"] = words[begin], words[end + width]
+    return out
+
+
+def _dealt_wide(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    return _kinds([(WIDE, rows, _shelf((rows["key"] ^ rows["low"] * _M1 ^ rows["high"] * _M2).view(np.int64), buckets))])
+
+
+def _alike(rows: np.ndarray, need: int) -> np.ndarray:
+    """Matches between members of long lists that may share a passage: between their seeds, and in the same places
+    before and after them, they must have ``need`` equal words. Compares all pairs, block by block."""
+    rows = rows[np.lexsort((rows["doc"], rows["high"], rows["low"], rows["key"]))]
+    new = np.concatenate([[True], np.logical_or.reduce([rows[f][1:] != rows[f][:-1] for f in ("key", "low", "high")])]) if len(rows) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    core = rows["c"] + WORDS - rows["a"]
+    words = np.concatenate([rows["before"], rows["after"]], axis=1).T.copy()
+    others = np.where(words == 0, np.uint16(1), words)  # outside of both texts nothing is equal
+    found = [np.zeros(0, MATCH)]
+    for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(rows)).tolist()):
+        one = bool(rows["low"][lo] == rows["high"][lo])
+        left = lo + np.flatnonzero(rows["part"][lo:hi] == rows["low"][lo])
+        right = left if one else lo + np.flatnonzero(rows["part"][lo:hi] == rows["high"][lo])
+        for x in range(0, len(left), 512):
+            own = left[x:x + 512]
+            for y in range(x if one else 0, len(right), 512):
+                to = right[y:y + 512]
+                equal = np.minimum(core[own][:, None], core[to]).astype(np.uint16)
+                for first in range(0, len(words), 255):
+                    some = np.zeros(equal.shape, np.uint8)
+                    for k in range(first, min(first + 255, len(words))):
+                        some += (words[k, own][:, None] == others[k, to]).view(np.uint8)
+                    equal += some
+                i, j = np.nonzero(equal >= need)
+                i, j = own[i], to[j]
+                apart = _apart(rows, i, j) & ((i < j) | (not one))
+                found.append(_agreed(rows, i[apart], j[apart]))
+    return _distinct(np.concatenate(found))
+
+
+def _chained(found: np.ndarray, words: int, min_words: int, fresh: bool = False) -> pa.Table:
+    """Chains of matches between two documents that may cover a passage; if ``fresh``, those that hold a match of the second round."""
     docs, others, ats, theres = [], [], [], []
-    found = np.unique(found)
+    if fresh:
+        pair = _key(found["doc"].astype(np.uint64), found["other"].astype(np.uint64))
+        found = found[np.isin(pair, np.unique(pair[found["late"] > 0]))]
+    found = _distinct(found)
     if len(found):
         new = np.concatenate([[True], (found["doc"][1:] != found["doc"][:-1]) | (found["other"][1:] != found["other"][:-1])])
         begin = np.flatnonzero(new)
         end = np.concatenate([begin[1:], [len(found)]])
         span = np.maximum.reduceat(found["at"], begin) - np.minimum.reduceat(found["at"], begin) + words
         wanted = (end - begin >= LEAST) & (span >= min_words // 5)
+        if fresh:
+            wanted &= np.maximum.reduceat(found["late"], begin) > 0
         for a, b in zip(begin[wanted], end[wanted]):
+            late = found["late"][a:b]
             at, there = found["at"][a:b].astype(np.int64), found["there"][a:b].astype(np.int64)
             # Matches within reach along one diagonal, as in equal passages, are a chain as they are.
             straight = (at - there == at[0] - there[0]).all() and np.diff(at).max() <= REACH
             for own in [np.arange(len(at))] if straight else chains(at, there, words, REACH, GAP):
                 # Seeds may lie a window and a few changed words inside a passage's ends.
-                if len(own) >= LEAST and at[own[-1]] - at[own[0]] + words >= min_words // 5:
+                if len(own) >= LEAST and at[own[-1]] - at[own[0]] + words >= min_words // 5 and (late[own].any() or not fresh):
                     docs.append(int(found["doc"][a]))
                     others.append(int(found["other"][a]))
                     ats.append(at[own].tolist())
@@ -564,6 +1026,23 @@ def _chained(found: np.ndarray, words: int, min_words: int) -> pa.Table:
                      "at": pa.array(ats, pa.list_(pa.int32())), "there": pa.array(theres, pa.list_(pa.int32()))})
 
 
+def _texts_of(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Compressed texts of the documents in ``of``, and of some more: a table of fixed size tells which may be among them."""
+    spot = F.pmod("of", F.lit(ASKED)).cast("int")
+    table = ends.select(spot.alias("k")).groupBy(F.floor(F.col("k") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, k % 32)")).alias("bits")).toArrow()
+    asked = np.zeros(ASKED // 32 + 1, np.uint32)
+    asked[table["word"].to_numpy()] = table["bits"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            k = batch.column(0).to_numpy() % ASKED
+            own = batch.filter(pa.array((asked[k // 32] >> (k % 32).astype(np.uint32) & 1).astype(bool)))
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([compressor.compress(t) for t in texts(own.column(1))], pa.binary())], names=["doc", "data"])
+
+    return rows.mapInArrow(run, "doc bigint, data binary")
+
+
 def word_spans(text: bytes) -> np.ndarray:
     """Begin and end of every word in code points."""
     inside = np.frombuffer(text.translate(LATIN), np.uint8) != 32
@@ -612,7 +1091,8 @@ def _aligned(batch: pa.RecordBatch, words: int, min_words: int, similarity: floa
             continue
         (a0, a, a_begin, a_end), (b0, b, b_begin, b_end) = side
         for lo, hi, low, high, same, columns in stretches(a, b, [p - a0 for p in at], [q - b0 for q in there], words, min_words, similarity):
-            out.append((doc, int(a_begin[lo]), int(a_end[hi - 1]), other, int(b_begin[low]), int(b_end[high - 1]), hi - lo, same / columns))
-    names = ["doc", "start", "end", "other_id", "other_start", "other_end", "n_words", "similarity"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=names)
+            link = np.array([(doc, other, a0 + lo, a0 + hi, b0 + low, b0 + high)], LINK)
+            out.append((doc, int(a_begin[lo]), int(a_end[hi - 1]), other, int(b_begin[low]), int(b_end[high - 1]), hi - lo, same / columns, link.tobytes()))
+    names = ["doc", "start", "end", "other_id", "other_start", "other_end", "n_words", "similarity", "link"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)], names=names)

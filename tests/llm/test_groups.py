@@ -425,6 +425,39 @@ def test_groups_of_changed_passages_stay_whole(spark):
         assert len(pairs) < 40 * n
 
 
+def test_passages_of_phrases_that_are_frequent_elsewhere(spark):
+    """Every phrase of a passage is in many other documents, in other surroundings: short phrases, long ones, and one word said again and again."""
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randint(0, 40_000)}" for _ in range(n)]
+    rows, want = [], set()
+    for k, (size, often) in enumerate(((5, 40), (12, 40), (12, 90), (15, 60), (25, 60))):
+        phrases = [prose(size) for _ in range(60 // size)]
+        for phrase in phrases:
+            for _ in range(often):
+                rows.append((10 + len(rows), " ".join([*prose(rng.randint(10, 40)), *phrase, *prose(rng.randint(10, 40))])))
+        passage = [w for phrase in phrases for w in phrase]
+        a, b, c = 100_000 + 3 * k, 100_001 + 3 * k, 100_002 + 3 * k
+        rows += [(a, " ".join([*prose(30), *passage, *prose(30)])), (b, " ".join([*prose(20), *passage, *prose(30)]))]
+        rows.append((c, " ".join([*prose(20), *passage[:20], "inserted", *passage[20:], *prose(30)])))
+        want |= {frozenset((a, b)), frozenset((a, c))}
+    # One phrase of many documents, and nothing else of which a seed is left: two words of three are equal, no four in a row.
+    rest = prose(60)
+    phrase = prose(20)
+    rows += [(200_000 + k, " ".join([*prose(30), *phrase, *prose(40)])) for k in range(60)]
+    rows += [(300_000 + k, " ".join([*prose(30), *phrase, *[w if (p + 1) % 4 else f"z{k}{p}" for p, w in enumerate(rest[:40])], *prose(30)])) for k in (0, 1)]
+    want.add(frozenset((300_000, 300_001)))
+    rows += [(400_000 + k, " ".join([*prose(20), *["again"] * (60 + k), *prose(20)])) for k in range(30)]
+    ids = dict(zip(rng.sample(range(1_000_000), len(rows)), (i for i, _ in rows)))  # others lie between those that belong together
+    frame = docs(spark, [(i, t) for i, (_, t) in zip(ids, rows)])
+    got = [sorted(tuple(r) for r in passages.shared_passages(frame.repartition(p), held=held).collect()) for p, held in ((1, 400_000), (8, 900))]
+    assert got[0] == got[1]
+    pairs = {(ids[r[0]], ids[r[3]]) for r in got[0]}
+    roots = linked(pairs, set(ids.values()))
+    assert all(len({roots[i] for i in pair}) == 1 for pair in want)
+    assert len({roots[400_000 + k] for k in range(30)}) == 1
+    assert all(100_000 <= i for pair in pairs for i in pair) and all(a // 100_000 == b // 100_000 for a, b in pairs)
+
+
 def test_equal_passages_name_one_document(spark):
     rng = random.Random(7)
     prose = lambda n: [f"w{rng.randint(0, 40_000)}" for _ in range(n)]
