@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelweave.llm.common import LATIN_WORD, latin_words, merged, pick, texts, type_of
+from panelweave.llm.common import LATIN_WORD, latin_words, lean, merged, pick, texts, type_of
 
 #: Benchmark text that one automaton takes, in bytes; a larger benchmark is scanned for in several passes.
 PART_BYTES = 600_000
@@ -128,7 +128,7 @@ def _scan(rows: DataFrame, text_col: str, items: DataFrame, size: int, part_byte
         own = [("null" if r[0] is None else r[0], (r[1] or "").encode())
                for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()]
         last = part == parts - 1
-        rows = rows.mapInArrow(_scanner(own, size, names.index(text_col), len(names), hidden, part == 0, finish if last else None), result if last else between)
+        rows = rows.mapInArrow(lean(_scanner(own, size, names.index(text_col), len(names), hidden, part == 0, finish if last else None)), result if last else between)
     return rows
 
 

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import arrow_schema, batch_of, pick, space_words, staged, texts
+from panelweave.llm.common import arrow_schema, batch_of, lean, pick, space_words, staged, texts
 from panelweave.llm.links import components
 
 #: Values that a sketch retains.
@@ -90,7 +90,7 @@ def sketches(rows: DataFrame, size: int, retained: int) -> DataFrame:
                                             pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
             yield batch_of(schema, [batch.column(0), n, digest, flat, maps])
 
-    return rows.mapInArrow(run, "id bigint, n bigint, digest binary, sketch array<bigint>, bits array<bigint>")
+    return rows.mapInArrow(lean(run), "id bigint, n bigint, digest binary, sketch array<bigint>, bits array<bigint>")
 
 
 def parity(values: np.ndarray, size: int) -> np.ndarray:
@@ -218,4 +218,4 @@ def _verified(near: DataFrame, rows: DataFrame, size: int, similarity: int) -> D
                 keep.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return staged(near.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"))
+    return staged(near.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a bigint, b bigint"))

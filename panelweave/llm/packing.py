@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import pick, texts, type_of
+from panelweave.llm.common import lean, lean_group, pick, texts, type_of
 
 #: Entries, some 200 bytes each, that a worker's table of known chunks may hold before it becomes the table before.
 KNOWN = 250_000
@@ -109,6 +109,10 @@ class Chunks:
         # The vocabulary writes a byte as a letter: printable ones as they are, the others from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty both tables. A worker lives on between tasks and all workers of an executor take turns, so what each of them kept would add up."""
         self.chunks, self.words = Recent(), Recent()
 
     def ids(self, text: bytes) -> bytes:
@@ -161,31 +165,34 @@ def token_pieces(documents: DataFrame, vocabulary: str, length: int = 2048, end:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         chunks = _CHUNKS.setdefault(vocabulary, Chunks(vocabulary)) if vocabulary not in _CHUNKS else _CHUNKS[vocabulary]
         row = 0
-        for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                at, piece, start, n, crc, ids, turn = [], [], [], [], [], [], []
-                for i, text in enumerate(texts(part.column(1))):
-                    data = chunks.ids(text) + stop
-                    for k in range(0, len(data), size):
-                        own = data[k:k + size]
-                        at.append(i)
-                        piece.append(k // size)
-                        start.append(k // 4)
-                        n.append(len(own) // 4)
-                        crc.append(zlib.crc32(own))
-                        turn.append(row)
-                        if keep_ids:
-                            ids.append(own)
-                        row += 1
-                columns = [part.column(0).take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, n, crc, turn))]
-                names = ["id", "piece", "start", "length", "ids_crc32", "turn"]
-                if keep_ids:
-                    ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))))
-                yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * keep_ids)
-
-    return rows.mapInArrow(run, kind).withColumnRenamed("id", id_col)
+        try:
+            for batch in batches:
+                for lo in range(0, len(batch), 256):
+                    part = batch.slice(lo, 256)
+                    at, piece, start, n, crc, ids, turn = [], [], [], [], [], [], []
+                    for i, text in enumerate(texts(part.column(1))):
+                        data = chunks.ids(text) + stop
+                        for k in range(0, len(data), size):
+                            own = data[k:k + size]
+                            at.append(i)
+                            piece.append(k // size)
+                            start.append(k // 4)
+                            n.append(len(own) // 4)
+                            crc.append(zlib.crc32(own))
+                            turn.append(row)
+                            if keep_ids:
+                                ids.append(own)
+                            row += 1
+                    columns = [part.column(0).take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, n, crc, turn))]
+                    names = ["id", "piece", "start", "length", "ids_crc32", "turn"]
+                    if keep_ids:
+                        ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32))))
+                    yield pa.RecordBatch.from_arrays(columns, names=names + ["ids"] * keep_ids)
+        finally:
+            chunks.forget()
+
+    return rows.mapInArrow(lean(run), kind).withColumnRenamed("id", id_col)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 1, spread: Sequence[str] = ("turn",)) -> DataFrame:
@@ -213,7 +220,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, groups: int = 1, spread: Seque
                 at += lengths[i]
         return rows.select(names).append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    return dealt.groupBy("__group").applyInArrow(run, kind)
+    return dealt.groupBy("__group").applyInArrow(lean_group(run), kind)
 
 
 def pack_documents(documents: DataFrame, vocabulary: str, length: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text",

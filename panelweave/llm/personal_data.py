@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import merged, pick, texts, type_of
+from panelweave.llm.common import lean, merged, pick, texts, type_of
 
 #: The kinds in the order in which spans are listed; the last three are found beside the base kinds.
 KINDS = ("email", "ip", "card", "phone", "login", "account", "secret")
@@ -206,7 +206,7 @@ def redact(documents: DataFrame, text_col: str = "text", length_col: str | None
                 columns[length] = pa.array([o if c is None else len(c) for o, c in zip(old, clean)], batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def spans_text(spans: Column) -> Column:

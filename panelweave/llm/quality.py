@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from panelweave.llm.common import pick, texts, type_of
+from panelweave.llm.common import lean, pick, texts, type_of
 from panelweave.llm.fitting import labelled_sample, logistic, sigmoid
 
 #: N-grams are hashed into 2 ** BITS columns.
@@ -150,6 +150,12 @@ def scores(model: Model, column: pa.Array) -> list[float]:
     return [model.score(_GRAMS.columns(text)) for text in texts(column)]
 
 
+def forget() -> None:
+    """Drop the worker's table of words: it lives on between tasks, and what every worker of an executor kept would add up."""
+    global _GRAMS
+    _GRAMS = None
+
+
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id and ``score``, from 0 to 1, higher where label 1 is likelier.
 
@@ -158,10 +164,13 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     rows = pick(documents, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(model, batch.column(1)), pa.float64())], names=["id", "score"])
+        try:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(model, batch.column(1)), pa.float64())], names=["id", "score"])
+        finally:
+            forget()
 
-    return rows.mapInArrow(run, f"id {type_of(rows, 'id')}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {type_of(rows, 'id')}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_good(documents: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
@@ -172,7 +181,10 @@ def keep_good(documents: DataFrame, model: Model, least: float, text_col: str =
     at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([s >= least for s in scores(model, batch.column(at))], pa.bool_()))
+        try:
+            for batch in batches:
+                yield batch.filter(pa.array([s >= least for s in scores(model, batch.column(at))], pa.bool_()))
+        finally:
+            forget()
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
