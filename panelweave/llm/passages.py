@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import LATIN, compressed, latin_words, partitions, pick, staged, texts, unpacked
+from panelweave.llm.common import LATIN, compressed, lean, lean_group, partitions, pick, staged, texts, unpacked
 
 #: Words in a k-mer, and k-mers in a window of which one is sampled: 9 equal words in a row always share a seed.
 WORDS, WINDOW = 4, 6
@@ -35,7 +35,9 @@ DIRECT = 16
 REACH, BLOCK, GAP = 40, 64, 0.04
 #: Words beyond both ends of an alignment that may still belong to its passage.
 EDGE = 30
-BUCKET_BYTES, HELD, KNOWN = 1_500_000, 400_000, 600_000
+BUCKET_BYTES, HELD = 1_500_000, 400_000
+#: Words that a task remembers, a power of two.
+KNOWN = 1 << 20
 SEED = np.dtype([("seed", "<u8"), ("run", "<u4"), ("doc", "<i8"), ("at", "<i4"), ("more", "u1")])
 PLACE = np.dtype([("doc", "<i8"), ("at", "<i4")])
 MATCH = np.dtype([("doc", "<i8"), ("other", "<i8"), ("at", "<i4"), ("there", "<i4"), ("late", "u1")])
@@ -47,26 +49,55 @@ NEAR = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("label", "<u4"
 KEY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("a", "<i4"), ("b", "<i4"), ("c", "<i4"), ("x", "<u4"), ("y", "<u4"), ("z", "<u4"), ("seeds", "u1"), ("part", "<u2"), ("parts", "<u2")])
 #: What rows of packed data hold: matches by document, spots by seed, seeds that may stand near hot ones, hot ones, heads and members of classes, passages and edges, members of long lists.
 MATCHES, SPOTS, OTHERS, HOT, HEADS, MEMBERS, EDGES, WIDE = range(8)
+#: Pairs, matches or keys that a task holds at once, while it forms them or makes them distinct.
+PAIRS, MOST = 500_000, 1_500_000
 #: Members of a long list that are compared with each other, or with as many others, in one group.
 TILE = 8192
 #: Places in the table that tells which documents the second round asks for.
 ASKED = 8_388_593
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: The first so many bytes of eight.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 class Words:
-    """64-bit hashes of words."""
-
-    def __init__(self):
-        self.at: dict[bytes, int] = {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        at = self.at
-        if len(at) > KNOWN:
-            at.clear()
-        for w in set(words).difference(at):
-            at[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(at.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of words, by a table of fixed size: a short word is found by its bytes, others and new ones are hashed one by one."""
+
+    def __init__(self, slots: int = KNOWN):
+        self.mask = np.uint64(slots - 1)
+        self.known, self.values = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+
+    def hashes(self, text: bytes) -> np.ndarray:
+        """Of the words that ``latin_words`` finds in the text."""
+        plain = text.translate(LATIN)
+        inside = np.frombuffer(plain, np.uint8) != 32
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(inside) and inside[0]:
+            edges = np.concatenate([[0], edges])
+        if len(inside) and inside[-1]:
+            edges = np.concatenate([edges, [len(inside)]])
+        begin, end = edges[::2], edges[1::2]
+        size = end - begin
+        eights = np.ndarray((len(plain) + 1,), "<u8", plain + bytes(8), 0, (1,))  # eight bytes from every place on
+        with np.errstate(over="ignore"):
+            key = (eights[begin] & _BYTES[np.minimum(size, 8)]) * _M1
+            key ^= key >> np.uint64(32)
+            for k in (8, 16):
+                own = np.flatnonzero(size > k)
+                if len(own):
+                    more = (key[own] ^ eights[begin[own] + k] & _BYTES[np.minimum(size[own] - k, 8)]) * _M2
+                    key[own] = more ^ (more >> np.uint64(31))
+            key *= _M1
+        slot = (key >> np.uint64(20)) & self.mask
+        out = self.values[slot]
+        short = size <= 24
+        new = np.flatnonzero((self.known[slot] != key) | ~short)
+        if len(new):
+            out[new] = [xxhash.xxh3_64_intdigest(plain[b:e]) for b, e in zip(begin[new].tolist(), end[new].tolist())]
+            new = new[short[new]]
+            self.known[slot[new]] = key[new]
+            self.values[slot[new]] = out[new]
+        return out
 
 
 def grams_of(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -90,10 +121,11 @@ def picked(grams: np.ndarray, window: int) -> np.ndarray:
     best = np.arange(n - window + 1)
     low = grams[:n - window + 1].copy()
     for k in range(1, window):
-        less = grams[k:n - window + 1 + k] < low
-        low[less] = grams[k:n - window + 1 + k][less]
+        own = grams[k:n - window + 1 + k]
+        less = own < low
+        low = np.minimum(low, own)
         best[less] = np.flatnonzero(less) + k
-    return np.unique(best)
+    return best[np.concatenate([[True], best[1:] != best[:-1]])]  # they only move on
 
 
 def seeds(hashes: np.ndarray, words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,9 +218,12 @@ def _matches(rows: np.ndarray, small: int = SMALL, ahead: int = NEXT, first: int
 
 def _distinct(found: np.ndarray) -> np.ndarray:
     """Matches in order, each once: of equal ones that of the first round."""
-    found = found[np.lexsort((found["late"], found["there"], found["at"], found["other"], found["doc"]))]
+    if not len(found):
+        return found
+    at = (found["at"].astype(np.uint64) << np.uint64(33)) | (found["there"].astype(np.uint64) << np.uint64(1)) | found["late"]
+    found = found[np.lexsort((at, found["other"], found["doc"]))]
     new = np.logical_or.reduce([found[f][1:] != found[f][:-1] for f in ("doc", "other", "at", "there")])
-    return found[np.concatenate([[True], new])] if len(found) else found
+    return found[np.concatenate([[True], new])]
 
 
 class Fenwick:
@@ -432,7 +467,7 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
         known, parts, size = Words(), [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                hashes = known.hashes(latin_words(text))
+                hashes = known.hashes(text)
                 grams = grams_of(hashes, words)
                 at = picked(grams, window)
                 part = np.zeros(len(at), SEED)
@@ -496,17 +531,16 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
         return pa.Table.from_batches([_kinds([(EDGES, own, (own["seed"] % np.uint64(buckets)).astype(np.int64))])])
 
     def rest(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_rest(_held(table, SPOTS, SPOT), _held(table, EDGES, SIDE), shelves, min_words)])
+        return _rest(_held(table, SPOTS, SPOT), _held(table, EDGES, SIDE), shelves, min_words)
 
     def keys(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_keys(np.concatenate([_held(table, OTHERS, NEAR), _held(table, HOT, NEAR)]), 4 * shelves)])
+        return _keys(_held(table, OTHERS, NEAR, HOT), 4 * shelves)
 
     def keyed(key: tuple, table: pa.Table) -> pa.Table:
-        found, long = _keyed(np.concatenate([_unpacked(x, KEY) for x in table.column("data").to_pylist()]))
-        return pa.Table.from_batches([_kinds([(MATCHES, found, _shelf(found["doc"], shelves)), (WIDE, long, _shelf(long["doc"], shelves))])])
+        return _keyed(_read(table, KEY), shelves)
 
     def by_text(key: tuple, table: pa.Table) -> pa.Table:
-        own = np.concatenate([_unpacked(x, KEY) for x in table.column("data").to_pylist()])
+        own = _read(table, KEY)
         docs, of = np.unique(own["doc"], return_inverse=True)
         parts = [(int(docs[k]), _packed(x)) for k, x in _split(own, of)]
         return pa.table({"of": pa.array([d for d, _ in parts], pa.int64()), "spots": pa.array([x for _, x in parts], pa.binary())})
@@ -515,7 +549,7 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
         known, waiting, size = Words(), [], 0
         for batch in batches:
             for text, data in zip(unpacked(batch.column(0)), batch.column(1).to_pylist()):
-                hashes, own = known.hashes(latin_words(text)), _unpacked(data, KEY)
+                hashes, own = known.hashes(text), _unpacked(data, KEY)
                 for lo in range(0, len(own), 4096):
                     waiting.append(_around(hashes, own[lo:lo + 4096], wide))
                     size += len(waiting[-1])
@@ -526,8 +560,7 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
             yield _dealt_wide(np.concatenate(waiting), buckets)
 
     def alike(key: tuple, table: pa.Table) -> pa.Table:
-        own = np.concatenate([_unpacked(x, wide) for x in table.column("data").to_pylist()])
-        return pa.Table.from_batches([_by_document(_alike(own, int(np.ceil(similarity * min_words - 1e-9))), shelves)])
+        return _alike(_read(table, wide), int(np.ceil(similarity * min_words - 1e-9)), shelves)
 
     def chain(fresh: bool):
         def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -546,7 +579,7 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
                 yield _aligned(batch.slice(lo, 64), words, min_words, similarity)
 
     def verified(matches: DataFrame, fresh: bool) -> DataFrame:
-        chained = matches.groupBy("bucket").applyInArrow(chain(fresh), "doc bigint, other bigint, at array<int>, there array<int>")
+        chained = matches.groupBy("bucket").applyInArrow(lean_group(chain(fresh)), "doc bigint, other bigint, at array<int>, there array<int>")
         chained = staged(chained.withColumn("chain", F.xxhash64("doc", "other", "at", "there")))
         ends = chained.select("chain", F.explode(F.array(
             F.struct(F.lit(0).alias("side"), F.col("doc").alias("of"), F.col("at").alias("x")),
@@ -555,11 +588,11 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
         wanted = ends.select("chain", "side", "of", F.explode(F.sequence(F.floor(low / BLOCK).cast("int"), F.floor(high / BLOCK).cast("int"))).alias("block"))
         asked = wanted.groupBy("of").agg(F.collect_set("block").alias("asked"))
         full = _texts_of(rows, ends) if fresh else compressed(rows, "doc", "text")
-        blocks = full.join(asked, full["doc"] == asked["of"]).select("doc", "data", "asked").mapInArrow(_blocks, "of bigint, block int, words binary, spans binary")
+        blocks = full.join(asked, full["doc"] == asked["of"]).select("doc", "data", "asked").mapInArrow(lean(_blocks), "of bigint, block int, words binary, spans binary")
         blocks = blocks.groupBy("of", "block").agg(F.min(F.struct("words", "spans")).alias("b"))
         sides = wanted.join(blocks, ["of", "block"]).select("chain", F.struct("side", "block", "b.words", "b.spans").alias("part"))
         gathered = sides.groupBy("chain").agg(F.collect_list("part").alias("parts")).join(chained, "chain")
-        return gathered.select("doc", "other", "at", "there", "parts").mapInArrow(aligned, kind + ", link binary")
+        return gathered.select("doc", "other", "at", "there", "parts").mapInArrow(lean(aligned), kind + ", link binary")
 
     kind = "doc bigint, start int, `end` int, other_id bigint, other_start int, other_end int, n_words int, similarity double"
     packed = "kind int, bucket int, data binary"
@@ -567,8 +600,8 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
     width = 2 * min_words + 6 + EDGE
     wide = np.dtype([*[(f, KEY[f]) for f in KEY.names], ("low", "<u8"), ("high", "<u8"), ("before", "<u2", (width,)), ("after", "<u2", (width,))])
     names = ["kind", "bucket", "data", "seed", "run", "head"]
-    sampled = rows.mapInArrow(scan, "bucket int, data binary, seed bigint, run bigint")
-    met = staged(sampled.groupBy("bucket").applyInArrow(meet, packed + ", seed bigint, run bigint, head binary"))
+    sampled = rows.mapInArrow(lean(scan), "bucket int, data binary, seed bigint, run bigint")
+    met = staged(sampled.groupBy("bucket").applyInArrow(lean_group(meet), packed + ", seed bigint, run bigint, head binary"))
 
     def of_kind(df: DataFrame, *kinds: int) -> DataFrame:
         return df.where(F.col("kind").isin(*kinds)).select("kind", "bucket", "data")
@@ -576,24 +609,24 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
     heads = met.where(F.col("kind") == HEADS).select("seed", "run", "head")
     apart = met.where(F.col("kind") == MEMBERS)
     more = apart.select("seed", "run", "data").join(heads, ["seed", "run"]).select("data", "head")
-    matches = of_kind(met, MATCHES).unionByName(more.mapInArrow(members, packed))
+    matches = of_kind(met, MATCHES).unionByName(more.mapInArrow(lean(members), packed))
     first = staged(verified(matches, False))
 
-    spotted = of_kind(met, SPOTS).unionByName(apart.select("seed", "data").mapInArrow(spots, packed))
-    known = spotted.select("data").mapInArrow(by_shelf, packed).unionByName(first.select("link").mapInArrow(passages_by_shelf, packed))
-    known = known.groupBy("bucket").applyInArrow(edges, packed)
-    rests = staged(spotted.unionByName(known).groupBy("bucket").applyInArrow(rest, packed))
+    spotted = of_kind(met, SPOTS).unionByName(apart.select("seed", "data").mapInArrow(lean(spots), packed))
+    known = spotted.select("data").mapInArrow(lean(by_shelf), packed).unionByName(first.select("link").mapInArrow(lean(passages_by_shelf), packed))
+    known = known.groupBy("bucket").applyInArrow(lean_group(edges), packed)
+    rests = staged(spotted.unionByName(known).groupBy("bucket").applyInArrow(lean_group(rest), packed))
     out = first.drop("link")
     if not of_kind(rests, MATCHES, HOT).isEmpty():
-        several = of_kind(met, OTHERS).unionByName(of_kind(rests, OTHERS, HOT)).groupBy("bucket").applyInArrow(keys, packed)
-        several = staged(several.groupBy("bucket").applyInArrow(keyed, packed))
+        several = of_kind(met, OTHERS).unionByName(of_kind(rests, OTHERS, HOT)).groupBy("bucket").applyInArrow(lean_group(keys), packed)
+        several = staged(several.groupBy("bucket").applyInArrow(lean_group(keyed), packed))
         late = of_kind(rests, MATCHES).unionByName(of_kind(several, MATCHES))
         long = of_kind(several, WIDE)
         if not long.isEmpty():
-            long = staged(long.groupBy("bucket").applyInArrow(by_text, "of bigint, spots binary"))
+            long = staged(long.groupBy("bucket").applyInArrow(lean_group(by_text), "of bigint, spots binary"))
             full = _texts_of(rows, long)
-            long = full.join(long, full["doc"] == long["of"]).select("data", "spots").mapInArrow(around, packed)
-            late = late.unionByName(long.groupBy("bucket").applyInArrow(alike, packed))
+            long = full.join(long, full["doc"] == long["of"]).select("data", "spots").mapInArrow(lean(around), packed)
+            late = late.unionByName(long.groupBy("bucket").applyInArrow(lean_group(alike), packed))
         second = staged(verified(matches.unionByName(late), True)).drop("link").distinct()
         # A passage of the first round that lies inside one of the second is the same one, found with fewer matches.
         x, y = out.alias("x"), second.alias("y")
@@ -624,9 +657,19 @@ def _unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def _held(table: pa.Table, kind: int, rows: np.dtype) -> np.ndarray:
-    """All rows of a kind."""
-    return np.concatenate([np.zeros(0, rows), *[_unpacked(x, rows) for k, x in zip(table["kind"].to_pylist(), table["data"].to_pylist()) if k == kind]])
+def _read(table: pa.Table, rows: np.dtype, kinds: tuple[int, ...] = ()) -> np.ndarray:
+    """All rows, or those of some kinds; only the packed ones and the result are held."""
+    own = [x for x, k in zip(table["data"], table["kind"].to_pylist()) if k in kinds or not kinds]
+    sizes = [zstandard.frame_content_size(x.as_py()) // rows.itemsize for x in own]
+    out, at = np.empty(sum(sizes), rows), 0
+    for x, n in zip(own, sizes):
+        out[at:at + n] = _unpacked(x.as_py(), rows)
+        at += n
+    return out
+
+
+def _held(table: pa.Table, kind: int, rows: np.dtype, *others: int) -> np.ndarray:
+    return _read(table, rows, (kind, *others))
 
 
 def _kinds(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -641,7 +684,7 @@ def _shelf(doc: np.ndarray, shelves: int) -> np.ndarray:
 
 def _split(values: np.ndarray, where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The values of each number in ``where``."""
-    order = np.argsort(where, kind="stable")
+    order = np.argsort(where.astype(np.uint16) if len(where) and where.max() < 1 << 16 else where, kind="stable")
     values, where = values[order], where[order]
     edges = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, int)
     for lo, hi in zip(edges, np.append(edges[1:], len(where)).astype(int)):
@@ -724,16 +767,22 @@ def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             low = low[low]
 
 
-def _across(group: np.ndarray, label: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows in one group under different labels, for rows in order of both; only those of ``wanted`` rows."""
+def _across(group: np.ndarray, label: np.ndarray, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows in one group under different labels, for rows in order of both; only those of ``wanted`` rows, and not many at a time."""
     n = len(group)
     edge = np.concatenate([group[1:] != group[:-1], [True]]) if n else np.zeros(0, bool)
     block = edge | np.concatenate([label[1:] != label[:-1], [True]]) if n else edge
     last = lambda ends: np.flatnonzero(ends)[np.cumsum(ends) - ends] + 1  # noqa: E731  where each row's group or block ends
     to, end = last(edge), last(block)
     count = np.where(wanted, to - end, 0)
-    i = np.repeat(np.arange(n), count)
-    return i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(end, count)
+    rows = np.flatnonzero(count)
+    total, at = np.cumsum(count[rows]), 0
+    while at < len(rows):
+        upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+        own, n = rows[at:upto], count[rows[at:upto]]
+        i = np.repeat(own, n)
+        yield i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(end[own], n)
+        at = upto
 
 
 def _pairs_apart(group: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -747,9 +796,9 @@ def _pairs_apart(group: np.ndarray, label: np.ndarray) -> np.ndarray:
     return ((np.bincount(of).astype(float) ** 2 - equal) / 2)[of]
 
 
-def _to_meet(group: np.ndarray, label: np.ndarray, doc: np.ndarray, always: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _to_meet(group: np.ndarray, label: np.ndarray, doc: np.ndarray, always: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
     """Pairs in a group that differ in label and document: which rows are of groups with few of them, or ``always``, which of
-    groups with many, and all pairs of the former."""
+    groups with many, and all pairs of the former, block by block."""
     count = np.unique(group, return_inverse=True, return_counts=True)
     count = count[2][count[1]] if len(group) else np.zeros(0, int)
     orders = [np.lexsort((by, group)) for by in (label, doc)]
@@ -758,14 +807,47 @@ def _to_meet(group: np.ndarray, label: np.ndarray, doc: np.ndarray, always: np.n
         p[order] = _pairs_apart(group[order], by[order])
     least = pairs.min(axis=0)
     few = (least > 0) & ((least <= DIRECT * count) | always)
-    own = [(order[i], order[j]) for order, by, wanted in zip(orders, (label, doc), (few & (pairs[0] <= pairs[1]), few & (pairs[0] > pairs[1])))
-           for i, j in [_across(group[order], by[order], wanted[order])]]
-    i, j = (np.concatenate(x) for x in zip(*own))
-    apart = (label[i] != label[j]) & (doc[i] != doc[j])
-    return few, (least > 0) & ~few, i[apart], j[apart]
+
+    def met() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for order, by, wanted in zip(orders, (label, doc), (few & (pairs[0] <= pairs[1]), few & (pairs[0] > pairs[1]))):
+            for i, j in _across(group[order], by[order], wanted[order]):
+                i, j = order[i], order[j]
+                apart = (label[i] != label[j]) & (doc[i] != doc[j])
+                yield i[apart], j[apart]
+
+    return few, (least > 0) & ~few, met()
 
 
-def _rest(spots: np.ndarray, edges: np.ndarray, shelves: int, min_words: int) -> pa.RecordBatch:
+class _Parts:
+    """Rows on their way out, packed by the bucket they go to: matches once each, as far as they are held at the same time, or keys in order."""
+
+    def __init__(self, kind: int, where, distinct: bool = True):
+        self.kind, self.where, self.distinct, self.held, self.size, self.out = kind, where, distinct, [], 0, []
+
+    def add(self, rows: np.ndarray) -> None:
+        self.held.append(rows)
+        self.size += len(rows)
+        if self.size < MOST:
+            return
+        if self.distinct:
+            self.held = [_distinct(np.concatenate(self.held))]
+            self.size = len(self.held[0])
+        if self.size > MOST // 2:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.size:
+            rows = np.concatenate(self.held)
+            self.held, self.size = [], 0
+            rows = _distinct(rows) if self.distinct else rows[np.argsort(rows["key"], kind="stable")]
+            self.out.append(_kinds([(self.kind, rows, self.where(rows))]))
+
+    def batches(self) -> list[pa.RecordBatch]:
+        self.flush()
+        return self.out
+
+
+def _rest(spots: np.ndarray, edges: np.ndarray, shelves: int, min_words: int) -> pa.Table:
     """What is still to meet of seeds whose occurrences have not met in all pairs, given all of them and where they lie in passages.
 
     Occurrences in both documents of a passage are connected and need not meet. Of the others, all pairs meet where they are few; else the seed
@@ -800,13 +882,16 @@ def _rest(spots: np.ndarray, edges: np.ndarray, shelves: int, min_words: int) ->
     low = np.minimum.reduceat(np.where(new, WORDS + 1, step), begin) if len(begin) else begin
     even = (low == high) & (high > 0)
 
-    few, hot, i, j = _to_meet(seed[begin], label, spots["doc"][begin])
+    few, hot, met = _to_meet(seed[begin], label, spots["doc"][begin])
+    found = _Parts(MATCHES, lambda x: _shelf(x["doc"], shelves))
 
     def paired(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return _paired(spots["doc"][i], spots["at"][i], spots["doc"][j], spots["at"][j], 1)
 
-    run = (size[i] > 1) | (size[j] > 1)
-    found = [paired(begin[i], begin[j]), paired(last[i[run]], last[j[run]])]
+    for i, j in met:
+        run = (size[i] > 1) | (size[j] > 1)
+        found.add(paired(begin[i], begin[j]))
+        found.add(paired(last[i[run]], last[j[run]]))
 
     long = np.flatnonzero(even & (at[last] - at[begin] + WORDS >= min_words)) if len(begin) else begin
     if len(long):
@@ -817,7 +902,7 @@ def _rest(spots: np.ndarray, edges: np.ndarray, shelves: int, min_words: int) ->
         long, to = long[label[long] != label[to]], to[label[long] != label[to]]
         n = np.minimum(size[long], size[to])
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found.append(paired(np.repeat(begin[long], n) + k, np.repeat(begin[to], n) + k))
+        found.add(paired(np.repeat(begin[long], n) + k, np.repeat(begin[to], n) + k))
 
     def near(own: np.ndarray, is_hot: int) -> np.ndarray:
         places = np.concatenate([begin[own], last[own[size[own] > 1]]])
@@ -827,8 +912,8 @@ def _rest(spots: np.ndarray, edges: np.ndarray, shelves: int, min_words: int) ->
         out["label"] = _label(spots["doc"][root], spots["at"][root])
         return out
 
-    found, others, near_hot = np.concatenate(found), near(np.flatnonzero(few), 0), near(np.flatnonzero(hot), 1)
-    return _kinds([(MATCHES, found, _shelf(found["doc"], shelves)), (OTHERS, others, _shelf(others["doc"], shelves)), (HOT, near_hot, _shelf(near_hot["doc"], shelves))])
+    others, near_hot = near(np.flatnonzero(few), 0), near(np.flatnonzero(hot), 1)
+    return pa.Table.from_batches([*found.batches(), _kinds([(OTHERS, others, _shelf(others["doc"], shelves)), (HOT, near_hot, _shelf(near_hot["doc"], shelves))])])
 
 
 def _inside(spots: np.ndarray, links: np.ndarray) -> np.ndarray:
@@ -866,7 +951,7 @@ def _key(*seeds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keys(near: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _keys(near: np.ndarray, buckets: int) -> pa.Table:
     """Keys of several seeds in reach of each other, of all documents whose seeds these are.
 
     In a chain of three or more matches, a match of a hot seed has one of a seed that is not hot at most two steps away, or is one of
@@ -878,7 +963,7 @@ def _keys(near: np.ndarray, buckets: int) -> pa.RecordBatch:
     of = np.cumsum(np.concatenate([[False], near["doc"][1:] != near["doc"][:-1]])) if len(near) else at
     place = (of << 33) + at  # no two documents are within reach
     hot, cool = np.flatnonzero(near["hot"]), np.flatnonzero(near["hot"] == 0)
-    out = []
+    out = _Parts(MATCHES, lambda x: (x["key"] % np.uint64(buckets)).astype(np.int64), False)
 
     def within(own: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = high - low
@@ -891,7 +976,7 @@ def _keys(near: np.ndarray, buckets: int) -> pa.RecordBatch:
         part = np.zeros(len(f), KEY)
         part["key"], part["doc"], part["a"], part["seeds"] = _key(near["seed"][f], near["seed"][n], (n > f).astype(np.uint64)), near["doc"][f], at[f], 1
         part["x"], part["y"] = np.where(near["label"][n] > 0, near["label"][n], _label(near["doc"][n], at[n])), near["label"][f]
-        out.append(part)
+        out.add(part)
     seed, spot = near["seed"][hot], place[hot]
     order = np.lexsort((np.arange(len(hot)), seed, of[hot]))
     before = np.full(len(hot), -1)
@@ -911,23 +996,24 @@ def _keys(near: np.ndarray, buckets: int) -> pa.RecordBatch:
         part["key"], part["doc"], part["seeds"] = _key(near["seed"][a], near["seed"][b], near["seed"][c]), near["doc"][a], 3
         for f, x, own in (("a", "x", a), ("b", "y", b), ("c", "z", c)):
             part[f], part[x] = at[own], near["label"][own]
-        out.append(part)
-    own = np.concatenate([np.zeros(0, KEY), *out])
-    own = own[np.lexsort((own["a"], own["doc"], own["key"]))]
-    return _kinds([(MATCHES, own, (own["key"] % np.uint64(buckets)).astype(np.int64))])
+        out.add(part)
+    return pa.Table.from_batches([*out.batches(), _kinds([])])
 
 
-def _keyed(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _keyed(rows: np.ndarray, shelves: int) -> pa.Table:
     """Matches of hot seeds between documents that hold the same key, where none of the key's seeds connects them yet; and the
     members of lists of three hot seeds, as of a line that very many documents hold, that would have too many of them."""
     rows = rows[np.lexsort((rows["c"], rows["b"], rows["a"], rows["doc"], rows["x"], rows["key"]))]
-    _, many, i, j = _to_meet(rows["key"], rows["x"], rows["doc"], rows["seeds"] == 1)
-    apart = _apart(rows, i, j)
+    _, many, met = _to_meet(rows["key"], rows["x"], rows["doc"], rows["seeds"] == 1)
+    found = _Parts(MATCHES, lambda x: _shelf(x["doc"], shelves))
+    for i, j in met:
+        apart = _apart(rows, i, j)
+        found.add(_agreed(rows, i[apart], j[apart]))
     long = rows[many]
     _, of, count = np.unique(long["key"], return_inverse=True, return_counts=True)
     long["parts"] = -(-count[of] // TILE)
     long["part"] = _mixed(long["doc"]) % long["parts"]
-    return _agreed(rows, i[apart], j[apart]), long
+    return pa.Table.from_batches([*found.batches(), _kinds([(WIDE, long, _shelf(long["doc"], shelves))])])
 
 
 def _apart(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -964,7 +1050,7 @@ def _dealt_wide(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
     return _kinds([(WIDE, rows, _shelf((rows["key"] ^ rows["low"] * _M1 ^ rows["high"] * _M2).view(np.int64), buckets))])
 
 
-def _alike(rows: np.ndarray, need: int) -> np.ndarray:
+def _alike(rows: np.ndarray, need: int, shelves: int) -> pa.Table:
     """Matches between members of long lists that may share a passage: between their seeds, and in the same places
     before and after them, they must have ``need`` equal words. Compares all pairs, block by block."""
     rows = rows[np.lexsort((rows["doc"], rows["high"], rows["low"], rows["key"]))]
@@ -973,7 +1059,7 @@ def _alike(rows: np.ndarray, need: int) -> np.ndarray:
     core = rows["c"] + WORDS - rows["a"]
     words = np.concatenate([rows["before"], rows["after"]], axis=1).T.copy()
     others = np.where(words == 0, np.uint16(1), words)  # outside of both texts nothing is equal
-    found = [np.zeros(0, MATCH)]
+    found = _Parts(MATCHES, lambda x: _shelf(x["doc"], shelves))
     for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(rows)).tolist()):
         one = bool(rows["low"][lo] == rows["high"][lo])
         left = lo + np.flatnonzero(rows["part"][lo:hi] == rows["low"][lo])
@@ -991,8 +1077,8 @@ def _alike(rows: np.ndarray, need: int) -> np.ndarray:
                 i, j = np.nonzero(equal >= need)
                 i, j = own[i], to[j]
                 apart = _apart(rows, i, j) & ((i < j) | (not one))
-                found.append(_agreed(rows, i[apart], j[apart]))
-    return _distinct(np.concatenate(found))
+                found.add(_agreed(rows, i[apart], j[apart]))
+    return pa.Table.from_batches([*found.batches(), _kinds([])])
 
 
 def _chained(found: np.ndarray, words: int, min_words: int, fresh: bool = False) -> pa.Table:
@@ -1020,10 +1106,11 @@ def _chained(found: np.ndarray, words: int, min_words: int, fresh: bool = False)
                 if len(own) >= LEAST and at[own[-1]] - at[own[0]] + words >= min_words // 5 and (late[own].any() or not fresh):
                     docs.append(int(found["doc"][a]))
                     others.append(int(found["other"][a]))
-                    ats.append(at[own].tolist())
-                    theres.append(there[own].tolist())
-    return pa.table({"doc": pa.array(docs, pa.int64()), "other": pa.array(others, pa.int64()),
-                     "at": pa.array(ats, pa.list_(pa.int32())), "there": pa.array(theres, pa.list_(pa.int32()))})
+                    ats.append(at[own].astype(np.int32))
+                    theres.append(there[own].astype(np.int32))
+    ends = pa.array(np.cumsum([0, *map(len, ats)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *x]))) for x in (ats, theres)]
+    return pa.table({"doc": pa.array(docs, pa.int64()), "other": pa.array(others, pa.int64()), "at": lists[0], "there": lists[1]})
 
 
 def _texts_of(rows: DataFrame, ends: DataFrame) -> DataFrame:
@@ -1040,7 +1127,7 @@ def _texts_of(rows: DataFrame, ends: DataFrame) -> DataFrame:
             own = batch.filter(pa.array((asked[k // 32] >> (k % 32).astype(np.uint32) & 1).astype(bool)))
             yield pa.RecordBatch.from_arrays([own.column(0), pa.array([compressor.compress(t) for t in texts(own.column(1))], pa.binary())], names=["doc", "data"])
 
-    return rows.mapInArrow(run, "doc bigint, data binary")
+    return rows.mapInArrow(lean(run), "doc bigint, data binary")
 
 
 def word_spans(text: bytes) -> np.ndarray:
@@ -1057,7 +1144,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, numbers, hashes, places = [], [], [], []
         for doc, text, asked in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(2).to_pylist()):
-            own = known.hashes(latin_words(text)).astype(np.uint32)
+            own = known.hashes(text).astype(np.uint32)
             spans = word_spans(text)
             for n in asked:
                 part = slice(n * BLOCK, (n + 1) * BLOCK)
@@ -1079,20 +1166,27 @@ def _spans(places: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _aligned(batch: pa.RecordBatch, words: int, min_words: int, similarity: float) -> pa.RecordBatch:
     out, decompress = [], zstandard.ZstdDecompressor().decompress
-    for doc, other, at, there, parts in zip(*(batch.column(k).to_pylist() for k in range(5))):
-        side = []
-        for s in (0, 1):
-            own = sorted((p for p in parts if p["side"] == s), key=lambda p: p["block"])
-            if not own:
-                break
-            spans = [_spans(decompress(p["spans"])) for p in own]
-            side.append((own[0]["block"] * BLOCK, np.frombuffer(b"".join(p["words"] for p in own), np.uint32), *(np.concatenate(x) for x in zip(*spans))))
-        if len(side) < 2:
+    parts = batch.column(4)
+    flat = parts.flatten()
+    side, block = flat.field("side").to_numpy(), flat.field("block").to_numpy()
+    row = np.repeat(np.arange(len(batch)), parts.value_lengths().to_numpy(zero_copy_only=False))
+    order = np.lexsort((block, side, row))
+    edges = np.searchsorted((2 * row + side)[order], np.arange(2 * len(batch) + 1))
+    hashes, places = flat.field("words"), flat.field("spans")
+
+    def points(own: np.ndarray, word: int) -> tuple[int, int]:
+        """Begin and end of a word, counted from the first block."""
+        begin, end = _spans(decompress(places[own[word // BLOCK]].as_py()))
+        return int(begin[word % BLOCK]), int(end[word % BLOCK])
+
+    for k, (doc, other, at, there) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
+        one, two = (order[edges[2 * k + s]:edges[2 * k + s + 1]] for s in (0, 1))
+        if not len(one) or not len(two):
             continue
-        (a0, a, a_begin, a_end), (b0, b, b_begin, b_end) = side
+        (a0, a), (b0, b) = ((int(block[own[0]]) * BLOCK, np.frombuffer(b"".join(hashes.take(pa.array(own)).to_pylist()), np.uint32)) for own in (one, two))
         for lo, hi, low, high, same, columns in stretches(a, b, [p - a0 for p in at], [q - b0 for q in there], words, min_words, similarity):
             link = np.array([(doc, other, a0 + lo, a0 + hi, b0 + low, b0 + high)], LINK)
-            out.append((doc, int(a_begin[lo]), int(a_end[hi - 1]), other, int(b_begin[low]), int(b_end[high - 1]), hi - lo, same / columns, link.tobytes()))
+            out.append((doc, points(one, lo)[0], points(one, hi - 1)[1], other, points(two, low)[0], points(two, high - 1)[1], hi - lo, same / columns, link.tobytes()))
     names = ["doc", "start", "end", "other_id", "other_start", "other_end", "n_words", "similarity", "link"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)], names=names)

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-from panelweave.llm import packing, quality
+from panelweave.llm import packing, passages, quality
+from panelweave.llm.common import latin_words
 from panelweave.llm.queries import word_bpe
 
 
@@ -21,3 +23,49 @@ def test_workers_keep_no_tables_between_tasks(spark):
             yield pa.RecordBatch.from_arrays([pa.array([n + (quality._GRAMS is not None)], pa.int64())], names=["n"])
 
     assert {r.n for r in spark.range(32, numPartitions=32).mapInArrow(kept, "n bigint").collect()} == {0}
+
+
+def test_words_from_a_table_of_fixed_size():
+    rng = np.random.default_rng(3)
+    own = ["x" * k for k in range(40)] + ["жжжжжжжжжжжж", "中文", "a1"] + [str(i) * 3 for i in range(500)]
+    for table in (passages.Words(), passages.Words(64)):
+        for text in (b"", b" ", b"A a", b"a.", b" b"):
+            assert table.hashes(text).tolist() == [xxhash.xxh3_64_intdigest(w) for w in latin_words(text)]
+        for _ in range(20):
+            text = " ".join(rng.choice(own, 300)).encode()
+            assert table.hashes(text).tolist() == [xxhash.xxh3_64_intdigest(w) for w in latin_words(text)]
+        assert len(table.known) in (64, passages.KNOWN)
+
+
+def rows_of_keys(docs):
+    """Keys of one hot seed and one other, each in very many documents."""
+    rows = np.zeros(2 * docs, passages.KEY)
+    rows["key"], rows["doc"] = np.repeat([5, 9], docs), np.tile(np.arange(docs), 2)
+    rows["a"], rows["seeds"] = np.repeat([3, 30], docs), 1
+    rows["x"], rows["y"] = np.arange(2 * docs) // 2 + 1, np.tile(np.arange(docs), 2) % 7 + 1
+    return rows
+
+
+def test_pairs_of_a_frequent_key_are_formed_block_by_block(monkeypatch):
+    rows = rows_of_keys(300)
+    monkeypatch.setattr(passages, "PAIRS", 1_000)
+    _, many, blocks = passages._to_meet(rows["key"], rows["x"], rows["doc"], rows["seeds"] == 1)
+    blocks = list(blocks)
+    assert not many.any() and len(blocks) > 50 and max(len(i) for i, _ in blocks) <= 1_000
+    got = {(min(a, b), max(a, b)) for i, j in blocks for a, b in zip(i.tolist(), j.tolist())}
+    key, x, doc = (rows[f].tolist() for f in ("key", "x", "doc"))
+    assert got == {(a, b) for a in range(600) for b in range(a + 1, 600) if key[a] == key[b] and x[a] != x[b] and doc[a] != doc[b]}
+    assert sum(len(i) for i, _ in blocks) == len(got)
+
+
+def test_matches_of_keys_do_not_depend_on_the_size_of_blocks(monkeypatch):
+    def found():
+        table = passages._keyed(rows_of_keys(300), 3)
+        return table.num_rows, {tuple(m) for m in passages._held(table, passages.MATCHES, passages.MATCH).tolist()}
+
+    whole = found()
+    monkeypatch.setattr(passages, "PAIRS", 700)
+    monkeypatch.setattr(passages, "MOST", 2_000)
+    parts = found()
+    assert whole[1] == parts[1] and len(whole[1]) > 60_000 and parts[0] > whole[0]
+    monkeypatch.undo()
