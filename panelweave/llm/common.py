@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from panelweave.sources.stores import staged
 
-__all__ = ["staged", "table", "pick", "texts", "type_of", "batch_of", "partitions", "latin_words", "space_words", "compressed", "unpacked", "LATIN", "LATIN_WORD", "SPACE_WORD", "merged", "lean", "lean_group"]
+__all__ = ["staged", "settled", "table", "pick", "texts", "type_of", "batch_of", "partitions", "latin_words", "space_words", "compressed", "unpacked", "LATIN", "LATIN_WORD", "SPACE_WORD", "merged", "lean", "lean_group", "lean_pair"]
 
 #: A word of the benchmark rule, after A-Z became a-z: digits, a-z and everything beyond ASCII.
 LATIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -75,6 +76,17 @@ def lean_group(run: Callable[[tuple, pa.Table], pa.Table]):
     return through
 
 
+def lean_pair(run: Callable[[tuple, pa.Table, pa.Table], pa.Table]):
+    """The same of ``applyInArrow`` on two tables."""
+    def through(key, left, right):
+        try:
+            return run(key, left, right)
+        finally:
+            given_back()
+
+    return through
+
+
 def compressed(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The id and ``data``, the text's bytes compressed for their way between stages; null counts as empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +104,15 @@ def unpacked(column: pa.Array) -> Iterator[bytes]:
         yield decompressor.decompress(data) if data else b""
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A staged table; shuffle files of the steps before it go now, and not when the driver happens to collect its garbage."""
+    out = staged(df)
+    del df
+    gc.collect()
+    out.sparkSession._jvm.System.gc()
+    return out
+
+
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

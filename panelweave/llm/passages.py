@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import LATIN, compressed, lean, lean_group, partitions, pick, staged, texts, unpacked
+from panelweave.llm.common import LATIN, lean, lean_group, lean_pair, partitions, pick, settled, texts, unpacked
 
 #: Words in a k-mer, and k-mers in a window of which one is sampled: 9 equal words in a row always share a seed.
 WORDS, WINDOW = 4, 6
@@ -58,6 +58,8 @@ ASKED = 8_388_593
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: The first so many bytes of eight.
 _BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 24
 
 
 class Words:
@@ -70,27 +72,15 @@ class Words:
     def hashes(self, text: bytes) -> np.ndarray:
         """Of the words that ``latin_words`` finds in the text."""
         plain = text.translate(LATIN)
-        inside = np.frombuffer(plain, np.uint8) != 32
-        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-        if len(inside) and inside[0]:
-            edges = np.concatenate([[0], edges])
-        if len(inside) and inside[-1]:
-            edges = np.concatenate([edges, [len(inside)]])
-        begin, end = edges[::2], edges[1::2]
+        return self.of(plain, *_edges(plain))
+
+    def of(self, plain: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of words that begin and end at these bytes of a text with blanks for all other bytes."""
         size = end - begin
-        eights = np.ndarray((len(plain) + 1,), "<u8", plain + bytes(8), 0, (1,))  # eight bytes from every place on
-        with np.errstate(over="ignore"):
-            key = (eights[begin] & _BYTES[np.minimum(size, 8)]) * _M1
-            key ^= key >> np.uint64(32)
-            for k in (8, 16):
-                own = np.flatnonzero(size > k)
-                if len(own):
-                    more = (key[own] ^ eights[begin[own] + k] & _BYTES[np.minimum(size[own] - k, 8)]) * _M2
-                    key[own] = more ^ (more >> np.uint64(31))
-            key *= _M1
+        key = _word_keys(plain, begin, size)
         slot = (key >> np.uint64(20)) & self.mask
         out = self.values[slot]
-        short = size <= 24
+        short = size <= LONG
         new = np.flatnonzero((self.known[slot] != key) | ~short)
         if len(new):
             out[new] = [xxhash.xxh3_64_intdigest(plain[b:e]) for b, e in zip(begin[new].tolist(), end[new].tolist())]
@@ -100,6 +90,87 @@ class Words:
         return out
 
 
+def _edges(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end, in a text with blanks for all other bytes."""
+    inside = np.frombuffer(plain, np.uint8) != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edges = np.concatenate([[0], edges])
+    if len(inside) and inside[-1]:
+        edges = np.concatenate([edges, [len(inside)]])
+    return edges[::2], edges[1::2]
+
+
+def _word_keys(plain: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Mixed 64 bits of the first ``LONG`` bytes of words."""
+    eights = np.ndarray((len(plain) + 1,), "<u8", plain + bytes(8), 0, (1,))  # eight bytes from every place on
+    with np.errstate(over="ignore"):
+        key = (eights[begin] & _BYTES[np.minimum(size, 8)]) * _M1
+        key ^= key >> np.uint64(32)
+        for k in range(8, LONG, 8):
+            own = np.flatnonzero(size > k)
+            if len(own):
+                more = (key[own] ^ eights[begin[own] + k] & _BYTES[np.minimum(size[own] - k, 8)]) * _M2
+                key[own] = more ^ (more >> np.uint64(31))
+        key *= _M1
+    return key
+
+
+def _batches_of(rows: Iterator[tuple[int, bytes]], size: int = 1 << 19) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Documents, some at a time, so that arrays of their words are neither small nor large."""
+    docs, own, held = [], [], 0
+    for doc, text in rows:
+        docs.append(doc)
+        own.append(text)
+        held += len(text)
+        if held >= size:
+            yield docs, own
+            docs, own, held = [], [], 0
+    if docs:
+        yield docs, own
+
+
+def _joined_texts(own: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after the other with blanks for what is in no word, begin and end of all words, each text's first byte, and the
+    number of words before each text and in all."""
+    plain = b" ".join(own).translate(LATIN)
+    begin, end = _edges(plain)
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in own])])
+    return plain, begin, end, first, np.searchsorted(begin, first)
+
+
+def _seeds_of(docs: list[int], own: list[bytes], known: Words, words: int, window: int) -> np.ndarray:
+    """Seeds of documents, as ``grams_of``, ``picked`` and ``runs`` give them for each."""
+    plain, begin, end, _, upto = _joined_texts(own)
+    grams = grams_of(known.of(plain, begin, end), words)
+    count = np.maximum(0, np.diff(upto) - words + 1)
+    of = np.repeat(np.arange(len(docs)), count)
+    to = np.cumsum(count)
+    at = np.arange(len(of)) - (to - count)[of]
+    grams = grams[upto[of] + at]  # those inside one text
+    best = np.zeros(0, np.int64)
+    if len(grams) >= window:
+        low, best = grams[:len(grams) - window + 1].copy(), np.arange(len(grams) - window + 1)
+        for k in range(1, window):
+            less = grams[k:len(grams) - window + 1 + k] < low
+            low = np.minimum(low, grams[k:len(grams) - window + 1 + k])
+            best[less] = np.flatnonzero(less) + k
+        best = best[of[:len(best)] == of[window - 1:]]
+        best = best[np.concatenate([[True], best[1:] != best[:-1]])] if len(best) else best
+    few = np.flatnonzero((count > 0) & (count < window))
+    best = np.concatenate([best, *[to[d] - count[d] + picked(grams[to[d] - count[d]:to[d]], window) for d in few.tolist()]])
+    part = np.zeros(len(best), SEED)
+    part["seed"], part["doc"], part["at"] = grams[best], np.array(docs, np.int64)[of[best]], at[best]
+    out, last = grams[best], to[of[best]]
+    with np.errstate(over="ignore"):
+        for k in range(words, RUN, words):
+            out = (out * _M1) ^ np.where(best + k < last, grams[np.minimum(best + k, len(grams) - 1)], np.uint64(0)) if len(best) else out
+            out ^= out >> np.uint64(29)
+        out = out * _M2
+    part["run"] = (out >> np.uint64(32)).astype(np.uint32)
+    return part
+
+
 def grams_of(hashes: np.ndarray, words: int) -> np.ndarray:
     """64-bit hashes of the k-mers at every word."""
     n = max(0, len(hashes) - words + 1)
@@ -146,8 +217,36 @@ def runs(grams: np.ndarray, at: np.ndarray, words: int, length: int) -> np.ndarr
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _sorted(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by whole numbers, the first column first, and whether each row in it differs from the one before: columns are
+    sorted as one number of 64 bits as far as they fit in it."""
+    key, size = np.zeros(len(columns[0]), np.uint64), 1
+
+    def changes(own: np.ndarray) -> np.ndarray:
+        return np.concatenate([[True], own[1:] != own[:-1]])[:len(own)]
+
+    def ranked(key: np.ndarray) -> tuple[np.ndarray, int]:
+        order = np.argsort(key)
+        rank = np.empty(len(key), np.uint64)
+        rank[order] = np.cumsum(changes(key[order])) - 1
+        return rank, int(rank[order[-1]]) + 1
+
+    for column in columns if len(key) else ():
+        own = np.ascontiguousarray(column)
+        own = (own if own.dtype == np.uint64 else own.astype(np.int64).view(np.uint64)) - np.uint64(int(own.min()) & (1 << 64) - 1)
+        span = int(own.max()) + 1
+        if size * span >= 1 << 63:
+            if size > 1:
+                key, size = ranked(key)
+            if size * span >= 1 << 63:
+                own, span = ranked(own)
+        key, size = key * np.uint64(span) + own, size * span
+    order = np.argsort(key)
+    return order, changes(key[order])
+
+
 def _ordered(rows: np.ndarray) -> np.ndarray:
-    return rows[np.lexsort((rows["at"], rows["doc"], rows["run"], rows["seed"]))]
+    return rows[_sorted(rows["seed"], rows["run"], rows["doc"], rows["at"])[0]]
 
 
 def _classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,10 +319,11 @@ def _distinct(found: np.ndarray) -> np.ndarray:
     """Matches in order, each once: of equal ones that of the first round."""
     if not len(found):
         return found
-    at = (found["at"].astype(np.uint64) << np.uint64(33)) | (found["there"].astype(np.uint64) << np.uint64(1)) | found["late"]
-    found = found[np.lexsort((at, found["other"], found["doc"]))]
-    new = np.logical_or.reduce([found[f][1:] != found[f][:-1] for f in ("doc", "other", "at", "there")])
-    return found[np.concatenate([[True], new])]
+    order, new = _sorted(found["doc"], found["other"], found["at"], found["there"])
+    late = np.minimum.reduceat(found["late"][order], np.flatnonzero(new))
+    out = found[order[new]]
+    out["late"] = late
+    return out
 
 
 class Fenwick:
@@ -303,29 +403,44 @@ def chains(at: np.ndarray, there: np.ndarray, words: int, reach: int, gap: float
     return out
 
 
-def edits(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+def edits(a: np.ndarray | list[int], b: np.ndarray | list[int]) -> tuple[int, int]:
     """Of the best alignment of two word lists: equal words, and columns."""
-    if not len(a) or not len(b):
-        return 0, len(a) + len(b)
+    a, b = (x.tolist() if isinstance(x, np.ndarray) else x for x in (a, b))
+    n, m, first = len(a), len(b), 0
+    # Equal words at both ends are in some best alignment.
+    while n and m and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    while first < n and first < m and a[first] == b[first]:
+        first += 1
+    known = len(a) - n + first
+    a, b = a[first:n], b[first:m]
+    if not a or not b or set(a).isdisjoint(b):
+        return known, known + max(len(a), len(b))
     row = [(-j, 0) for j in range(len(b) + 1)]  # columns that are not equal, negative, and equal words
-    b_list = b.tolist()
-    for i, x in enumerate(a.tolist(), 1):
+    for i, x in enumerate(a, 1):
         diagonal, row[0] = row[0], (-i, 0)
-        for j, y in enumerate(b_list, 1):
+        for j, y in enumerate(b, 1):
             cost, same = diagonal
             best = (cost, same + 1) if x == y else (cost - 1, same)
             up, left = row[j], row[j - 1]
             best = max(best, (up[0] - 1, up[1]), (left[0] - 1, left[1]))
             diagonal, row[j] = row[j], best
     cost, same = row[-1]
-    return same, same - cost
+    return known + same, known + same - cost
 
 
-def columns_of(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, bool]]:
+def columns_of(a: np.ndarray | list[int], b: np.ndarray | list[int]) -> list[tuple[int, int, bool]]:
     """The columns of the alignment that ``edits`` counts: words of either list in it, and whether they are equal."""
-    n, m = len(a), len(b)
+    a, b = (x.tolist() if isinstance(x, np.ndarray) else x for x in (a, b))
+    n, m, first = len(a), len(b), 0
+    while n and m and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    out = [(1, 1, True)] * (len(a) - n)
+    while first < n and first < m and a[first] == b[first]:
+        first += 1
+    if n == m and set(a[first:n]).isdisjoint(b[:m]) and set(b[first:m]).isdisjoint(a[:n]):  # no other alignment is as good
+        return [(1, 1, True)] * first + [(1, 1, False)] * (n - first) + out
     grid = [[(-j, 0) for j in range(m + 1)]]
-    a, b = a.tolist(), b.tolist()
     for i in range(1, n + 1):
         above, row = grid[-1], [(-i, 0)]
         for j in range(1, m + 1):
@@ -333,7 +448,7 @@ def columns_of(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, bool]]:
             best = (cost, same + 1) if a[i - 1] == b[j - 1] else (cost - 1, same)
             row.append(max(best, (above[j][0] - 1, above[j][1]), (row[-1][0] - 1, row[-1][1])))
         grid.append(row)
-    out, i, j = [], n, m
+    i, j = n, m
     while i or j:
         cost, same = grid[i][j]
         if i and j and a[i - 1] == b[j - 1] and grid[i - 1][j - 1] == (cost, same - 1):
@@ -369,30 +484,29 @@ def align(a: np.ndarray, b: np.ndarray, at: list[int], there: list[int], words:
     diagonals while equal words outweigh others.
     """
     same = columns = 0
+    one, two = a.tolist(), b.tolist()
     i, j, end = at[0], there[0], at[-1] + words - at[0]
     exact = at[-1] - at[0] == there[-1] - there[0] and bool((a[i:i + end] == b[j:j + end]).all())
     if exact:
         same, columns, i, j = end, end, i + end, j + end
     for i, j, p, q, step in () if exact else _steps(at, there, words):
-        more = edits(a[i:p], b[j:q])
+        more = edits(one[i:p], two[j:q])
         same, columns = same + more[0] + step, columns + more[1] + step
         i, j = p + step, q + step
 
-    def grown(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
-        n = min(len(x), len(y))
-        equal = x[:n] == y[:n]
+    def grown(pairs: Iterator[tuple[int, int]]) -> tuple[int, int]:
         score = best = length = 0
-        for k in range(n):
-            score += 1 if equal[k] else -1
+        for k, (x, y) in enumerate(pairs, 1):
+            score += 1 if x == y else -1
             if score > best:
-                best, length = score, k + 1
+                best, length = score, k
             if score < best - drop:
                 break
-        return length, int(equal[:length].sum())
+        return length, (length + best) // 2  # equal words less others are the best score
 
-    ahead, equal = grown(a[i:], b[j:])
+    ahead, equal = grown(zip(one[i:], two[j:]))
     i, j, same, columns = i + ahead, j + ahead, same + equal, columns + ahead
-    back, equal = grown(a[:at[0]][::-1], b[:there[0]][::-1])
+    back, equal = grown(zip(reversed(one[:at[0]]), reversed(two[:there[0]])))
     return at[0] - back, i, there[0] - back, j, same + equal, columns + back
 
 
@@ -411,13 +525,18 @@ def stretches(a: np.ndarray, b: np.ndarray, at: list[int], there: list[int], wor
     lo, low, hi, high = lo - back, low - back, hi + ahead, high + ahead
     if min(hi - lo, high - low) < min_words:
         return []
-    parts = [(1, 1, bool(x == y)) for x, y in zip(a[lo:at[0]], b[low:there[0]])]
+    # All equal words of what follows; a passage has at least so many of its least columns.
+    same += int((a[lo:lo + back] == b[low:low + back]).sum()) + int((a[hi - ahead:hi] == b[high - ahead:high]).sum())
+    if same + 1e-6 < similarity * min_words:
+        return []
+    one, two = a.tolist(), b.tolist()
+    parts = [(1, 1, x == y) for x, y in zip(one[lo:at[0]], two[low:there[0]])]
     i, j = at[0], there[0]
     for i, j, p, q, step in _steps(at, there, words):
-        parts += columns_of(a[i:p], b[j:q])
+        parts += columns_of(one[i:p], two[j:q])
         parts += [(1, 1, True)] * step
         i, j = p + step, q + step
-    parts += [(1, 1, bool(x == y)) for x, y in zip(a[i:hi], b[j:high])]
+    parts += [(1, 1, x == y) for x, y in zip(one[i:hi], two[j:high])]
     steps = np.array(parts, np.int64)
     x, y, equal = (np.concatenate([[0], np.cumsum(steps[:, k])]) for k in range(3))
     kept = steps[:, 2] > 0
@@ -465,18 +584,12 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, parts, size = Words(), [], 0
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                hashes = known.hashes(text)
-                grams = grams_of(hashes, words)
-                at = picked(grams, window)
-                part = np.zeros(len(at), SEED)
-                part["seed"], part["run"], part["doc"], part["at"] = grams[at], runs(grams, at, words, RUN), doc, at
-                parts.append(part)
-                size += len(part)
-                if size >= held:
-                    yield _dealt(np.concatenate(parts), buckets)
-                    parts, size = [], 0
+        for docs, own in _batches_of((doc, text) for batch in batches for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)))):
+            parts.append(_seeds_of(docs, own, known, words, window))
+            size += len(parts[-1])
+            if size >= held:
+                yield _dealt(np.concatenate(parts), buckets)
+                parts, size = [], 0
         if size:
             yield _dealt(np.concatenate(parts), buckets)
 
@@ -564,36 +677,35 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     def chain(fresh: bool):
         def run(key: tuple, table: pa.Table) -> pa.Table:
-            found, more = [], []
+            found, more, size = [], [], 0
             for x in table.column("data"):
                 more.append(_unpacked(x.as_py(), MATCH))
-                if sum(map(len, more)) >= 4 * held:  # several keys give the same match
-                    found, more = [_distinct(np.concatenate([*found, *more]))], []
+                size += len(more[-1])
+                if size >= 4 * held:  # several keys give the same match
+                    found, more, size = [_distinct(np.concatenate([*found, *more]))], [], 0
             return _chained(np.concatenate([*found, *more]), words, min_words, fresh)
 
         return run
 
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, len(batch), 64):
-                yield _aligned(batch.slice(lo, 64), words, min_words, similarity)
+    def cut(key: tuple, own: pa.Table, chained: pa.Table) -> pa.Table:
+        return _cut(own, chained, words)
+
+    def aligned(key: tuple, own: pa.Table, chained: pa.Table) -> pa.Table:
+        return _aligned(own, chained, words, min_words, similarity)
 
     def verified(matches: DataFrame, fresh: bool) -> DataFrame:
-        chained = matches.groupBy("bucket").applyInArrow(lean_group(chain(fresh)), "doc bigint, other bigint, at array<int>, there array<int>")
-        chained = staged(chained.withColumn("chain", F.xxhash64("doc", "other", "at", "there")))
-        ends = chained.select("chain", F.explode(F.array(
-            F.struct(F.lit(0).alias("side"), F.col("doc").alias("of"), F.col("at").alias("x")),
-            F.struct(F.lit(1).alias("side"), F.col("other").alias("of"), F.col("there").alias("x")))).alias("e")).select("chain", "e.*")
-        low, high = F.greatest(F.lit(0), F.element_at("x", 1) - BLOCK), F.element_at("x", -1) + words + BLOCK
-        wanted = ends.select("chain", "side", "of", F.explode(F.sequence(F.floor(low / BLOCK).cast("int"), F.floor(high / BLOCK).cast("int"))).alias("block"))
-        asked = wanted.groupBy("of").agg(F.collect_set("block").alias("asked"))
-        full = _texts_of(rows, ends) if fresh else compressed(rows, "doc", "text")
-        blocks = full.join(asked, full["doc"] == asked["of"]).select("doc", "data", "asked").mapInArrow(lean(_blocks), "of bigint, block int, words binary, spans binary")
-        blocks = blocks.groupBy("of", "block").agg(F.min(F.struct("words", "spans")).alias("b"))
-        sides = wanted.join(blocks, ["of", "block"]).select("chain", F.struct("side", "block", "b.words", "b.spans").alias("part"))
-        gathered = sides.groupBy("chain").agg(F.collect_list("part").alias("parts")).join(chained, "chain")
-        return gathered.select("doc", "other", "at", "there", "parts").mapInArrow(lean(aligned), kind + ", link binary")
+        """Chains go to the smaller document for its words around them, and with these to the other, where they are aligned:
+        a text is sent once, and for each chain the words of one side."""
+        chained = settled(matches.groupBy("bucket").applyInArrow(lean_group(chain(fresh)), sides))
+
+        def dealt(df: DataFrame, by: str) -> GroupedData:
+            return df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets))).groupBy("bucket")
 
+        named = _texts_of(rows, chained.select(F.explode(F.array("doc", "other")).alias("of")))
+        there = dealt(named, "doc").cogroup(dealt(chained, "other")).applyInArrow(lean_pair(cut), sides + ", first int, words binary, point int, spans binary")
+        return dealt(named, "doc").cogroup(dealt(there, "doc")).applyInArrow(lean_pair(aligned), kind + ", link binary")
+
+    sides = "doc bigint, other bigint, at array<int>, there array<int>"
     kind = "doc bigint, start int, `end` int, other_id bigint, other_start int, other_end int, n_words int, similarity double"
     packed = "kind int, bucket int, data binary"
     # Beyond a chain's ends a passage follows the diagonal, while equal words outweigh others or for EDGE words.
@@ -601,7 +713,7 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
     wide = np.dtype([*[(f, KEY[f]) for f in KEY.names], ("low", "<u8"), ("high", "<u8"), ("before", "<u2", (width,)), ("after", "<u2", (width,))])
     names = ["kind", "bucket", "data", "seed", "run", "head"]
     sampled = rows.mapInArrow(lean(scan), "bucket int, data binary, seed bigint, run bigint")
-    met = staged(sampled.groupBy("bucket").applyInArrow(lean_group(meet), packed + ", seed bigint, run bigint, head binary"))
+    met = settled(sampled.groupBy("bucket").applyInArrow(lean_group(meet), packed + ", seed bigint, run bigint, head binary"))
 
     def of_kind(df: DataFrame, *kinds: int) -> DataFrame:
         return df.where(F.col("kind").isin(*kinds)).select("kind", "bucket", "data")
@@ -610,24 +722,24 @@ def shared_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str
     apart = met.where(F.col("kind") == MEMBERS)
     more = apart.select("seed", "run", "data").join(heads, ["seed", "run"]).select("data", "head")
     matches = of_kind(met, MATCHES).unionByName(more.mapInArrow(lean(members), packed))
-    first = staged(verified(matches, False))
+    first = settled(verified(matches, False))
 
     spotted = of_kind(met, SPOTS).unionByName(apart.select("seed", "data").mapInArrow(lean(spots), packed))
     known = spotted.select("data").mapInArrow(lean(by_shelf), packed).unionByName(first.select("link").mapInArrow(lean(passages_by_shelf), packed))
     known = known.groupBy("bucket").applyInArrow(lean_group(edges), packed)
-    rests = staged(spotted.unionByName(known).groupBy("bucket").applyInArrow(lean_group(rest), packed))
+    rests = settled(spotted.unionByName(known).groupBy("bucket").applyInArrow(lean_group(rest), packed))
     out = first.drop("link")
     if not of_kind(rests, MATCHES, HOT).isEmpty():
         several = of_kind(met, OTHERS).unionByName(of_kind(rests, OTHERS, HOT)).groupBy("bucket").applyInArrow(lean_group(keys), packed)
-        several = staged(several.groupBy("bucket").applyInArrow(lean_group(keyed), packed))
+        several = settled(several.groupBy("bucket").applyInArrow(lean_group(keyed), packed))
         late = of_kind(rests, MATCHES).unionByName(of_kind(several, MATCHES))
         long = of_kind(several, WIDE)
         if not long.isEmpty():
-            long = staged(long.groupBy("bucket").applyInArrow(lean_group(by_text), "of bigint, spots binary"))
+            long = settled(long.groupBy("bucket").applyInArrow(lean_group(by_text), "of bigint, spots binary"))
             full = _texts_of(rows, long)
             long = full.join(long, full["doc"] == long["of"]).select("data", "spots").mapInArrow(lean(around), packed)
             late = late.unionByName(long.groupBy("bucket").applyInArrow(lean_group(alike), packed))
-        second = staged(verified(matches.unionByName(late), True)).drop("link").distinct()
+        second = settled(verified(matches.unionByName(late), True)).drop("link").distinct()
         # A passage of the first round that lies inside one of the second is the same one, found with fewer matches.
         x, y = out.alias("x"), second.alias("y")
         inside = " and ".join(["x.doc = y.doc", "x.other_id = y.other_id", "y.start <= x.start", "x.`end` <= y.`end`", "y.other_start <= x.other_start", "x.other_end <= y.other_end"])
@@ -1008,7 +1120,7 @@ def _keyed(rows: np.ndarray, shelves: int) -> pa.Table:
     found = _Parts(MATCHES, lambda x: _shelf(x["doc"], shelves))
     for i, j in met:
         apart = _apart(rows, i, j)
-        found.add(_agreed(rows, i[apart], j[apart]))
+        found.add(_distinct(_agreed(rows, i[apart], j[apart])))
     long = rows[many]
     _, of, count = np.unique(long["key"], return_inverse=True, return_counts=True)
     long["parts"] = -(-count[of] // TILE)
@@ -1016,17 +1128,17 @@ def _keyed(rows: np.ndarray, shelves: int) -> pa.Table:
     return pa.Table.from_batches([*found.batches(), _kinds([(WIDE, long, _shelf(long["doc"], shelves))])])
 
 
-def _apart(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _apart(rows: np.ndarray | dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether rows are of different documents and none of their seeds connects them."""
     return (rows["doc"][i] != rows["doc"][j]) & (rows["x"][i] != rows["x"][j]) & (rows["y"][i] != rows["y"][j]) & ((rows["seeds"][i] == 1) | (rows["z"][i] != rows["z"][j]))
 
 
-def _agreed(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Matches of the hot seeds of keys, each once."""
+def _agreed(rows: np.ndarray | dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Matches of the hot seeds of keys."""
     doc, other, three = rows["doc"][i], rows["doc"][j], rows["seeds"][i] == 3
     found = [_paired(doc, rows["a"][i], other, rows["a"][j], 1)]
     found += [_paired(doc[three], rows[f][i][three], other[three], rows[f][j][three], 1) for f in ("b", "c")]
-    return _distinct(np.concatenate(found))
+    return np.concatenate(found)
 
 
 def _around(hashes: np.ndarray, keys: np.ndarray, kind: np.dtype) -> np.ndarray:
@@ -1059,58 +1171,78 @@ def _alike(rows: np.ndarray, need: int, shelves: int) -> pa.Table:
     core = rows["c"] + WORDS - rows["a"]
     words = np.concatenate([rows["before"], rows["after"]], axis=1).T.copy()
     others = np.where(words == 0, np.uint16(1), words)  # outside of both texts nothing is equal
+    keys = {f: np.ascontiguousarray(rows[f]) for f in KEY.names}  # apart from the wide rows
     found = _Parts(MATCHES, lambda x: _shelf(x["doc"], shelves))
     for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(rows)).tolist()):
         one = bool(rows["low"][lo] == rows["high"][lo])
         left = lo + np.flatnonzero(rows["part"][lo:hi] == rows["low"][lo])
         right = left if one else lo + np.flatnonzero(rows["part"][lo:hi] == rows["high"][lo])
-        for x in range(0, len(left), 512):
-            own = left[x:x + 512]
+        for x in range(0, len(left), 256):
+            own = left[x:x + 256]
+            mine = np.ascontiguousarray(words[:, own])[:, :, None]
             for y in range(x if one else 0, len(right), 512):
                 to = right[y:y + 512]
+                theirs = np.ascontiguousarray(others[:, to])
                 equal = np.minimum(core[own][:, None], core[to]).astype(np.uint16)
+                same = np.empty(equal.shape, bool)
                 for first in range(0, len(words), 255):
                     some = np.zeros(equal.shape, np.uint8)
                     for k in range(first, min(first + 255, len(words))):
-                        some += (words[k, own][:, None] == others[k, to]).view(np.uint8)
+                        np.equal(mine[k], theirs[k], out=same)
+                        np.add(some, same.view(np.uint8), out=some)
                     equal += some
                 i, j = np.nonzero(equal >= need)
                 i, j = own[i], to[j]
-                apart = _apart(rows, i, j) & ((i < j) | (not one))
-                found.add(_agreed(rows, i[apart], j[apart]))
+                apart = _apart(keys, i, j) & ((i < j) | (not one))
+                found.add(_agreed(keys, i[apart], j[apart]))
     return pa.Table.from_batches([*found.batches(), _kinds([])])
 
 
 def _chained(found: np.ndarray, words: int, min_words: int, fresh: bool = False) -> pa.Table:
-    """Chains of matches between two documents that may cover a passage; if ``fresh``, those that hold a match of the second round."""
-    docs, others, ats, theres = [], [], [], []
-    if fresh:
-        pair = _key(found["doc"].astype(np.uint64), found["other"].astype(np.uint64))
-        found = found[np.isin(pair, np.unique(pair[found["late"] > 0]))]
+    """Chains of matches between two documents that may cover a passage; if ``fresh``, those that hold a match of the second round.
+
+    No chain goes over a gap out of reach, so matches on either side of one are chained apart. Matches that run forward in both
+    documents, the next always in reach, are one chain: a match scores more than the words between two of them cost.
+    """
     found = _distinct(found)
+    doc, other, at, there, late = (np.ascontiguousarray(found[f]) for f in ("doc", "other", "at", "there", "late"))
+    most, least = REACH + words, min_words // 5
+    forward = GAP * 2 * most < words
+    apart = np.concatenate([[True], (doc[1:] != doc[:-1]) | (other[1:] != other[:-1]) | (at[1:] > at[:-1] + most)])[:len(found)]
+    begin = np.flatnonzero(apart)
+    end = np.append(begin[1:], len(found)).astype(int)
+    order, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def fine(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = (end - begin >= LEAST) & (at[end - 1] - at[begin] + words >= least)  # places are in order
+        if fresh and len(begin):
+            upto = np.concatenate([[0], np.cumsum(late > 0)])
+            out &= upto[end] > upto[begin]
+        return out
+
     if len(found):
-        new = np.concatenate([[True], (found["doc"][1:] != found["doc"][:-1]) | (found["other"][1:] != found["other"][:-1])])
-        begin = np.flatnonzero(new)
-        end = np.concatenate([begin[1:], [len(found)]])
-        span = np.maximum.reduceat(found["at"], begin) - np.minimum.reduceat(found["at"], begin) + words
-        wanted = (end - begin >= LEAST) & (span >= min_words // 5)
-        if fresh:
-            wanted &= np.maximum.reduceat(found["late"], begin) > 0
-        for a, b in zip(begin[wanted], end[wanted]):
-            late = found["late"][a:b]
-            at, there = found["at"][a:b].astype(np.int64), found["there"][a:b].astype(np.int64)
-            # Matches within reach along one diagonal, as in equal passages, are a chain as they are.
-            straight = (at - there == at[0] - there[0]).all() and np.diff(at).max() <= REACH
-            for own in [np.arange(len(at))] if straight else chains(at, there, words, REACH, GAP):
+        back = ~apart & (np.concatenate([[False], (at[1:] <= at[:-1]) | (there[1:] <= there[:-1])]))
+        straight = np.add.reduceat(back, begin) == 0 if forward else np.zeros(len(begin), bool)
+        far = apart | np.concatenate([[True], there[1:] > there[:-1] + most])
+        first = np.flatnonzero(far & np.repeat(straight, end - begin))
+        last = np.append(np.flatnonzero(far), len(found))
+        last = last[np.searchsorted(last, first, side="right")]
+        kept = fine(first, last)
+        size = (last - first)[kept]
+        order.append(np.repeat(first[kept] - np.cumsum(size) + size, size) + np.arange(size.sum()))
+        ends.append(size)
+        wanted = ~straight & fine(begin, end)
+        for a, b in zip(begin[wanted].tolist(), end[wanted].tolist()):
+            for own in chains(at[a:b].astype(np.int64), there[a:b].astype(np.int64), words, REACH, GAP):
                 # Seeds may lie a window and a few changed words inside a passage's ends.
-                if len(own) >= LEAST and at[own[-1]] - at[own[0]] + words >= min_words // 5 and (late[own].any() or not fresh):
-                    docs.append(int(found["doc"][a]))
-                    others.append(int(found["other"][a]))
-                    ats.append(at[own].astype(np.int32))
-                    theres.append(there[own].astype(np.int32))
-    ends = pa.array(np.cumsum([0, *map(len, ats)]), pa.int32())
-    lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int32), *x]))) for x in (ats, theres)]
-    return pa.table({"doc": pa.array(docs, pa.int64()), "other": pa.array(others, pa.int64()), "at": lists[0], "there": lists[1]})
+                if len(own) >= LEAST and at[a + own[-1]] - at[a + own[0]] + words >= least and (not fresh or late[a:b][own].any()):
+                    order.append(np.array(own) + a)
+                    ends.append(np.array([len(own)]))
+    order, size = np.concatenate(order), np.concatenate(ends)
+    first = order[np.cumsum(size) - size]
+    ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x[order], pa.int32())) for x in (at, there)]
+    return pa.table({"doc": pa.array(doc[first], pa.int64()), "other": pa.array(other[first], pa.int64()), "at": lists[0], "there": lists[1]})
 
 
 def _texts_of(rows: DataFrame, ends: DataFrame) -> DataFrame:
@@ -1138,55 +1270,107 @@ def word_spans(text: bytes) -> np.ndarray:
     return points[edges].astype(np.int32).reshape(-1, 2)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The asked blocks of a text: 32-bit hashes of their words, and, compressed, the gap before and the length of each."""
-    known, compressor = Words(), zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        docs, numbers, hashes, places = [], [], [], []
-        for doc, text, asked in zip(batch.column(0).to_pylist(), unpacked(batch.column(1)), batch.column(2).to_pylist()):
-            own = known.hashes(text).astype(np.uint32)
-            spans = word_spans(text)
-            for n in asked:
-                part = slice(n * BLOCK, (n + 1) * BLOCK)
-                if n * BLOCK < len(own):
-                    begin, end = spans[part, 0], spans[part, 1]
-                    docs.append(doc)
-                    numbers.append(n)
-                    hashes.append(own[part].tobytes())
-                    places.append(compressor.compress(np.concatenate([begin - np.concatenate([[0], end[:-1]]), end - begin]).astype(np.int32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.binary()), pa.array(places, pa.binary())],
-                                         names=["of", "block", "words", "spans"])
-
-
-def _spans(places: bytes) -> tuple[np.ndarray, np.ndarray]:
-    gap, length = np.frombuffer(places, np.int32).reshape(2, -1)
-    end = np.cumsum(gap + length)
-    return end - length, end
-
-
-def _aligned(batch: pa.RecordBatch, words: int, min_words: int, similarity: float) -> pa.RecordBatch:
-    out, decompress = [], zstandard.ZstdDecompressor().decompress
-    parts = batch.column(4)
-    flat = parts.flatten()
-    side, block = flat.field("side").to_numpy(), flat.field("block").to_numpy()
-    row = np.repeat(np.arange(len(batch)), parts.value_lengths().to_numpy(zero_copy_only=False))
-    order = np.lexsort((block, side, row))
-    edges = np.searchsorted((2 * row + side)[order], np.arange(2 * len(batch) + 1))
-    hashes, places = flat.field("words"), flat.field("spans")
-
-    def points(own: np.ndarray, word: int) -> tuple[int, int]:
-        """Begin and end of a word, counted from the first block."""
-        begin, end = _spans(decompress(places[own[word // BLOCK]].as_py()))
-        return int(begin[word % BLOCK]), int(end[word % BLOCK])
-
-    for k, (doc, other, at, there) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)))):
-        one, two = (order[edges[2 * k + s]:edges[2 * k + s + 1]] for s in (0, 1))
-        if not len(one) or not len(two):
+def _merged_blocks(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words and spans of an id with several texts: of each block the smallest."""
+    known, blocks = Words(1 << 12), {}
+    for text in own:
+        hashes, spans, keys = known.hashes(text).astype(np.uint32), word_spans(text), _words_in([text])[0][0]
+        for n in range(0, len(hashes), BLOCK):
+            begin, end = spans[n:n + BLOCK, 0], spans[n:n + BLOCK, 1]
+            gaps = np.concatenate([begin - np.concatenate([[0], end[:-1]]), end - begin]).astype(np.int32)
+            entry = (hashes[n:n + BLOCK].tobytes(), zstandard.compress(gaps.tobytes(), 1)), keys[n:n + BLOCK], spans[n:n + BLOCK]
+            if n not in blocks or entry[0] < blocks[n][0]:
+                blocks[n] = entry
+    own = [blocks[n] for n in sorted(blocks)]
+    return np.concatenate([np.zeros(0, np.uint32), *[x[1] for x in own]]), np.concatenate([np.zeros((0, 2), np.int32), *[x[2] for x in own]])
+
+
+def _words_in(own: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text 32-bit hashes of its words, and where they begin and end in code points."""
+    plain, begin, end, first, upto = _joined_texts(own)
+    keys = _word_keys(plain, begin, end - begin)
+    for k in np.flatnonzero(end - begin > LONG).tolist():
+        keys[k] = xxhash.xxh3_64_intdigest(plain[begin[k]:end[k]])
+    hashes = (keys >> np.uint64(32)).astype(np.uint32)
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(b" ".join(own), np.uint8) & 0xC0) != 0x80)])
+    spans = np.stack([points[begin], points[end]], axis=1)
+    return [(hashes[lo:hi], (spans[lo:hi] - points[at]).astype(np.int32)) for lo, hi, at in zip(upto[:-1].tolist(), upto[1:].tolist(), first.tolist())]
+
+
+def _with_words(own: pa.Table, chained: pa.Table, by: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The chains of each document of a group, as a row number, with the document's words and spans."""
+    ids = chained[by].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    docs, begin = np.unique(ids[order], return_index=True)
+    rows = dict(zip(docs.tolist(), np.split(order, begin[1:])))
+    place = own["doc"].to_numpy()
+    kept = np.flatnonzero(np.isin(place, docs))
+    place, counts = place[kept].tolist(), {}
+    for doc in place:
+        counts[doc] = counts.get(doc, 0) + 1
+    data, several, decompress = own["data"].combine_chunks().take(pa.array(kept)), {}, zstandard.ZstdDecompressor().decompress
+
+    def single() -> Iterator[tuple[int, bytes]]:
+        for k, doc in enumerate(place):
+            if counts[doc] == 1:
+                yield doc, decompress(data[k].as_py())
+            else:
+                several.setdefault(doc, []).append(decompress(data[k].as_py()))
+
+    for some, own_texts in _batches_of(single()):
+        for doc, (hashes, spans) in zip(some, _words_in(own_texts)):
+            for k in rows[doc].tolist():
+                yield k, hashes, spans
+    for doc, own_texts in several.items():
+        hashes, spans = _merged_blocks(own_texts)
+        for k in rows[doc].tolist():
+            yield k, hashes, spans
+
+
+def _around_chain(places: list[int], words: int, length: int) -> tuple[int, int]:
+    """The words around a chain in one text, in whole blocks."""
+    return max(0, places[0] - BLOCK) // BLOCK * BLOCK, min(length, ((places[-1] + words + BLOCK) // BLOCK + 1) * BLOCK)
+
+
+def _cut(own: pa.Table, chained: pa.Table, words: int) -> pa.Table:
+    """Chains with the smaller document's words around them, and in code points where they begin, and the gap before and the length of each."""
+    kept, first, hashed, point, places = [], [], [], [], []
+    there = chained["there"].combine_chunks()
+    for k, hashes, spans in _with_words(own, chained, "other"):
+        lo, hi = _around_chain(there[k].as_py(), words, len(hashes))
+        begin, end = spans[lo:hi, 0], spans[lo:hi, 1]
+        at = int(begin[0]) if hi > lo else 0
+        gaps = np.concatenate([begin - np.concatenate([[at], end[:-1]]), end - begin])
+        kept.append(k)
+        first.append(lo)
+        hashed.append(hashes[lo:hi].tobytes())
+        point.append(at)
+        places.append((gaps.astype(np.uint8) if not len(gaps) or gaps.max() < 256 else gaps.astype(np.int32)).tobytes())
+    out = chained.select(["doc", "other", "at", "there"]).take(pa.array(kept, pa.int64()))
+    for name, values, form in (("first", first, pa.int32()), ("words", hashed, pa.binary()), ("point", point, pa.int32()), ("spans", places, pa.binary())):
+        out = out.append_column(name, pa.array(values, form))
+    return out
+
+
+def _aligned(own: pa.Table, chained: pa.Table, words: int, min_words: int, similarity: float) -> pa.Table:
+    """Passages along chains, in the words of the larger document and those that came with the chain."""
+    out, column = [], {f: chained[f].combine_chunks() for f in chained.column_names}
+    doc, other, first, point = (column[f].to_numpy() for f in ("doc", "other", "first", "point"))
+    for k, hashes, spans in _with_words(own, chained, "doc"):
+        at, there = column["at"][k].as_py(), column["there"][k].as_py()
+        a0, hi = _around_chain(at, words, len(hashes))
+        b, b0 = np.frombuffer(column["words"][k].as_py(), np.uint32), int(first[k])
+        if hi <= a0 or not len(b):
             continue
-        (a0, a), (b0, b) = ((int(block[own[0]]) * BLOCK, np.frombuffer(b"".join(hashes.take(pa.array(own)).to_pylist()), np.uint32)) for own in (one, two))
-        for lo, hi, low, high, same, columns in stretches(a, b, [p - a0 for p in at], [q - b0 for q in there], words, min_words, similarity):
-            link = np.array([(doc, other, a0 + lo, a0 + hi, b0 + low, b0 + high)], LINK)
-            out.append((doc, points(one, lo)[0], points(one, hi - 1)[1], other, points(two, low)[0], points(two, high - 1)[1], hi - lo, same / columns, link.tobytes()))
+        places = None
+        for lo, hi, low, high, same, columns in stretches(hashes[a0:hi], b, [p - a0 for p in at], [q - b0 for q in there], words, min_words, similarity):
+            if places is None:
+                raw = column["spans"][k].as_py()
+                gap, length = np.frombuffer(raw, np.uint8 if len(raw) == 2 * len(b) else np.int32).astype(np.int64).reshape(2, -1)
+                places = int(point[k]) + np.cumsum(gap + length)
+            d, o = int(doc[k]), int(other[k])
+            link = np.array([(d, o, a0 + lo, a0 + hi, b0 + low, b0 + high)], LINK)
+            out.append((d, int(spans[a0 + lo, 0]), int(spans[a0 + hi - 1, 1]), o, int(places[low] - length[low]), int(places[high - 1]), hi - lo, same / columns, link.tobytes()))
     names = ["doc", "start", "end", "other_id", "other_start", "other_end", "n_words", "similarity", "link"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)], names=names)
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)], names=names)
