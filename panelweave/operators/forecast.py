@@ -20,7 +20,7 @@ from panelweave.config import TEST, TRAIN, Split
 from panelweave.operators import features as X
 from panelweave.operators.panel import period_filter, series_arrays
 from panelweave.operators.regression import coefficients, linear_value, moments
-from panelweave.operators.windows import by_series, lag_matrix, random_walk, sma_bank
+from panelweave.operators.windows import as_rows, by_series, lag_matrix, random_walk, sma_bank, sma_columns, walk_column
 from panelweave.sources.stores import staged
 
 FORECAST = "series_id string, model string, ts date, yhat double"
@@ -91,6 +91,31 @@ def ema_bank(panel: DataFrame, spans: Sequence[int] = range(3, 31)) -> DataFrame
         "series_id", "model", F.col("dates").alias("ts"), F.col("path").alias("yhat"))
 
 
+#: Steps of a recursion whose states are copied together: a step copies those of its own run only.
+RUN = 32
+
+
+def ema_columns(panel: DataFrame, spans: Sequence[int] = range(3, 31)) -> DataFrame:
+    """The panel with a column ``EMA(q)`` of all values before each date for each of the spans, NULL on the first date.
+
+    The recursion is that of ``ema_paths`` but runs inside the JVM, and rows stay in the task that holds their series. A NULL
+    counts as NaN.
+    """
+    spans, kept = list(spans), [c for c in panel.columns if c not in ("series_id", "ts", "value")]
+    alphas = F.array(*[F.lit(2.0 / (1.0 + q)) for q in spans])
+    numbers = F.transform("value", lambda x: F.coalesce(x.cast("double"), F.lit(float("nan"))))
+    runs = F.transform(F.sequence(F.lit(2), F.size("x") - 1, F.lit(RUN)), lambda i: F.slice("x", i, F.least(F.lit(RUN), F.size("x") - i)))
+    last = lambda states: F.element_at(states, -1)
+    step = lambda states, x: F.array_append(states, F.zip_with(last(states), alphas, lambda state, alpha: state + alpha * (x - state)))
+    run = lambda done, own: F.array_append(done, F.slice(F.aggregate(own, F.array(last(last(done))), step), 2, F.size(own)))
+    first, none = F.array(F.transform(alphas, lambda _: F.col("x")[0])), F.array(F.lit(None).cast("array<double>"))
+    before = F.when(F.size("x") > 2, F.concat(none, F.flatten(F.aggregate(runs, F.array(first), run)))).when(F.size("x") == 2, F.concat(none, first)).otherwise(none)
+    columns = ["ts", "value", *kept]
+    arrays = series_arrays(panel, "value", *kept).withColumn("x", numbers).select("series_id", *columns, before.alias("state"))
+    rows = arrays.select("series_id", F.inline(F.arrays_zip(*columns, "state")))
+    return rows.select("series_id", *columns, *[F.col("state")[i].alias(f"EMA({q})") for i, q in enumerate(spans)])
+
+
 # --- autoregressions ----------------------------------------------------------------
 
 def lag_names(n: int, prefix: str = "x") -> list[str]:
@@ -423,11 +448,26 @@ def linear_bank(panel: DataFrame, spans: Sequence[int] = range(3, 31), ar: int =
     ])
 
 
+#: Forecasters whose forecasts can stand next to each other as columns of one panel, in the order they are put there.
+BESIDE: dict[Forecaster, Forecaster] = {ema_bank: ema_columns, random_walk: walk_column, sma_bank: sma_columns}
+
+
 def bank(panel: DataFrame, forecasters: Sequence[Forecaster]) -> DataFrame:
-    """Union of the forecasts of a list of forecasters, NULL forecasts dropped."""
+    """Union of the forecasts of a list of forecasters, NULL forecasts dropped.
+
+    Those of ``BESIDE`` are made in one pass, in which all forecasts of a series stay in the task that holds its panel: where
+    they are all there is, what then groups them by series neither shuffles nor stores them.
+    """
+    beside = [f for f in BESIDE if list(forecasters).count(f) == 1]
+    parts = [f(panel) for f in forecasters if len(beside) < 2 or f not in beside]
+    if len(beside) > 1:
+        wide = panel = panel.select("series_id", "ts", "value")
+        for f in beside:
+            wide = BESIDE[f](wide)
+        parts.insert(0, as_rows(panel, wide))
     out = None
-    for f in forecasters:
-        part = f(panel).select("series_id", "model", "ts", "yhat").where(F.col("yhat").isNotNull())
+    for part in parts:
+        part = part.select("series_id", "model", "ts", "yhat").where(F.col("yhat").isNotNull())
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no forecasters given")

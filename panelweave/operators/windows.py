@@ -23,19 +23,39 @@ def melt(df: DataFrame, columns: dict[str, str], keys: Sequence[str], name: str,
     return df.selectExpr(*keys, f"stack({len(columns)}, {cells}) AS ({name}, {value})")
 
 
+def as_rows(panel: DataFrame, wide: DataFrame) -> DataFrame:
+    """``Forecast`` rows from the columns that a panel got, each named as its model."""
+    labels = [c for c in wide.columns if c not in panel.columns]
+    return melt(wide, dict(zip(labels, labels)), ["series_id", "ts"], "model", "yhat")
+
+
+def walk_column(panel: DataFrame) -> DataFrame:
+    """The panel with the value before each row as column ``RW``."""
+    return panel.withColumn("RW", F.lag("value").over(by_series()))
+
+
 def random_walk(panel: DataFrame) -> DataFrame:
     return panel.select("series_id", F.lit("RW").alias("model"), "ts", F.lag("value").over(by_series()).alias("yhat"))
 
 
-def trailing_means(panel: DataFrame, spans: Sequence[int]) -> DataFrame:
-    """``q{n}`` columns: mean of the last n values before each row, NULL until there are n.
+def trailing_mean(q: int) -> Column:
+    """Mean of the last q values before each row, NULL until there are q.
 
     Each mean is taken over its own frame, so a NaN or a huge value leaves the
     means of later frames alone; all frames share one sort. A NULL inside a
     frame makes its mean NULL.
     """
-    whole = lambda q: F.when(F.count("value").over(past(q)) == q, F.avg("value").over(past(q)))
-    return panel.select("series_id", "ts", F.lag("value").over(by_series()).alias("q0"), *[whole(q).alias(f"q{q}") for q in spans])
+    return F.when(F.count("value").over(past(q)) == q, F.avg("value").over(past(q)))
+
+
+def trailing_means(panel: DataFrame, spans: Sequence[int]) -> DataFrame:
+    """``q{n}`` columns: the trailing means of n values, and the value before as ``q0``."""
+    return panel.select("series_id", "ts", F.lag("value").over(by_series()).alias("q0"), *[trailing_mean(q).alias(f"q{q}") for q in spans])
+
+
+def sma_columns(panel: DataFrame, spans: Sequence[int] = range(3, 31)) -> DataFrame:
+    """The panel with a column ``SMA(q)`` for each of the spans."""
+    return panel.withColumns({f"SMA({q})": trailing_mean(q) for q in spans})
 
 
 def sma_bank(panel: DataFrame, spans: Sequence[int] = range(3, 31)) -> DataFrame:

@@ -232,7 +232,8 @@ def net_conditions(spark, sf):
     The slope of the error in a column in use is that of its penalty; in a column left out it is not steeper.
     """
     r = supplier_panel(spark, sf)
-    pool = staged(M.bank(r, [N.random_walk, N.sma_bank, M.ema_bank]))
+    # 57 rows for one of the panel: made anew wherever they are read, in the task that holds their series, and never stored or shuffled.
+    pool = M.bank(r, [N.random_walk, N.sma_bank, M.ema_bank])
     rows = staged(C.component_rows(pool, r, C.loadings(pool), 10))
     xs = [f"c{i}" for i in range(1, 11)]
     fitted = P.period_filter(rows, IN_SAMPLE).join(C.elastic_net(rows, xs), "series_id").withColumn("e", F.col("y") - linear_value("coef", xs))

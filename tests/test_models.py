@@ -695,6 +695,27 @@ def test_axes_meet_the_forecasts_of_a_series_as_a_matrix(make_panel):
     assert len(got) == len(want) and got.reindex(want.index).to_numpy() == pytest.approx(want.to_numpy(), abs=1e-12)
 
 
+def test_forecasts_of_a_series_stay_in_the_task_of_its_panel(spark, make_panel):
+    rows = [*make_panel(a=X1, b=X2[:70], c=[1.0], d=[1.0, 2.0], e=[1.0, None, *X1[:40]]).collect(), (None, dt.date(1995, 1, 31), 1.0), (None, dt.date(1995, 2, 28), 2.0)]
+    panel = spark.createDataFrame(rows, "series_id string, ts date, value double").localCheckpoint()
+    makers = [N.random_walk, N.sma_bank, M.ema_bank]
+    pool = M.bank(panel, makers)
+    key = lambda r: (r.series_id or "", r.model, r.ts, repr(r.yhat))
+    alone = [r for f in makers for r in f(panel).select(*pool.columns).where("yhat is not null").collect()]
+    assert sorted(map(key, pool.collect())) == sorted(map(key, alone)) and {r.series_id for r in alone} == {"a", "b", "d", "e", None}
+    twice = M.bank(panel, [N.random_walk, N.random_walk, M.ema_bank])
+    assert twice.where("model = 'RW'").count() == 2 * pool.where("model = 'RW'").count()
+    pool = M.bank(make_panel(a=X1, b=X2[:70]).localCheckpoint(), makers)
+    axes = C.loadings(pool)
+    plan = axes._jdf.queryExecution().executedPlan().toString().splitlines()
+    # Only the panel is shuffled, once for the moments and once for the axes: below an exchange there is no forecast yet.
+    moved = [below for own, below in zip(plan, plan[1:]) if "Exchange" in own]
+    assert len(moved) == 2 and all("Scan" in x or "Filter" in x for x in moved) and not any("Union" in x for x in plan)
+    weights = lambda df: {(r.series_id, r.k, r.model): r.weight for r in df.collect()}
+    got, want = weights(axes), weights(C.loadings(pool.localCheckpoint()))  # the models of a series meet in one matrix
+    assert got == pytest.approx(want, abs=1e-9) and {m for s, k, m in got if (s, k) == ("a", 1)} == {"RW", *[f"SMA({q})" for q in range(3, 7)], *[f"EMA({q})" for q in range(3, 31)]}
+
+
 @pytest.mark.parametrize("short", [0.0, 0.3])
 @pytest.mark.parametrize("n, shift", [(6, 0.0), (50, 0.0), (50, -0.1), (20, -3.0), (3000, 0.0)])
 def test_tangent_from_factors_is_that_of_the_matrix(n, shift, short):
